@@ -71,23 +71,26 @@ def pack(docs: DataFrame, columns: list[str], n: int) -> DataFrame:
     return dealt.mapInArrow(packed, PACKED).repartition(n, "block")
 
 
-def documents(payloads: pa.ChunkedArray | list) -> Iterator[pa.Table]:
-    """The documents of a block, in pieces of about ``CHUNK_BYTES`` (a longer text comes alone)."""
+def pieces(table: pa.Table) -> Iterator[pa.Table]:
+    """Row ranges of about ``CHUNK_BYTES`` of text (a longer text comes alone)."""
+    sizes = np.zeros(table.num_rows, np.int64)
+    for name in table.column_names:
+        if pa.types.is_string(table[name].type):
+            sizes += pc.fill_null(pc.binary_length(table[name]), 0).to_numpy().astype(np.int64)
+    start, held = 0, 0
+    for i, size in enumerate(sizes):
+        if held and held + size > CHUNK_BYTES:
+            yield table.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if start < table.num_rows:
+        yield table.slice(start)
+
+
+def documents(payloads: list[bytes]) -> Iterator[pa.Table]:
+    """The documents of a block, in pieces."""
     for payload in payloads:
-        table = unpack(payload.as_py() if hasattr(payload, "as_py") else payload)
-        sizes = np.zeros(table.num_rows, np.int64)
-        for name in table.column_names:
-            if pa.types.is_string(table[name].type):
-                lengths = pc.fill_null(pc.binary_length(table[name]), 0)
-                sizes += lengths.to_numpy().astype(np.int64)
-        start, held = 0, 0
-        for i, size in enumerate(sizes):
-            if held and held + size > CHUNK_BYTES:
-                yield table.slice(start, i - start)
-                start, held = i, 0
-            held += size
-        if start < table.num_rows:
-            yield table.slice(start)
+        yield from pieces(unpack(payload))
 
 
 def per_block(packed: DataFrame, fn: Callable[[int, list[bytes]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
