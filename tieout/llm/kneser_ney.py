@@ -118,18 +118,22 @@ class KneserNey:
             key, n = levels[order]
             by_key = np.argsort(key)
             key, n = key[by_key], n[by_key].astype(np.float64)
-            d1, d2, d3 = cuts[order]
-            cut = np.where(n >= 3, d3, np.where(n == 2, d2, d1))
             context = key >> np.uint64(8)
             start = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), context[1:] != context[:-1]]))
-            total = np.add.reduceat(n, start)
-            rest = np.add.reduceat(np.minimum(cut, n), start) / total
             per = np.diff(start, append=len(key))
+            share, rest = self._smoothed(n, start, per, cuts.get(order))
             lower = np.full(len(key), 1 / UNITS) if order == 1 else np.exp(self._at(order - 1, key & np.uint64((1 << (8 * (order - 1))) - 1)))
-            p = np.maximum(n - cut, 0) / np.repeat(total, per) + np.repeat(rest, per) * lower
+            p = share + np.repeat(rest, per) * lower
             self.seen[order] = self._held(key, np.log(p))
             self.back[order] = self._held(context[start], np.log(np.maximum(rest, 1e-12)))
 
+    @staticmethod
+    def _smoothed(n: np.ndarray, start: np.ndarray, per: np.ndarray, cuts) -> tuple[np.ndarray, np.ndarray]:
+        """Each n-gram's own share of its context, and what the context leaves to the lower order."""
+        cut = np.minimum(np.where(n >= 3, cuts[2], np.where(n == 2, cuts[1], cuts[0])), n)
+        total = np.add.reduceat(n, start)
+        return (n - cut) / np.repeat(total, per), np.add.reduceat(cut, start) / total
+
     @staticmethod
     def _held(key: np.ndarray, value: np.ndarray) -> tuple[blocks.Lookup, np.ndarray]:
         """Sorted hashes with their values; mix() is one to one, so equal hashes are equal keys."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tieout.llm import jaccard, perplexity, runtime, substring, suffixes
+from tieout.llm import contamination, jaccard, licenses, mixing, perplexity, runtime, substring, suffixes, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring.remove_repeats(_table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -28,24 +36,63 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.roundtrip(_table(spark, sf_dir, "pages"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffixes.remove_repeated_bytes(_table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filter": op1_url_filter,
+        "op2_license_scan": op2_license_scan,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_quality_classifier": op5_quality_classifier,
+        "op6_source_mixing": op6_source_mixing,
         "op7_quality_rules": op7_quality_rules,
+        "op8_warc_roundtrip": op8_warc_roundtrip,
         "op9_suffix_dedup": op9_suffix_dedup,
+        "op10_decontamination": op10_decontamination,
     }
 
 
+OP3_SQL = """
+WITH words AS (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, p, array_to_string(w[p + 1 : p + 13], ' ') AS s FROM words, unnest(range(len(w) - 12)) AS t(p) WHERE len(w) >= 13),
+repeats AS (SELECT a.doc_id, a.p FROM windows a JOIN (SELECT s, min(doc_id) AS first_doc FROM windows GROUP BY s) f ON a.s = f.s AND f.first_doc < a.doc_id),
+covered AS (SELECT DISTINCT doc_id, p + k AS i FROM repeats, unnest(range(13)) AS t(k)),
+placed AS (SELECT doc_id, i, w[i + 1] AS word FROM words, unnest(range(len(w))) AS t(i)),
+kept AS (SELECT p.doc_id, string_agg(p.word, ' ' ORDER BY p.i) AS text FROM placed p ANTI JOIN covered c ON p.doc_id = c.doc_id AND p.i = c.i GROUP BY p.doc_id),
+gone AS (SELECT doc_id, count(*) AS n FROM covered GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(COALESCE(g.n, 0) AS BIGINT) AS n_removed, sha256(COALESCE(k.text, '')) AS kept_sha256
+FROM words w LEFT JOIN kept k ON w.doc_id = k.doc_id LEFT JOIN gone g ON w.doc_id = g.doc_id"""
+
+OP6_SQL = f"WITH mix_docs AS (SELECT doc_id, text, source FROM documents), {mixing.MIX_SQL} SELECT doc_id, size, source_size, target, copies * size AS taken FROM mixed"
+
+OP8_SQL = """
+WITH pages_ AS (SELECT page_id, COALESCE(html, '') AS html FROM pages),
+hashed AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM pages_),
+firsts AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id FROM hashed)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first_id < page_id THEN first_id END AS refers_to FROM firsts"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL for the operators that SQL expresses; the others are tested against brute force."""
+    return {"op2_license_scan": licenses.oracle_sql(), "op3_substring_dedup": OP3_SQL, "op6_source_mixing": OP6_SQL, "op8_warc_roundtrip": OP8_SQL}

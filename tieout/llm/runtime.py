@@ -12,7 +12,8 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _checkpoint_dir(spark: SparkSession) -> None:
+def shared_folder(spark: SparkSession) -> None:
+    """Make sure that the context has a checkpoint folder."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
         # Only where the cluster names no shared folder (tests, local runs).
@@ -26,7 +27,7 @@ def settled(df: DataFrame) -> DataFrame:
     The files are written once, so a lost executor re-reads them and never
     recomputes a differently ordered copy.
     """
-    _checkpoint_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -46,6 +46,7 @@ from tieout.llm.words import mix, raw_bytes, segment_any
 
 SAMPLE_DOCS = 64
 SAMPLE_KEYS = 200_000
+GROUPED = 4096
 _SEEDS = "shard int, block int, n int, keys binary, several binary"
 _MARKS = "block int, stage int, shard int, marks binary"
 _RUNS = "stage int, target int, block int, n int, data binary"
@@ -96,14 +97,16 @@ class Suffixes:
                 value = value * np.uint64(0x9FB21C651E98DF25) + (eight[at : at + n] ^ (eight[at : at + n] >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
             value = mix(value)
         value[~valid] = _MAX
-        self.least = _sliding(np.concatenate([value, np.full(span - 1, _MAX, np.uint64)]), span, True)
-        top = _sliding(np.concatenate([np.zeros(span - 1, np.uint64), self.least]), span, False)
+        least = _sliding(np.concatenate([value, np.full(span - 1, _MAX, np.uint64)]), span, True)
+        top = _sliding(np.concatenate([np.zeros(span - 1, np.uint64), least]), span, False)
         self.at = np.flatnonzero(valid & (value == top))
         self.hash = value[self.at]
+        # Half of each hash is enough here: an equal half at worst adds strings to compare.
+        self.least = (least >> _32).astype(np.uint32)
 
     def owned(self, chosen: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of the chosen suffixes: start, and the range of left parts (lo..hi) of the strings they own."""
-        at, value = self.at[chosen], self.hash[chosen]
+        at, value = self.at[chosen], (self.hash[chosen] >> _32).astype(np.uint32)
         doc = np.searchsorted(self.ends, at)
         lo = np.zeros(len(at), np.int64)
         hi = np.full(len(at), -1, np.int64)
@@ -232,12 +235,12 @@ def _window_hashes(keys: list[tuple[bytes, int]], length: int) -> tuple[np.ndarr
     return index, left, out[0], out[1]
 
 
-def _in_slices(keys: list[tuple[bytes, int]], length: int, size: int = 8192):
+def _in_slices(keys: list[tuple[bytes, int]], length: int, size: int = 2048):
+    """_window_hashes of many keys, a slice at a time."""
     parts = [_window_hashes(keys[i : i + size], length) for i in range(0, len(keys), size)]
-    if not parts:
-        return (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-    index = np.concatenate([p[0] + i * size for i, p in enumerate(parts)])
-    return (index, *(np.concatenate([p[j] for p in parts]) for j in (1, 2, 3)))
+    parts = [(p[0].astype(np.int32) + np.int32(i * size), p[1].astype(np.int16), p[2], p[3]) for i, p in enumerate(parts)]
+    kinds = (np.int32, np.int16, np.uint64, np.uint64)
+    return tuple(np.concatenate([np.zeros(0, kind), *(p[j] for p in parts)]) for j, kind in enumerate(kinds))
 
 
 def _seed_rows(length: int, seed: int, n: int):
@@ -324,6 +327,7 @@ class _Entries:
         for i, (_, s) in enumerate(self.pieces):
             at, keys = s.keys(np.flatnonzero(chosen[done : done + len(s.at)]))
             done += len(s.at)
+            s.least = None  # the largest part; not needed any more
             for a, k in zip(at.tolist(), keys):
                 where.setdefault(k, []).append((i, a))
         zone = {b[:seed] for b in bounds}
@@ -396,11 +400,14 @@ def _merged(length: int, seed: int, rows: list[dict]) -> list[np.ndarray]:
     column = np.arange(span)
     whole = count > 1
     repeat[whole] = (column >= lo[whole, None]) & (column <= hi[whole, None])
+    # Only suffixes with a common seed can own equal strings; such groups are compared a few thousand at a time.
     open_ = np.flatnonzero(reach >= seed)
-    if len(open_):
-        index, left, one, two = _in_slices([classes[i] for i in open_], length)
-        index = open_[index]
-        possible = left >= length - reach[index]
+    heads = np.flatnonzero(near[open_] < seed)
+    cuts = [0, *(h for h, nxt in zip(heads, heads[1:]) if h // GROUPED != nxt // GROUPED), len(open_)]
+    for low, high in zip(cuts, cuts[1:]):
+        group = open_[low:high]
+        index, left, one, two = _in_slices([classes[i] for i in group], length)
+        possible = left >= length - reach[group[index]]
         index, left, one, two = index[possible], left[possible], one[possible], two[possible]
         order = np.argsort(one)
         same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
@@ -408,7 +415,7 @@ def _merged(length: int, seed: int, rows: list[dict]) -> list[np.ndarray]:
         hit[1:] |= same
         hit[:-1] |= same
         chosen = order[hit]
-        repeat[index[chosen], left[chosen]] = True
+        repeat[group[index[chosen]], left[chosen]] = True
     for i in np.flatnonzero(repeat.any(axis=1)):
         for run, place in members[i]:
             out[run][place] = repeat[i]
@@ -440,7 +447,7 @@ def _cut(length: int, seed: int, n: int, bounds):
 
         def found(key: tuple[bytes, int], left: np.ndarray) -> None:
             for piece, at in entries.where[key]:
-                begins[piece].append(at - left)
+                begins[piece].append(at - left.astype(np.int64))
 
         for r in replies:
             if r["stage"] == 1:

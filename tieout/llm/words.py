@@ -68,10 +68,14 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return out
 
 
-def words_of(column: pa.ChunkedArray, hashed: bool = True) -> Words:
-    """Maximal runs of bytes that are not white space, per document."""
+#: Everything in ASCII but letters and digits.
+PUNCTUATION = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
+
+
+def words_of(column: pa.ChunkedArray, hashed: bool = True, between: np.ndarray = _SPACE) -> Words:
+    """Maximal runs of bytes that are not ``between`` words (white space), per document."""
     data, ends = raw_bytes(column)
-    space = _SPACE[data]
+    space = between[data]
     edge = np.diff(space.astype(np.int8), prepend=1)
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     end = end[end > 0] if len(end) and end[0] == 0 else end
