@@ -90,7 +90,8 @@ def tables(counts: DataFrame) -> DataFrame:
     levels = [counts.select("lang", F.lit(ORDER).alias("rank"), "key", "n")]
     for order in range(ORDER - 1, 0, -1):
         mask = F.lit((1 << (8 * order)) - 1)
-        lower = levels[-1].groupBy("lang", F.col("key").bitwiseAND(mask).alias("key")).agg(F.count("*").alias("n"))
+        # The filter holds for every row; it keeps n in the plan, so that both uses of a level share one exchange.
+        lower = levels[-1].where("n > 0").groupBy("lang", F.col("key").bitwiseAND(mask).alias("key")).agg(F.count("*").alias("n"))
         levels.append(lower.select("lang", F.lit(order).alias("rank"), "key", "n"))
     return reduce(DataFrame.unionByName, levels)
 
@@ -167,18 +168,19 @@ class KneserNey:
 
 
 def models(rows: pa.Table) -> dict[str, KneserNey]:
-    """By language, from rows (lang, rank, key, n, d1, d2, d3)."""
+    """By language, from rows (lang, rank, key, n, d1, d2, d3); rank -order holds the discounts of an order."""
     out = {}
     langs = rows["lang"].to_numpy(zero_copy_only=False)
     rank, key, n = (rows[c].to_numpy() for c in ("rank", "key", "n"))
-    cuts = np.stack([rows[c].to_numpy() for c in ("d1", "d2", "d3")], axis=1)
+    cuts = [rows[c].to_numpy(zero_copy_only=False) if c in rows.column_names else None for c in ("d1", "d2", "d3")]
     for lang in set(langs):
         own = langs == lang
         levels, held = {}, {}
         for order in range(1, ORDER + 1):
-            at = np.flatnonzero(own & (rank == order))
-            if len(at):
+            at, cut = np.flatnonzero(own & (rank == order)), np.flatnonzero(own & (rank == -order))
+            if len(at) and len(cut):
                 levels[order] = key[at].astype(np.uint64), n[at]
-                held[order] = tuple(cuts[at[0]])
-        out[lang] = KneserNey(levels, held)
+                held[order] = tuple(c[cut[0]] for c in cuts)
+        if levels:
+            out[lang] = KneserNey(levels, held)
     return out
