@@ -129,8 +129,8 @@ def read_transport(spark: SparkSession, path: str) -> DataFrame:
 
 def read_heartbeats(spark: SparkSession, path: str) -> DataFrame:
     """Beats from a JSON array; arrival is the place in the array."""
-    text = spark.read.option("wholetext", True).text(path)
-    beats = F.from_json("value", "array<struct<partition string, at string, producer_high_water bigint>>")
+    text = spark.read.text(path, wholetext=True)
+    beats = F.from_json("value", "array<struct<`partition`:string,at:string,producer_high_water:bigint>>")
     return text.select(F.posexplode(beats).alias("arrival", "b")).select("b.partition", F.col("b.at").cast("timestamp").alias("at"), "b.producer_high_water", F.col("arrival").cast("bigint").alias("arrival"))
 
 
