@@ -8,18 +8,31 @@ from pyspark.sql import functions as F
 from tieout.llm import runtime
 
 
-def _star(edges: DataFrame, least: DataFrame, keep) -> DataFrame:
-    return edges.join(least, "u").where(keep).select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v")
+SALTS = 16
+
+
+def _salted(edges: DataFrame, by: str) -> DataFrame:
+    return edges.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    """The least smaller neighbour of each node that has one, once for every salt."""
+    return edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
 def _round(edges: DataFrame) -> DataFrame:
-    """Edges point from the larger to the smaller node (u > v); both steps keep the components."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"))
-    large = _star(both, least, F.col("v") > F.col("u")).distinct()
-    least = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = _star(large, least, F.lit(True)).unionByName(least.select("u", F.col("m").alias("v")))
-    return small.distinct()
+    """A large-star and a small-star step.
+
+    Edges point from the larger to the smaller node (u > v), and both steps keep
+    that and the components.  The edges of a hub are dealt by salt to many tasks.
+    """
+    # Large star: a node's larger neighbours move to its least neighbour (or stay, if it has no smaller one).
+    least = _least(edges).select(F.col("u").alias("v"), "m", "salt")
+    large = _salted(edges, "u").join(least, ["v", "salt"], "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
+    # Small star: a node and its smaller neighbours move to the least of these.
+    least = _least(large)
+    moved = _salted(large, "v").join(least, ["u", "salt"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(least.where("salt = 0").select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
