@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
-BUCKETS = 256
+BUCKETS = 64
 SEED = "mix-1"
 
 
