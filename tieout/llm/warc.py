@@ -11,8 +11,8 @@ records in it (a longer record comes alone).  Reading parses whole archives by
 their length fields, one archive per row, so payloads may hold anything,
 separators included.
 
-Assembly joins response, request and metadata through the identifiers and gives
-one nested row per capture.
+Assembly joins response, request and metadata through the identifiers (in one
+shuffle, keyed by the response's identifier) and gives one nested row per capture.
 
 Defined results: null html is an empty payload, null url an empty target; line
 ends in a url are percent-encoded; every input row is one capture, repeated rows
@@ -74,11 +74,12 @@ def _urn(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), *(x for i, (a, n) in enumerate([(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]) for x in ([F.lit("-")] if i else []) + [F.substring(h, a, n)]), F.lit(">"))
 
 
-def _record(kind: Column, record_id: Column, target: Column, headers: list[tuple[str, Column]], block: Column) -> Column:
+def _record(kind: Column, record_id: Column, target: Column, headers: list[tuple[str, Column]], block: list[Column], size: Column) -> list[Column]:
+    """The parts of a record, to be put together once (payloads may be long)."""
     lines = [F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), kind), F.concat(F.lit("WARC-Record-ID: "), record_id), F.lit(f"WARC-Date: {DATE}"), F.concat(F.lit("WARC-Target-URI: "), target)]
     lines += [F.concat(F.lit(f"{name}: "), value.cast("string")) for name, value in headers]  # a null header is left out
-    lines.append(F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")))
-    return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF + CRLF), block)
+    lines.append(F.concat(F.lit("Content-Length: "), size.cast("string")))
+    return [F.concat_ws(CRLF, *lines), F.lit(CRLF + CRLF), *block]
 
 
 def records(captures: DataFrame) -> DataFrame:
@@ -92,9 +93,9 @@ def records(captures: DataFrame) -> DataFrame:
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF + CRLF))
     revisit = F.col("record_type") == "revisit"
     digest = F.concat(F.lit("sha256:"), F.col("payload_digest"))
+    get = F.concat(F.lit("GET "), F.when(path == "", F.lit("/")).otherwise(path), F.lit(f" HTTP/1.1{CRLF}{CRLF}"))
     request = _record(
-        F.lit("request"), _urn(F.lit("request"), *key), target, [("WARC-Concurrent-To", response_id), ("Content-Type", F.lit("application/http; msgtype=request"))],
-        F.concat(F.lit("GET "), F.when(path == "", F.lit("/")).otherwise(path), F.lit(f" HTTP/1.1{CRLF}{CRLF}")),
+        F.lit("request"), _urn(F.lit("request"), *key), target, [("WARC-Concurrent-To", response_id), ("Content-Type", F.lit("application/http; msgtype=request"))], [get], F.octet_length(get)
     )
     response = _record(
         F.col("record_type"), response_id, target,
@@ -103,13 +104,14 @@ def records(captures: DataFrame) -> DataFrame:
             ("WARC-Payload-Digest", digest),
             ("WARC-Profile", F.when(revisit, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
         ],
-        F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("payload"))),
+        [http, F.when(revisit, F.lit("")).otherwise(F.col("payload"))],
+        F.octet_length(http) + F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes")),
     )
     field = lambda name, c: F.concat(F.lit(f"{name}: "), c.cast("string"), F.lit(CRLF))
     fields = F.concat(*(F.coalesce(field(name, F.col(c)), F.lit("")) for name, c in (("pageId", "page_id"), ("payloadBytes", "payload_bytes"), ("refersToPage", "refers_to"))))
-    metadata = _record(F.lit("metadata"), _urn(F.lit("metadata"), *key), target, [("WARC-Concurrent-To", response_id), ("Content-Type", F.lit("application/warc-fields"))], fields)
+    metadata = _record(F.lit("metadata"), _urn(F.lit("metadata"), *key), target, [("WARC-Concurrent-To", response_id), ("Content-Type", F.lit("application/warc-fields"))], [fields], F.octet_length(fields))
     end = F.lit(CRLF + CRLF)
-    return with_row.select(F.concat(request, end, response, end, metadata).alias("value"))
+    return with_row.select(F.concat(*request, end, *response, end, *metadata).alias("value"))
 
 
 def write(captures: DataFrame, path: str, per_file: int) -> None:
@@ -156,7 +158,7 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
                     fields = [tuple(x.strip() for x in line.split(":", 1)) for line in block.decode().split(CRLF) if ":" in line] if kind == "metadata" else []
                     rows.append(
                         (kind, headers["warc-record-id"], headers.get("warc-concurrent-to"), headers.get("warc-target-uri"), headers.get("warc-payload-digest", "").removeprefix("sha256:") or None,
-                         len(payload) if full else None, hashlib.sha256(payload).hexdigest() if full else None, fields, payload if full else None)
+                         len(payload) if full else None, hashlib.sha256(payload).hexdigest() if full else None, fields, payload if full and with_payload else None)
                     )
                 kinds = [pa.string()] * 5 + [pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary()]
                 yield pa.record_batch([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))], names)
@@ -166,14 +168,25 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: response (or revisit), request and metadata, joined through concurrent-to."""
+    """One nested row per capture: response (or revisit), request and metadata, joined through concurrent-to.
+
+    The three kinds meet on the response's identifier in one shuffle of the
+    records; of several records of a kind the one with the least identifier counts.
+    """
     payload = [c for c in records.columns if c == "payload"]
-    main = records.where(F.col("record_type").isin("response", "revisit")).select(
-        "record_id", F.struct("record_type", "record_id", "target_uri", "header_digest", "payload_bytes", "payload_digest", *payload).alias("response")
+    kind = F.col("record_type")
+    own = F.when(kind.isin("response", "revisit"), F.col("record_id")).otherwise(F.col("concurrent_to"))
+
+    def part(chosen: Column, *columns: str) -> Column:
+        return F.min_by(F.struct(*columns), F.when(chosen, F.col("record_id")))
+
+    main = kind.isin("response", "revisit")
+    captures = records.withColumn("capture", own).groupBy("capture").agg(
+        part(main, "record_type", "record_id", "target_uri", "header_digest", "payload_bytes", "payload_digest", *payload).alias("response"),
+        part(kind == "request", "record_id", "target_uri").alias("request"),
+        part(kind == "metadata", "record_id", "fields").alias("metadata"),
     )
-    request = records.where("record_type = 'request'").select(F.col("concurrent_to").alias("record_id"), F.struct("record_id", "target_uri").alias("request"))
-    metadata = records.where("record_type = 'metadata'").select(F.col("concurrent_to").alias("record_id"), F.struct("record_id", "fields").alias("metadata"))
-    return main.join(request, "record_id", "left").join(metadata, "record_id", "left")
+    return captures.where("response is not null")
 
 
 def archive_folder(spark: SparkSession) -> str:
