@@ -1,7 +1,6 @@
 """Two feeds, a stream and their planted faults, derived from the ``orders`` and ``events`` tables.
 
-The faults go by bucket ``(orderkey * 7919) mod 1000``; their shares are those of
-the settlement generator this library is tested against.
+The faults go by bucket ``(orderkey * 7919) mod 1000``, so any engine derives the same feeds.
 """
 
 from __future__ import annotations
