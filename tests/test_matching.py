@@ -77,6 +77,13 @@ def test_one_shuffle_and_no_join(spark, sf):
 
     plan = matching.verdicts(feeds.core(spark, sf), feeds.processor(spark, sf), MONDAY)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert "SortAggregate" not in plan and plan.count("HashAggregate") == 2
+
+
+def test_currency_codes_survive_the_number(spark):
+    df = spark.createDataFrame([("USD",), ("",), (None,), ("É",), ("ABCDEFG",)], "c string")
+    got = df.select("c", matching._code(matching._spelled(F.col("c"))).alias("d")).collect()
+    assert all(r["c"] == r["d"] for r in got)
 
 
 @pytest.mark.parametrize("holidays", [None, ["2026-03-10", "2026-03-14"]])

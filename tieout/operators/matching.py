@@ -1,7 +1,9 @@
 """Two-sided reconciliation: one shuffle on the reference, then a first-match-wins cascade.
 
 Both sides are tagged, stacked and grouped once, so no join is planned; the
-representative of a side is its first record in file order.
+representative of a side is its first record in file order.  Aggregation buffers
+hold numbers and dates only (a currency is held as the number that its bytes
+spell), so both aggregation steps hash and neither sorts.
 """
 
 from __future__ import annotations
@@ -15,9 +17,18 @@ from tieout.policy import DEFAULT, Policy
 _FIELDS = ("amount_minor", "business_date", "currency")
 
 
+def _spelled(code: Column) -> Column:
+    """A currency code of at most seven bytes as a number (longer ones by their first seven)."""
+    return F.when(code == "", 0).otherwise(F.conv(F.hex(F.substring(F.encode(code, "UTF-8"), 1, 7)), 16, 10).cast("bigint"))
+
+
+def _code(number: Column) -> Column:
+    return F.when(number == 0, "").otherwise(F.decode(F.unhex(F.hex(number)), "UTF-8"))
+
+
 def pair(core: DataFrame, proc: DataFrame) -> DataFrame:
     """One row per reference: copies on each side and the fields of each side's first record."""
-    columns = ["ref", *_FIELDS, "line_no"]
+    columns = ["ref", "amount_minor", "business_date", _spelled(F.col("currency")).alias("currency"), "line_no"]
     both = core.select(*columns, F.lit(True).alias("is_core")).unionByName(proc.select(*columns, F.lit(False).alias("is_core")))
 
     def first(side: str, is_core: Column) -> list[Column]:
@@ -27,7 +38,8 @@ def pair(core: DataFrame, proc: DataFrame) -> DataFrame:
 
     c, p = F.col("is_core"), ~F.col("is_core")
     grouped = both.groupBy("ref").agg(F.count_if(c).alias("n_core"), F.count_if(p).alias("n_proc"), *first("core", c), *first("proc", p))
-    return grouped.withColumnsRenamed({"core_amount_minor": "core_amount", "proc_amount_minor": "proc_amount"})
+    named = grouped.withColumnsRenamed({"core_amount_minor": "core_amount", "proc_amount_minor": "proc_amount"})
+    return named.withColumns({c: _code(F.col(c)) for c in ("core_currency", "proc_currency")})
 
 
 def fee_fits(core: Column, proc: Column, policy: Policy = DEFAULT) -> Column:
