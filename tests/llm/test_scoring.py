@@ -145,6 +145,15 @@ def test_bounded_model_drops_rare_ngrams_only(spark, corpus):
     assert whole.num_rows - upper(whole) == small.num_rows - upper(small)
 
 
+def test_rules_score_by_the_whole_model(spark, corpus, monkeypatch):
+    docs, labels = corpus
+    bounded = perplexity.bounded_model
+    monkeypatch.setattr(perplexity, "bounded_model", lambda model, *_: bounded(model, 500))
+    whole = {r["doc_id"]: r["perplexity"] for r in perplexity.classify(docs, labels).collect()}
+    for r in perplexity.rules(docs, labels).collect():
+        assert r["perplexity"] == (None if whole[r["doc_id"]] is None else pytest.approx(whole[r["doc_id"]], rel=1e-6))
+
+
 URLS = ["http://a.net/x", "https://sub.EXAMPLE.net/en/1?q", "http://example.net/de", "http://x.org/fr/#t", "http://example.com/de/2", "http://net/", "http://anet/", "http://a.net", None, "no scheme", "x://y://z/net/", "http://user@h.org:80/fr/x"]
 
 

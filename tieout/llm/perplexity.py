@@ -7,9 +7,8 @@ an n-gram follows from its third and fourth byte, so that all contexts and
 suffixes of three bytes and more that it backs off to are in the same shard;
 the two lowest orders (at most 65,792 rows a language) are copied to each.
 
-``rules``: the model is bounded (``max_ngrams``; the rarest n-grams of the upper
-orders go first) and stored in sorted hash arrays that every task holds, beside
-the base rules on words, symbols, lines and repeated windows.
+``rules``: the same whole model, in the same shards, beside the base rules on
+words, symbols, lines and repeated windows.
 
 Both train on trusted documents outside a held-out tenth and take the upper
 quantile of each language from that tenth (the lower one from all of them).  The score is the mean loss per
@@ -111,25 +110,45 @@ def _join(key: tuple[pa.Scalar, ...], asked: pa.Table, rows: pa.Table) -> pa.Tab
     return pa.table([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["block", "lang", "keys", "scores"])
 
 
-def _sum_up(block: int, payloads: list[bytes], replies: pa.Table) -> pa.Table:
-    known: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-    for r in replies.to_pylist():
-        known.setdefault(r["lang"], []).append((blocks.decode_sorted(r["keys"], np.uint64), blocks.decode(r["scores"], np.float16)))
-    lookups = {lang: kneser_ney.KneserNey._held(np.concatenate([k for k, _ in parts]), np.concatenate([s for _, s in parts])) for lang, parts in known.items()}
-    out = []
-    for table in blocks.documents(payloads):
-        loss = np.full(table.num_rows, np.nan)
-        size = np.zeros(table.num_rows, np.int64)
-        for lang, rows, texts in kneser_ney.by_language(table):
-            key, begin = kneser_ney.ngrams(texts)
-            size[rows] = [len(t) for t in texts]
-            if lang in lookups:
-                lookup, value = lookups[lang]
-                at, _ = lookup.find(kneser_ney.mix(key))
-                loss[rows] = -np.add.reduceat(value[at].astype(np.float64), begin)
-        empty = size == 0
-        out.append(pa.table([table["doc_id"], pa.array([x or "" for x in table["lang"].to_pylist()], pa.string()), pa.array(size, pa.int64()), pa.array(loss, pa.float64(), mask=empty | np.isnan(loss))], ["doc_id", "lang", "n_bytes", "loss"]))
-    return pa.concat_tables(out)
+def _sum_up(fields: str, measured: bool = False):
+    """Rows of ``fields``: the loss of each text, and its base measures where ``measured``."""
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def run(block: int, payloads: list[bytes], replies: pa.Table) -> pa.Table:
+        known: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for r in replies.to_pylist():
+            known.setdefault(r["lang"], []).append((blocks.decode_sorted(r["keys"], np.uint64), blocks.decode(r["scores"], np.float16)))
+        lookups = {lang: kneser_ney.KneserNey._held(np.concatenate([k for k, _ in parts]), np.concatenate([s for _, s in parts])) for lang, parts in known.items()}
+        out = []
+        for table in blocks.documents(payloads):
+            loss = np.full(table.num_rows, np.nan)
+            size = np.zeros(table.num_rows, np.int64)
+            for lang, rows, texts in kneser_ney.by_language(table):
+                key, begin = kneser_ney.ngrams(texts)
+                size[rows] = [len(t) for t in texts]
+                if lang in lookups:
+                    lookup, value = lookups[lang]
+                    at, _ = lookup.find(kneser_ney.mix(key))
+                    loss[rows] = -np.add.reduceat(value[at].astype(np.float64), begin)
+            columns = {"doc_id": table["doc_id"], "lang": pa.array([x or "" for x in table["lang"].to_pylist()], pa.string()), "n_bytes": pa.array(size, pa.int64())}
+            if measured:
+                columns |= {name: pa.array(value, pa.int64()) for name, value in text_stats(table).items()}
+            columns["loss"] = pa.array(loss, pa.float64(), mask=(size == 0) | np.isnan(loss))
+            out.append(pa.table([columns[c] for c in names], names))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def _scored(docs: DataFrame, trusted: DataFrame, fields: str, measured: bool = False) -> DataFrame:
+    """A row of ``fields`` for every document, with its loss under the sharded model."""
+    n = runtime.partitions(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    packed = blocks.pack(docs, ["doc_id", "lang", "text"], n)
+    model = _sharded(_model(packed, trusted, n), n)
+    requests = blocks.per_block(packed, _requests(n), _REQUESTS)
+    replies = requests.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(_join, _REPLIES)
+    return runtime.settled(blocks.answer(packed, replies, _sum_up(fields, measured), fields))
 
 
 def _banded(scored: DataFrame, trusted: DataFrame, low: float, high: float) -> DataFrame:
@@ -163,14 +182,8 @@ def _banded(scored: DataFrame, trusted: DataFrame, low: float, high: float) -> D
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity, score, ceiling, kept for every document."""
-    n = runtime.partitions(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    packed = blocks.pack(docs, ["doc_id", "lang", "text"], n)
     trusted = trusted_ids(labels)
-    model = _sharded(_model(packed, trusted, n), n)
-    requests = blocks.per_block(packed, _requests(n), _REQUESTS)
-    replies = requests.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(_join, _REPLIES)
-    scored = runtime.settled(blocks.answer(packed, replies, _sum_up, "doc_id bigint, lang string, n_bytes bigint, loss double"))
+    scored = _scored(docs, trusted, "doc_id bigint, lang string, n_bytes bigint, loss double")
     banded = _banded(scored, trusted, 0.0, quantile)
     kept = (F.col("n_bytes") > 0) & (F.col("score").isNull() | F.col("ceiling").isNull() | (F.col("score") <= F.col("ceiling")))
     return banded.select("doc_id", "lang", "n_bytes", "perplexity", "score", "ceiling", kept.alias("kept"))
@@ -212,7 +225,10 @@ def text_stats(table: pa.Table) -> dict[str, np.ndarray]:
 
 
 def bounded_model(model: DataFrame, max_ngrams: int = MAX_NGRAMS) -> pa.Table:
-    """The model's rows on the driver: all of them, or those above the least count that brings them under the bound."""
+    """The model's rows on the driver: all of them, or those above the least count that brings them under the bound.
+
+    For tests on small tables only: no query bounds its model.
+    """
     least = 1
     sizes = model.where("rank > 2").groupBy(F.least("n", F.lit(1000)).alias("n")).count().collect()
     while sum(r["count"] for r in sizes if r["n"] >= least) > max_ngrams:
@@ -223,31 +239,10 @@ def bounded_model(model: DataFrame, max_ngrams: int = MAX_NGRAMS) -> pa.Table:
 _RULE_ROWS = "doc_id bigint, lang string, n_bytes bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, loss double"
 
 
-def rules(docs: DataFrame, labels: DataFrame, low: float = 0.001, high: float = 0.995, max_ngrams: int = MAX_NGRAMS) -> DataFrame:
+def rules(docs: DataFrame, labels: DataFrame, low: float = 0.001, high: float = 0.995) -> DataFrame:
     """The base measures, base_failed, perplexity, its band, and kept for every document."""
-    spark = docs.sparkSession
-    n = runtime.partitions(spark)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     trusted = trusted_ids(labels)
-    rows = bounded_model(runtime.settled(_model(blocks.pack(docs, ["doc_id", "lang", "text"], n), trusted, n)), max_ngrams)
-    held = spark.sparkContext.broadcast(rows)
-
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = kneser_ney.models(held.value) if held.value.num_rows else {}
-        for batch in batches:
-            for table in blocks.pieces(pa.Table.from_batches([batch])):
-                stats = text_stats(table)
-                loss = np.full(table.num_rows, np.nan)
-                for lang, rows, texts in kneser_ney.by_language(table):
-                    if lang in models:
-                        key, begin = kneser_ney.ngrams(texts)
-                        loss[rows] = -np.add.reduceat(models[lang].log_prob(key).astype(np.float64), begin)
-                columns = {"doc_id": table["doc_id"].combine_chunks(), "lang": pa.array([x or "" for x in table["lang"].to_pylist()], pa.string())}
-                columns |= {name: pa.array(value, pa.int64()) for name, value in stats.items()}
-                columns["loss"] = pa.array(loss, pa.float64(), mask=np.isnan(loss) | (stats["n_bytes"] == 0))
-                yield pa.record_batch([columns[c.split()[0]] for c in _RULE_ROWS.split(", ")], [c.split()[0] for c in _RULE_ROWS.split(", ")])
-
-    banded = _banded(runtime.settled(docs.mapInArrow(measured, _RULE_ROWS)), trusted, low, high)
+    banded = _banded(_scored(docs, trusted, _RULE_ROWS, measured=True), trusted, low, high)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     within = F.col("score").isNull() | F.col("ceiling").isNull() | F.col("score").between(F.col("floor"), F.col("ceiling"))
     return banded.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & within).alias("kept"), "lang", "perplexity", "floor", "ceiling")
