@@ -181,6 +181,16 @@ def test_join_bears_awkward_rows(awkward, clashing):
     assert jaccard.join(awkward.limit(0)).count() == 0
 
 
+def test_join_of_reused_ids_and_repeated_rows(spark):
+    words = [f"r{i}" for i in range(200)]
+    a, b = words[:60], words[100:160]
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (4, " ".join(words[60:95])), (4, " ".join(words[60:95])), (5, near(words[60:95]))]
+    for rows_ in (rows, rows[::-1]):
+        got = sorted(tuple(r) for r in jaccard.join(spark.createDataFrame(rows_, "doc_id bigint, text string").coalesce(1)).collect())
+        assert got == [(1, 1, 1, 1), (1, 1, 1, 1), (2, 1, 1, 1), (3, 1, 1, 1), (4, 4, 2, 1), (4, 4, 2, 1), (5, 4, 2, 1)]
+
+
 def test_prefix_is_shortened_until_the_target():
     d = jaccard.prefix_length(0.8)
     met = lambda n: 1 - (1 - 0.8**n) ** jaccard.TREES

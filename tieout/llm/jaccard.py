@@ -1,7 +1,9 @@
 """n-gram Jaccard join with a MinHash LSH forest.
 
 Texts are sets of ``shingle``-word n-grams (a text of fewer words is one n-gram).
-Equal sets are collapsed first: one text, with the number of its documents.
+Equal sets are collapsed first: one text, with the number of its documents.  A
+text is known by its set key (h1, h2, size), and within the job by its place in
+the order of least id and key, so the least text of a class has its least id.
 
 1. Forest.  Each text has ``trees`` labels of ``depth`` MinHashes.  In the sorted
    label order of a tree a subtrie is a run of equal prefixes.  Prefixes are
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tieout.llm import blocks, runtime
-from tieout.llm.components import components
+from tieout.llm.components import SALTS, components
 from tieout.llm.words import mix, window_hash, words_of
 
 TREES = 24
@@ -73,6 +75,17 @@ def shingles(column: pa.ChunkedArray, shingle: int) -> tuple[np.ndarray, np.ndar
     return value, np.searchsorted(doc, np.arange(len(count) + 1))
 
 
+def set_sums(value: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """h1 and h2 of each text's n-grams."""
+    some = np.flatnonzero(np.diff(first))
+    sums = np.zeros((2, len(first) - 1), np.uint64)
+    with np.errstate(over="ignore"):
+        if len(some):
+            sums[0, some] = np.add.reduceat(mix(value), first[some])
+            sums[1, some] = np.add.reduceat(mix(value ^ np.uint64(0x5851F42D4C957F2D)), first[some])
+    return sums
+
+
 def _sketch(shingle: int, trees: int, prefix: int):
     random = np.random.default_rng(4)
     masks = random.integers(0, 1 << 63, trees * prefix, dtype=np.uint64)
@@ -86,11 +99,9 @@ def _sketch(shingle: int, trees: int, prefix: int):
                 some = np.flatnonzero(size)
                 begin = first[some]
                 labels = np.zeros((len(some), trees), np.uint64)
-                sums = np.zeros((2, table.num_rows), np.uint64)
+                sums = set_sums(value, first)
                 with np.errstate(over="ignore"):
                     if len(some):
-                        sums[0, some] = np.add.reduceat(mix(value), begin)
-                        sums[1, some] = np.add.reduceat(mix(value ^ np.uint64(0x5851F42D4C957F2D)), begin)
                         for t in range(trees):
                             for i in range(t * prefix, (t + 1) * prefix):
                                 least = np.minimum.reduceat((value ^ masks[i]) * factors[i], begin)
@@ -117,22 +128,23 @@ def _sets(shingle: int):
     """Rows of n-grams for each tile pair of the text's cluster."""
 
     def run(block: int, payloads: list[bytes], replies: pa.Table) -> pa.Table:
-        wanted = {r["text"]: r for r in replies.to_pylist()}
+        wanted = {(r["h1"], r["h2"], r["size"]): r for r in replies.to_pylist()}
+        ids = {r["least"] for r in wanted.values()}
         out = []
         for table in blocks.documents(payloads) if wanted else ():
-            chosen = table.filter(pa.array([i in wanted for i in table["doc_id"].to_pylist()]))
+            chosen = table.filter(pa.array([i in ids for i in table["doc_id"].to_pylist()]))
             if not chosen.num_rows:
                 continue
             value, first = shingles(chosen["text"], shingle)
-            for i, doc in enumerate(chosen["doc_id"].to_pylist()):
-                own = value[first[i] : first[i + 1]]
-                r = wanted[doc]
-                if r["h1"] is not None and len(own) != r["size"]:
-                    continue  # another text under the same id
-                grams = blocks.encode_sorted(own)
+            h1, h2 = set_sums(value, first).view(np.int64).tolist()
+            for i, size in enumerate(np.diff(first).tolist()):
+                r = wanted.pop((h1[i], h2[i], size), None)
+                if r is None:
+                    continue  # a repeated row, or another text under the same id
+                grams = blocks.encode_sorted(value[first[i] : first[i + 1]])
                 for other in range(r["tiles"]):
                     a, b = sorted((r["tile"], other))
-                    out.append((r["cluster"], a, b, int(r["tile"] != a), doc, r["copies"], len(own), grams))
+                    out.append((r["cluster"], a, b, int(r["tile"] != a), r["text"], r["copies"], size, grams))
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         return pa.table([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["cluster", "a", "b", "side", "text", "copies", "size", "grams"])
 
@@ -204,27 +216,34 @@ def join(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, trees: int =
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = runtime.settled(docs.mapInArrow(_sketch(shingle, trees, prefix_length(threshold, trees, depth, target)), _SKETCH))
     key = ["h1", "h2", "size"]
-    texts = runtime.settled(
-        sketch.where("size > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("text"), F.count("*").alias("copies"), F.min_by("labels", "doc_id").alias("labels"))
-    )
+    grouped = sketch.where("size > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min_by("labels", "doc_id").alias("labels"))
+    texts = runtime.settled(grouped.orderBy("least", *key).withColumn("text", F.monotonically_increasing_id()))
     labelled = texts.select("text", F.posexplode("labels").alias("tree", "label"))
-    subtries = labelled.groupBy("tree", "label").agg(F.min("text").alias("least"), F.max("text").alias("most")).where("least <> most")
-    edges = labelled.join(subtries, ["tree", "label"]).where("text <> least").select(F.col("text").alias("u"), F.col("least").alias("v"))
+    subtries = labelled.groupBy("tree", "label").agg(F.min("text").alias("first"), F.max("text").alias("last")).where("first <> last")
+    edges = labelled.join(subtries, ["tree", "label"]).where("text <> first").select(F.col("text").alias("u"), F.col("first").alias("v"))
     clusters = components(edges).withColumnsRenamed({"node": "text", "root": "cluster"})
     tiles = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     members = (
         clusters.join(tiles, "cluster")
         .join(texts.drop("labels"), "text")
-        .select(F.pmod(F.xxhash64(F.col("text")), F.lit(n)).cast("int").alias("block"), "text", "cluster", "copies", "h1", "size", "tiles", F.pmod(F.xxhash64(F.lit(9), "text"), F.col("tiles")).cast("int").alias("tile"))
+        .select(F.pmod(F.xxhash64("least"), F.lit(n)).cast("int").alias("block"), "text", "least", "cluster", "copies", *key, "tiles", F.pmod(F.xxhash64(F.lit(9), "text"), F.col("tiles")).cast("int").alias("tile"))
     )
     sets = blocks.answer(blocks.pack(docs, ["doc_id", "text"], n), members, _sets(shingle), _SETS)
     links = runtime.settled(sets.groupBy("cluster", "a", "b").applyInArrow(_verify(threshold), _LINKS))
-    chained = components(links.select(F.col("text").alias("u"), F.col("root").alias("v"))).withColumnsRenamed({"node": "text"})
+    # Texts of one id are one node: each is chained to the first of them.
+    named = sketch.where("doc_id is not null").join(texts.select(*key, "text"), key).select("doc_id", "text")
+    shared = named.groupBy("doc_id").agg(F.min("text").alias("first"), F.max("text").alias("last")).where("first <> last")
+    same = named.join(shared, "doc_id").where("text <> first").select(F.col("text").alias("u"), F.col("first").alias("v"))
+    chained = components(links.select(F.col("text").alias("u"), F.col("root").alias("v")).unionByName(same)).withColumnsRenamed({"node": "text"})
+    # A class may hold most texts, so its one row is met in SALTS tasks.
+    first = chained.select("root").distinct().join(texts.select(F.col("text").alias("root"), F.col("least").alias("class_id")), "root")
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    chained = chained.withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int")).join(first, ["root", "salt"]).select("text", "class_id")
     totals = links.groupBy("text").agg(F.sum("links").alias("links"), F.sum("text_links").alias("text_links"))
-    classes = texts.select(*key, "text", "copies").join(totals, "text", "left").join(chained.select("text", "root"), "text", "left")
+    classes = texts.select(*key, "text", "least", "copies").join(totals, "text", "left").join(chained, "text", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return (
         sketch.select("doc_id", *key)
         .join(classes, [*(sketch[k] == classes[k] for k in key), sketch["doc_id"].isNotNull()], "left")
-        .select(sketch["doc_id"], F.coalesce("root", "text", sketch["doc_id"]).alias("class_id"), zero(F.col("copies") - 1 + zero(F.col("links"))).alias("n_links"), zero(F.col("text_links")).alias("n_text_links"))
+        .select(sketch["doc_id"], F.coalesce("class_id", "least", sketch["doc_id"]).alias("class_id"), zero(F.col("copies") - 1 + zero(F.col("links"))).alias("n_links"), zero(F.col("text_links")).alias("n_text_links"))
     )
