@@ -234,3 +234,26 @@ def test_run_is_the_stages_in_order(spark, sf):
     rows = corpus_pipeline.run(spark, sf).collect()
     assert rows and {"doc_id", "text", "copies", "copy", "target"} <= set(rows[0].asDict())
     assert len({(r["doc_id"], r["copy"]) for r in rows}) == len(rows)
+
+
+def test_stages_judge_rows_without_or_with_equal_ids_one_by_one(spark, tmp_path):
+    rnd = random.Random(5)
+    prose = lambda: " ".join(rnd.choice(["an", "re", "ti", "on"]) + rnd.choice(["the", "es", "in"]) for _ in range(60))
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = lambda stage, rows: sorted(((r["doc_id"], r["text"]) for r in stage(spark, frame(rows), str(tmp_path)).collect()), key=str)
+    good = [(i, prose()) for i in range(120)]
+    junk = " ".join("".join(rnd.choices("#%&XQZ0123", k=5)) for _ in range(80))
+    spark.createDataFrame([(i, 1, 0) for i, _ in good], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    odd = [(None, good[1][1]), (500, good[2][1]), (500, junk), (None, junk)]
+    got = kept(corpus_pipeline.quality, good + odd)
+    assert (None, good[1][1]) in got and (500, good[2][1]) in got and junk not in {t for _, t in got}
+
+    a, b, c = ([f"{x}{i}" for i in range(60)] for x in "abc")
+    na, nc = (" ".join([*w[:-1], "other"]) for w in (a, c))
+    a, b, c = map(" ".join, (a, b, c))
+    rows = [(7, a), (7, a), (7, b), (9, na), (None, na), (None, c), (None, nc)]
+    got = kept(corpus_pipeline.near_duplicates, rows)
+    assert len(got) == 3 and (7, a) in got and (7, b) in got and {t for i, t in got if i is None} < {c, nc}
+
+    spark.createDataFrame([(1, " ".join(a.split()[:20]))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert kept(corpus_pipeline.decontamination, [(7, a), (7, b), (None, na), (None, c)]) == sorted([(7, b), (None, c)], key=str)

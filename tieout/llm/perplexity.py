@@ -110,8 +110,8 @@ def _join(key: tuple[pa.Scalar, ...], asked: pa.Table, rows: pa.Table) -> pa.Tab
     return pa.table([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["block", "lang", "keys", "scores"])
 
 
-def _sum_up(fields: str, measured: bool = False):
-    """Rows of ``fields``: the loss of each text, and its base measures where ``measured``."""
+def _sum_up(fields: str, measured: bool = False, carry: tuple[str, ...] = ()):
+    """Rows of ``fields``: the loss of each text, its base measures where ``measured``, and what it carries."""
     names = [f.split()[0] for f in fields.split(", ")]
 
     def run(block: int, payloads: list[bytes], replies: pa.Table) -> pa.Table:
@@ -131,6 +131,7 @@ def _sum_up(fields: str, measured: bool = False):
                     at, _ = lookup.find(kneser_ney.mix(key))
                     loss[rows] = -np.add.reduceat(value[at].astype(np.float64), begin)
             columns = {"doc_id": table["doc_id"], "lang": pa.array([x or "" for x in table["lang"].to_pylist()], pa.string()), "n_bytes": pa.array(size, pa.int64())}
+            columns |= {c: table[c] for c in carry}
             if measured:
                 columns |= {name: pa.array(value, pa.int64()) for name, value in text_stats(table).items()}
             columns["loss"] = pa.array(loss, pa.float64(), mask=(size == 0) | np.isnan(loss))
@@ -140,15 +141,15 @@ def _sum_up(fields: str, measured: bool = False):
     return run
 
 
-def _scored(docs: DataFrame, trusted: DataFrame, fields: str, measured: bool = False) -> DataFrame:
+def _scored(docs: DataFrame, trusted: DataFrame, fields: str, measured: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """A row of ``fields`` for every document, with its loss under the sharded model."""
     n = runtime.partitions(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    packed = blocks.pack(docs, ["doc_id", "lang", "text"], n)
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), *carry)
+    packed = blocks.pack(docs, ["doc_id", "lang", "text", *carry], n)
     model = _sharded(_model(packed, trusted, n), n)
     requests = blocks.per_block(packed, _requests(n), _REQUESTS)
     replies = requests.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(_join, _REPLIES)
-    return runtime.settled(blocks.answer(packed, replies, _sum_up(fields, measured), fields))
+    return runtime.settled(blocks.answer(packed, replies, _sum_up(fields, measured, carry), fields))
 
 
 def _banded(scored: DataFrame, trusted: DataFrame, low: float, high: float) -> DataFrame:
@@ -180,13 +181,13 @@ def _banded(scored: DataFrame, trusted: DataFrame, low: float, high: float) -> D
     return beside(score(scored), bands).withColumn("perplexity", F.exp(F.col("loss") / (F.col("n_bytes") + 1)))
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995) -> DataFrame:
-    """doc_id, lang, n_bytes, perplexity, score, ceiling, kept for every document."""
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang, n_bytes, perplexity, score, ceiling, kept for every document, and the bigint columns ``carry``."""
     trusted = trusted_ids(labels)
-    scored = _scored(docs, trusted, "doc_id bigint, lang string, n_bytes bigint, loss double")
+    scored = _scored(docs, trusted, ", ".join(["doc_id bigint, lang string, n_bytes bigint, loss double", *(f"{c} bigint" for c in carry)]), carry=carry)
     banded = _banded(scored, trusted, 0.0, quantile)
     kept = (F.col("n_bytes") > 0) & (F.col("score").isNull() | F.col("ceiling").isNull() | (F.col("score") <= F.col("ceiling")))
-    return banded.select("doc_id", "lang", "n_bytes", "perplexity", "score", "ceiling", kept.alias("kept"))
+    return banded.select("doc_id", "lang", "n_bytes", "perplexity", "score", "ceiling", kept.alias("kept"), *carry)
 
 
 _SYMBOL = np.zeros(256, np.int64)
