@@ -2,10 +2,11 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tieout.llm import components, jaccard, substring, suffixes
+from tieout.llm import components, jaccard, substring, suffixes, words
 
 
 def docs_of(spark, texts):
@@ -192,10 +193,61 @@ def test_join_of_reused_ids_and_repeated_rows(spark):
 
 
 def test_prefix_is_shortened_until_the_target():
-    d = jaccard.prefix_length(0.8)
-    met = lambda n: 1 - (1 - 0.8**n) ** jaccard.TREES
-    assert met(d) >= jaccard.TARGET_RECALL > met(d + 1)
-    assert jaccard.prefix_length(0.8, trees=2) == 1
+    assert jaccard.prefix_length([1000] * 5 + [990, 900, 500], 1000, 0.998) == 5
+    assert jaccard.prefix_length([1000] * 8, 1000, 0.998) == 8 and jaccard.prefix_length([5] * 8, 1000, 0.998) == 1
+    rnd = np.random.default_rng(1)
+    sets = [rnd.integers(0, 1 << 63, rnd.integers(4, 300), dtype=np.uint64) for _ in range(60)]
+    met = jaccard.probed(sets, 0.8, 60, jaccard.TREES, jaccard.DEPTH)
+    assert met[-1] == 3600 and all(a >= b for a, b in zip(met[:-1], met[1:-1]))
+    for level in (5, 8):  # a partner is at the threshold, or above it for small sets
+        assert met[level - 1] / 3600 >= 1 - (1 - 0.8**level) ** jaccard.TREES - 0.02
+    assert jaccard.prefix_length(met[:-1].tolist(), 3600) in (5, 6)
+
+
+def test_runs_of_sorted_labels_chain_over_partition_bounds(spark):
+    rnd = random.Random(3)
+    labels = {i: [bytes([0, rnd.randrange(2)] * 4 + [0, rnd.randrange(9)] * 4) for _ in range(3)] for i in range(200)}
+    frame = spark.createDataFrame([(i, [bytearray(x) for x in row]) for i, row in labels.items()], "text bigint, labels array<binary>")
+    for prefix in (4, 5, 8):
+        edges = [tuple(r) for r in jaccard.edges_of(frame, prefix).collect()]
+        got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+        root = {i: i for i in labels}
+        for tree in range(3):
+            by = {}
+            for i in sorted(labels):
+                by.setdefault(labels[i][tree][: 2 * prefix], []).append(i)
+            for run in by.values():
+                roots = {root[i] for i in run}
+                root = {i: min(roots) if r in roots else r for i, r in root.items()}
+        assert {i: got.get(i, i) for i in labels} == root
+
+
+def morse(a, b, n=1024):
+    """A word of two letters in Thue-Morse order, on which polynomial hashes modulo powers of two collide."""
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_are_told_apart_where_polynomial_hashes_collide(spark):
+    x, y = morse("a", "b"), morse("b", "a")
+    texts = [" ".join([x] * 13), " ".join([y] * 13), " ".join([x] * 7 + [y] * 6)]
+    assert all(r["n_removed"] == 0 for r in substring.remove_repeats(docs_of(spark, texts)).collect())
+    assert all(r["n_links"] == 0 for r in jaccard.join(docs_of(spark, texts)).collect())
+
+
+def test_equal_hashes_of_different_items_are_told_apart():
+    rnd = np.random.default_rng(5)
+    rows = rnd.integers(0, 3, (500, 4))
+    for value in (np.zeros(500, np.uint64), rows[:, 0].astype(np.uint64), (rows @ [27, 9, 3, 1]).astype(np.uint64)):
+        order, new = words.exact_groups(value, lambda at: rows[at])
+        group = np.cumsum(new)
+        assert sorted(order.tolist()) == list(range(500)) and group[-1] == len(np.unique(rows, axis=0))
+        assert all((rows[order[group == g]] == rows[order[group == g][0]]).all() for g in range(1, group[-1] + 1))
+
+
+def test_links_are_of_equal_words_even_if_every_hash_is_equal(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "window_hash", lambda value, n, seed=0: np.zeros(max(0, len(value) - n + 1), np.uint64))
+    grams = jaccard.gram_numbers(pa.chunked_array([pa.array(["a b c d e f", "b c d e f", "c d", "c d", "d c"])]), 5)
+    assert len({tuple(g) for g in grams}) == 4 and len(grams[0]) == 2 and set(grams[1]) <= set(grams[0]) and grams[2].tolist() == grams[3].tolist()
 
 
 def test_components_of_long_chains(spark):

@@ -2,22 +2,28 @@
 
 Texts are sets of ``shingle``-word n-grams (a text of fewer words is one n-gram).
 Equal sets are collapsed first: one text, with the number of its documents.  A
-text is known by its set key (h1, h2, size), and within the job by its place in
-the order of least id and key, so the least text of a class has its least id.
-
-1. Forest.  Each text has ``trees`` labels of ``depth`` MinHashes.  In the sorted
-   label order of a tree a subtrie is a run of equal prefixes.  Prefixes are
-   shortened one level at a time from ``depth`` on until a pair at the threshold
-   meets in some tree with the target probability; texts that share a prefix of
-   that length are candidates of each other.
-2. Clusters.  Subtries are chained into clusters (connected components over one
-   edge per text and tree, never over pairs).
-3. Verification.  A text's n-grams move to its cluster once.  A cluster of more
-   than ``TILE`` texts is cut into tiles and each pair of tiles is one task, so a
-   group with a third of all texts is spread over the cluster.  A tile pair
-   takes exact Jaccard similarities by a matrix product over the n-grams that
-   two of its texts share, and emits a row per text: its links, and the least
-   text it is chained to.  Pairs are never emitted.
+text is known by its set key (a 128-bit BLAKE2b digest of its n-grams, and their
+number), and within the job by its place in the order of least id and key, so the
+least text of a class has its least id.
+
+1. Forest.  Each text has ``trees`` labels of ``depth`` MinHashes.  All labels are
+   sorted by tree and label in one range shuffle, which cuts a hot label like any
+   other run: neighbours in that order are neighbours in the tree's prefix trie,
+   and the prefix they share is read off the two labels.
+2. Prefixes.  How long a prefix must match is measured on the table's own texts:
+   each probed text gets partners at the least similarity that counts, and matched
+   prefixes are shortened one level at a time from ``depth`` on until the probes
+   meet in some tree with the target recall (one miss is added to those counted).
+   Texts whose labels share a prefix of that length are candidates.
+3. Clusters.  Runs of the trie are chained into clusters (connected components
+   over one edge per text and tree, never over pairs).
+4. Verification.  A text moves to its cluster once per tile.  Clusters are cut into
+   tiles of about ``TILE`` texts and ``TILE_GRAMS`` n-grams and each pair of tiles is
+   one task, so a group with a third of all texts is spread over the cluster.  A
+   tile pair compares the words of equal n-gram hashes, takes exact Jaccard
+   similarities by a matrix product over the n-grams that two of its texts share,
+   and emits a row per text: its links, and the least text it is chained to.
+   Pairs are never emitted.
 
 Result: one row per document with ``class_id`` (the least id of the chained
 documents), ``n_links`` (other documents at the threshold or above, copies
@@ -31,89 +37,106 @@ and share a class; repeated rows count as copies.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tieout.llm import blocks, runtime
 from tieout.llm.components import SALTS, components
-from tieout.llm.words import mix, window_hash, words_of
+from tieout.llm.words import Words, exact_groups, mix, window_hash, words_of
 
 TREES = 24
 DEPTH = 8
-TARGET_RECALL = 0.9999
+TARGET_RECALL = 0.999
+PROBES = 4000
 TILE = 1024
-_SKETCH = "doc_id bigint, h1 bigint, h2 bigint, size int, labels array<bigint>"
+TILE_GRAMS = 500_000
+_SKETCH = "doc_id bigint, h1 bigint, h2 bigint, size int, labels array<binary>"
 
 
-def prefix_length(threshold: float, trees: int = TREES, depth: int = DEPTH, target: float = TARGET_RECALL) -> int:
-    """The longest label prefix at which a pair at the threshold is met with the target probability."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
-        depth -= 1
-    return depth
+def ngrams(words: Words, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All n-grams of all texts: place of the first word, number of words, and two hashes."""
+    count = np.diff(words.first)
+    size = max(0, len(words.doc) - shingle + 1)
+    at = np.flatnonzero(words.left(shingle)[:size])
+    few = np.flatnonzero((count > 0) & (count < shingle))
+    place = np.concatenate([at, words.first[few]])
+    length = np.concatenate([np.full(len(at), shingle), count[few]])
+    halves = []
+    for value in (words.hash, words.twin):
+        short = np.array([window_hash(value[words.first[i] : words.first[i + 1]], int(count[i]))[0] for i in few], np.uint64)
+        halves.append(np.concatenate([window_hash(value, shingle)[at], short]))
+    return place, length, *halves
 
 
-def shingles(column: pa.ChunkedArray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-gram hashes of each text in order, and where each text's begin (and the end at last)."""
+def shingles(column: pa.ChunkedArray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-gram hashes of each text in order (and their other halves), and where each text's begin."""
     words = words_of(column)
-    value = window_hash(words.hash, shingle)
-    at = np.flatnonzero(words.left(shingle)[: len(value)])
-    value, doc = value[at], words.doc[at]
-    count = np.diff(words.first)
-    few = np.flatnonzero((count > 0) & (count < shingle))
-    if len(few):
-        with np.errstate(over="ignore"):
-            short = [window_hash(words.hash[words.first[i] : words.first[i + 1]], int(count[i]))[0] for i in few]
-        value, doc = np.concatenate([value, np.array(short, np.uint64)]), np.concatenate([doc, few])
-    order = np.lexsort((value, doc))
-    value, doc = value[order], doc[order]
+    place, _, value, twin = ngrams(words, shingle)
+    doc = words.doc[place]
+    order = np.lexsort((twin, value, doc))
+    value, twin, doc = value[order], twin[order], doc[order]
     new = np.ones(len(value), bool)
-    new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
-    value, doc = value[new], doc[new]
-    return value, np.searchsorted(doc, np.arange(len(count) + 1))
+    new[1:] = (value[1:] != value[:-1]) | (twin[1:] != twin[:-1]) | (doc[1:] != doc[:-1])
+    value, twin, doc = value[new], twin[new], doc[new]
+    return value, twin, np.searchsorted(doc, np.arange(len(words.first)))
+
+
+def set_keys(value: np.ndarray, twin: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The digest of each text's n-grams in two halves (0 for none)."""
+    both = np.column_stack([value, twin])
+    out = np.zeros((len(first) - 1, 2), np.uint64)
+    for i, (a, b) in enumerate(zip(first.tolist(), first[1:].tolist())):
+        if b > a:
+            out[i] = np.frombuffer(blake2b(both[a:b].tobytes(), digest_size=16).digest(), np.uint64)
+    return out
 
 
-def set_sums(value: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """h1 and h2 of each text's n-grams."""
-    some = np.flatnonzero(np.diff(first))
-    sums = np.zeros((2, len(first) - 1), np.uint64)
-    with np.errstate(over="ignore"):
-        if len(some):
-            sums[0, some] = np.add.reduceat(mix(value), first[some])
-            sums[1, some] = np.add.reduceat(mix(value ^ np.uint64(0x5851F42D4C957F2D)), first[some])
-    return sums
+class Signer:
+    """MinHashes: the least of each scrambled n-gram hash, ``trees`` x ``depth`` of them."""
 
+    def __init__(self, trees: int, depth: int) -> None:
+        random = np.random.default_rng(4)
+        self.trees, self.depth = trees, depth
+        self.masks = random.integers(0, 1 << 63, trees * depth, dtype=np.uint64)
+        self.factors = random.integers(0, 1 << 63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def least(self, value: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """The MinHashes of the sets that begin at ``begin``, a row each."""
+        out = np.zeros((len(begin), len(self.masks)), np.uint64)
+        with np.errstate(over="ignore"):
+            for i, (mask, factor) in enumerate(zip(self.masks, self.factors)):
+                out[:, i] = np.minimum.reduceat((value ^ mask) * factor, begin)
+        return out
 
-def _sketch(shingle: int, trees: int, prefix: int):
-    random = np.random.default_rng(4)
-    masks = random.integers(0, 1 << 63, trees * prefix, dtype=np.uint64)
-    factors = random.integers(0, 1 << 63, trees * prefix, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    def labels(self, least: np.ndarray) -> np.ndarray:
+        """16 bits of each MinHash, big endian, so that labels sort by their bytes: sets x trees x depth."""
+        return (mix(least) >> np.uint64(48)).astype(">u2").reshape(-1, self.trees, self.depth)
+
+
+def _sketch(shingle: int, trees: int, depth: int):
+    signer = Signer(trees, depth)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for table in blocks.pieces(pa.Table.from_batches([batch])):
-                value, first = shingles(table["text"], shingle)
+                value, twin, first = shingles(table["text"], shingle)
                 size = np.diff(first)
-                some = np.flatnonzero(size)
-                begin = first[some]
-                labels = np.zeros((len(some), trees), np.uint64)
-                sums = set_sums(value, first)
-                with np.errstate(over="ignore"):
-                    if len(some):
-                        for t in range(trees):
-                            for i in range(t * prefix, (t + 1) * prefix):
-                                least = np.minimum.reduceat((value ^ masks[i]) * factors[i], begin)
-                                labels[:, t] = mix(labels[:, t] * np.uint64(0x9E3779B97F4A7C15) + least)
+                keys = set_keys(value, twin, first)
+                labels = signer.labels(signer.least(value, first[np.flatnonzero(size)])) if len(value) else np.zeros((0, trees, depth), ">u2")
+                raw = pa.Array.from_buffers(pa.binary(), len(labels) * trees, [None, pa.py_buffer(np.arange(len(labels) * trees + 1, dtype=np.int32) * np.int32(2 * depth)), pa.py_buffer(labels.tobytes())])
                 offsets = np.concatenate([[0], np.cumsum(np.where(size > 0, trees, 0))])
                 yield pa.record_batch(
                     [
                         table["doc_id"].combine_chunks(),
-                        pa.array(sums[0].view(np.int64)),
-                        pa.array(sums[1].view(np.int64)),
+                        pa.array(keys[:, 0].view(np.int64)),
+                        pa.array(keys[:, 1].view(np.int64)),
                         pa.array(size.astype(np.int32)),
-                        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(labels.reshape(-1).view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), raw),
                     ],
                     ["doc_id", "h1", "h2", "size", "labels"],
                 )
@@ -121,11 +144,112 @@ def _sketch(shingle: int, trees: int, prefix: int):
     return run
 
 
-_SETS = "cluster bigint, a int, b int, side int, text bigint, copies bigint, size int, grams binary"
+def probed(sets: list[np.ndarray], threshold: float, partners: int, trees: int, depth: int, seed: int = 0) -> np.ndarray:
+    """By length 1..depth: how many (set, partner) pairs share a prefix of that length in some tree; and all pairs.
+
+    A partner is the set and as many new n-grams as leave the similarity at the
+    threshold or just above; sets that are too small for one are passed over.
+    """
+    signer, random = Signer(trees, depth), np.random.default_rng(seed)
+    out = np.zeros(depth + 1, np.int64)
+    for own in sets:
+        more = int(len(own) / threshold - len(own) + 1e-9)
+        if not more:
+            continue
+        least = signer.least(own, np.zeros(1, np.int64))
+        new = random.integers(0, 1 << 63, partners * more, dtype=np.uint64) * np.uint64(2) + random.integers(0, 2, partners * more, dtype=np.uint64)
+        other = np.minimum(least, signer.least(new, np.arange(partners) * more))
+        equal = np.logical_and.accumulate(signer.labels(least) == signer.labels(other), axis=2)
+        out[:depth] += equal.any(axis=1).sum(axis=0)
+        out[depth] += partners
+    return out
+
+
+def prefix_length(met: list[int], pairs: int, target: float = TARGET_RECALL) -> int:
+    """The longest prefix at which the probes are met with the target recall."""
+    depth = len(met)
+    while depth > 1 and (pairs - met[depth - 1] + 1) / (pairs + 1) > 1 - target:
+        depth -= 1
+    return depth
+
+
+def _measured(docs: DataFrame, n_texts: int, shingle: int, threshold: float, trees: int, depth: int, target: float) -> int:
+    """Prefix length from at least PROBES (text, partner) pairs of the table; only their counts reach the driver."""
+    every = max(1, n_texts // 500)
+    partners = -(-PROBES // max(1, min(n_texts, 500)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for table in blocks.pieces(pa.Table.from_batches([batch])):
+                value, _, first = shingles(table["text"], shingle)
+                sets = [value[a:b] for a, b in zip(first, first[1:]) if b > a]
+                yield pa.record_batch([pa.array([probed(sets, threshold, partners, trees, depth).tolist()], pa.list_(pa.int64()))], ["met"])
+
+    chosen = docs.where(F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(every)) == 0)
+    sums = [F.sum(F.col("met")[i]).alias(f"m{i}") for i in range(depth + 1)]
+    row = chosen.select("text").mapInArrow(run, "met array<bigint>").agg(*sums).first()
+    met = [x or 0 for x in row]
+    # Without one pair to probe (no text of four n-grams) only the shortest prefix is safe.
+    return prefix_length(met[:depth], met[depth], target) if met[depth] else 1
+
+
+_RUNS = "u bigint, v bigint, part int, tree int, label binary, text bigint"
+
+
+def _chained(prefix: int):
+    """Edges of each text to the first of its run; and the first and the last row of a partition of the sorted labels."""
+    width = 2 * prefix
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in _RUNS.split(", ")]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
+        first = last = None
+        held = None  # tree, prefix and first text of the run that is open
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part, tree, text = (batch.column(c).to_numpy() for c in ("part", "tree", "text"))
+            label = batch.column("label")
+            at = np.frombuffer(label.buffers()[1], np.int32)[label.offset : label.offset + len(label) + 1]
+            rows = np.frombuffer(label.buffers()[2], np.uint8)[at[0] : at[-1]].reshape(len(label), -1)
+            new = np.ones(len(text), bool)
+            new[1:] = (tree[1:] != tree[:-1]) | (rows[1:, :width] != rows[:-1, :width]).any(axis=1)
+            going_on = held is not None and held[0] == tree[0] and held[1] == rows[0, :width].tobytes()
+            run = np.maximum.accumulate(np.where(new, np.arange(len(text)), 0))
+            head = text[run]
+            if going_on:
+                head = np.where(run == 0, held[2], head)
+            edge = text != head
+            held = int(tree[-1]), rows[-1, :width].tobytes(), int(head[-1])
+            ends = [(int(part[i]), int(tree[i]), rows[i].tobytes(), int(text[i])) for i in (0, -1)]
+            first, last = first or ends[0], ends[1]
+            yield pa.record_batch([pa.array(text[edge], pa.int64()), pa.array(head[edge], pa.int64()), *(pa.nulls(int(edge.sum()), k) for k in kinds[2:])], names)
+        bounds = [first, last] if first else []
+        yield pa.record_batch([pa.nulls(len(bounds), kinds[0]), pa.nulls(len(bounds), kinds[1]), *(pa.array([e[i] for e in bounds], k) for i, k in enumerate(kinds[2:]))], names)
+
+    return run
+
+
+def edges_of(texts: DataFrame, prefix: int) -> DataFrame:
+    """(u, v): texts whose labels share a prefix of that length in some tree, chained along the sorted labels of ``texts`` (text, labels)."""
+    n = runtime.partitions(texts.sparkSession)
+    labelled = texts.select("text", F.posexplode("labels").alias("tree", "label"))
+    ordered = labelled.repartitionByRange(n, "tree", "label", "text").sortWithinPartitions("tree", "label", "text")
+    runs = runtime.settled(ordered.select(F.spark_partition_id().alias("part"), "tree", "label", "text").mapInArrow(_chained(prefix), _RUNS))
+    # Runs that go over partition bounds: two rows a partition are looked at in order.
+    ends = runs.where("text is not null")
+    order = W.orderBy("tree", "label", "text")
+    before = ends.select("tree", "label", "text", F.lag(F.struct("tree", "label", "text")).over(order).alias("b"))
+    head = lambda c: F.substring(c, 1, 2 * prefix)
+    over = before.where((F.col("b.tree") == F.col("tree")) & (head(F.col("b.label")) == head(F.col("label")))).select(F.col("text").alias("u"), F.col("b.text").alias("v"))
+    return runs.where("u is not null").select("u", "v").unionByName(over)
+
+
+_SETS = "cluster bigint, a int, b int, side int, text bigint, copies bigint, words string"
 
 
 def _sets(shingle: int):
-    """Rows of n-grams for each tile pair of the text's cluster."""
+    """Rows with the text for each tile pair of its cluster."""
 
     def run(block: int, payloads: list[bytes], replies: pa.Table) -> pa.Table:
         wanted = {(r["h1"], r["h2"], r["size"]): r for r in replies.to_pylist()}
@@ -135,18 +259,17 @@ def _sets(shingle: int):
             chosen = table.filter(pa.array([i in ids for i in table["doc_id"].to_pylist()]))
             if not chosen.num_rows:
                 continue
-            value, first = shingles(chosen["text"], shingle)
-            h1, h2 = set_sums(value, first).view(np.int64).tolist()
-            for i, size in enumerate(np.diff(first).tolist()):
-                r = wanted.pop((h1[i], h2[i], size), None)
+            value, twin, first = shingles(chosen["text"], shingle)
+            keys = set_keys(value, twin, first).view(np.int64).tolist()
+            for (h1, h2), size, text in zip(keys, np.diff(first).tolist(), chosen["text"].to_pylist()):
+                r = wanted.pop((h1, h2, size), None)
                 if r is None:
                     continue  # a repeated row, or another text under the same id
-                grams = blocks.encode_sorted(value[first[i] : first[i + 1]])
                 for other in range(r["tiles"]):
                     a, b = sorted((r["tile"], other))
-                    out.append((r["cluster"], a, b, int(r["tile"] != a), r["text"], r["copies"], size, grams))
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        return pa.table([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["cluster", "a", "b", "side", "text", "copies", "size", "grams"])
+                    out.append((r["cluster"], a, b, int(r["tile"] != a), r["text"], r["copies"], text))
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+        return pa.table([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["cluster", "a", "b", "side", "text", "copies", "words"])
 
     return run
 
@@ -154,6 +277,20 @@ def _sets(shingle: int):
 _LINKS = "text bigint, links bigint, text_links bigint, root bigint"
 
 
+def gram_numbers(column: pa.ChunkedArray, shingle: int) -> list[np.ndarray]:
+    """The distinct n-grams of each text as numbers: equal numbers are equal words in order."""
+    words = words_of(column)
+    place, length, value, _ = ngrams(words, shingle)
+    padded = np.concatenate([words.ids, np.full(shingle, -1, words.ids.dtype)])
+    step = np.arange(shingle)
+    order, new = exact_groups(value, lambda at: np.where(step < length[at][:, None], padded[place[at][:, None] + step], -1))
+    number = np.empty(len(value), np.int64)
+    number[order] = np.cumsum(new) - 1
+    doc = words.doc[place]
+    pairs = np.unique(doc.astype(np.int64) << 32 | number)
+    return np.split(pairs & 0xFFFFFFFF, np.searchsorted(pairs >> 32, np.arange(1, len(words.first) - 1)))
+
+
 def similar(sets: list[np.ndarray], threshold: float, left: np.ndarray | None = None) -> np.ndarray:
     """Matrix of pairs at the threshold; with ``left`` (a mask) only between the two sides."""
     size = np.array([len(s) for s in sets], np.float64)
@@ -181,12 +318,12 @@ def similar(sets: list[np.ndarray], threshold: float, left: np.ndarray | None =
     return linked
 
 
-def _verify(threshold: float):
+def _verify(threshold: float, shingle: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by("text")
         side = table["side"].to_numpy()
         a, b = key[1].as_py(), key[2].as_py()
-        linked = similar([blocks.decode_sorted(g, np.uint64) for g in table["grams"].to_pylist()], threshold, side == 0 if a != b else None)
+        linked = similar(gram_numbers(table["words"], shingle), threshold, side == 0 if a != b else None)
         copies = table["copies"].to_numpy()
         text = table["text"].to_numpy()
         root = np.arange(len(text))
@@ -214,22 +351,18 @@ def join(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, trees: int =
     """doc_id, class_id, n_links, n_text_links for every row of ``docs``."""
     n = runtime.partitions(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = runtime.settled(docs.mapInArrow(_sketch(shingle, trees, prefix_length(threshold, trees, depth, target)), _SKETCH))
+    sketch = runtime.settled(docs.mapInArrow(_sketch(shingle, trees, depth), _SKETCH))
     key = ["h1", "h2", "size"]
     grouped = sketch.where("size > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min_by("labels", "doc_id").alias("labels"))
     texts = runtime.settled(grouped.orderBy("least", *key).withColumn("text", F.monotonically_increasing_id()))
-    labelled = texts.select("text", F.posexplode("labels").alias("tree", "label"))
-    subtries = labelled.groupBy("tree", "label").agg(F.min("text").alias("first"), F.max("text").alias("last")).where("first <> last")
-    edges = labelled.join(subtries, ["tree", "label"]).where("text <> first").select(F.col("text").alias("u"), F.col("first").alias("v"))
-    clusters = components(edges).withColumnsRenamed({"node": "text", "root": "cluster"})
-    tiles = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    members = (
-        clusters.join(tiles, "cluster")
-        .join(texts.drop("labels"), "text")
-        .select(F.pmod(F.xxhash64("least"), F.lit(n)).cast("int").alias("block"), "text", "least", "cluster", "copies", *key, "tiles", F.pmod(F.xxhash64(F.lit(9), "text"), F.col("tiles")).cast("int").alias("tile"))
+    prefix = _measured(docs, texts.count(), shingle, threshold, trees, depth, target)
+    clusters = components(edges_of(texts, prefix)).withColumnsRenamed({"node": "text", "root": "cluster"}).join(texts.drop("labels"), "text")
+    tiles = clusters.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("size") / TILE_GRAMS)).cast("int").alias("tiles"))
+    members = clusters.join(tiles, "cluster").select(
+        F.pmod(F.xxhash64("least"), F.lit(n)).cast("int").alias("block"), "text", "least", "cluster", "copies", *key, "tiles", F.pmod(F.xxhash64(F.lit(9), "text"), F.col("tiles")).cast("int").alias("tile")
     )
     sets = blocks.answer(blocks.pack(docs, ["doc_id", "text"], n), members, _sets(shingle), _SETS)
-    links = runtime.settled(sets.groupBy("cluster", "a", "b").applyInArrow(_verify(threshold), _LINKS))
+    links = runtime.settled(sets.groupBy("cluster", "a", "b").applyInArrow(_verify(threshold, shingle), _LINKS))
     # Texts of one id are one node: each is chained to the first of them.
     named = sketch.where("doc_id is not null").join(texts.select(*key, "text"), key).select("doc_id", "text")
     shared = named.groupBy("doc_id").agg(F.min("text").alias("first"), F.max("text").alias("last")).where("first <> last")

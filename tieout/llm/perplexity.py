@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tieout.llm import blocks, kneser_ney, runtime
-from tieout.llm.words import segment_any, window_hash, words_of
+from tieout.llm.words import exact_groups, segment_any, window_hash, words_of
 
 FOLDS = 10
 PRIOR = 200
@@ -212,8 +212,9 @@ def text_stats(table: pa.Table) -> dict[str, np.ndarray]:
         whole = np.flatnonzero(words.left(REPEAT_WINDOW)[:size])
         with np.errstate(over="ignore"):
             value = window_hash(words.hash, REPEAT_WINDOW)[whole] + kneser_ney.mix(words.doc[whole].astype(np.uint64) + np.uint64(1))
-        order = np.argsort(value)
-        same = value[order][1:] == value[order][:-1]
+        window = words.rows(REPEAT_WINDOW)
+        order, new = exact_groups(value, lambda at: np.column_stack([words.doc[whole[at]], window(whole[at])]))
+        same = ~new[1:]
         twice[whole[order[1:][same]]] = True
         twice[whole[order[:-1][same]]] = True
     repeated = total(segment_any(twice, REPEAT_WINDOW))[first]
