@@ -66,6 +66,18 @@ def test_word_windows_bear_awkward_rows(awkward, clashing):
     assert substring.remove_repeats(awkward.limit(0)).count() == 0
 
 
+def test_claims_are_compared_word_by_word(spark, monkeypatch):
+    docs = pa.table({"doc_id": pa.array([1, 1, 2]), "text": pa.array(["a b c d", "e f g h", "a b x y"])})
+    claims = lambda *rows: pa.table({"doc_id": pa.array([r[0] for r in rows]), "text": pa.array([r[1] for r in rows], pa.binary())})
+    assert substring.differing(docs, claims((1, b"a b c"), (1, b"b c d"), (1, b"f g h"), (2, b"b x y")), 3) == 0
+    assert substring.differing(docs, claims((1, b"a b x"), (2, b"c d e"), (1, b"d e f"), (2, b"a b x y")), 3) == 3
+    monkeypatch.setattr(substring, "differing", lambda *_: 1)
+    with pytest.raises(Exception, match="run again with another key"):
+        # In one process: what the block of the owner does with a claim.
+        payload = substring.blocks._ipc(docs), substring.blocks._ipc(claims((1, b"a b c")))
+        substring._compared(3, b"")(0, [payload[0]], pa.table({"payload": pa.array([payload[1]], pa.binary())}))
+
+
 def brute_bytes(texts, length):
     raw = [t.encode() for t in texts]
     seen = {}

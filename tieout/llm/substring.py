@@ -11,12 +11,15 @@ the first word on, every window holds one whole anchor of its document.
    ``a``-word window (the probes) as sorted 32-bit keys to shards; a shard marks
    the keys that are an anchor somewhere and occur in two documents.
 2. Extend.  Around every marked place all ``window``-word windows are taken, one
-   word further at a time as far as marked keys reach.  Their 64-bit hashes (the
-   shard index is from a second hash, so the key widens with the cluster) go to
-   shards with the smallest document that has them; a window whose smallest
-   document is another one is a repeat.  Chained windows are the maximal
-   repeats.
-3. Cut.  Blocks look their windows up in what came back and drop covered words.
+   word further at a time as far as marked keys reach.  Their digests (96 bits, and
+   the shard index from a third hash) go to shards with the smallest document that
+   has them; a window whose smallest document is another one is a hit.  Chained
+   hits with one owner are the maximal repeats.
+3. Compare.  The words of each maximal repeat go, once per block, to the block of
+   their owner, where every window is compared with the owner's words.  Equal
+   digests of different words stop the job (pass another ``key``); a result is
+   never given on digests alone.
+4. Cut.  Blocks look their windows up in what came back and drop covered words.
 
 A key crosses the network once per block however often it occurs, and nothing
 is paired, so hot passages cost a row per block.
@@ -39,11 +42,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tieout.llm import blocks, runtime
-from tieout.llm.words import Words, segment_any, window_hash, words_of
+from tieout.llm.words import Words, exact_groups, mix, segment_any, window_hash, words_of
 
 _PROBES = "shard int, block int, n int, keys binary, anchor binary, several binary"
-_MARKS = "block int, shard int, stage int, keys binary, marks binary"
-_REPEATS = "shard int, block int, keys binary, least binary, most binary"
+_MARKS = "block int, shard int, marks binary"
+_REPEATS = "shard int, block int, keys binary, more binary, least binary, most binary"
+_OWNERS = "block int, shard int, keys binary, more binary, owners binary, homes binary"
+_CLAIMS = "block int, payload binary"
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
 _32 = np.uint64(32)
 
@@ -65,14 +71,14 @@ def _short_keys(words: Words, known: np.ndarray, a: int, n: int) -> tuple[np.nda
     return at, (_shard(value, n) << _32) | (value & _LOW)
 
 
-def _probes(window: int, n: int):
+def _probes(window: int, n: int, salt: bytes):
     a = (window + 1) // 2
 
     def run(block: int, payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
         keys, docs, heads = [], [], []
         for table in blocks.documents(payloads):
             ids, known = _ids(table)
-            words = words_of(table["text"])
+            words = words_of(table["text"], key=salt)
             at, key = _short_keys(words, known, a, n)
             keys.append(key)
             docs.append(ids[words.doc[at]])
@@ -120,28 +126,19 @@ def _mark(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     mark = np.empty(len(keys), bool)
     mark[order] = np.repeat(anchor & (several | (times > 1)), times)
     marks = np.split(mark, np.cumsum(sizes)[:-1])
-    none = pa.array([None] * len(rows), pa.binary())
-    return pa.table(
-        {
-            "block": table["block"],
-            "shard": table["shard"],
-            "stage": pa.array([1] * len(rows), pa.int32()),
-            "keys": none,
-            "marks": pa.array([np.packbits(m).tobytes() for m in marks], pa.binary()),
-        }
-    )
-
-
-def _candidates(window: int, n: int, payloads: list[bytes], replies: pa.Table, emit) -> None:
-    """Calls emit(table, words, ids, places, keys, shards) with the windows that hold a marked key."""
+    return pa.table({"block": table["block"], "shard": table["shard"], "marks": pa.array([np.packbits(m).tobytes() for m in marks], pa.binary())})
+
+
+def _candidates(window: int, n: int, salt: bytes, payloads: list[bytes], replies: pa.Table, emit) -> None:
+    """Calls emit(words, ids, places) with the windows that hold a marked key."""
     a = (window + 1) // 2
-    marks = {r["shard"]: r["marks"] for r in replies.to_pylist() if r["marks"] is not None}
+    marks = {r["shard"]: r["marks"] for r in replies.to_pylist()}
     parts = []
     for table in blocks.documents(payloads):
         ids, known = _ids(table)
-        words = words_of(table["text"])
-        parts.append((table, ids, known, words, *_short_keys(words, known, a, n)))
-    key = np.concatenate([p[5] for p in parts]) if parts else np.zeros(0, np.uint64)
+        words = words_of(table["text"], key=salt)
+        parts.append((ids, known, words, *_short_keys(words, known, a, n)))
+    key = np.concatenate([p[4] for p in parts]) if parts else np.zeros(0, np.uint64)
     order = np.argsort(key)
     ordered = key[order]
     start = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), ordered[1:] != ordered[:-1]]))
@@ -153,7 +150,7 @@ def _candidates(window: int, n: int, payloads: list[bytes], replies: pa.Table, e
     marked = np.empty(len(key), bool)
     marked[order] = np.repeat(mark, np.diff(start, append=len(key)))
     done = 0
-    for table, ids, known, words, at, _ in parts:
+    for ids, known, words, at, _ in parts:
         hit = np.zeros(len(words.doc), bool)
         hit[at] = marked[done : done + len(at)]
         done += len(at)
@@ -162,91 +159,189 @@ def _candidates(window: int, n: int, payloads: list[bytes], replies: pa.Table, e
         span = window - a + 1
         held = segment_any(hit[::-1], span)[::-1][:size]
         place = np.flatnonzero(held & words.left(window)[:size] & known[words.doc[:size]])
-        value = window_hash(words.hash, window)[place]
-        shard = _shard(window_hash(words.hash, window, seed=1)[place], n)
-        emit(table, words, ids, place, value, shard)
+        emit(words, ids, place)
+
 
+def _digests(words: Words, window: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every window: 64 bits, 32 more, and its shard."""
+    other = window_hash(words.twin, window)
+    return window_hash(words.hash, window), (other & _LOW).astype(np.uint32), _shard(window_hash(words.hash, window, seed=1), n).astype(np.int64)
 
-def _repeats(window: int, n: int):
+
+def _repeats(window: int, n: int, salt: bytes):
     def run(block: int, payloads: list[bytes], replies: pa.Table) -> pa.Table:
-        values, shards, docs = [], [], []
+        found = []
 
-        def emit(table, words, ids, place, value, shard):
-            values.append(value)
-            shards.append(shard)
-            docs.append(ids[words.doc[place]])
+        def emit(words, ids, place):
+            found.append((*(x[place] for x in _digests(words, window, n)), ids[words.doc[place]]))
 
-        _candidates(window, n, payloads, replies, emit)
-        value = np.concatenate(values) if values else np.zeros(0, np.uint64)
+        _candidates(window, n, salt, payloads, replies, emit)
         rows = []
-        if len(value):
-            shard, doc = np.concatenate(shards).astype(np.int64), np.concatenate(docs)
-            order = np.lexsort((value, shard))
-            value, shard, doc = value[order], shard[order], doc[order]
+        if sum(len(f[0]) for f in found):
+            value, more, shard, doc = (np.concatenate([f[i] for f in found]) for i in range(4))
+            order = np.lexsort((more, value, shard))
+            value, more, shard, doc = value[order], more[order], shard[order], doc[order]
             new = np.ones(len(value), bool)
-            new[1:] = (np.diff(shard) != 0) | (value[1:] != value[:-1])
+            new[1:] = (np.diff(shard) != 0) | (value[1:] != value[:-1]) | (more[1:] != more[:-1])
             start = np.flatnonzero(new)
             least, most = np.minimum.reduceat(doc, start), np.maximum.reduceat(doc, start)
-            value, shard = value[start], shard[start]
+            value, more, shard = value[start], more[start], shard[start]
             ids, edges = blocks.by_shard(shard, n)
             for s in ids:
                 cut = slice(edges[s], edges[s + 1])
-                rows.append((int(s), block, blocks.encode_sorted(value[cut]), blocks.encode(least[cut]), blocks.encode(most[cut] - least[cut])))
-        return pa.table(
-            [pa.array([r[i] for r in rows], kind) for i, kind in enumerate([pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])],
-            ["shard", "block", "keys", "least", "most"],
-        )
+                rows.append((int(s), block, blocks.encode_sorted(value[cut]), blocks.encode(more[cut]), blocks.encode(least[cut]), blocks.encode(most[cut] - least[cut])))
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+        return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["shard", "block", "keys", "more", "least", "most"])
 
     return run
 
 
 def _first_owner(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """For each block of a shard: its keys that a smaller document has, with that document."""
+    """For each block of a shard: its keys that a smaller document has, with that document and its block."""
     rows = table.to_pylist()
     keys = [blocks.decode_sorted(r["keys"], np.uint64) for r in rows]
+    more = [blocks.decode(r["more"], np.uint32) for r in rows]
     least = [blocks.decode(r["least"], np.int64) for r in rows]
     most = [blocks.decode(r["most"], np.int64) + m for r, m in zip(rows, least)]
-    every = np.concatenate(keys)
-    order = np.argsort(every)
-    ordered = every[order]
-    start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    owner = np.empty(len(every), np.int64)
-    owner[order] = np.repeat(np.minimum.reduceat(np.concatenate(least)[order], start), np.diff(start, append=len(every)))
+    every, other, docs = np.concatenate(keys), np.concatenate(more), np.concatenate(least)
+    homes = np.repeat(np.array([r["block"] for r in rows], np.int32), [len(k) for k in keys])
+    order = np.lexsort((docs, other, every))
+    first = np.concatenate([[True], (every[order][1:] != every[order][:-1]) | (other[order][1:] != other[order][:-1])])
+    winner = np.empty(len(every), np.int64)
+    winner[order] = order[np.maximum.accumulate(np.where(first, np.arange(len(every)), 0))]
     out, at = [], 0
-    for row, key, top in zip(rows, keys, most):
-        own = owner[at : at + len(key)]
-        at += len(key)
-        keep = own < top
+    for row, key_, rest, top in zip(rows, keys, more, most):
+        own = winner[at : at + len(key_)]
+        at += len(key_)
+        keep = docs[own] < top
         if keep.any():
-            out.append((row["block"], row["shard"], 2, blocks.encode_sorted(key[keep]), blocks.encode(own[keep])))
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-    return pa.table([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["block", "shard", "stage", "keys", "marks"])
+            out.append((row["block"], row["shard"], blocks.encode_sorted(key_[keep]), blocks.encode(rest[keep]), blocks.encode(docs[own[keep]]), blocks.encode(homes[own[keep]])))
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+    return pa.table([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["block", "shard", "keys", "more", "owners", "homes"])
 
 
-def _cut(window: int, n: int, names: list[str]):
-    def run(block: int, payloads: list[bytes], replies: pa.Table) -> pa.Table:
-        keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+class _Owners:
+    """What came back to a block: digests of windows that a smaller document has."""
+
+    def __init__(self, replies: pa.Table) -> None:
+        parts = [(np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32))]
         with np.errstate(over="ignore"):
             for r in replies.to_pylist():
-                if r["keys"] is not None:
-                    keys.append(blocks.decode_sorted(r["keys"], np.uint64) ^ (np.uint64(r["shard"]) * np.uint64(0x9E3779B97F4A7C15)))
-                    owners.append(blocks.decode(r["marks"], np.int64))
-        key, owner = np.concatenate(keys), np.concatenate(owners)
-        order = np.argsort(key)
-        known_keys, owner = blocks.Lookup(key[order]), owner[order]
+                key = blocks.decode_sorted(r["keys"], np.uint64) ^ (np.uint64(r["shard"]) * _SPREAD)
+                parts.append((key, blocks.decode(r["more"], np.uint32), blocks.decode(r["owners"], np.int64), blocks.decode(r["homes"], np.int32)))
+        key, more, owner, home = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        order = np.lexsort((more, key))
+        self.key, self.more, self.owner, self.home = blocks.Lookup(key[order]), more[order], owner[order], home[order]
+
+    def __len__(self) -> int:
+        return self.key.size
+
+    def hits(self, words: Words, ids: np.ndarray, known: np.ndarray, window: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each window of a piece: whether a smaller document has it, and the place of its owner."""
+        value, more, shard = _digests(words, window, n)
+        with np.errstate(over="ignore"):
+            value ^= shard.astype(np.uint64) * _SPREAD
+        at, there = self.key.find(value)
+        wrong = np.flatnonzero(there & (self.more[at] != more))
+        while len(wrong):  # equal in 64 bits and not in the rest
+            at[wrong] += 1
+            there[wrong] = self.key.ordered[at[wrong]] == value[wrong]
+            there[wrong] &= at[wrong] < len(self)
+            at[wrong] = np.minimum(at[wrong], len(self) - 1)
+            wrong = wrong[there[wrong] & (self.more[at[wrong]] != more[wrong])]
+        doc = words.doc[: len(value)]
+        return there & words.left(window)[: len(value)] & known[doc] & (self.owner[at] < ids[doc]), at
+
+
+def _claims(window: int, n: int, salt: bytes):
+    """The words of each maximal repeat with one owner, for the block of the owner."""
+
+    def run(block: int, payloads: list[bytes], replies: pa.Table) -> pa.Table:
+        owners = _Owners(replies)
+        spans: dict[int, set[tuple[int, bytes]]] = {}
+        for table in blocks.documents(payloads) if len(owners) else ():
+            ids, known = _ids(table)
+            words = words_of(table["text"], key=salt)
+            if len(words.doc) < window:
+                continue
+            hit, at = owners.hits(words, ids, known, window, n)
+            place = np.flatnonzero(hit)
+            if not len(place):
+                continue
+            owner, home, doc = owners.owner[at[place]], owners.home[at[place]], words.doc[place]
+            start = np.flatnonzero(np.concatenate([[True], (np.diff(place) != 1) | (np.diff(owner) != 0) | (np.diff(doc) != 0)]))
+            end = np.append(start[1:], len(place)) - 1
+            texts: dict[int, list[bytes]] = {}
+            for a, b in zip(start.tolist(), end.tolist()):
+                d = int(doc[a])
+                if d not in texts:
+                    texts = {d: table["text"][d].as_py().encode().split()}
+                low = int(place[a] - words.first[d])
+                spans.setdefault(int(home[a]), set()).add((int(owner[a]), b" ".join(texts[d][low : low + int(place[b] - place[a]) + window])))
+        rows = []
+        for home, own in sorted(spans.items()):
+            own = sorted(own)
+            rows.append((home, blocks._ipc(pa.table([pa.array([o for o, _ in own], pa.int64()), pa.array([t for _, t in own], pa.binary())], ["doc_id", "text"]))))
+        return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "payload"])
+
+    return run
+
+
+def differing(docs: pa.Table, claims: pa.Table, window: int, salt: bytes = b"") -> int:
+    """Windows of the claimed texts that no document of the claimed id holds word for word."""
+    texts = pa.chunked_array([*docs["text"].cast(pa.binary()).chunks, *claims["text"].chunks], pa.binary())
+    owner = np.concatenate([docs["doc_id"].to_numpy(), claims["doc_id"].to_numpy()])
+    words = words_of(texts, key=salt)
+    size = max(0, len(words.doc) - window + 1)
+    place = np.flatnonzero(words.left(window)[:size])
+    whose = owner[words.doc[place]]
+    with np.errstate(over="ignore"):
+        value = window_hash(words.hash, window)[place] + mix(whose.astype(np.uint64))
+    rows = words.rows(window)
+    order, new = exact_groups(value, lambda at: np.column_stack([whose[at], rows(place[at])]))
+    group = np.empty(len(place), np.int64)
+    group[order] = np.cumsum(new) - 1
+    claimed = words.doc[place] >= docs.num_rows
+    held = np.zeros(len(place), bool)
+    held[group[~claimed]] = True
+    return int((~held[group[claimed]]).sum())
+
+
+def _compared(window: int, salt: bytes):
+    """No rows; stops where a claim's words are not its owner's."""
+
+    def run(block: int, payloads: list[bytes], table: pa.Table) -> pa.Table:
+        if table.num_rows:
+            parts = [blocks.unpack(p) for p in table["payload"].to_pylist()]
+            claims = pa.concat_tables(parts).group_by(["doc_id", "text"]).aggregate([])
+            owners = pc.unique(claims["doc_id"])
+            held = pa.concat_tables([t.select(["doc_id", "text"]).filter(pc.is_in(t["doc_id"], owners)) for t in blocks.documents(payloads)])
+            # Rows that share an id are one document, so all texts of an owner are looked at together.
+            size = pc.fill_null(pc.binary_length(held["text"]), 0).to_numpy()
+            order = np.argsort(held["doc_id"].to_numpy(), kind="stable")
+            ids = held["doc_id"].to_numpy()[order]
+            cuts = np.flatnonzero(np.diff(np.cumsum(size[order]) // blocks.CHUNK_BYTES)) + 1
+            cuts = sorted({int(np.searchsorted(ids, ids[c])) for c in cuts} | {0, len(ids)})
+            for low, high in zip(cuts, cuts[1:]):
+                docs = held.take(order[low:high])
+                if differing(docs, claims.filter(pc.is_in(claims["doc_id"], pc.unique(docs["doc_id"]))), window, salt):
+                    raise ValueError("different words have equal digests; run again with another key")
+        return pa.table([pa.array([], pa.int32()), pa.array([], pa.int32()), *[pa.array([], pa.binary())] * 4], ["block", "shard", "keys", "more", "owners", "homes"])
+
+    return run
+
+
+def _cut(window: int, n: int, salt: bytes, names: list[str]):
+    def run(block: int, payloads: list[bytes], replies: pa.Table) -> pa.Table:
+        owners = _Owners(replies)
         out = []
         for table in blocks.documents(payloads):
             ids, known = _ids(table)
-            words = words_of(table["text"], hashed=bool(len(key)))
+            words = words_of(table["text"], hashed=bool(len(owners)), key=salt)
             covered = np.zeros(len(words.doc), bool)
-            size = max(0, len(words.doc) - window + 1)
-            if len(key) and size:
-                with np.errstate(over="ignore"):
-                    shard = _shard(window_hash(words.hash, window, seed=1), n)
-                    at, there = known_keys.find(window_hash(words.hash, window) ^ (shard * np.uint64(0x9E3779B97F4A7C15)))
-                doc = words.doc[:size]
-                repeat = there & words.left(window)[:size] & known[doc] & (owner[at] < ids[doc])
-                covered = segment_any(np.concatenate([repeat, np.zeros(len(words.doc) - size, bool)]), window)
+            if len(owners) and len(words.doc) >= window:
+                repeat, _ = owners.hits(words, ids, known, window, n)
+                covered = segment_any(np.concatenate([repeat, np.zeros(window - 1, bool)]), window)
             raw = table["text"].cast(pa.binary()).to_pylist()
             first = words.first
             gone = np.diff(np.concatenate([[0], np.cumsum(covered)])[first])
@@ -266,7 +361,7 @@ def _cut(window: int, n: int, names: list[str]):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, carry: tuple[str, ...] = (), key: bytes = b"") -> DataFrame:
     """``docs`` with repeated windows cut: doc_id, carried columns, text, n_words, n_removed.
 
     ``text`` holds the kept words joined by one space.  Columns to ``carry`` that
@@ -276,7 +371,9 @@ def remove_repeats(docs: DataFrame, window: int = 13, carry: tuple[str, ...] = (
     n = runtime.partitions(spark)
     names = ["doc_id", *(c for c in carry if c not in ("doc_id", "text", "n_words", "n_removed"))]
     packed = blocks.pack(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")), [*names, "text"], n)
-    marks = blocks.per_block(packed, _probes(window, n), _PROBES).groupBy("shard").applyInArrow(_mark, _MARKS)
-    repeats = blocks.answer(packed, marks, _repeats(window, n), _REPEATS).groupBy("shard").applyInArrow(_first_owner, _MARKS)
+    marks = blocks.per_block(packed, _probes(window, n, key), _PROBES).groupBy("shard").applyInArrow(_mark, _MARKS)
+    owners = blocks.answer(packed, marks, _repeats(window, n, key), _REPEATS).groupBy("shard").applyInArrow(_first_owner, _OWNERS)
+    claims = blocks.answer(packed, owners, _claims(window, n, key), _CLAIMS)
+    compared = blocks.answer(packed, claims, _compared(window, key), _OWNERS)
     shape = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *names[1:], F.col("text").cast("string").alias("text"), F.lit(0).cast("bigint").alias("n_words"), F.lit(0).cast("bigint").alias("n_removed")).schema
-    return blocks.answer(packed, repeats, _cut(window, n, names), shape)
+    return blocks.answer(packed, owners.unionByName(compared), _cut(window, n, key, names), shape)
