@@ -75,7 +75,7 @@ def test_claims_are_compared_word_by_word(spark, monkeypatch):
     with pytest.raises(Exception, match="run again with another key"):
         # In one process: what the block of the owner does with a claim.
         payload = substring.blocks._ipc(docs), substring.blocks._ipc(claims((1, b"a b c")))
-        substring._compared(3, b"")(0, [payload[0]], pa.table({"payload": pa.array([payload[1]], pa.binary())}))
+        substring._compared(3, 0)(0, [payload[0]], pa.table({"payload": pa.array([payload[1]], pa.binary())}))
 
 
 def brute_bytes(texts, length):

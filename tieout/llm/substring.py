@@ -12,7 +12,7 @@ the first word on, every window holds one whole anchor of its document.
    the keys that are an anchor somewhere and occur in two documents.
 2. Extend.  Around every marked place all ``window``-word windows are taken, one
    word further at a time as far as marked keys reach.  Their digests (96 bits, and
-   the shard index from a third hash) go to shards with the smallest document that
+   the shard index from 32 others) go to shards with the smallest document that
    has them; a window whose smallest document is another one is a hit.  Chained
    hits with one owner are the maximal repeats.
 3. Compare.  The words of each maximal repeat go, once per block, to the block of
@@ -71,7 +71,7 @@ def _short_keys(words: Words, known: np.ndarray, a: int, n: int) -> tuple[np.nda
     return at, (_shard(value, n) << _32) | (value & _LOW)
 
 
-def _probes(window: int, n: int, salt: bytes):
+def _probes(window: int, n: int, salt: int):
     a = (window + 1) // 2
 
     def run(block: int, payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +129,7 @@ def _mark(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"block": table["block"], "shard": table["shard"], "marks": pa.array([np.packbits(m).tobytes() for m in marks], pa.binary())})
 
 
-def _candidates(window: int, n: int, salt: bytes, payloads: list[bytes], replies: pa.Table, emit) -> None:
+def _candidates(window: int, n: int, salt: int, payloads: list[bytes], replies: pa.Table, emit) -> None:
     """Calls emit(words, ids, places) with the windows that hold a marked key."""
     a = (window + 1) // 2
     marks = {r["shard"]: r["marks"] for r in replies.to_pylist()}
@@ -163,12 +163,12 @@ def _candidates(window: int, n: int, salt: bytes, payloads: list[bytes], replies
 
 
 def _digests(words: Words, window: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every window: 64 bits, 32 more, and its shard."""
+    """Of every window: 64 bits, 32 more, and its shard from another 32."""
     other = window_hash(words.twin, window)
-    return window_hash(words.hash, window), (other & _LOW).astype(np.uint32), _shard(window_hash(words.hash, window, seed=1), n).astype(np.int64)
+    return window_hash(words.hash, window), (other & _LOW).astype(np.uint32), _shard(other, n).astype(np.int64)
 
 
-def _repeats(window: int, n: int, salt: bytes):
+def _repeats(window: int, n: int, salt: int):
     def run(block: int, payloads: list[bytes], replies: pa.Table) -> pa.Table:
         found = []
 
@@ -253,7 +253,7 @@ class _Owners:
         return there & words.left(window)[: len(value)] & known[doc] & (self.owner[at] < ids[doc]), at
 
 
-def _claims(window: int, n: int, salt: bytes):
+def _claims(window: int, n: int, salt: int):
     """The words of each maximal repeat with one owner, for the block of the owner."""
 
     def run(block: int, payloads: list[bytes], replies: pa.Table) -> pa.Table:
@@ -287,7 +287,7 @@ def _claims(window: int, n: int, salt: bytes):
     return run
 
 
-def differing(docs: pa.Table, claims: pa.Table, window: int, salt: bytes = b"") -> int:
+def differing(docs: pa.Table, claims: pa.Table, window: int, salt: int = 0) -> int:
     """Windows of the claimed texts that no document of the claimed id holds word for word."""
     texts = pa.chunked_array([*docs["text"].cast(pa.binary()).chunks, *claims["text"].chunks], pa.binary())
     owner = np.concatenate([docs["doc_id"].to_numpy(), claims["doc_id"].to_numpy()])
@@ -307,7 +307,7 @@ def differing(docs: pa.Table, claims: pa.Table, window: int, salt: bytes = b"")
     return int((~held[group[claimed]]).sum())
 
 
-def _compared(window: int, salt: bytes):
+def _compared(window: int, salt: int):
     """No rows; stops where a claim's words are not its owner's."""
 
     def run(block: int, payloads: list[bytes], table: pa.Table) -> pa.Table:
@@ -331,7 +331,7 @@ def _compared(window: int, salt: bytes):
     return run
 
 
-def _cut(window: int, n: int, salt: bytes, names: list[str]):
+def _cut(window: int, n: int, salt: int, names: list[str]):
     def run(block: int, payloads: list[bytes], replies: pa.Table) -> pa.Table:
         owners = _Owners(replies)
         out = []
@@ -361,7 +361,7 @@ def _cut(window: int, n: int, salt: bytes, names: list[str]):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, carry: tuple[str, ...] = (), key: bytes = b"") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, carry: tuple[str, ...] = (), key: int = 0) -> DataFrame:
     """``docs`` with repeated windows cut: doc_id, carried columns, text, n_words, n_removed.
 
     ``text`` holds the kept words joined by one space.  Columns to ``carry`` that
