@@ -88,37 +88,75 @@ def test_planted_items_are_found_and_clean_texts_are_not(spark):
     assert not any(got[i] for i in range(300) if i not in want)
 
 
-def test_edit_distance_is_exact():
-    rnd = np.random.default_rng(2)
+def plain_edits(item, region):
+    last = [0] * (len(region) + 1)
+    for i, a in enumerate(item):
+        new = [i + 1]
+        for j, b in enumerate(region):
+            new.append(min(last[j] + (a != b), last[j + 1] + 1, new[j] + 1))
+        last = new
+    return min(last)
 
-    def plain(item, region):
-        last = [0] * (len(region) + 1)
-        for i, a in enumerate(item):
-            new = [i + 1]
-            for j, b in enumerate(region):
-                new.append(min(last[j] + (a != b), last[j + 1] + 1, new[j] + 1))
-            last = new
-        return min(last)
 
+def test_edit_distance_is_exact():
+    rnd = np.random.default_rng(2)
     for _ in range(50):
-        item, regions = rnd.integers(1, 4, rnd.integers(1, 9)).astype(np.uint64), rnd.integers(1, 4, (3, rnd.integers(1, 14))).astype(np.uint64)
-        assert contamination.edit_distances(item, regions).tolist() == [plain(item, r) for r in regions.tolist()]
+        item, regions = rnd.integers(1, 4, rnd.integers(1, 9)), rnd.integers(1, 4, (3, rnd.integers(1, 14)))
+        assert contamination.edit_distances(item, regions).tolist() == [plain_edits(item, r) for r in regions.tolist()]
+
+
+def test_whole_result_against_brute_force_at_the_largest_number_of_edits(spark):
+    """Items of 1 to 70 words, planted with exactly as many edits as are allowed, and with more."""
+    rnd = random.Random(16)
+    words = [f"t{i}" for i in range(300)]
+    sizes = [1, 3, 7, 8, 9, 12, 15, 16, 17, 23, 31, 40, 70]
+    items = [[f"only{i}" if n < 8 else rnd.choice(words) for i in range(n)] for n in sizes * 2]
+    docs = []
+    for i in range(520):
+        own = list(items[i % len(items)])
+        for j in range(len(own) // 5 + (rnd.randint(1, 4) if i % 5 == 4 else 0)):
+            at = rnd.randrange(len(own))
+            own[at : at + 1] = rnd.choice([[], [f"new{j}"], [own[at], f"more{j}"]]) or ([] if len(own) > 1 else own)
+        docs.append(rnd.choices(words, k=rnd.randint(0, 60)) + own + rnd.choices(words, k=rnd.randint(0, 60)))
+    allowed = [len(w) // 5 if len(w) >= 8 else 0 for w in items]
+    want = {(d, i) for d, text in enumerate(docs) for i, item in enumerate(items) if sum(w in item for w in text) >= len(set(item)) - allowed[i] and plain_edits(item, text) <= allowed[i]}
+    assert len(want) > 400
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    rows = contamination.find(spark.createDataFrame([(i, ", ".join(w)) for i, w in enumerate(docs)], "doc_id bigint, text string"), benchmark).collect()
+    got = {(r["doc_id"], i) for r in rows for i in r["item_ids"]}
+    assert got <= want and len(got) >= 0.98 * len(want)
+    short = {(d, i) for d, i in want if len(items[i]) < 8}
+    assert short <= got
+
+
+def test_very_long_items_are_found(spark):
+    rnd = random.Random(3)
+    item = [f"x{rnd.randrange(4000)}" for _ in range(8300)]
+    near = [w if i % 9 else "changed" for i, w in enumerate(item)]
+    docs = spark.createDataFrame([(1, " ".join(["a"] * 50 + near)), (2, " ".join(item[:4000])), (3, " ".join(item))], "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
+    assert {r["doc_id"]: r["contaminated"] for r in contamination.find(docs, benchmark).collect()} == {1: True, 2: False, 3: True}
+
+
+def test_items_are_found_by_words_not_by_hashes(spark):
+    morse = lambda a, b: "".join((a, b)[bin(i).count("1") % 2] for i in range(1024))
+    docs = spark.createDataFrame([(1, " ".join([morse("a", "b")] * 10))], "doc_id bigint, text string")
+    assert not contamination.find(docs, spark.createDataFrame([(1, " ".join([morse("b", "a")] * 10))], "item_id bigint, text string")).first()["contaminated"]
 
 
 def test_decontamination_bears_awkward_rows_and_blocks_of_items(spark, awkward, clashing, monkeypatch):
-    rows = [(1, "one two three four five six seven eight nine ten"), (2, None), (None, "word100 word101 word102 word103 word104 word105 word106 word107"), (3, "short"), (4, "One, two three four five six seven eight nine ten!")]
+    rows = [(1, "one two three four five six seven eight nine ten"), (2, None), (None, "word100 word101 word102 word103 word104 word105 word106 word107"), (3, "short"), (4, "One, two three four five six seven eight nine ten!"), (5, "")]
     benchmark = spark.createDataFrame(rows, "item_id bigint, text string")
-    for df in (awkward, clashing):
-        by = {}
-        for r in contamination.find(df, benchmark).collect():
-            by.setdefault(r["doc_id"], r)
-        assert by[1]["item_ids"] == [1, 4] and by[5]["n_items"] == 1 and by[5]["item_ids"] == [] and by[5]["contaminated"]
-        assert not by[2]["contaminated"] and not by[7]["contaminated"]
+    for most in (20_000, 2):
+        monkeypatch.setattr(contamination, "ITEMS", most)
+        for df in (awkward, clashing):
+            found = contamination.find(df, benchmark).collect()
+            by = {r["doc_id"]: r for r in found}
+            assert len(found) == 9  # one row for each row, however many blocks
+            assert by[1]["item_ids"] == by[None]["item_ids"] == [1, 4] and by[5]["n_items"] == 1 and by[5]["item_ids"] == [] and by[5]["contaminated"]
+            assert not by[2]["contaminated"] and by[7]["item_ids"] == [3]
     assert contamination.find(awkward.limit(0), benchmark).count() == 0
     assert not any(r["contaminated"] for r in contamination.find(awkward, benchmark.limit(0)).collect())
-    monkeypatch.setattr(contamination, "ITEMS", 2)
-    by = {r["doc_id"]: r for r in contamination.find(awkward, benchmark).collect()}
-    assert by[1]["item_ids"] == [1, 4] and by[6]["contaminated"]
 
 
 # ---- mixing

@@ -4,34 +4,40 @@ A document is contaminated by an item if some stretch of its words is within
 ``floor(tolerance * words)`` word edits of the item (words in lower case, without
 punctuation).
 
-1. Seeds.  An item with ``k`` allowed edits is cut into ``k + 1`` pieces, one of
-   which must be intact in a match.  The first ``q`` words of each piece, ``q``
-   being the shortest piece of all items, are looked up at every word of every
-   document; this loses no match and leaves item-sized windows to test.
-2. Embedding.  A window and its item walk through ``2 n`` steps that stay or go on
-   by a random bit of step and word.  Windows within a small edit distance then
-   agree in most steps.  A repetition samples some steps; equal samples make the
-   pair a candidate.  Repetitions are added until items with the largest allowed
-   number of random edits are met with the target recall (measured once, on the
-   items).
-3. Verification.  Exact edit distance of the item to the best stretch of the
-   window, by rows over all candidates of an item.
-
-The benchmark is the query set: it is held by every task in blocks of at most
-``ITEMS`` items, and the documents are passed over once per block without any
-shuffle.
-
-Defined results: items of fewer than ``MIN_WORDS`` words are not searched for;
-null and empty texts match nothing; equal items are reported by each id; a null
-item id counts but is not listed; every input row has one output row (with
-several blocks of items: every distinct id).
+1. Windows.  An item of up to 15 words is searched for by windows of its size; a
+   longer one is cut into ``words // 8`` pieces of 8 to 15 words, of which one at
+   least keeps to its share of the edits, and is searched for by windows of that
+   size.  Every word of every document begins a window.
+2. Embedding.  A window walks through ``STEPS`` steps: at each it stays or goes on to
+   the next word by a random bit of repetition, step and word, so that windows
+   within a small edit distance agree in most steps.
+3. Bit sampling.  A repetition has its own walk, and hashes ``SAMPLES`` sampled steps.
+   The hashes of the pieces make one table for each repetition, which every
+   window probes; equal hashes make the item and the place a candidate.
+   Repetitions are added until items with the largest allowed number of random
+   edits are met with the target recall (measured on the items themselves).
+4. Verification.  Of the candidates that hold enough of the item's words, the exact
+   edit distance of the item to the best stretch around the place.  Words are
+   compared by their number in the items' vocabulary, not by a hash.
+
+Items of fewer than ``MIN_WORDS`` words are found word for word (no edits), by
+windows of each such length.
+
+The benchmark is the query set: it is dealt to blocks of at most about ``ITEMS``
+items and ``ITEM_BYTES`` of text, tasks build the tables of a block, and the blocks
+are broadcast.  Every document row passes the blocks one after the other, without
+any shuffle.
+
+Defined results: an item without words, and null and empty texts, match nothing;
+equal items are reported by each id; a null item id counts but is not listed;
+every input row has one output row.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,122 +46,148 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tieout.llm import blocks
-from tieout.llm.words import PUNCTUATION, mix, window_hash, words_of
+from tieout.llm.words import PUNCTUATION, Words, mix, window_hash, words_of
 
 ITEMS = 20_000
+ITEM_BYTES = 64 << 20
 MIN_WORDS = 8
+STEPS = 2 * MIN_WORDS
 SAMPLES = 3
-REPEATS = 64
-_STEP = np.random.default_rng(10).integers(0, 1 << 63, 1 << 14, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+REPEATS = 256
+_FILTER_BITS = 20
 
 
-def normal_words(column: pa.ChunkedArray):
+def normal_words(column: pa.ChunkedArray) -> Words:
     return words_of(pc.utf8_lower(column), between=PUNCTUATION)
 
 
-@lru_cache(maxsize=1024)
-def samples(n: int) -> np.ndarray:
-    """Which steps each repetition looks at for items of n words (repetitions x steps)."""
-    random = np.random.default_rng(n)
-    out = np.zeros((REPEATS, 2 * n), bool)
-    for row in out:
-        row[random.choice(2 * n, size=min(SAMPLES, 2 * n), replace=False)] = True
-    return out
+def _plans() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each repetition: the salt of its walk, the sampled steps in order, and factors to hash them."""
+    random = np.random.default_rng(10)
+    steps = np.array([np.sort(random.choice(STEPS, SAMPLES, replace=False)) for _ in range(REPEATS)])
+    odd = lambda *shape: random.integers(0, 1 << 63, shape, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return odd(REPEATS), steps, odd(REPEATS, SAMPLES)
+
 
+_SALT, _SAMPLED, _FACTOR = _plans()
 
-def met(items: list[np.ndarray], which: np.ndarray, windows: np.ndarray, repeats: int, base: int = 0) -> np.ndarray:
-    """For each window (a row, padded by 0) and repetition: whether the sampled steps of its embedding equal its item's.
 
-    ``which`` is the item of each window.  All walks move one step at a time together.
+def embedded(digest: np.ndarray, number: np.ndarray, repeat: int) -> np.ndarray:
+    """The hash of the sampled steps of the walk from each place of a word sequence on.
+
+    ``digest`` holds a 64-bit value for each distinct word and ``number`` the word at each place.
     """
-    sizes = np.array([len(w) for w in items])
-    width = int(sizes.max())
-    looks = np.zeros((len(items), repeats, 2 * width), bool)
-    held = np.zeros((len(items), width + 1), np.uint64)
-    for i, own in enumerate(items):
-        held[i, : len(own)] = own
-        looks[i, :, : 2 * len(own)] = samples(len(own))[base : base + repeats]
-    padded = np.zeros((len(windows), width + 1), np.uint64)
-    padded[:, : windows.shape[1]] = windows
-    salt = mix((np.arange(repeats, dtype=np.uint64) + np.uint64(base + 1)))
-    equal = np.ones((len(windows), repeats), bool)
-    states = [(held, np.zeros((len(items), repeats), np.int64)), (padded, np.zeros((len(windows), repeats), np.int64))]
+    n = len(number)
+    padded = np.concatenate([number, np.full(STEPS, len(digest), number.dtype)])
+    value = np.append(digest, np.uint64(0))
+    bits = mix(value ^ _SALT[repeat])[padded]
+    value = value[padded]
+    at = np.arange(n)
+    out = np.zeros(n, np.uint64)
+    place = 0
     with np.errstate(over="ignore"):
-        for step in range(2 * width):
-            words = []
-            for place, (text, at) in enumerate(states):
-                word = np.take_along_axis(text, at, axis=1)
-                bit = ((word ^ salt) * _STEP[step]) >> np.uint64(63)
-                states[place] = text, np.minimum(at + bit.astype(np.int64), width)
-                words.append(word)
-            looked = looks[:, :, step]
-            if looked.any():
-                equal &= (words[1] == words[0][which]) | ~looked[which]
-    return equal
+        for step in range(int(_SAMPLED[repeat][-1]) + 1):
+            if step == _SAMPLED[repeat][place]:
+                out += value[at] * _FACTOR[repeat][place]
+                place += 1
+            at += ((bits[at] >> np.uint64(step)) & np.uint64(1)).astype(np.int64)
+    return mix(out)
+
+
+def pieces_of(n: int) -> list[int]:
+    """Where the pieces of an item of n words begin."""
+    m = max(1, n // MIN_WORDS)
+    return [i * n // m for i in range(m)]
 
 
 @dataclass
 class Model:
+    """A block of items, ready to be searched for."""
+
     ids: list
-    words: list[np.ndarray]
+    words: list[np.ndarray]  # numbers in the vocabulary
     edits: list[int]
-    q: int
-    seed: np.ndarray  # sorted seed hashes
-    item: np.ndarray  # of each seed
-    offset: np.ndarray
-    repeats: int
-
-
-def build(items: list[tuple], tolerance: float, target: float) -> Model | None:
-    """The searchable form of (item_id, text) rows."""
-    table = pa.table({"text": pa.array([t for _, t in items], pa.string())})
-    found = normal_words(table["text"]) if items else None
-    ids, words = [], []
-    for i, (item_id, _) in enumerate(items):
-        own = found.hash[found.first[i] : found.first[i + 1]]
-        if len(own) >= MIN_WORDS:
-            ids.append(item_id)
-            words.append(own)
-    if not words:
-        return None
-    edits = [int(tolerance * len(w)) for w in words]
-    q = min(len(w) // (k + 1) for w, k in zip(words, edits))
-    rows = []
-    for i, (w, k) in enumerate(zip(words, edits)):
-        for piece in range(k + 1):
-            at = piece * len(w) // (k + 1)
-            rows.append((int(window_hash(w[at : at + q], q)[0]), i, at))
-    rows.sort()
-    model = Model(ids, words, edits, q, np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), REPEATS)
-    model.repeats = _repeats_for(model, target)
-    return model
-
-
-def _repeats_for(model: Model, target: float) -> int:
+    vocabulary: pa.Array
+    tables: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # per repetition: filter, hashes, items, offsets
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # by length: hashes and items
+
+
+def _edited(words: np.ndarray, k: int, random: np.random.Generator, fresh: int) -> np.ndarray:
+    """The words with k random edits; new words are numbers from ``fresh`` on."""
+    out = words.tolist()
+    for i in range(k):
+        at, kind = int(random.integers(len(out))), random.integers(3)
+        if kind == 0:
+            out[at] = fresh + i
+        elif kind == 1 and len(out) > 1:
+            del out[at]
+        else:
+            out.insert(at, fresh + i)
+    return np.array(out, np.int64)
+
+
+def repeats_for(words: list[np.ndarray], edits: list[int], digest: np.ndarray, target: float) -> int:
     """Fewest repetitions that meet the target on items with as many random edits as are allowed."""
     random = np.random.default_rng(3)
-    chosen = random.choice(len(model.words), size=min(200, len(model.words)), replace=False)
-    items = [model.words[i] for i in chosen]
-    windows = np.zeros((len(items), max(map(len, items))), np.uint64)
-    for row, i in enumerate(chosen):
-        changed = list(model.words[i])
-        for _ in range(model.edits[i]):
-            at, kind = int(random.integers(len(changed))), random.integers(3)
-            if kind == 0:
-                changed[at] = np.uint64(random.integers(1 << 62))
-            elif kind == 1 and len(changed) > 1:
-                del changed[at]
-            else:
-                changed.insert(at, np.uint64(random.integers(1 << 62)))
-        own = (changed + [np.uint64(1)] * len(items[row]))[: len(items[row])]
-        windows[row, : len(own)] = own
-    equal = met(items, np.arange(len(items)), windows, REPEATS)
-    first = np.where(equal.any(axis=1), np.argmax(equal, axis=1), REPEATS - 1) + 1
-    return int(np.quantile(first, target, method="higher"))
+    chosen = random.choice(len(words), size=min(200, len(words)), replace=False)
+    tries = [(words[i], _edited(words[i], edits[i], random, len(digest))) for i in np.repeat(chosen, -(-200 // len(chosen)))]
+    more = np.concatenate([digest, mix(np.arange(1, max(edits) + 2, dtype=np.uint64))])
+    open_ = list(range(len(tries)))
+    for repeat in range(REPEATS):
+        still = []
+        for i in open_:
+            own, other = (embedded(more, x, repeat) for x in tries[i])
+            if not np.isin(own[pieces_of(len(own))], other).any():
+                still.append(i)
+        open_ = still
+        if len(open_) <= (1 - target) * len(tries):
+            return repeat + 1
+    raise ValueError(f"{REPEATS} repetitions do not reach a recall of {target}")
+
+
+def build(rows: pa.Table, tolerance: float, target: float) -> Model | None:
+    """The searchable form of rows (item_id, text)."""
+    found = normal_words(rows["text"])
+    names = rows["item_id"].to_pylist()
+    digest = np.zeros(len(found.distinct), np.uint64)
+    digest[found.ids] = found.hash
+    ids, words, edits = [], [], []
+    short: dict[int, list[tuple[int, int]]] = {}
+    for i, name in enumerate(names):
+        own = found.ids[found.first[i] : found.first[i + 1]]
+        if not len(own):
+            continue
+        if len(own) < MIN_WORDS:
+            value = window_hash(digest[own], len(own))[0]
+            short.setdefault(len(own), []).append((int(value), len(ids)))
+        ids.append(name)
+        words.append(own.astype(np.int64))
+        edits.append(int(tolerance * len(own)) if len(own) >= MIN_WORDS else 0)
+    if not ids:
+        return None
+    tables = []
+    long = [i for i, w in enumerate(words) if len(w) >= MIN_WORDS]
+    for repeat in range(repeats_for([words[i] for i in long], [edits[i] for i in long], digest, target) if long else 0):
+        hashes, items, offsets = [], [], []
+        for i in long:
+            at = pieces_of(len(words[i]))
+            hashes.append(embedded(digest, words[i], repeat)[at])
+            items.append(np.full(len(at), i))
+            offsets.append(at)
+        value, item, offset = (np.concatenate(x) for x in (hashes, items, offsets))
+        order = np.argsort(value)
+        some = np.zeros(1 << _FILTER_BITS, bool)
+        some[(value >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+        tables.append((np.packbits(some), value[order], item[order], offset[order]))
+    by_length = {}
+    for n, rows_ in short.items():
+        rows_.sort()
+        by_length[n] = np.array([r[0] for r in rows_], np.uint64), np.array([r[1] for r in rows_])
+    return Model(ids, words, edits, found.distinct, tables, by_length)
 
 
 def edit_distances(item: np.ndarray, regions: np.ndarray) -> np.ndarray:
-    """Least edits between the item and any stretch of each region (rows; 0 pads)."""
+    """Least edits between the item and any stretch of each region (rows; a number that is not in the item pads)."""
     rows, n = regions.shape
     step = np.arange(n + 1)
     last = np.zeros((rows, n + 1), np.int64)
@@ -167,80 +199,92 @@ def edit_distances(item: np.ndarray, regions: np.ndarray) -> np.ndarray:
     return last.min(axis=1)
 
 
+def _pairs(value: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and rows of a sorted table with equal hashes."""
+    lo, hi = np.searchsorted(hashes, value), np.searchsorted(hashes, value, side="right")
+    n = hi - lo
+    row = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+    return np.repeat(at, n), row
+
+
+def candidates(words: Words, number: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (document, item, place of the item's first word) that some table meets."""
+    digest = np.zeros(len(words.distinct), np.uint64)
+    digest[words.ids] = words.hash
+    out = [np.zeros((3, 0), np.int64)]
+    for repeat, (packed, hashes, items, offsets) in enumerate(model.tables):
+        some = np.unpackbits(packed).view(bool)
+        value = embedded(digest, words.ids, repeat)
+        hit = np.flatnonzero(some[(value >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
+        at, row = _pairs(value[hit], hit, hashes)
+        out.append(np.unique(np.stack([words.doc[at], items[row], at - offsets[row]]), axis=1))
+    for n, (hashes, items) in model.short.items():
+        value = window_hash(words.hash, n)
+        whole = np.flatnonzero(words.left(n)[: len(value)])
+        at, row = _pairs(value[whole], whole, hashes)
+        out.append(np.stack([words.doc[at], items[row], at]))
+    return tuple(np.unique(np.concatenate(out, axis=1), axis=1))
+
+
+def _region(words: Words, number: np.ndarray, doc: np.ndarray, begin: np.ndarray, n: int) -> np.ndarray:
+    """Word numbers from ``begin`` on, n in a row, -2 outside of the document."""
+    at = begin[:, None] + np.arange(n)
+    inside = (at >= words.first[doc][:, None]) & (at < words.first[doc + 1][:, None])
+    return np.where(inside, number[np.clip(at, 0, len(number) - 1)], -2)
+
+
 def matches(table: pa.Table, model: Model) -> dict[int, set[int]]:
     """Items found in each text of a piece of documents: row -> item places."""
     words = normal_words(table["text"])
-    value = window_hash(words.hash, model.q)
     out: dict[int, set[int]] = {}
-    if not len(value):
-        return out
-    unique = np.unique(model.seed)
-    place = np.minimum(np.searchsorted(unique, value), len(unique) - 1)
-    hit = np.flatnonzero((unique[place] == value) & words.left(model.q)[: len(value)])
-    if not len(hit):
+    if not len(words.doc):
         return out
-    lo, hi = np.searchsorted(model.seed, value[hit]), np.searchsorted(model.seed, value[hit], side="right")
-    at = np.repeat(hit, hi - lo)
-    which = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi)])
-    item, start = model.item[which], at - model.offset[which]
-    doc = words.doc[at]
-    seen = np.unique(np.stack([item, doc, start]), axis=1)
-    for cut in range(0, seen.shape[1], 2048):
-        item, doc, start = seen[:, cut : cut + 2048]
-        used, which = np.unique(item, return_inverse=True)
-        items = [model.words[i] for i in used]
-        sizes = np.array([len(w) for w in items])
-        windows = _region(words, doc, start, int(sizes.max()))
-        windows[np.arange(windows.shape[1]) >= sizes[which, None]] = 0
-        candidate = np.zeros(len(doc), bool)
-        for base in range(0, model.repeats, 8):
-            rest = np.flatnonzero(~candidate)
-            if len(rest):
-                candidate[rest] = met(items, which[rest], windows[rest], min(8, model.repeats - base), base).any(axis=1)
-        for i in np.unique(which[candidate]):
-            own, k = items[i], model.edits[used[i]]
-            chosen = np.flatnonzero(candidate & (which == i))
-            near = edit_distances(own, _region(words, doc[chosen], start[chosen] - k, len(own) + 2 * k)) <= k
-            for row in np.unique(doc[chosen[near]]):
-                out.setdefault(int(row), set()).add(int(used[i]))
+    known = pc.fill_null(pc.index_in(words.distinct, value_set=model.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    number = known[words.ids]
+    doc, item, start = candidates(words, number, model)
+    for i in np.unique(item):
+        own, k = model.words[i], model.edits[i]
+        chosen = np.flatnonzero(item == i)
+        width = len(own) + 2 * k
+        for cut in range(0, len(chosen), max(1, (1 << 20) // width)):
+            part = chosen[cut : cut + max(1, (1 << 20) // width)]
+            region = _region(words, number, doc[part], start[part] - k, width)
+            enough = np.flatnonzero(np.isin(region, own).sum(axis=1) >= len(own) - k)
+            near = part[enough[edit_distances(own, region[enough]) <= k]] if len(enough) else enough
+            for row in np.unique(doc[near]) if len(near) else ():
+                out.setdefault(int(row), set()).add(int(i))
     return out
 
 
-def _region(words, doc: np.ndarray, begin: np.ndarray, n: int) -> np.ndarray:
-    """Word hashes from ``begin`` on, n in a row, 0 outside of the document."""
-    at = begin[:, None] + np.arange(n)
-    inside = (at >= words.first[doc][:, None]) & (at < words.first[doc + 1][:, None])
-    return np.where(inside, words.hash[np.clip(at, 0, len(words.hash) - 1)], np.uint64(0))
-
-
-_FOUND = "doc_id bigint, hits bigint, item_ids array<bigint>"
-
-
-def find(docs: DataFrame, benchmark: DataFrame, tolerance: float = 0.2, target: float = 0.99) -> DataFrame:
-    """doc_id, contaminated, n_items and item_ids for every row of ``docs``."""
-    names = [c for c in docs.columns if c in ("doc_id", "text")]
-    docs = docs.select(*names)
-    total = benchmark.count()
-    passes = max(1, -(-total // ITEMS))
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("text"), F.lit(passes)).alias("p"))
-    parts = []
-    for p in range(passes):
-        rows = sorted(((r[0], r[1]) for r in items.where(F.col("p") == p).collect()), key=lambda r: (r[0] is None, r))
-        model = docs.sparkSession.sparkContext.broadcast(build(rows, tolerance, target))
-        parts.append(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_finder(model), _FOUND))
-    if passes > 1:
-        # Rows of equal ids come together here: one output row per id.
-        parts = [reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(F.sum("hits").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))]
-    return parts[0].select("doc_id", (F.col("hits") > 0).alias("contaminated"), F.col("hits").alias("n_items"), "item_ids")
+_FOUND = "doc_id bigint, text string, hits bigint, item_ids array<bigint>"
 
 
 def _finder(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = pickle.loads(model.value)
         for batch in batches:
             for table in blocks.pieces(pa.Table.from_batches([batch])):
-                found = matches(table, model.value) if model.value else {}
-                hits = [len(found.get(i, ())) for i in range(table.num_rows)]
-                ids = [sorted({model.value.ids[j] for j in found.get(i, ())} - {None}) for i in range(table.num_rows)]
-                yield pa.record_batch([table["doc_id"].combine_chunks(), pa.array(hits, pa.int64()), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "hits", "item_ids"])
+                found = matches(table, items) if items else {}
+                hits = [n + len(found.get(i, ())) for i, n in enumerate(table["hits"].to_pylist())]
+                ids = [sorted({*old, *(items.ids[j] for j in found.get(i, ()))} - {None}) for i, old in enumerate(table["item_ids"].to_pylist())]
+                columns = [table["doc_id"].combine_chunks(), table["text"].combine_chunks(), pa.array(hits, pa.int64()), pa.array(ids, pa.list_(pa.int64()))]
+                yield pa.record_batch(columns, ["doc_id", "text", "hits", "item_ids"])
 
     return run
+
+
+def find(docs: DataFrame, benchmark: DataFrame, tolerance: float = 0.2, target: float = 0.99) -> DataFrame:
+    """doc_id, contaminated, n_items and item_ids for every row of ``docs``."""
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
+    total, size = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    passes = max(1, -(-total // ITEMS), -(-(size or 0) // ITEM_BYTES))
+
+    def built(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("item_id", "ascending"), ("text", "ascending")])
+        return pa.table({"p": pa.array([key[0].as_py()], pa.int64()), "model": pa.array([pickle.dumps(build(rows, tolerance, target))], pa.binary())})
+
+    models = items.withColumn("p", F.pmod(F.xxhash64("text"), F.lit(passes)).cast("bigint")).groupBy("p").applyInArrow(built, "p bigint, model binary")
+    found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("bigint").alias("hits"), F.array().cast("array<bigint>").alias("item_ids"))
+    for row in models.orderBy("p").toLocalIterator():
+        found = found.mapInArrow(_finder(docs.sparkSession.sparkContext.broadcast(bytes(row["model"]))), _FOUND)
+    return found.select("doc_id", (F.col("hits") > 0).alias("contaminated"), F.col("hits").alias("n_items"), "item_ids")
