@@ -3,7 +3,6 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from tieout.llm import blocks, kneser_ney, perplexity, urls
@@ -70,11 +69,11 @@ class Plain:
 def test_model_equals_dictionaries(spark):
     rnd = random.Random(3)
     train, held = [prose(rnd, 30).encode() for _ in range(20)], [prose(rnd, 10).encode(), b"unseen \xc3\xa9 bytes", b""]
-    docs = spark.createDataFrame([(i, t.decode(), "en") for i, t in enumerate(train)], "doc_id bigint, text string, lang string")
+    docs = spark.createDataFrame([(i, t.decode(), "en") for i, t in enumerate(train)], "doc_id bigint, text string, model string")
     every = docs.selectExpr("cast(pmod(xxhash64(doc_id), 3) as int) as block", "doc_id")
-    levels = kneser_ney.tables(kneser_ney.count(blocks.pack(docs, ["doc_id", "lang", "text"], 3), every))
-    cuts = kneser_ney.discounts(levels).selectExpr("lang", "-rank as rank", "0L as key", "0L as n", "d1", "d2", "d3")
-    rows = levels.selectExpr("lang", "rank", "key", "n", "cast(null as double) as d1", "cast(null as double) as d2", "cast(null as double) as d3").unionByName(cuts).toArrow()
+    levels = kneser_ney.tables(kneser_ney.count(blocks.pack(docs, ["doc_id", "model", "text"], 3), every))
+    cuts = kneser_ney.discounts(levels).selectExpr("model", "-rank as rank", "0L as key", "0L as n", "d1", "d2", "d3")
+    rows = levels.selectExpr("model", "rank", "key", "n", "cast(null as double) as d1", "cast(null as double) as d2", "cast(null as double) as d3").unionByName(cuts).toArrow()
     model, plain = kneser_ney.models(rows)["en"], Plain(train, kneser_ney.ORDER)
     for t in (*held, train[0]):
         key, _ = kneser_ney.ngrams([t])
@@ -136,22 +135,41 @@ def test_scorers_bear_awkward_rows(spark, awkward, clashing):
     assert all(r["perplexity"] is None for r in perplexity.rules(awkward, labels.limit(0)).collect())
 
 
-def test_bounded_model_drops_rare_ngrams_only(spark, corpus):
+def test_verdicts_equal_models_and_quantiles_by_dictionaries(spark, corpus):
+    """Both halves of every language: perplexities, band and verdict of every document."""
     docs, labels = corpus
-    model = perplexity._model(blocks.pack(docs, ["doc_id", "lang", "text"], 4), perplexity.trusted_ids(labels), 4)
-    whole, small = perplexity.bounded_model(model), perplexity.bounded_model(model, 500)
-    upper = lambda t: t.filter(pa.compute.greater(t["rank"], 2)).num_rows
-    assert upper(small) <= 500 < upper(whole)
-    assert whole.num_rows - upper(whole) == small.num_rows - upper(small)
-
-
-def test_rules_score_by_the_whole_model(spark, corpus, monkeypatch):
-    docs, labels = corpus
-    bounded = perplexity.bounded_model
-    monkeypatch.setattr(perplexity, "bounded_model", lambda model, *_: bounded(model, 500))
-    whole = {r["doc_id"]: r["perplexity"] for r in perplexity.classify(docs, labels).collect()}
-    for r in perplexity.rules(docs, labels).collect():
-        assert r["perplexity"] == (None if whole[r["doc_id"]] is None else pytest.approx(whole[r["doc_id"]], rel=1e-6))
+    rows = {r["doc_id"]: r for r in docs.withColumn("half", perplexity.half_of()).collect()}
+    trusted = {r["doc_id"] for r in labels.collect() if r["quality"] == 1 and r["toxic"] == 0}
+    want = {}
+    for lang in ("en", "de"):
+        for half in "01":
+            model = Plain([rows[i]["text"].encode() for i in sorted(trusted) if rows[i]["lang"] == lang and rows[i]["half"] != half], kneser_ney.ORDER)
+            for i, r in rows.items():
+                if r["lang"] == lang and r["half"] == half and r["text"] and i % 7 == 0 or (i in trusted and r["lang"] == lang and r["half"] == half):
+                    t = r["text"].encode()
+                    s = b"\x02" * (kneser_ney.ORDER - 1) + t + b"\x03"
+                    want[i] = math.exp(-sum(math.log(model.p(s[j : j + kneser_ney.ORDER])) for j in range(len(t) + 1)) / (len(t) + 1))
+    ordered = {lang: sorted(want[i] for i in trusted if rows[i]["lang"] == lang) for lang in ("en", "de")}
+    ceiling = {lang: v[math.ceil(0.97 * len(v)) - 1] for lang, v in ordered.items()}
+    floor = {lang: v[max(0, math.ceil(0.02 * len(v)) - 1)] for lang, v in ordered.items()}
+    one = {r["doc_id"]: r for r in perplexity.classify(docs, labels, 0.97).collect()}
+    two = {r["doc_id"]: r for r in perplexity.rules(docs, labels, 0.02, 0.97).collect()}
+    for i, p in want.items():
+        lang = rows[i]["lang"]
+        assert one[i]["perplexity"] == pytest.approx(p, rel=1e-4) and two[i]["perplexity"] == pytest.approx(p, rel=1e-4)
+        assert one[i]["ceiling"] == pytest.approx(ceiling[lang], rel=1e-4) and two[i]["floor"] == pytest.approx(floor[lang], rel=1e-4)
+        if min(abs(p - ceiling[lang]), abs(p - floor[lang])) > 1e-3 * p:
+            assert one[i]["kept"] == (p <= ceiling[lang]) and two[i]["kept"] == (not two[i]["base_failed"] and floor[lang] <= p <= ceiling[lang])
+
+
+def test_bad_documents_are_told_apart_in_every_language(spark, sf):
+    """Held-out accuracy on the labelled rows of the fixture."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = perplexity.classify(spark.read.parquet(f"{sf}/documents.parquet"), labels).join(labels, "doc_id").collect()
+    for lang in {r["lang"] for r in rows}:
+        own = [r for r in rows if r["lang"] == lang]
+        good, bad = ([r["kept"] for r in own if (r["quality"] == 1 and r["toxic"] == 0) is x] for x in (True, False))
+        assert sum(good) >= 0.98 * len(good) and (len(bad) < 10 or sum(bad) < sum(good) / len(good) * len(bad)), lang
 
 
 URLS = ["http://a.net/x", "https://sub.EXAMPLE.net/en/1?q", "http://example.net/de", "http://x.org/fr/#t", "http://example.com/de/2", "http://net/", "http://anet/", "http://a.net", None, "no scheme", "x://y://z/net/", "http://user@h.org:80/fr/x"]

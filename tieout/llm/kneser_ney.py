@@ -7,7 +7,7 @@ are a mask and a shift.  Texts are padded with ``\\x02`` and closed by ``\\x03``
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -20,7 +20,7 @@ from tieout.llm.words import mix
 
 ORDER = 5
 UNITS = 257  # bytes and the end of text
-COUNTS = "lang string, key bigint, n bigint"
+COUNTS = "model string, key bigint, n bigint"
 
 
 def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -40,13 +40,13 @@ def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key[keep], begin
 
 
-def by_language(table: pa.Table) -> Iterator[tuple[str, np.ndarray, list[bytes]]]:
-    """The texts of a piece of documents by language (null: empty string), with their row numbers."""
-    langs = np.array([x or "" for x in table["lang"].to_pylist()], dtype=object)
+def by_model(table: pa.Table) -> Iterator[tuple[str, np.ndarray, list[bytes]]]:
+    """The texts of a piece of documents by the model that scores them, with their row numbers."""
+    names = np.array(table["model"].to_pylist(), dtype=object)
     texts = table["text"].cast(pa.binary()).to_pylist()
-    for lang in sorted(set(langs)):
-        rows = np.flatnonzero(langs == lang)
-        yield lang, rows, [texts[i] or b"" for i in rows]
+    for name in sorted(set(names)):
+        rows = np.flatnonzero(names == name)
+        yield name, rows, [texts[i] or b"" for i in rows]
 
 
 def summed(key: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -60,57 +60,61 @@ def summed(key: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np
     return key[start], total
 
 
-def count(packed: DataFrame, trusted: DataFrame) -> DataFrame:
-    """ORDER-gram counts by language over the packed documents whose id is in ``trusted`` (block, doc_id)."""
+def count(packed: DataFrame, trusted: DataFrame, trains: Callable[[str], str] = lambda model: model) -> DataFrame:
+    """ORDER-gram counts by model over the packed documents whose id is in ``trusted`` (block, doc_id).
+
+    A document that is scored by a model counts for the model ``trains(model)``.
+    """
 
     def run(block: int, payloads: list[bytes], replies: pa.Table) -> pa.Table:
         ids = set(replies["doc_id"].to_pylist())
         found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for table in blocks.documents(payloads) if ids else ():
             chosen = table.filter(pa.array([i in ids for i in table["doc_id"].to_pylist()]))
-            for lang, _, texts in by_language(chosen):
+            for scorer, _, texts in by_model(chosen):
+                model = trains(scorer)
                 key, n = summed(ngrams(texts)[0])
-                if lang in found:
-                    key, n = np.concatenate([found[lang][0], key]), np.concatenate([found[lang][1], n])
+                if model in found:
+                    key, n = np.concatenate([found[model][0], key]), np.concatenate([found[model][1], n])
                     key, n = summed(key, n)
-                found[lang] = key, n
+                found[model] = key, n
         return pa.table(
             {
-                "lang": pa.array([lang for lang, (key, _) in found.items() for _ in range(len(key))], pa.string()),
+                "model": pa.array([model for model, (key, _) in found.items() for _ in range(len(key))], pa.string()),
                 "key": pa.array(np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in found.values())]).astype(np.int64), pa.int64()),
                 "n": pa.array(np.concatenate([np.zeros(0, np.int64), *(n for _, n in found.values())]).astype(np.int64), pa.int64()),
             }
         )
 
-    return blocks.answer(packed, trusted, run, COUNTS).groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    return blocks.answer(packed, trusted, run, COUNTS).groupBy("model", "key").agg(F.sum("n").alias("n"))
 
 
 def tables(counts: DataFrame) -> DataFrame:
-    """(lang, rank, key, n) for every order: raw counts on top, below it the number of distinct left neighbours."""
-    levels = [counts.select("lang", F.lit(ORDER).alias("rank"), "key", "n")]
+    """(model, rank, key, n) for every order: raw counts on top, below it the number of distinct left neighbours."""
+    levels = [counts.select("model", F.lit(ORDER).alias("rank"), "key", "n")]
     for order in range(ORDER - 1, 0, -1):
         mask = F.lit((1 << (8 * order)) - 1)
         # The filter holds for every row; it keeps n in the plan, so that both uses of a level share one exchange.
-        lower = levels[-1].where("n > 0").groupBy("lang", F.col("key").bitwiseAND(mask).alias("key")).agg(F.count("*").alias("n"))
-        levels.append(lower.select("lang", F.lit(order).alias("rank"), "key", "n"))
+        lower = levels[-1].where("n > 0").groupBy("model", F.col("key").bitwiseAND(mask).alias("key")).agg(F.count("*").alias("n"))
+        levels.append(lower.select("model", F.lit(order).alias("rank"), "key", "n"))
     return reduce(DataFrame.unionByName, levels)
 
 
 def discounts(model: DataFrame) -> DataFrame:
-    """(lang, rank, d1, d2, d3): modified Kneser-Ney discounts from the counts of counts."""
+    """(model, rank, d1, d2, d3): modified Kneser-Ney discounts from the counts of counts."""
     times = [F.sum((F.col("n") == i).cast("double")).alias(f"t{i}") for i in (1, 2, 3, 4)]
     t1, t2, t3, t4 = (F.greatest(F.col(f"t{i}"), F.lit(0.5)) for i in (1, 2, 3, 4))
     y = t1 / (t1 + 2 * t2)
     held = lambda d, most: F.least(F.greatest(d, F.lit(0.1)), F.lit(most))
     return (
-        model.groupBy("lang", "rank")
+        model.groupBy("model", "rank")
         .agg(*times)
-        .select("lang", "rank", held(1 - 2 * y * t2 / t1, 0.95).alias("d1"), held(2 - 3 * y * t3 / t2, 1.9).alias("d2"), held(3 - 4 * y * t4 / t3, 2.9).alias("d3"))
+        .select("model", "rank", held(1 - 2 * y * t2 / t1, 0.95).alias("d1"), held(2 - 3 * y * t3 / t2, 1.9).alias("d2"), held(3 - 4 * y * t4 / t3, 2.9).alias("d3"))
     )
 
 
 class KneserNey:
-    """Log probabilities from the tables of one language (or from the part of them that a shard holds)."""
+    """Log probabilities from the tables of one model (or from the part of them that a shard holds)."""
 
     def __init__(self, levels: dict[int, tuple[np.ndarray, np.ndarray]], cuts: dict[int, tuple[float, float, float]]) -> None:
         self.seen: dict[int, tuple[blocks.Lookup, np.ndarray]] = {}
@@ -168,13 +172,13 @@ class KneserNey:
 
 
 def models(rows: pa.Table) -> dict[str, KneserNey]:
-    """By language, from rows (lang, rank, key, n, d1, d2, d3); rank -order holds the discounts of an order."""
+    """By name, from rows (model, rank, key, n, d1, d2, d3); rank -order holds the discounts of an order."""
     out = {}
-    langs = rows["lang"].to_numpy(zero_copy_only=False)
+    names = rows["model"].to_numpy(zero_copy_only=False)
     rank, key, n = (rows[c].to_numpy() for c in ("rank", "key", "n"))
     cuts = [rows[c].to_numpy(zero_copy_only=False) if c in rows.column_names else None for c in ("d1", "d2", "d3")]
-    for lang in set(langs):
-        own = langs == lang
+    for model in set(names):
+        own = names == model
         levels, held = {}, {}
         for order in range(1, ORDER + 1):
             at, cut = np.flatnonzero(own & (rank == order)), np.flatnonzero(own & (rank == -order))
@@ -182,5 +186,5 @@ def models(rows: pa.Table) -> dict[str, KneserNey]:
                 levels[order] = key[at].astype(np.uint64), n[at]
                 held[order] = tuple(c[cut[0]] for c in cuts)
         if levels:
-            out[lang] = KneserNey(levels, held)
+            out[model] = KneserNey(levels, held)
     return out

@@ -1,24 +1,25 @@
-"""Perplexity filters on a Kneser-Ney model of trusted text.
+"""Perplexity filters on Kneser-Ney models of trusted text.
 
-``classify``: the model stays sharded.  Blocks of documents send each shard the
+``classify``: the models stay sharded.  Blocks of documents send each shard the
 distinct n-grams they hold, the shard joins them with its counts and answers
-with log probabilities, and the blocks add them up per document.  The shard of
-an n-gram follows from its third and fourth byte, so that all contexts and
-suffixes of three bytes and more that it backs off to are in the same shard;
-the two lowest orders (at most 65,792 rows a language) are copied to each.
-
-``rules``: the same whole model, in the same shards, beside the base rules on
-words, symbols, lines and repeated windows.
-
-Both train on trusted documents outside a held-out tenth and take the upper
-quantile of each language from that tenth (the lower one from all of them).  The score is the mean loss per
-byte, drawn towards the language's mean by ``PRIOR`` bytes so that a short text
-is not judged on a few bytes.
-
-Defined results: a null language is the language ``''``; a language without
-trusted text has no model, its perplexity is null and it is not rejected by
-perplexity; a null or empty text has no perplexity and is rejected; rows with
-equal ids are judged one by one and share their label.
+with log probabilities in the same order, and the blocks add them up per document.
+The shard of an n-gram follows from its third and fourth byte, so that all contexts
+and suffixes of three bytes and more that it backs off to are in the same shard;
+the two lowest orders (at most 65,792 rows a model) are copied to each.
+
+``rules``: the same models, in the same shards, beside the base rules on words,
+symbols, lines and repeated windows.
+
+Each language has two models.  Documents are halved by a hash of their id; a half
+is scored by the model of the trusted documents of the other half.  So no text is
+scored by a model that has seen it, and the quantiles of a language rest on the
+perplexities of all its trusted documents.  The perplexity is per byte.
+
+Defined results: a null language is the language ``''``; a document whose language
+has no trusted text in the other half has no perplexity, and one whose language has
+no trusted perplexities no bounds: neither is rejected by perplexity; a null or
+empty text has no perplexity and is rejected; rows with equal ids are judged one by
+one and share their label.
 """
 
 from __future__ import annotations
@@ -28,109 +29,126 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tieout.llm import blocks, kneser_ney, runtime
 from tieout.llm.words import exact_groups, segment_any, window_hash, words_of
 
-FOLDS = 10
-PRIOR = 200
+QUANTILE = 0.99
 SALTS = 64
-MAX_NGRAMS = 4_000_000
-_REQUESTS = "shard int, block int, lang string, keys binary"
-_REPLIES = "block int, lang string, keys binary, scores binary"
+_REQUESTS = "shard int, block int, model string, keys binary"
+_REPLIES = "block int, shard int, model string, scores binary"
 _MASK2 = 0xFFFF
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    """(doc_id, fold) of documents that every label calls good and none calls toxic; fold 0 is held out."""
+    """Ids of documents that every label calls good and none calls toxic."""
     agreed = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
-    return agreed.where("q = 1 and t = 0").select("doc_id", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(FOLDS)).alias("fold"))
+    return agreed.where("q = 1 and t = 0").select("doc_id")
+
+
+def half_of(doc_id: str = "doc_id") -> Column:
+    return F.pmod(F.xxhash64(F.lit(5), doc_id), F.lit(2)).cast("string")
+
+
+def other_half(model: str) -> str:
+    """The model that the documents which ``model`` scores are trained into."""
+    return {"0": "1", "1": "0"}[model[0]] + model[1:]
 
 
 def _model(packed: DataFrame, trusted: DataFrame, n: int) -> DataFrame:
-    """(lang, rank, key, n, d1, d2, d3) of the folds that are trained on: the orders, and the discounts of each under rank -order."""
-    train = trusted.where("fold <> 0").select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block"), "doc_id")
-    levels = kneser_ney.tables(kneser_ney.count(packed, train))
-    cuts = kneser_ney.discounts(levels).select("lang", (-F.col("rank")).alias("rank"), F.lit(0).cast("bigint").alias("key"), F.lit(0).cast("bigint").alias("n"), "d1", "d2", "d3")
+    """(model, rank, key, n, d1, d2, d3): the orders, and the discounts of each under rank -order."""
+    train = trusted.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block"), "doc_id")
+    levels = kneser_ney.tables(kneser_ney.count(packed, train, other_half))
+    cuts = kneser_ney.discounts(levels).select("model", (-F.col("rank")).alias("rank"), F.lit(0).cast("bigint").alias("key"), F.lit(0).cast("bigint").alias("n"), "d1", "d2", "d3")
     none = F.lit(None).cast("double")
-    return levels.select("lang", "rank", "key", "n", none.alias("d1"), none.alias("d2"), none.alias("d3")).unionByName(cuts)
-
+    return levels.select("model", "rank", "key", "n", none.alias("d1"), none.alias("d2"), none.alias("d3")).unionByName(cuts)
 
 
 def _lower_orders(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    """One and two byte orders and the discounts of a language in one row (they are copied to every shard)."""
-    return pa.table([pa.array([key[0].as_py()], pa.string()), pa.array([blocks._ipc(rows)], pa.binary())], ["lang", "orders"])
+    """One and two byte orders and the discounts of a model in one row (they are copied to every shard)."""
+    return pa.table([pa.array([key[0].as_py()], pa.string()), pa.array([blocks._ipc(rows)], pa.binary())], ["model", "orders"])
 
 
 def _sharded(model: DataFrame, n: int) -> DataFrame:
-    """The model's rows by shard, the lower orders in each."""
+    """The models' rows by shard, the lower orders in each."""
     shard = F.pmod(F.pmod(F.shiftright("key", 8).bitwiseAND(_MASK2) * 40503, F.lit(65521)), F.lit(n)).cast("int")
-    upper = model.where("rank > 2").select(shard.alias("shard"), "lang", "rank", "key", "n", F.lit(None).cast("binary").alias("orders"))
-    lower = model.where("rank <= 2").groupBy("lang").applyInArrow(_lower_orders, "lang string, orders binary")
+    upper = model.where("rank > 2").select(shard.alias("shard"), "model", "rank", "key", "n", F.lit(None).cast("binary").alias("orders"))
+    lower = model.where("rank <= 2").groupBy("model").applyInArrow(_lower_orders, "model string, orders binary")
     null = {c: F.lit(None).cast(t) for c, t in (("rank", "int"), ("key", "bigint"), ("n", "bigint"))}
     copied = lower.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumns(null).select(*upper.columns)
     return upper.unionByName(copied)
 
 
+def _shard_of(key: np.ndarray, n: int) -> np.ndarray:
+    return (((key.astype(np.int64) >> 8) & _MASK2) * 40503 % 65521 % n).astype(np.int64)
+
+
+def _asked(payloads: list[bytes], n: int) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By model: the distinct n-grams of a block in the order of shard and key, the shards, and where each begins."""
+    found: dict[str, np.ndarray] = {}
+    for table in blocks.documents(payloads):
+        for name, _, texts in kneser_ney.by_model(table):
+            key, _ = kneser_ney.summed(kneser_ney.ngrams(texts)[0])
+            found[name] = kneser_ney.summed(np.concatenate([found.get(name, key[:0]), key]))[0]
+    out = {}
+    for name, key in found.items():
+        shard = _shard_of(key, n)
+        order = np.argsort(shard, kind="stable")
+        out[name] = key[order], *blocks.by_shard(shard[order], n)
+    return out
+
+
 def _requests(n: int):
     def run(block: int, payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, np.ndarray] = {}
-        for table in blocks.documents(payloads):
-            for lang, _, texts in kneser_ney.by_language(table):
-                key, _ = kneser_ney.summed(kneser_ney.ngrams(texts)[0])
-                found[lang] = kneser_ney.summed(np.concatenate([found.get(lang, key[:0]), key]))[0]
-        for lang, key in found.items():
-            shard = _shard_of(key, n)
-            order = np.lexsort((key, shard))
-            ids, edges = blocks.by_shard(shard[order], n)
-            parts = [blocks.encode_sorted(key[order[edges[s] : edges[s + 1]]]) for s in ids]
+        for name, (key, ids, edges) in _asked(payloads, n).items():
+            parts = [blocks.encode_sorted(key[edges[s] : edges[s + 1]]) for s in ids]
             yield pa.record_batch(
-                [pa.array(ids, pa.int32()), pa.array([block] * len(ids), pa.int32()), pa.array([lang] * len(ids), pa.string()), pa.array(parts, pa.binary())], ["shard", "block", "lang", "keys"]
+                [pa.array(ids, pa.int32()), pa.array([block] * len(ids), pa.int32()), pa.array([name] * len(ids), pa.string()), pa.array(parts, pa.binary())], ["shard", "block", "model", "keys"]
             )
 
     return run
 
 
-def _shard_of(key: np.ndarray, n: int) -> np.ndarray:
-    return (((key.astype(np.int64) >> 8) & _MASK2) * 40503 % 65521 % n).astype(np.int64)
-
-
 def _join(key: tuple[pa.Scalar, ...], asked: pa.Table, rows: pa.Table) -> pa.Table:
     lower = [blocks.unpack(p) for p in rows["orders"].to_pylist() if p]
-    rows = pa.concat_tables([rows.filter(pc.is_null(rows["orders"])).select(["lang", "rank", "key", "n"]), *lower], promote_options="default")
+    rows = pa.concat_tables([rows.filter(pc.is_null(rows["orders"])).select(["model", "rank", "key", "n"]), *lower], promote_options="default")
     models = kneser_ney.models(rows) if rows.num_rows else {}
     out = []
     for r in asked.to_pylist():
-        if r["lang"] in models:
+        if r["model"] in models:
             keys = blocks.decode_sorted(r["keys"], np.uint64)
-            out.append((r["block"], r["lang"], r["keys"], blocks.encode(models[r["lang"]].log_prob(keys).astype(np.float16))))
-    kinds = [pa.int32(), pa.string(), pa.binary(), pa.binary()]
-    return pa.table([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["block", "lang", "keys", "scores"])
+            out.append((r["block"], r["shard"], r["model"], blocks.encode(models[r["model"]].log_prob(keys))))
+    kinds = [pa.int32(), pa.int32(), pa.string(), pa.binary()]
+    return pa.table([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["block", "shard", "model", "scores"])
 
 
-def _sum_up(fields: str, measured: bool = False, carry: tuple[str, ...] = ()):
+def _sum_up(fields: str, n: int, measured: bool = False, carry: tuple[str, ...] = ()):
     """Rows of ``fields``: the loss of each text, its base measures where ``measured``, and what it carries."""
     names = [f.split()[0] for f in fields.split(", ")]
 
     def run(block: int, payloads: list[bytes], replies: pa.Table) -> pa.Table:
-        known: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        answers: dict[str, dict[int, bytes]] = {}
         for r in replies.to_pylist():
-            known.setdefault(r["lang"], []).append((blocks.decode_sorted(r["keys"], np.uint64), blocks.decode(r["scores"], np.float16)))
-        lookups = {lang: kneser_ney.KneserNey._held(np.concatenate([k for k, _ in parts]), np.concatenate([s for _, s in parts])) for lang, parts in known.items()}
+            answers.setdefault(r["model"], {})[r["shard"]] = r["scores"]
+        lookups = {}
+        for name, (key, ids, edges) in (_asked(payloads, n) if answers else {}).items():
+            if name in answers:
+                score = np.concatenate([blocks.decode(answers[name][int(s)], np.float32) for s in ids])
+                lookups[name] = kneser_ney.KneserNey._held(key, score)
         out = []
         for table in blocks.documents(payloads):
             loss = np.full(table.num_rows, np.nan)
             size = np.zeros(table.num_rows, np.int64)
-            for lang, rows, texts in kneser_ney.by_language(table):
-                key, begin = kneser_ney.ngrams(texts)
+            for name, rows, texts in kneser_ney.by_model(table):
                 size[rows] = [len(t) for t in texts]
-                if lang in lookups:
-                    lookup, value = lookups[lang]
+                if name in lookups:
+                    key, begin = kneser_ney.ngrams(texts)
+                    lookup, value = lookups[name]
                     at, _ = lookup.find(kneser_ney.mix(key))
                     loss[rows] = -np.add.reduceat(value[at].astype(np.float64), begin)
-            columns = {"doc_id": table["doc_id"], "lang": pa.array([x or "" for x in table["lang"].to_pylist()], pa.string()), "n_bytes": pa.array(size, pa.int64())}
+            columns = {"doc_id": table["doc_id"], "lang": pa.array([x[1:] for x in table["model"].to_pylist()], pa.string()), "n_bytes": pa.array(size, pa.int64())}
             columns |= {c: table[c] for c in carry}
             if measured:
                 columns |= {name: pa.array(value, pa.int64()) for name, value in text_stats(table).items()}
@@ -142,52 +160,34 @@ def _sum_up(fields: str, measured: bool = False, carry: tuple[str, ...] = ()):
 
 
 def _scored(docs: DataFrame, trusted: DataFrame, fields: str, measured: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """A row of ``fields`` for every document, with its loss under the sharded model."""
+    """A row of ``fields`` for every document, with its loss under the sharded model of the other half."""
     n = runtime.partitions(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), *carry)
-    packed = blocks.pack(docs, ["doc_id", "lang", "text", *carry], n)
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.concat(half_of(), F.coalesce(F.col("lang").cast("string"), F.lit(""))).alias("model"), F.col("text").cast("string").alias("text"), *carry)
+    packed = blocks.pack(docs, ["doc_id", "model", "text", *carry], n)
     model = _sharded(_model(packed, trusted, n), n)
     requests = blocks.per_block(packed, _requests(n), _REQUESTS)
     replies = requests.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(_join, _REPLIES)
-    return runtime.settled(blocks.answer(packed, replies, _sum_up(fields, measured, carry), fields))
+    return runtime.settled(blocks.answer(packed, replies, _sum_up(fields, n, measured, carry), fields))
 
 
 def _banded(scored: DataFrame, trusted: DataFrame, low: float, high: float) -> DataFrame:
-    """Adds score, perplexity, floor and ceiling: quantiles of each language's trusted scores."""
-    own = scored.where("loss is not null").join(trusted, "doc_id")
-    means = own.where("fold = 0").groupBy("lang").agg((F.sum("loss") / F.sum(F.col("n_bytes") + 1)).alias("mean"))
-
-    def beside(df: DataFrame, few: DataFrame) -> DataFrame:
-        # One language may hold most rows, so its one row is met in SALTS tasks.
-        copies = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        return df.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_bytes"), F.lit(SALTS)).cast("int")).join(copies, ["lang", "salt"], "left").drop("salt")
-
-    def score(df: DataFrame) -> DataFrame:
-        return beside(df, means).withColumn("score", (F.col("loss") + PRIOR * F.col("mean")) / (F.col("n_bytes") + 1 + PRIOR))
-
-    # Texts like the training text score lower than unseen ones, so the floor is taken over every trusted
-    # document and the ceiling over those held out.
-    unseen = F.when(F.col("fold") == 0, F.col("score"))
-    bands = score(own).groupBy("lang").agg(
-        F.percentile_approx("score", low, 100_000).alias("floor"),
-        F.percentile_approx(unseen, high, 100_000).alias("top"),
-        F.percentile_approx(unseen, 0.5, 100_000).alias("middle"),
-        F.count(unseen).alias("n_unseen"),
+    """Adds perplexity, floor and ceiling: quantiles of the perplexities of each language's trusted documents."""
+    scored = scored.withColumn("perplexity", F.exp(F.col("loss") / (F.col("n_bytes") + 1)))
+    bands = scored.where("perplexity is not null").join(trusted, "doc_id").groupBy("lang").agg(
+        F.percentile_approx("perplexity", low, 100_000).alias("floor"), F.percentile_approx("perplexity", high, 100_000).alias("ceiling")
     )
-    # Where too few texts are held out to have one beyond the quantile, the ceiling is raised by up to
-    # half of its distance to the median.
-    few = F.least(F.lit(1.0), 1 / (F.col("n_unseen") * (1 - high)))
-    bands = bands.select("lang", "floor", (F.col("top") + (F.col("top") - F.col("middle")) * few / 2).alias("ceiling"))
-    return beside(score(scored), bands).withColumn("perplexity", F.exp(F.col("loss") / (F.col("n_bytes") + 1)))
+    # One language may hold most rows, so its one row is met in SALTS tasks.
+    copies = bands.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return scored.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_bytes"), F.lit(SALTS)).cast("int")).join(copies, ["lang", "salt"], "left").drop("salt")
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang, n_bytes, perplexity, score, ceiling, kept for every document, and the bigint columns ``carry``."""
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang, n_bytes, perplexity, ceiling, kept for every document, and the bigint columns ``carry``."""
     trusted = trusted_ids(labels)
     scored = _scored(docs, trusted, ", ".join(["doc_id bigint, lang string, n_bytes bigint, loss double", *(f"{c} bigint" for c in carry)]), carry=carry)
     banded = _banded(scored, trusted, 0.0, quantile)
-    kept = (F.col("n_bytes") > 0) & (F.col("score").isNull() | F.col("ceiling").isNull() | (F.col("score") <= F.col("ceiling")))
-    return banded.select("doc_id", "lang", "n_bytes", "perplexity", "score", "ceiling", kept.alias("kept"), *carry)
+    kept = (F.col("n_bytes") > 0) & (F.col("perplexity").isNull() | F.col("ceiling").isNull() | (F.col("perplexity") <= F.col("ceiling")))
+    return banded.select("doc_id", "lang", "n_bytes", "perplexity", "ceiling", kept.alias("kept"), *carry)
 
 
 _SYMBOL = np.zeros(256, np.int64)
@@ -226,25 +226,13 @@ def text_stats(table: pa.Table) -> dict[str, np.ndarray]:
     return {"n_words": np.diff(first), "word_chars": np.diff(chars), "n_symbols": symbols[ends] - symbols[starts], "n_dup_lines": lines, "n_repeat_words": np.diff(repeated), "n_bytes": ends - starts - 1}
 
 
-def bounded_model(model: DataFrame, max_ngrams: int = MAX_NGRAMS) -> pa.Table:
-    """The model's rows on the driver: all of them, or those above the least count that brings them under the bound.
-
-    For tests on small tables only: no query bounds its model.
-    """
-    least = 1
-    sizes = model.where("rank > 2").groupBy(F.least("n", F.lit(1000)).alias("n")).count().collect()
-    while sum(r["count"] for r in sizes if r["n"] >= least) > max_ngrams:
-        least += 1
-    return model.where((F.col("rank") <= 2) | (F.col("n") >= least)).toArrow()
-
-
 _RULE_ROWS = "doc_id bigint, lang string, n_bytes bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, loss double"
 
 
-def rules(docs: DataFrame, labels: DataFrame, low: float = 0.001, high: float = 0.995) -> DataFrame:
+def rules(docs: DataFrame, labels: DataFrame, low: float = 0.001, high: float = QUANTILE) -> DataFrame:
     """The base measures, base_failed, perplexity, its band, and kept for every document."""
     trusted = trusted_ids(labels)
     banded = _banded(_scored(docs, trusted, _RULE_ROWS, measured=True), trusted, low, high)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    within = F.col("score").isNull() | F.col("ceiling").isNull() | F.col("score").between(F.col("floor"), F.col("ceiling"))
+    within = F.col("perplexity").isNull() | F.col("ceiling").isNull() | F.col("perplexity").between(F.col("floor"), F.col("ceiling"))
     return banded.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & within).alias("kept"), "lang", "perplexity", "floor", "ceiling")
