@@ -185,17 +185,75 @@ def test_hosts_paths_and_rules(spark):
     assert [g[2] for g in got[6:]] == [None] * 6 and got[8][:2] == got[9][:2] == ("", "") and got[10][:2] == ("y:", "//z/net/")
 
 
-def test_ratio_tells_spam_hosts_that_were_held_out(spark):
+def some_urls():
     rnd = random.Random(8)
     good = [f"http://{prose(rnd, 1)}{prose(rnd, 1)}.com/en/{i}" for i in range(600)]
     bad = [f"http://{rnd.choice(['casino', 'pills', 'bets'])}-{rnd.choice(['win', 'now', 'xx'])}{i % 9}.com/en/{i}" for i in range(150)]
-    df = spark.createDataFrame([(i, u) for i, u in enumerate(good + bad)] + [(9999, None)], "page_id bigint, url string")
+    return good + bad
+
+
+def test_ratio_tells_spam_hosts_that_were_held_out(spark):
+    df = spark.createDataFrame([*enumerate(some_urls()), (9999, None)], "page_id bigint, url string")
     rows = {r["page_id"]: r["verdict"] for r in urls.judge(df).collect()}
     assert len(rows) == 751 and rows[9999] == "allow"
     assert sum(rows[i] == "block" for i in range(600)) <= 15
     assert sum(rows[i] == "block" for i in range(600, 750)) >= 140
 
 
+class WittenBell:
+    def __init__(self, texts):
+        self.counts = {n: Counter() for n in range(1, 6)}
+        for t in texts:
+            s = b"\x02" * 4 + t + b"\x03"
+            for i in range(len(s) - 4):
+                for n in range(1, 6):
+                    self.counts[n][s[i : i + 5][-n:]] += 1
+        self.by = {n: defaultdict(list) for n in self.counts}
+        for n, c in self.counts.items():
+            for g, k in c.items():
+                self.by[n][g[:-1]].append(k)
+
+    def p(self, gram):
+        if not gram:
+            return 1 / kneser_ney.UNITS
+        own = self.by[len(gram)].get(gram[:-1])
+        if not own:
+            return self.p(gram[1:])
+        return (self.counts[len(gram)][gram] + len(own) * self.p(gram[1:])) / (sum(own) + len(own))
+
+    def log(self, text):
+        s = b"\x02" * 4 + text + b"\x03"
+        return sum(math.log(self.p(s[i : i + 5])) for i in range(len(text) + 1))
+
+
+def test_whole_result_equals_models_by_dictionaries(spark):
+    df = spark.createDataFrame([*enumerate(some_urls()), (None, "http://a.net/q"), (None, "http://a.net/q"), (3, None)], "page_id bigint, url string")
+    rows = urls.scored(df).collect()
+    train = lambda kind: [r["text"].encode() for r in rows if r["kind"] == kind and r["fold"] != 0]
+    block, allow = WittenBell(train("block")), WittenBell(train("allow"))
+    ratio = {r["text"]: (block.log(r["text"].encode()) - allow.log(r["text"].encode())) / (len(r["text"]) + 1) for r in rows}
+    assert all(r["ratio"] == pytest.approx(ratio[r["text"]], abs=1e-4) for r in rows)
+    held = sorted(ratio[r["text"]] for r in rows if r["kind"] == "allow" and r["fold"] == 0)
+    threshold = max(0.0, held[math.ceil(0.95 * len(held)) - 1])
+    got = urls.judge(df, quantile=0.95).collect()
+    assert len(got) == len(rows) and got[0]["threshold"] == pytest.approx(threshold, abs=1e-4)
+    for r in got:
+        want = "block" if r["rule"] == "net/" or (r["host"] and r["ratio"] > r["threshold"]) else "allow"
+        assert r["verdict"] == want
+    labels = spark.createDataFrame([(f"http://{c * (3 + i % 3)}{i}.com/", kind) for i in range(40) for c, kind in (("a", "block"), ("z", "allow"))], "url string, kind string")
+    own = {r["host"]: r["ratio"] for r in urls.judge(spark.createDataFrame([(1, "http://aaaa.com/"), (2, "http://zzzz.com/")], "page_id bigint, url string"), labelled=labels).collect()}
+    assert own["aaaa.com"] > 0 > own["zzzz.com"]
+
+
+def test_urls_bear_awkward_rows(spark):
+    rows = [(1, "http://a.com/" + "x" * 100_000, "h"), (None, None, None), (2, "", ""), (2, "", ""), (3, "http://casino.com/", "h"), (4, "://", "h")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    clash = df.selectExpr("*", *(f"'x' as {c}" for c in ("host", "path", "rule", "ruled", "text", "kind", "fold", "model", "ratio", "verdict", "threshold", "_block")))
+    for frame in (df, clash):
+        got = urls.judge(frame).collect()
+        assert sorted((r["page_id"] or 0) for r in got) == [0, 1, 2, 2, 3, 4] and all(r["verdict"] in ("allow", "block") for r in got)
+
+
 def test_ratio_equals_plain_witten_bell(spark):
     texts = [b"abab", b"abba", b"b"]
     counts = {n: Counter() for n in range(1, 6)}

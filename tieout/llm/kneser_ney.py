@@ -171,20 +171,20 @@ class KneserNey:
         return self._at(ORDER, key)
 
 
-def models(rows: pa.Table) -> dict[str, KneserNey]:
-    """By name, from rows (model, rank, key, n, d1, d2, d3); rank -order holds the discounts of an order."""
+def models(rows: pa.Table, kind: type[KneserNey] = KneserNey) -> dict[str, KneserNey]:
+    """By name, from rows (model, rank, key, n) and, under rank -order, the discounts d1, d2, d3 of an order (if there are any)."""
     out = {}
     names = rows["model"].to_numpy(zero_copy_only=False)
     rank, key, n = (rows[c].to_numpy() for c in ("rank", "key", "n"))
-    cuts = [rows[c].to_numpy(zero_copy_only=False) if c in rows.column_names else None for c in ("d1", "d2", "d3")]
+    cuts = [rows[c].to_numpy(zero_copy_only=False) for c in ("d1", "d2", "d3") if c in rows.column_names]
     for model in set(names):
         own = names == model
         levels, held = {}, {}
         for order in range(1, ORDER + 1):
             at, cut = np.flatnonzero(own & (rank == order)), np.flatnonzero(own & (rank == -order))
-            if len(at) and len(cut):
+            if len(at) and (len(cut) or not cuts):
                 levels[order] = key[at].astype(np.uint64), n[at]
                 held[order] = tuple(c[cut[0]] for c in cuts)
         if levels:
-            out[model] = KneserNey(levels, held)
+            out[model] = kind(levels, held)
     return out

@@ -37,8 +37,8 @@ from tieout.llm.words import exact_groups, segment_any, window_hash, words_of
 
 QUANTILE = 0.99
 SALTS = 64
-_REQUESTS = "shard int, block int, model string, keys binary"
-_REPLIES = "block int, shard int, model string, scores binary"
+REQUESTS = "shard int, block int, model string, keys binary"
+REPLIES = "block int, shard int, model string, scores binary"
 _MASK2 = 0xFFFF
 
 
@@ -71,7 +71,7 @@ def _lower_orders(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     return pa.table([pa.array([key[0].as_py()], pa.string()), pa.array([blocks._ipc(rows)], pa.binary())], ["model", "orders"])
 
 
-def _sharded(model: DataFrame, n: int) -> DataFrame:
+def sharded(model: DataFrame, n: int) -> DataFrame:
     """The models' rows by shard, the lower orders in each."""
     shard = F.pmod(F.pmod(F.shiftright("key", 8).bitwiseAND(_MASK2) * 40503, F.lit(65521)), F.lit(n)).cast("int")
     upper = model.where("rank > 2").select(shard.alias("shard"), "model", "rank", "key", "n", F.lit(None).cast("binary").alias("orders"))
@@ -85,7 +85,7 @@ def _shard_of(key: np.ndarray, n: int) -> np.ndarray:
     return (((key.astype(np.int64) >> 8) & _MASK2) * 40503 % 65521 % n).astype(np.int64)
 
 
-def _asked(payloads: list[bytes], n: int) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def asked_of(payloads: list[bytes], n: int) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """By model: the distinct n-grams of a block in the order of shard and key, the shards, and where each begins."""
     found: dict[str, np.ndarray] = {}
     for table in blocks.documents(payloads):
@@ -100,9 +100,11 @@ def _asked(payloads: list[bytes], n: int) -> dict[str, tuple[np.ndarray, np.ndar
     return out
 
 
-def _requests(n: int):
+def requests_of(n: int):
+    """Rows of REQUESTS: the distinct n-grams of a block, for each shard."""
+
     def run(block: int, payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
-        for name, (key, ids, edges) in _asked(payloads, n).items():
+        for name, (key, ids, edges) in asked_of(payloads, n).items():
             parts = [blocks.encode_sorted(key[edges[s] : edges[s + 1]]) for s in ids]
             yield pa.record_batch(
                 [pa.array(ids, pa.int32()), pa.array([block] * len(ids), pa.int32()), pa.array([name] * len(ids), pa.string()), pa.array(parts, pa.binary())], ["shard", "block", "model", "keys"]
@@ -111,9 +113,14 @@ def _requests(n: int):
     return run
 
 
-def _join(key: tuple[pa.Scalar, ...], asked: pa.Table, rows: pa.Table) -> pa.Table:
+def shard_rows(rows: pa.Table) -> pa.Table:
+    """The model rows of a shard, with the lower orders that were copied to it."""
     lower = [blocks.unpack(p) for p in rows["orders"].to_pylist() if p]
-    rows = pa.concat_tables([rows.filter(pc.is_null(rows["orders"])).select(["model", "rank", "key", "n"]), *lower], promote_options="default")
+    return pa.concat_tables([rows.filter(pc.is_null(rows["orders"])).select(["model", "rank", "key", "n"]), *lower], promote_options="default")
+
+
+def _join(key: tuple[pa.Scalar, ...], asked: pa.Table, rows: pa.Table) -> pa.Table:
+    rows = shard_rows(rows)
     models = kneser_ney.models(rows) if rows.num_rows else {}
     out = []
     for r in asked.to_pylist():
@@ -124,19 +131,32 @@ def _join(key: tuple[pa.Scalar, ...], asked: pa.Table, rows: pa.Table) -> pa.Tab
     return pa.table([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["block", "shard", "model", "scores"])
 
 
+def answered(payloads: list[bytes], replies: pa.Table, n: int) -> dict[str, tuple[blocks.Lookup, np.ndarray]]:
+    """By model: the n-grams of a block and what the shards answered for each."""
+    answers: dict[str, dict[int, bytes]] = {}
+    for r in replies.to_pylist():
+        answers.setdefault(r["model"], {})[r["shard"]] = r["scores"]
+    out = {}
+    for name, (key, ids, edges) in (asked_of(payloads, n) if answers else {}).items():
+        if name in answers:
+            score = np.concatenate([blocks.decode(answers[name][int(s)], np.float32) for s in ids])
+            out[name] = kneser_ney.KneserNey._held(key, score)
+    return out
+
+
+def summed_up(texts: list[bytes], lookup: blocks.Lookup, value: np.ndarray) -> np.ndarray:
+    """The sum of each text's n-gram values."""
+    key, begin = kneser_ney.ngrams(texts)
+    at, _ = lookup.find(kneser_ney.mix(key))
+    return np.add.reduceat(value[at].astype(np.float64), begin)
+
+
 def _sum_up(fields: str, n: int, measured: bool = False, carry: tuple[str, ...] = ()):
     """Rows of ``fields``: the loss of each text, its base measures where ``measured``, and what it carries."""
     names = [f.split()[0] for f in fields.split(", ")]
 
     def run(block: int, payloads: list[bytes], replies: pa.Table) -> pa.Table:
-        answers: dict[str, dict[int, bytes]] = {}
-        for r in replies.to_pylist():
-            answers.setdefault(r["model"], {})[r["shard"]] = r["scores"]
-        lookups = {}
-        for name, (key, ids, edges) in (_asked(payloads, n) if answers else {}).items():
-            if name in answers:
-                score = np.concatenate([blocks.decode(answers[name][int(s)], np.float32) for s in ids])
-                lookups[name] = kneser_ney.KneserNey._held(key, score)
+        lookups = answered(payloads, replies, n)
         out = []
         for table in blocks.documents(payloads):
             loss = np.full(table.num_rows, np.nan)
@@ -144,10 +164,7 @@ def _sum_up(fields: str, n: int, measured: bool = False, carry: tuple[str, ...]
             for name, rows, texts in kneser_ney.by_model(table):
                 size[rows] = [len(t) for t in texts]
                 if name in lookups:
-                    key, begin = kneser_ney.ngrams(texts)
-                    lookup, value = lookups[name]
-                    at, _ = lookup.find(kneser_ney.mix(key))
-                    loss[rows] = -np.add.reduceat(value[at].astype(np.float64), begin)
+                    loss[rows] = -summed_up(texts, *lookups[name])
             columns = {"doc_id": table["doc_id"], "lang": pa.array([x[1:] for x in table["model"].to_pylist()], pa.string()), "n_bytes": pa.array(size, pa.int64())}
             columns |= {c: table[c] for c in carry}
             if measured:
@@ -164,9 +181,9 @@ def _scored(docs: DataFrame, trusted: DataFrame, fields: str, measured: bool = F
     n = runtime.partitions(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.concat(half_of(), F.coalesce(F.col("lang").cast("string"), F.lit(""))).alias("model"), F.col("text").cast("string").alias("text"), *carry)
     packed = blocks.pack(docs, ["doc_id", "model", "text", *carry], n)
-    model = _sharded(_model(packed, trusted, n), n)
-    requests = blocks.per_block(packed, _requests(n), _REQUESTS)
-    replies = requests.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(_join, _REPLIES)
+    model = sharded(_model(packed, trusted, n), n)
+    requests = blocks.per_block(packed, requests_of(n), REQUESTS)
+    replies = requests.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(_join, REPLIES)
     return runtime.settled(blocks.answer(packed, replies, _sum_up(fields, n, measured, carry), fields))
 
 

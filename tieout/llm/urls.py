@@ -1,21 +1,25 @@
 """URL filter: host and path rules, and a character language-model ratio for the rest.
 
 Two variable-order Markov models over the bytes of ``host || path`` (digits as
-``0``) are trained on URLs that are known to be accepted and to be rejected.  A
-model keeps a context of up to four bytes if it was seen ``MIN_CONTEXT`` times
-and is among the ``MAX_CONTEXTS`` most frequent ones, so what tasks hold is
-bounded; a byte is predicted from the longest kept context, smoothed into the
-shorter ones (Witten-Bell).  The score is the difference of log likelihoods per
-byte.  A URL is blocked above a threshold taken from held-out accepted URLs:
-``quantile`` of them stay below it, and so does 0.
-
-Training URLs: rejected are those whose host holds one of ``SEED_TERMS`` (words of
-public block lists), accepted are the others that no rule blocks; a rule on a
-top-level domain says nothing about what its URLs look like.  Without any of
-either kind there is no model, and URLs without a rule are allowed.
+``0``) are trained on URLs that are known to be accepted and to be rejected.  A byte
+is predicted from the longest context of up to four bytes that its model has seen,
+smoothed into the shorter ones (Witten-Bell).  The score is the difference of log
+likelihoods per byte.  A URL is blocked above a threshold taken from held-out
+accepted URLs: ``quantile`` of them stay below it, and so does 0.
+
+The models are whole and stay sharded, as in ``perplexity``: blocks of URLs ask the
+shards about their distinct n-grams and get the difference of both models' log
+probabilities, so nothing of the corpus reaches the driver but the threshold.
+
+Training URLs are given as a table (url, kind), or else told by the rules and a
+block list: rejected are those whose host holds one of ``BLOCK_WORDS``, accepted the
+others that no rule blocks.  (A rule on a top-level domain says nothing about what
+its URLs look like, so URLs that only a rule blocks are not trained on.)  Without
+any of either kind there is no ratio, and URLs without a rule are allowed.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path,
-fits no rule and is allowed; every input row has one output row.
+fits no rule and is allowed; null page ids and repeated rows are judged like any
+other; a URL of any length is scored whole; every input row has one output row.
 """
 
 from __future__ import annotations
@@ -28,14 +32,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tieout.llm import kneser_ney, runtime
+from tieout.llm import blocks, kneser_ney, perplexity, runtime
 
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Words of hosts that are rejected for training.
-SEED_TERMS = ("casino", "bets", "pills", "spam", "ads-")
-MIN_CONTEXT = 8
-MAX_CONTEXTS = 50_000
+#: Words of hosts that are rejected for training (usual on public lists of spam, gambling, adult and pharmacy hosts).
+BLOCK_WORDS = (
+    "ads-", "adult", "bets", "betting", "bingo", "casino", "cheap-", "cialis", "clickbait", "crack", "dating", "escort", "forex", "gambl", "hookup",
+    "jackpot", "keygen", "loans", "lottery", "payday", "pharma", "pills", "poker", "porn", "replica", "sex", "slots", "spam", "torrent", "viagra", "warez", "xxx",
+)
 FOLDS = 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL_PATTERN = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -60,7 +65,7 @@ def decided(urls: DataFrame, rules=RULES) -> DataFrame:
 
 
 class Markov(kneser_ney.KneserNey):
-    """Variable-order model: contexts that were not kept simply are not there to back off from."""
+    """Variable-order model from the counts of every order, with Witten-Bell smoothing."""
 
     @staticmethod
     def _smoothed(n, start, per, cuts):
@@ -73,7 +78,7 @@ def _text() -> Column:
 
 
 def counts(labelled: DataFrame) -> DataFrame:
-    """(kind, rank, key, n): n-grams of one to five bytes of the labelled texts (text, kind)."""
+    """(model, rank, key, n): n-grams of one to five bytes of the labelled texts (text, kind)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,69 +88,67 @@ def counts(labelled: DataFrame) -> DataFrame:
                 top, _ = kneser_ney.ngrams(texts)
                 for order in range(1, kneser_ney.ORDER + 1):
                     key, n = kneser_ney.summed(top & np.uint64((1 << (8 * order)) - 1))
-                    yield pa.record_batch([pa.array([kind] * len(key)), pa.array([order] * len(key), pa.int32()), pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], ["kind", "rank", "key", "n"])
+                    yield pa.record_batch([pa.array([kind] * len(key), pa.string()), pa.array([order] * len(key), pa.int32()), pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], ["model", "rank", "key", "n"])
 
-    return labelled.mapInArrow(run, "kind string, rank int, key bigint, n bigint").groupBy("kind", "rank", "key").agg(F.sum("n").alias("n"))
+    return labelled.mapInArrow(run, "model string, rank int, key bigint, n bigint").groupBy("model", "rank", "key").agg(F.sum("n").alias("n"))
 
 
-def kept_contexts(grams: DataFrame, min_context: int = MIN_CONTEXT, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
-    """The n-grams of the contexts that stay in the model."""
-    grams = grams.withColumn("context", F.shiftright("key", 8))
-    totals = grams.groupBy("kind", "rank", "context").agg(F.sum("n").alias("seen"))
-    longer = totals.where((F.col("rank") > 1) & (F.col("seen") >= min_context)).orderBy(F.desc("seen"), "kind", "rank", "context").limit(2 * max_contexts)
-    kept = longer.unionByName(totals.where("rank = 1"))
-    return grams.join(kept.drop("seen"), ["kind", "rank", "context"], "left_semi").drop("context")
+def _differences(key: tuple[pa.Scalar, ...], asked: pa.Table, rows: pa.Table) -> pa.Table:
+    """For the n-grams that blocks ask a shard about: log probability if rejected less that if accepted."""
+    models = kneser_ney.models(perplexity.shard_rows(rows), Markov) if rows.num_rows else {}
+    out = []
+    if {"allow", "block"} <= set(models):
+        for r in asked.to_pylist():
+            keys = blocks.decode_sorted(r["keys"], np.uint64)
+            out.append((r["block"], r["shard"], r["model"], blocks.encode(models["block"].log_prob(keys) - models["allow"].log_prob(keys))))
+    kinds = [pa.int32(), pa.int32(), pa.string(), pa.binary()]
+    return pa.table([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["block", "shard", "model", "scores"])
 
 
-def train(labelled: DataFrame) -> dict[str, Markov]:
-    rows = kept_contexts(counts(labelled)).toArrow()
-    kinds = np.array(rows["kind"].to_pylist(), dtype=object)
-    rank, key, n = (rows[c].to_numpy() for c in ("rank", "key", "n"))
-    out = {}
-    for kind in set(kinds):
-        levels = {}
-        for order in range(1, kneser_ney.ORDER + 1):
-            at = np.flatnonzero((kinds == kind) & (rank == order))
-            if len(at):
-                levels[order] = key[at].astype(np.uint64), n[at]
-        out[kind] = Markov(levels, {})
-    return out
+_COLUMNS = ["url", "page_id", "host", "path", "rule", "ruled", "text", "kind", "fold", "model"]
 
 
-def ratios(texts: list[bytes], models: dict[str, Markov]) -> np.ndarray:
-    """Log likelihood under the rejected model less that under the accepted one, per byte."""
-    key, begin = kneser_ney.ngrams(texts)
-    sizes = np.array([len(t) + 1 for t in texts])
-    difference = models["block"].log_prob(key).astype(np.float64) - models["allow"].log_prob(key)
-    return np.add.reduceat(difference, begin) / sizes if len(texts) else np.zeros(0)
+def _ratios(n: int):
+    def run(block: int, payloads: list[bytes], replies: pa.Table) -> pa.Table:
+        lookups = perplexity.answered(payloads, replies, n)
+        out = []
+        for table in blocks.documents(payloads):
+            ratio = np.full(table.num_rows, np.nan)
+            for name, rows, texts in kneser_ney.by_model(table):
+                if name in lookups:
+                    ratio[rows] = perplexity.summed_up(texts, *lookups[name]) / np.array([len(t) + 1 for t in texts])
+            out.append(table.drop_columns(["url", "model"]).append_column("ratio", pa.array(ratio, pa.float64(), mask=np.isnan(ratio))))
+        return pa.concat_tables(out)
 
-
-def known_kind(terms=SEED_TERMS) -> Column:
-    """block, allow, or null for URLs that are not trained on."""
-    seeded = F.lit(False)
-    for term in terms:
-        seeded = seeded | F.col("host").contains(term)
-    return F.when(F.col("text") == "", None).when(F.col("ruled") == "allow", "allow").when(seeded, "block").when(F.col("ruled").isNull(), "allow")
+    return run
 
 
-def judge(pages: DataFrame, rules=RULES, terms=SEED_TERMS, quantile: float = 0.99) -> DataFrame:
+def known_kind(words=BLOCK_WORDS) -> Column:
+    """block, allow, or null for URLs that are not trained on."""
+    listed = F.lit(False)
+    for word in words:
+        listed = listed | F.col("host").contains(word)
+    return F.when(F.col("text") == "", None).when(F.col("ruled") == "allow", "allow").when(listed, "block").when(F.col("ruled").isNull(), "allow")
+
+
+def scored(pages: DataFrame, rules=RULES, words=BLOCK_WORDS, labelled: DataFrame | None = None) -> DataFrame:
+    """page_id, host, path, rule, ruled, text, kind, fold and ratio for every row of ``pages``."""
+    n = runtime.partitions(pages.sparkSession)
+    fold = F.pmod(F.xxhash64(F.lit(1), "url"), F.lit(FOLDS)).cast("int")
+    own = lambda df: decided(df, rules).withColumn("text", _text()).withColumn("fold", fold)
+    urls = own(pages.select("page_id", F.col("url").cast("string").alias("url"))).withColumn("kind", known_kind(words)).withColumn("model", F.lit("url"))
+    known = own(labelled.select(F.col("url").cast("string").alias("url"), F.col("kind").cast("string").alias("kind"))) if labelled is not None else urls
+    model = perplexity.sharded(counts(known.where("kind in ('allow', 'block') and fold <> 0").select("text", "kind")), n)
+    packed = blocks.pack(urls, _COLUMNS, n)
+    asked = blocks.per_block(packed, perplexity.requests_of(n), perplexity.REQUESTS)
+    replies = asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(_differences, perplexity.REPLIES)
+    shape = urls.select(*_COLUMNS[1:-1], F.lit(None).cast("double").alias("ratio")).schema
+    return runtime.settled(blocks.answer(packed, replies, _ratios(n), shape))
+
+
+def judge(pages: DataFrame, rules=RULES, words=BLOCK_WORDS, quantile: float = 0.99, labelled: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, ratio, threshold for every row of ``pages``."""
-    urls = decided(pages.select("page_id", F.col("url").cast("string").alias("url")), rules).withColumn("text", _text())
-    urls = urls.withColumn("kind", known_kind(terms)).withColumn("fold", F.pmod(F.xxhash64(F.lit(1), "url"), F.lit(FOLDS)))
-    known = urls.where(F.col("kind").isNotNull())
-    models = train(known.where("fold <> 0").select("text", "kind"))
-    if not {"allow", "block"} <= set(models):
-        return urls.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("ratio"), F.lit(None).cast("double").alias("threshold"))
-    held = urls.sparkSession.sparkContext.broadcast(models)
-    names = ["page_id", "host", "path", "rule", "ruled", "text", "kind", "fold"]
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            value = ratios([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()], held.value)
-            yield pa.record_batch([*(batch.column(c) for c in names), pa.array(value, pa.float64())], [*names, "ratio"])
-
-    frame = urls.select(*names)
-    out = runtime.settled(frame.mapInArrow(scored, frame.withColumn("ratio", F.lit(0.0)).schema))
+    out = scored(pages, rules, words, labelled)
     accepted = out.where("kind = 'allow' and fold = 0").agg(F.percentile_approx("ratio", quantile, 100_000)).first()[0]
     threshold = max(0.0, accepted or 0.0)
     verdict = F.coalesce("ruled", F.when((F.col("text") != "") & (F.col("ratio") > threshold), "block").otherwise("allow"))
