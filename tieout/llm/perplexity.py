@@ -24,7 +24,7 @@ one and share their label.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +37,8 @@ from tieout.llm.words import exact_groups, segment_any, window_hash, words_of
 
 QUANTILE = 0.99
 SALTS = 64
-REQUESTS = "shard int, block int, model string, keys binary"
-REPLIES = "block int, shard int, model string, scores binary"
+REQUESTS = "shard int, block int, models array<string>, keys array<binary>"
+REPLIES = "block int, shard int, models array<string>, scores array<binary>"
 _MASK2 = 0xFFFF
 
 
@@ -101,14 +101,19 @@ def asked_of(payloads: list[bytes], n: int) -> dict[str, tuple[np.ndarray, np.nd
 
 
 def requests_of(n: int):
-    """Rows of REQUESTS: the distinct n-grams of a block, for each shard."""
+    """Rows of REQUESTS: the distinct n-grams of a block by model, in one row for each shard."""
 
     def run(block: int, payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
+        rows: dict[int, list[tuple[str, bytes]]] = {}
         for name, (key, ids, edges) in asked_of(payloads, n).items():
-            parts = [blocks.encode_sorted(key[edges[s] : edges[s + 1]]) for s in ids]
-            yield pa.record_batch(
-                [pa.array(ids, pa.int32()), pa.array([block] * len(ids), pa.int32()), pa.array([name] * len(ids), pa.string()), pa.array(parts, pa.binary())], ["shard", "block", "model", "keys"]
-            )
+            for s in ids.tolist():
+                rows.setdefault(s, []).append((name, blocks.encode_sorted(key[edges[s] : edges[s + 1]])))
+        ordered = sorted(rows.items())
+        names, keys = ([[r[i] for r in own] for _, own in ordered] for i in (0, 1))
+        yield pa.record_batch(
+            [pa.array([s for s, _ in ordered], pa.int32()), pa.array([block] * len(ordered), pa.int32()), pa.array(names, pa.list_(pa.string())), pa.array(keys, pa.list_(pa.binary()))],
+            ["shard", "block", "models", "keys"],
+        )
 
     return run
 
@@ -119,23 +124,29 @@ def shard_rows(rows: pa.Table) -> pa.Table:
     return pa.concat_tables([rows.filter(pc.is_null(rows["orders"])).select(["model", "rank", "key", "n"]), *lower], promote_options="default")
 
 
-def _join(key: tuple[pa.Scalar, ...], asked: pa.Table, rows: pa.Table) -> pa.Table:
-    rows = shard_rows(rows)
-    models = kneser_ney.models(rows) if rows.num_rows else {}
+def replied(asked: pa.Table, score: Callable[[str, np.ndarray], np.ndarray | None]) -> pa.Table:
+    """Rows of REPLIES: ``score(model, n-grams)`` for what each block asks, in its order (None: no answer)."""
     out = []
     for r in asked.to_pylist():
-        if r["model"] in models:
-            keys = blocks.decode_sorted(r["keys"], np.uint64)
-            out.append((r["block"], r["shard"], r["model"], blocks.encode(models[r["model"]].log_prob(keys))))
-    kinds = [pa.int32(), pa.int32(), pa.string(), pa.binary()]
-    return pa.table([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["block", "shard", "model", "scores"])
+        scores = [(name, score(name, blocks.decode_sorted(keys, np.uint64))) for name, keys in zip(r["models"], r["keys"])]
+        own = [(name, blocks.encode(x)) for name, x in scores if x is not None]
+        if own:
+            out.append((r["block"], r["shard"], [name for name, _ in own], [x for _, x in own]))
+    kinds = [pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.binary())]
+    return pa.table([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["block", "shard", "models", "scores"])
+
+
+def _join(key: tuple[pa.Scalar, ...], asked: pa.Table, rows: pa.Table) -> pa.Table:
+    models = kneser_ney.models(shard_rows(rows)) if rows.num_rows else {}
+    return replied(asked, lambda name, keys: models[name].log_prob(keys) if name in models else None)
 
 
 def answered(payloads: list[bytes], replies: pa.Table, n: int) -> dict[str, tuple[blocks.Lookup, np.ndarray]]:
     """By model: the n-grams of a block and what the shards answered for each."""
     answers: dict[str, dict[int, bytes]] = {}
     for r in replies.to_pylist():
-        answers.setdefault(r["model"], {})[r["shard"]] = r["scores"]
+        for name, scores in zip(r["models"], r["scores"]):
+            answers.setdefault(name, {})[r["shard"]] = scores
     out = {}
     for name, (key, ids, edges) in (asked_of(payloads, n) if answers else {}).items():
         if name in answers:

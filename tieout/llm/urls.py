@@ -96,13 +96,8 @@ def counts(labelled: DataFrame) -> DataFrame:
 def _differences(key: tuple[pa.Scalar, ...], asked: pa.Table, rows: pa.Table) -> pa.Table:
     """For the n-grams that blocks ask a shard about: log probability if rejected less that if accepted."""
     models = kneser_ney.models(perplexity.shard_rows(rows), Markov) if rows.num_rows else {}
-    out = []
-    if {"allow", "block"} <= set(models):
-        for r in asked.to_pylist():
-            keys = blocks.decode_sorted(r["keys"], np.uint64)
-            out.append((r["block"], r["shard"], r["model"], blocks.encode(models["block"].log_prob(keys) - models["allow"].log_prob(keys))))
-    kinds = [pa.int32(), pa.int32(), pa.string(), pa.binary()]
-    return pa.table([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["block", "shard", "model", "scores"])
+    both = {"allow", "block"} <= set(models)
+    return perplexity.replied(asked, lambda _, keys: models["block"].log_prob(keys) - models["allow"].log_prob(keys) if both else None)
 
 
 _COLUMNS = ["url", "page_id", "host", "path", "rule", "ruled", "text", "kind", "fold", "model"]
