@@ -2,14 +2,16 @@
 
 A template is mandatory wording with two kinds of markup: ``[[...]]`` may be left
 out, and ``{{name:least-most}}`` stands for any ``least`` to ``most`` words.  It is
-compiled to a nondeterministic automaton over words, which is stepped over the
-words of a text with a new start at every word; a template is accepted where its
-mandatory wording matches exactly.  Only texts that hold the template's longest
-mandatory word (a byte search) are stepped through.
+compiled, and all templates together make one nondeterministic automaton over
+words, which is stepped once over the words of a text with a new start at every
+word; a template is accepted where its whole mandatory wording matches exactly.
+Only texts that hold some template's longest mandatory word (a byte search) are
+stepped through.
 
 Words are runs of digits, letters and characters beyond ASCII, A-Z in lower case.
 
-Defined results: a null text has no words; n_base, first_word and last_word are
+Defined results: a null or empty text has no words; texts of any length are read
+whole; repeated rows and rows with equal ids are scanned one by one; n_base, first_word and last_word are
 about the base phrases; score is 1 with an accepted template, 0.5 with base
 phrases only, else 0; every input row has one output row.
 """
@@ -31,7 +33,22 @@ from tieout.llm.words import PUNCTUATION, words_of
 #: Phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Labels and templates (license notices and texts in general use).
+_GRANT = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+_SOURCE = (
+    "[[{{number:1-1}}]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "[[{{number:1-1}}]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the "
+    "documentation and or other materials provided with the distribution "
+)
+_NAME = "[[{{number:1-1}}]] neither the name of {{holder:1-8}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission "
+_DISCLAIMER = (
+    "this software is provided by {{holder:1-8}} as is and any express or implied warranties including but not limited to the implied warranties of "
+    "merchantability and fitness for a particular purpose are disclaimed in no event shall {{holder:1-8}} be liable for any direct indirect incidental special "
+    "exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business "
+    "interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any "
+    "way out of the use of this software even if advised of the possibility of such damage"
+)
+
+#: Labels and templates: whole license texts and notices in general use, in lower case without punctuation.
 TEMPLATES = (
     ("mit-notice", "[[this {{work:1-3}} is]] released under the [[terms of the]] mit license"),
     ("apache-2.0-notice", "licensed under the apache license version 2 0"),
@@ -40,17 +57,35 @@ TEMPLATES = (
         "mit-text",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
         "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense "
-        "and or sell copies of the software",
+        "and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability "
+        "fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other "
+        "liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     ),
     (
         "apache-2.0-header",
         "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license "
-        "[[you may obtain a copy of the license at {{url:1-8}}]] unless required by applicable law or agreed to in writing",
+        "you may obtain a copy of the license at {{url:1-8}} unless required by applicable law or agreed to in writing software distributed under the license "
+        "is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language "
+        "governing permissions and limitations under the license",
     ),
+    ("bsd-2-text", _GRANT + _SOURCE + _DISCLAIMER),
+    ("bsd-3-text", _GRANT + _SOURCE + _NAME + _DISCLAIMER),
     (
-        "bsd-text",
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
-        "[[1]] redistributions of source code must retain the above copyright notice",
+        "isc-text",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright "
+        "notice and this permission notice appear in all copies the software is provided as is and {{holder:1-8}} disclaims all warranties with regard to this "
+        "software including all implied warranties of merchantability and fitness in no event shall {{holder:1-8}} be liable for any special direct indirect or "
+        "consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious "
+        "action arising out of or in connection with the use or performance of this software",
+    ),
+    (
+        "gpl-header",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free "
+        "software foundation either version {{version:1-1}} of the license or at your option any later version this program is distributed in the hope that it "
+        "will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general "
+        "public license for more details",
     ),
     ("cc-by-notice", "this {{work:1-3}} is licensed under a creative commons attribution {{version:0-3}} international license"),
 )
@@ -60,15 +95,17 @@ _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 @dataclass
 class Automaton:
-    """States 0..n; ``moves[s]`` by word, ``free[s]`` by any word, ``skips[s]`` without one."""
+    """All templates in one: states by number; ``moves[s]`` by word, ``free[s]`` by any word, ``skips[s]`` without one."""
 
-    label: str
-    moves: list[dict[bytes, int]] = field(default_factory=lambda: [{}])
-    free: list[int | None] = field(default_factory=lambda: [None])
-    skips: list[list[int]] = field(default_factory=lambda: [[]])
-    key: bytes = b""
+    moves: list[dict[bytes, int]] = field(default_factory=list)
+    free: list[int | None] = field(default_factory=list)
+    skips: list[list[int]] = field(default_factory=list)
+    labels: dict[int, str] = field(default_factory=dict)  # of accepting states
+    starts: set[int] = field(default_factory=set)
+    keys: set[bytes] = field(default_factory=set)  # the longest mandatory word of each template
+    first: dict[bytes, set[int]] = field(default_factory=dict)  # states after the first word
 
-    def _state(self) -> int:
+    def state(self) -> int:
         self.moves.append({})
         self.free.append(None)
         self.skips.append([])
@@ -83,20 +120,28 @@ class Automaton:
                     todo.append(s)
         return states
 
-    def accepts(self, words: list[bytes]) -> bool:
-        start, last = frozenset(self.close({0})), len(self.moves) - 1
+    def step(self, states: set[int], word: bytes) -> set[int]:
+        after = {self.moves[s][word] for s in states if word in self.moves[s]}
+        after |= {self.free[s] for s in states if self.free[s] is not None}
+        return self.close(after)
+
+    def accepts(self, words: list[bytes]) -> set[str]:
+        """Labels of the templates that some stretch of the words matches."""
+        begin = self.close(set(self.starts))
+        anything = any(self.free[s] is not None for s in begin)
+        found: set[str] = set()
         active: set[int] = set()
         for word in words:
-            after = set()
-            for s in active | start:
-                if word in self.moves[s]:
-                    after.add(self.moves[s][word])
-                if self.free[s] is not None:
-                    after.add(self.free[s])
-            active = self.close(after)
-            if last in active:
-                return True
-        return False
+            if not active and not anything and word not in self.first:
+                continue
+            after = self.step(active, word)
+            if anything:
+                after |= self.step(begin, word)
+            else:
+                after |= self.first.get(word, set())
+            active = after
+            found |= {self.labels[s] for s in active if s in self.labels}
+        return found
 
 
 def parts(template: str) -> list:
@@ -116,13 +161,13 @@ def parts(template: str) -> list:
     return stack[0]
 
 
-def build(label: str, template: str) -> Automaton:
-    out = Automaton(label)
+def build(templates=TEMPLATES) -> Automaton:
+    out = Automaton()
 
     def chain(at: int, items: list) -> int:
         for item in items:
             if isinstance(item, str):
-                to = out._state()
+                to = out.state()
                 out.moves[at][item.encode()] = to
                 at = to
             elif isinstance(item, tuple):
@@ -130,27 +175,34 @@ def build(label: str, template: str) -> Automaton:
                 for i in range(item[2]):
                     if i >= item[1]:
                         doors.append(at)
-                    to = out._state()
+                    to = out.state()
                     out.free[at] = to
                     at = to
-                end = out._state()
+                end = out.state()
                 for door in (*doors, at):
                     out.skips[door].append(end)
                 at = end
             else:
-                inner = out._state()
+                inner = out.state()
                 out.skips[at].append(inner)
-                end = out._state()
+                end = out.state()
                 out.skips[chain(inner, item)].append(end)
                 out.skips[at].append(end)
                 at = end
         return at
 
-    items = parts(template)
-    end = chain(0, items)
-    final = out._state()
-    out.skips[end].append(final)
-    out.key = max((w for w in items if isinstance(w, str)), key=len).encode()
+    for label, template in templates:
+        items = parts(template)
+        start = out.state()
+        end = chain(start, items)
+        final = out.state()
+        out.skips[end].append(final)
+        out.labels[final] = label
+        out.starts.add(start)
+        out.keys.add(max((w for w in items if isinstance(w, str)), key=len).encode())
+    begin = out.close(set(out.starts))
+    for word in {w for s in begin for w in out.moves[s]}:
+        out.first[word] = out.step(begin, word)
     return out
 
 
@@ -163,7 +215,7 @@ def scan(docs: DataFrame, base=BASE, templates=TEMPLATES) -> DataFrame:
     telling = {max(p, key=len) for p, _ in phrases}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = [build(*t) for t in templates]
+        automaton = build(templates)
         for batch in batches:
             for table in blocks.pieces(pa.Table.from_batches([batch])):
                 count = np.diff(words_of(table["text"], hashed=False, between=PUNCTUATION).first)
@@ -172,14 +224,13 @@ def scan(docs: DataFrame, base=BASE, templates=TEMPLATES) -> DataFrame:
                     text = (text or b"").lower()  # bytes: A-Z only
                     places: list[int] = []
                     found, own = set(), set()
-                    if any(w in text for w in telling) or any(a.key in text for a in automata):
+                    if any(w in text for w in telling) or any(k in text for k in automaton.keys):
                         words = _WORD.findall(text)
                         for phrase, label in phrases:
-                            at = -1
                             starts = [i for i, word in enumerate(words) if word == phrase[0] and tuple(words[i : i + len(phrase)]) == phrase]
                             places += starts
                             found |= {label} if starts else set()
-                        own = {a.label for a in automata if a.key in text and a.accepts(words)}
+                        own = automaton.accepts(words)
                     score = 1.0 if own else 0.5 if found else 0.0
                     rows.append((doc_id, n, len(places), min(places, default=None), max(places, default=None), ",".join(sorted(found)), ",".join(sorted(found | own)), score))
                 kinds = [pa.int64()] * 5 + [pa.string(), pa.string(), pa.float64()]
