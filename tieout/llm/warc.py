@@ -4,20 +4,23 @@ A capture is three records: the request, the response (or a revisit of an equal
 payload), and metadata.  Request and metadata name the response in
 ``WARC-Concurrent-To``.
 
-Writing is a Spark text sink whose line separator is the blank line that ends a
-record, gzipped, so archives go to any file system that Spark writes to, and a
-lost task is written anew.  ``target_bytes`` bounds an archive by bounding the
-records in it (a longer record comes alone).  Reading parses whole archives by
-their length fields, one archive per row, so payloads may hold anything,
-separators included.
+Writing is a Spark text sink, gzipped, so archives go to any file system that Spark
+writes to, and a lost task is written anew.  Each task fills an archive up to the
+target by a running sum of bytes, so an archive holds at most the target and one
+more capture.  (The sink makes one gzip member of an archive, not one a record.)
+Reading parses whole archives by their length fields, one archive per row, so
+payloads may hold anything, separators included.
 
 Assembly joins response, request and metadata through the identifiers (in one
 shuffle, keyed by the response's identifier) and gives one nested row per capture.
+A revisit names the response's record in ``WARC-Refers-To``; what it says about the
+payload is joined from that record.
 
 Defined results: null html is an empty payload, null url an empty target; line
 ends in a url are percent-encoded; every input row is one capture, repeated rows
-included (equal payloads of equal page_id: one of them is the response); a null
-page_id stays null and is never the response that others revisit.
+included (of rows with the least page_id of a payload one is the response, and the
+others revisit it); a null page_id stays null and is never the response that others
+revisit.
 """
 
 from __future__ import annotations
@@ -42,7 +45,7 @@ DATE = "2026-03-02T00:00:00Z"
 
 
 def planned(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """Adds payload, payload_bytes, payload_digest, record_id, record_type and refers_to.
+    """Adds row, payload, payload_bytes, payload_digest, record_type, and first_id and first_row of what a revisit refers to.
 
     Equal payloads are found by digest: the least page_id of each is a partial
     aggregate, and only digests that occur twice are joined back, over ``SALTS``
@@ -50,23 +53,19 @@ def planned(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     base = (
-        pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
+        pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.monotonically_increasing_id().alias("row"))
         .withColumn("payload_bytes", F.octet_length("payload").cast("bigint"))
         .withColumn("payload_digest", F.sha2("payload", 256))
     )
-    groups = base.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null")
-    salted = groups.select(F.col("payload_digest").alias("d"), "first_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
-    joined = base.join(salted, (F.col("payload_digest") == F.col("d")) & (F.pmod(F.xxhash64("page_id"), F.lit(SALTS)) == F.col("s")) & (F.col("payload_bytes") >= min_bytes), "left")
-    revisit = F.col("first_id").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("first_id")))
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row"))).alias("first")
+    groups = base.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(first, F.count("*").alias("n")).where("n > 1 and first is not null")
+    salted = groups.select(F.col("payload_digest").alias("d"), F.col("first.page_id").alias("first_id"), F.col("first.row").alias("first_row"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+    joined = base.join(salted, (F.col("payload_digest") == F.col("d")) & (F.pmod(F.xxhash64("row"), F.lit(SALTS)) == F.col("s")) & (F.col("payload_bytes") >= min_bytes), "left")
+    revisit = F.col("first_row").isNotNull() & (F.col("row") != F.col("first_row"))
     return joined.select(
-        "page_id",
-        "url",
-        "payload",
-        "payload_bytes",
-        "payload_digest",
-        F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, F.col("first_id")).alias("refers_to"),
-    )
+        "page_id", "url", "row", "payload", "payload_bytes", "payload_digest",
+        F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("first_id"), F.when(revisit, F.col("first_row")).alias("first_row"),
+    )
 
 
 def _urn(*parts: Column) -> Column:
@@ -84,10 +83,9 @@ def _record(kind: Column, record_id: Column, target: Column, headers: list[tuple
 
 def records(captures: DataFrame) -> DataFrame:
     """One row ``value`` per capture: its three records, each but the last followed by the blank lines that end it."""
-    row = F.monotonically_increasing_id()
-    with_row = captures.withColumn("row", row)
     key = [F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.col("row").cast("string")]
     response_id = _urn(F.lit("response"), *key)
+    referred = F.when(F.col("first_row").isNotNull(), _urn(F.lit("response"), F.col("first_id").cast("string"), F.col("first_row").cast("string")))
     target = F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     path = F.regexp_replace(target, r"^[^:/?#]*://[^/?#]*", "")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF + CRLF))
@@ -102,24 +100,41 @@ def records(captures: DataFrame) -> DataFrame:
         [
             ("Content-Type", F.lit("application/http; msgtype=response")),
             ("WARC-Payload-Digest", digest),
+            ("WARC-Refers-To", referred),
             ("WARC-Profile", F.when(revisit, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
         ],
         [http, F.when(revisit, F.lit("")).otherwise(F.col("payload"))],
         F.octet_length(http) + F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes")),
     )
     field = lambda name, c: F.concat(F.lit(f"{name}: "), c.cast("string"), F.lit(CRLF))
-    fields = F.concat(*(F.coalesce(field(name, F.col(c)), F.lit("")) for name, c in (("pageId", "page_id"), ("payloadBytes", "payload_bytes"), ("refersToPage", "refers_to"))))
+    fields = F.concat(*(F.coalesce(field(name, F.col(c)), F.lit("")) for name, c in (("pageId", "page_id"), ("payloadBytes", "payload_bytes"))))
     metadata = _record(F.lit("metadata"), _urn(F.lit("metadata"), *key), target, [("WARC-Concurrent-To", response_id), ("Content-Type", F.lit("application/warc-fields"))], [fields], F.octet_length(fields))
     end = F.lit(CRLF + CRLF)
-    return with_row.select(F.concat(*request, end, *response, end, *metadata).alias("value"))
+    return captures.select(F.concat(*request, end, *response, end, *metadata).alias("value"))
+
+
+def write(captures: DataFrame, path: str, target_bytes: int = TARGET_BYTES) -> None:
+    """Archives of about ``target_bytes`` (before compression) below ``path``."""
+    end = CRLF + CRLF
 
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive = lambda held: pa.record_batch([pa.array([end.join(held)], pa.string())], ["value"])
+        held: list[str] = []
+        size = 0
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                held.append(value)
+                size += len(value.encode())
+                if size >= target_bytes:
+                    yield archive(held)
+                    held, size = [], 0
+        if held:
+            yield archive(held)
 
-def write(captures: DataFrame, path: str, per_file: int) -> None:
-    """Archives of at most ``per_file`` captures below ``path``."""
-    records(captures).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    records(captures).mapInArrow(filled, "value string").write.option("lineSep", end).option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
 
 
-_RECORD = "record_type string, record_id string, concurrent_to string, target_uri string, header_digest string, payload_bytes bigint, payload_digest string, fields map<string,string>"
+_RECORD = "record_type string, record_id string, concurrent_to string, target_uri string, header_digest string, refers_to string, payload_bytes bigint, payload_digest string, fields map<string,string>"
 
 
 def parse(data: bytes, archive: str = "") -> Iterator[tuple[dict[str, str], bytes]]:
@@ -158,9 +173,9 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
                     fields = [tuple(x.strip() for x in line.split(":", 1)) for line in block.decode().split(CRLF) if ":" in line] if kind == "metadata" else []
                     rows.append(
                         (kind, headers["warc-record-id"], headers.get("warc-concurrent-to"), headers.get("warc-target-uri"), headers.get("warc-payload-digest", "").removeprefix("sha256:") or None,
-                         len(payload) if full else None, hashlib.sha256(payload).hexdigest() if full else None, fields, payload if full and with_payload else None)
+                         headers.get("warc-refers-to"), len(payload) if full else None, hashlib.sha256(payload).hexdigest() if full else None, fields, payload if full and with_payload else None)
                     )
-                kinds = [pa.string()] * 5 + [pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary()]
+                kinds = [pa.string()] * 6 + [pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary()]
                 yield pa.record_batch([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))], names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
@@ -182,7 +197,7 @@ def assemble(records: DataFrame) -> DataFrame:
 
     main = kind.isin("response", "revisit")
     captures = records.withColumn("capture", own).groupBy("capture").agg(
-        part(main, "record_type", "record_id", "target_uri", "header_digest", "payload_bytes", "payload_digest", *payload).alias("response"),
+        part(main, "record_type", "record_id", "target_uri", "header_digest", "refers_to", "payload_bytes", "payload_digest", *payload).alias("response"),
         part(kind == "request", "record_id", "target_uri").alias("request"),
         part(kind == "metadata", "record_id", "fields").alias("metadata"),
     )
@@ -195,26 +210,23 @@ def archive_folder(spark: SparkSession) -> str:
     return os.path.join(spark.sparkContext._jsc.sc().getCheckpointDir().get(), f"warc-{uuid.uuid4().hex}")
 
 
-def captures_per_file(pages: DataFrame, target_bytes: int = TARGET_BYTES) -> int:
-    """Captures of the mean length that make an archive of the target size."""
-    rows, size = pages.agg(F.count("*"), F.sum(F.octet_length("html") + 1500)).first()
-    return max(1, int(target_bytes * rows / size)) if rows and size else 1000
-
-
 def roundtrip(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Writes the pages as archives, reads them back, and gives what the assembled captures say."""
     spark = pages.sparkSession
     path = path or archive_folder(spark)
-    write(planned(pages), path, captures_per_file(pages))
-    captures = assemble(read(spark, path))
-    field = lambda name: F.col("metadata.fields")[name]
-    response = F.col("response.record_type") == "response"
-    same = (F.col("response.payload_digest") == F.col("response.header_digest")) & (F.col("response.payload_bytes") == field("payloadBytes").cast("bigint"))
-    checked = F.when(response & ~same, F.raise_error(F.lit("a payload is not what its headers say"))).otherwise(F.col("response.header_digest"))
-    return captures.select(
-        field("pageId").cast("bigint").alias("page_id"),
-        field("payloadBytes").cast("bigint").alias("payload_bytes"),
-        checked.alias("payload_digest"),
-        F.col("response.record_type").alias("record_type"),
-        field("refersToPage").cast("bigint").alias("refers_to"),
+    write(planned(pages), path)
+    field = lambda name: F.col("metadata.fields")[name].cast("bigint")
+    told = assemble(read(spark, path)).select(
+        field("pageId").alias("page_id"), field("payloadBytes").alias("told_bytes"), "response.record_type", "response.record_id", "response.header_digest",
+        "response.refers_to", "response.payload_bytes", "response.payload_digest", F.pmod(F.xxhash64("response.record_id"), F.lit(SALTS)).cast("int").alias("salt"),
+    )
+    # One response may be referred to by a third of all rows, so it is met in SALTS tasks.
+    asked = told.where("refers_to is not null").select(F.col("refers_to").alias("record_id")).distinct()
+    origin = told.join(asked, "record_id", "left_semi").select(
+        F.col("record_id").alias("refers_to"), F.col("page_id").alias("origin_id"), F.col("payload_bytes").alias("origin_bytes"), F.col("payload_digest").alias("origin_digest"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     )
+    captures = told.join(origin, ["refers_to", "salt"], "left")
+    digest, size = F.coalesce("payload_digest", "origin_digest"), F.coalesce("payload_bytes", "origin_bytes")
+    same = (digest == F.col("header_digest")) & (size == F.col("told_bytes"))
+    checked = F.when(F.coalesce(same, F.lit(False)), digest).otherwise(F.raise_error(F.lit("a payload is not what its headers say")))
+    return captures.select("page_id", size.alias("payload_bytes"), checked.alias("payload_digest"), "record_type", F.col("origin_id").alias("refers_to"))
