@@ -118,6 +118,20 @@ def test_byte_strings_at_a_range_bound_are_compared_over_shards(spark):
     assert got == brute_bytes(texts, 120)
 
 
+def test_equal_hashes_of_different_strings_are_told_apart():
+    whole = suffixes._window_hashes
+
+    def coarse(keys, length):
+        index, left, one, two = whole(keys, length)
+        return index, left, one % np.uint64(3), two % np.uint64(2)
+
+    keys = [(b"abcdef" + b"zyx", 6), (b"abcdeX" + b"zyx", 6), (b"abcdef" + b"zyQ", 6)]
+    want = {(0, 0), (2, 0)} | {(k, l) for k in range(3) for l in (1, 2)} | {(0, 3), (1, 3)}
+    for hashes in (whole, coarse):
+        index, left, one, two = hashes(keys, 6)
+        assert {(int(index[i]), int(left[i])) for i in suffixes._confirmed(keys, 6, index, left, one, two)} == want
+
+
 def test_loser_tree_orders_runs_and_knows_prefixes():
     rnd = random.Random(2)
     runs, every = [], []

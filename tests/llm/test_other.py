@@ -38,16 +38,36 @@ def regex_of(template):
     return re.compile(" " + licenses._pattern(licenses.parts(template)))
 
 
+def plainest(template):
+    return [w for item in licenses.parts(template) for w in ([item] if isinstance(item, str) else ["q"] * item[2] if isinstance(item, tuple) else [])]
+
+
 def test_automata_equal_regular_expressions():
     rnd = random.Random(1)
-    for label, template in (*licenses.TEMPLATES, ("t", "a [[b {{x:0-2}} c]] d {{y:2-3}} e [[f]]")):
-        a = licenses.build(label, template)
-        words = [w for w in re.findall(r"[a-z0-9]+", template)] + ["zz"]
-        tries = [rnd.choices(words, k=rnd.randint(1, 25)) for _ in range(60)]
-        plain = [w for item in licenses.parts(template) for w in ([item] if isinstance(item, str) else ["q"] * item[2] if isinstance(item, tuple) else [])]
-        tries += [plain, ["x", *plain, "y"], plain[:-1], plain[1:]]
-        for t in tries:
-            assert a.accepts([w.encode() for w in t]) == bool(regex_of(template).search(" " + " ".join(t) + " ")), (label, t)
+    templates = (*licenses.TEMPLATES, ("t", "a [[b {{x:0-2}} c]] d {{y:2-3}} e [[f]]"))
+    shared = licenses.build(templates)
+    free = licenses.build((("u", "[[{{x:1-2}}]] a b"), *templates))
+    words = sorted({w for _, t in templates for w in re.findall(r"[a-z0-9]+", t)}) + ["zz"]
+    tries = [rnd.choices(words[:12], k=rnd.randint(1, 25)) for _ in range(200)]
+    for _, template in templates:
+        plain = plainest(template)
+        tries += [plain, ["x", *plain, "y"], plain[:-1], plain[1:], plain[: len(plain) // 2] + plain, plain + rnd.choices(words, k=5) + plain]
+    for t in tries:
+        want = {label for label, template in templates if regex_of(template).search(" " + " ".join(t) + " ")}
+        assert shared.accepts([w.encode() for w in t]) == want, t
+        assert free.accepts([w.encode() for w in t]) - {"u"} == want
+
+
+@pytest.mark.parametrize("label", ["mit-text", "bsd-2-text", "bsd-3-text", "isc-text", "apache-2.0-header", "gpl-header"])
+def test_every_mandatory_word_counts(label):
+    shared = licenses.build()
+    plain = [w.encode() for w in plainest(dict(licenses.TEMPLATES)[label])]
+    assert label in shared.accepts(plain)
+    for i in [i for i in range(0, len(plain), 7) if plain[i] != b"q"] + [len(plain) - 1]:
+        assert label not in shared.accepts([*plain[:i], b"noncommercial", *plain[i + 1 :]])
+    assert label not in shared.accepts(plain[:-1])
+    if label == "bsd-3-text":
+        assert "bsd-2-text" not in shared.accepts(plain)
 
 
 def test_license_rows(spark, awkward, clashing):
@@ -227,7 +247,7 @@ def test_archives_round_trip(spark, tmp_path):
     for k, found in by.items():
         assert {(r["payload_bytes"], r["payload_digest"]) for r in found} == {(len(data[k]), hashlib.sha256(data[k]).hexdigest())}
     kinds = {k: sorted((r["record_type"], r["refers_to"]) for r in v) for k, v in by.items()}
-    assert kinds[5] == kinds[9] == [("revisit", 2)] and kinds[2] == [("response", None)] * 2
+    assert kinds[5] == kinds[9] == [("revisit", 2)] and kinds[2] == [("response", None), ("revisit", 2)]  # one of the repeated rows
     assert kinds[7] == kinds[8] == [("response", None)] and kinds[11] == [("response", None)] and kinds[None] == [("revisit", 11)]
     files = list((tmp_path / "archives").glob("*.gz"))
     records = [h for f in files for h, _ in warc.parse(gzip.decompress(f.read_bytes()))]
@@ -239,6 +259,26 @@ def test_archives_round_trip(spark, tmp_path):
     assert nested["request"]["record_id"] and nested["metadata"]["fields"]["payloadBytes"]
 
 
+def test_archives_are_bounded_whatever_the_pages(spark, tmp_path):
+    """Pages of very different sizes, the large ones in a row."""
+    rows = [(i, f"http://a/{i}", str(i) + "x" * (200_000 if 300 <= i < 340 else 30)) for i in range(2000)]
+    path = f"file:{tmp_path}/archives"
+    warc.write(warc.planned(spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(2)), path, 1_000_000)
+    sizes = [len(gzip.decompress(f.read_bytes())) for f in (tmp_path / "archives").glob("*.gz")]
+    assert 9 <= len(sizes) <= 20 and max(sizes) <= 1_000_000 + 201_500
+    assert warc.read(spark, path).count() == 6000
+
+
+def test_revisits_refer_to_the_record_of_the_response(spark, tmp_path):
+    rows = [(i, f"http://a/{i}", "same " * 50 if i % 3 else f"own {i} " * 30) for i in range(60)]
+    path = f"file:{tmp_path}/archives"
+    got = {r["page_id"]: r for r in warc.roundtrip(spark.createDataFrame(rows, "page_id bigint, url string, html string"), path).collect()}
+    assert all((r["record_type"], r["refers_to"], r["payload_bytes"]) == (("revisit", 1, 250) if i % 3 and i > 1 else ("response", None, len(rows[i][2]))) for i, r in got.items())
+    found = [h for f in (tmp_path / "archives").glob("*.gz") for h, _ in warc.parse(gzip.decompress(f.read_bytes()))]
+    one = {h["warc-record-id"] for h in found if h["warc-type"] == "response" and h["warc-target-uri"] == "http://a/1"}
+    assert {h["warc-refers-to"] for h in found if h["warc-type"] == "revisit"} == one and len(one) == 1
+
+
 def test_malformed_archives_are_refused():
     for data in (b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort\r\n\r\n", b"junk"):
         with pytest.raises(ValueError):

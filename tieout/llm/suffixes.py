@@ -17,13 +17,13 @@ in each of its copies and the sample loses none.
 3. A range merges its runs with a loser tree that holds, for each contender, the
    prefix it shares with the last suffix put out, and compares only what follows
    it.  The merge yields the common prefix of neighbours, which bounds the owned
-   strings that can repeat; those are then told apart exactly, by 128-bit hashes
-   within the range.
+   strings that can repeat; of these, strings with equal hashes are compared byte
+   by byte.
 4. Bits for the owned strings go back to the blocks, which cut the bytes.
 
 Suffixes that share their seed with a range bound may lie on both sides of it.
-Their owned strings are compared through hash shards instead, so a seed with a
-third of all rows is spread over the cluster.
+Their owned strings are told apart by hashes (64 bits, and the shard by 32 others)
+over shards instead, so a seed with a third of all rows is spread over the cluster.
 
 Defined results: a null text counts as empty; texts shorter than ``length`` keep
 every byte; repeated rows are copies of each other; a null ``doc_id`` takes part
@@ -370,6 +370,31 @@ def _runs(length: int, seed: int, n: int, bounds):
     return run
 
 
+def _confirmed(keys: list[tuple[bytes, int]], length: int, index: np.ndarray, left: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Which of the owned strings (key, left part, hashes) occur twice; strings with equal hashes are compared byte by byte."""
+    order = np.lexsort((two, one))
+    equal = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
+    near = np.flatnonzero(equal)
+    a, b = index[order[near]].astype(np.int64), index[order[near + 1]].astype(np.int64)
+    pairs, which = np.unique(a * len(keys) + b, return_inverse=True)
+    right, behind = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
+    for i, pair in enumerate(pairs.tolist()):
+        (x, m), (y, n) = keys[pair // len(keys)], keys[pair % len(keys)]
+        right[i], behind[i] = shared(x[:m], y[:n]), shared(x[m:], y[n:])
+    which = which.reshape(-1)
+    l = left[order[near]]
+    true = (l == left[order[near + 1]]) & (length - l <= right[which]) & (l <= behind[which])
+    hit = np.zeros(len(order), bool)
+    hit[near[true] + 1] = True
+    hit[near[true]] = True
+    run = np.cumsum(np.concatenate([np.ones(min(1, len(order)), bool), ~equal]))
+    for r in np.unique(run[near[~true]]):  # different strings with equal hashes
+        places = np.flatnonzero(run == r)
+        strings = [keys[index[o]][0][keys[index[o]][1] :][: left[o]][::-1] + keys[index[o]][0][: length - left[o]] for o in order[places]]
+        hit[places] = [strings.count(x) > 1 for x in strings]
+    return order[hit]
+
+
 def _merged(length: int, seed: int, rows: list[dict]) -> list[np.ndarray]:
     """Bits of the owned strings that repeat, for the entries of each run of one range."""
     span = length - seed + 1
@@ -409,12 +434,7 @@ def _merged(length: int, seed: int, rows: list[dict]) -> list[np.ndarray]:
         index, left, one, two = _in_slices([classes[i] for i in group], length)
         possible = left >= length - reach[group[index]]
         index, left, one, two = index[possible], left[possible], one[possible], two[possible]
-        order = np.argsort(one)
-        same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
-        hit = np.zeros(len(order), bool)
-        hit[1:] |= same
-        hit[:-1] |= same
-        chosen = order[hit]
+        chosen = _confirmed([classes[i] for i in group], length, index, left, one, two)
         repeat[group[index[chosen]], left[chosen]] = True
     for i in np.flatnonzero(repeat.any(axis=1)):
         for run, place in members[i]:
@@ -499,8 +519,10 @@ def _cut(length: int, seed: int, n: int, bounds):
 def _bounds(docs: DataFrame, length: int, seed: int, n: int) -> list[bytes]:
     """Bounds of ``n`` ranges of the suffix order, from suffixes of one document in SAMPLE_DOCS.
 
-    They only balance the ranges.  At most SAMPLE_KEYS keys reach the driver.
+    (Of all documents where there are few.)  They only balance the ranges.  At most
+    SAMPLE_KEYS keys reach the driver.
     """
+    every = max(1, min(SAMPLE_DOCS, docs.count() // 2000))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -508,7 +530,7 @@ def _bounds(docs: DataFrame, length: int, seed: int, n: int) -> list[bytes]:
             _, found = s.keys(np.arange(len(s.at)))
             yield pa.record_batch([pa.array([k for k, _ in found], pa.binary())], ["key"])
 
-    sampled = docs.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(SAMPLE_DOCS)) == 0).select("text").mapInArrow(keys, "key binary")
+    sampled = docs.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(every)) == 0).select("text").mapInArrow(keys, "key binary")
     rows = sampled.orderBy(F.xxhash64("key"), "key").limit(min(SAMPLE_KEYS, 40 * n)).collect()
     ordered = sorted(bytes(r[0]) for r in rows)
     picked = sorted({ordered[i * len(ordered) // n] for i in range(1, n)}) if ordered else []
