@@ -16,8 +16,9 @@ def shared_folder(spark: SparkSession) -> None:
     """Make sure that the context has a checkpoint folder."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
-        # Only where the cluster names no shared folder (tests, local runs).
         folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster needs a shared folder in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
