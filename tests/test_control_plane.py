@@ -153,3 +153,36 @@ def test_mart_replaces_one_date_and_drops_an_empty_one(spark, tmp_path):
     assert sorted(r["amount_minor"] for r in m.table("fct_source_record").collect()) == [5, 9]
     m.replace("fct_source_record", "2026-03-02", rows((1, "2026-03-09")))
     assert [str(r[0]) for r in m.dates().collect()] == ["2026-03-03"]
+
+
+def test_a_batch_without_a_seal_does_not_count(spark, tmp_path):
+    """What an append leaves behind that stopped between its events and its seal."""
+    from tieout.operators.ledger import Ledger
+
+    root = f"file:{tmp_path}/ledger"
+    ledger = Ledger(spark, root, "ref string, n bigint")
+    rows = lambda *r: spark.createDataFrame(list(r), "ref string, n bigint")
+    assert ledger.append(rows(("a", 1), ("b", 2)), ["ref"]) == 2
+    spark.createDataFrame([(3, "half", 9, "x")], "event_id bigint, ref string, n bigint, row_hash string").write.parquet(f"{root}/events/batch=1")
+    assert ledger.audit() == 2 and {r["ref"] for r in ledger.events().collect()} == {"a", "b"}
+    assert Ledger(spark, root, "ref string, n bigint").append(rows(("c", 3)), ["ref"]) == 1
+    assert ledger.audit() == 3 and {(r["event_id"], r["ref"]) for r in ledger.events().collect()} == {(1, "a"), (2, "b"), (3, "c")}
+
+
+def test_a_date_survives_a_crash_between_the_renames(spark, sf, tmp_path):
+    from tieout.operators.mart import Mart, fact_records
+
+    root = tmp_path / "mart"
+    facts = fact_records(feeds.core(spark, sf), feeds.processor(spark, sf))
+    store = Mart(spark, f"file:{root}")
+    store.load("fct_source_record", facts)
+    before = {str(r[0]): r[1] for r in store.rows_by_date().collect()}
+    day = "2026-03-03"
+    aside = root / "_aside" / "fct_source_record"
+    aside.mkdir(parents=True)
+    (root / "fct_source_record" / f"business_date={day}").rename(aside / f"business_date={day}")
+    assert Mart(spark, f"file:{root}").rows_for("fct_source_record", day) == before[day]
+    assert store.replace("fct_source_record", day, facts) == before[day]
+    assert {str(r[0]): r[1] for r in store.rows_by_date().collect()} == before and not list(aside.glob("*"))
+    store.replace("fct_source_record", day, facts.limit(0))
+    assert store.rows_for("fct_source_record", day) == 0 and len(store.dates().collect()) == len(before) - 1

@@ -39,7 +39,7 @@ def recon_summary(spark, d):
 
 
 def recon_breaks(spark, d):
-    return _breaks(spark, d).drop("line_no", "detail")
+    return _breaks(spark, d)
 
 
 def recon_match_rate(spark, d):
@@ -198,12 +198,18 @@ def mart_snapshot_diff(spark, d):
     return mart.snapshot_diff(mart.snapshot(facts, _breaks(spark, d).where("status = 'open'")), mart.snapshot(facts, _breaks(spark, d, wide).where("status = 'open'")))
 
 
+def _loaded(spark, d):
+    store = mart.Mart(spark, storage.fresh(spark, "mart"))
+    store.load("fct_source_record", _facts(spark, d))
+    return store
+
+
 def mart_dates(spark, d):
-    return _facts(spark, d).select("business_date").distinct().orderBy("business_date")
+    return _loaded(spark, d).dates()
 
 
 def mart_rows_for(spark, d):
-    return _facts(spark, d).groupBy("business_date").agg(F.count("*").alias("n_rows"))
+    return _loaded(spark, d).rows_by_date()
 
 
 def mart_replace_date(spark, d):
@@ -300,10 +306,10 @@ def queue_resolution_validation(spark, d):
 
 
 def queue_history(spark, d):
-    """Opened, resolved and reopened: every item's events in order and its present state."""
+    """Opened, resolved and reopened: the events of one item in order, with what was said when they came in."""
     events = _queue_events(spark, d).where("break_type = 'sign'").withColumn("event_id", F.when(F.col("action") == "opened", 1).otherwise(2).cast("bigint"))
-    last = events.groupBy("ref", "break_type").agg(F.max_by("to_status", "event_id").alias("status"), F.count("*").alias("n_events"))
-    return last
+    ref = events.agg(F.min("ref")).first()[0]
+    return breakqueue.history(events, ref, "sign").select("event_id", "ref", "break_type", "action", "from_status", "to_status", F.col("note").alias("detail"))
 
 
 def _requests(spark, d):
@@ -338,6 +344,46 @@ def foureyes_review_speed(spark, d):
     return approvals.review_speed(reviews)
 
 
+def foureyes_fast_reviews(spark, d):
+    """The first ten reviews that were decided faster than is plausible."""
+    fine = approvals.decide(_requests(spark, d), _decisions(spark, d)).where("reason is null").select("request_id", F.col("action").alias("state"))
+    reviews = _requests(spark, d).drop("state").join(fine, "request_id").join(_decisions(spark, d).select("request_id", "checked_at"), "request_id")
+    return approvals.fast_reviews(reviews).select("request_id", "ref", "state", F.col("seconds").cast("bigint").alias("seconds"))
+
+
+def signoff_lifecycle(spark, d):
+    """Sign-off, request, approval, use and rejection over their ledgers: the state of each request and what each step said."""
+    periods = approvals.Periods(spark, storage.fresh(spark, "periods"))
+    periods.sign_off("2026-03-03", "ann", "2026-03-04T09:00:00")
+    counts = {"2026-03-02": 2, "2026-03-03": 3}
+    dates = sorted(counts)
+    first = periods.request_backfill(dates, "bob", "late file", "2026-03-05T09:00:00", counts)
+    second = periods.request_backfill(dates, "bob", "second try", "2026-03-05T09:05:00", counts)
+    third = periods.request_backfill(dates, "cy", "third try", "2026-03-05T09:06:00", counts)
+    said = []
+
+    def step(name, action):
+        try:
+            action()
+            said.append((name, "done"))
+        except (approvals.NotAuthorised, approvals.ReviewError) as e:
+            said.append((name, str(e).split(": ")[-1]))
+
+    step("early use", lambda: periods.authorise(dates, counts, "2026-03-05T09:10:00", first))
+    step("own approval", lambda: periods.approve_backfill(first, " BOB ", "fine", "2026-03-05T10:00:00"))
+    step("approval", lambda: periods.approve_backfill(first, "ann", "fine", "2026-03-05T10:00:00"))
+    step("rejection", lambda: periods.reject_backfill(second, "ann", "not needed"))
+    step("approval without time", lambda: periods.approve_backfill(third, "ann", "fine", "2026-03-05T10:00:00", ttl_hours=0))
+    step("other plan", lambda: periods.authorise(dates, counts | {"2026-03-02": 1}, "2026-03-05T11:00:00", first))
+    step("use", lambda: periods.authorise(dates, counts, "2026-03-05T11:00:00", first))
+    step("use of expired", lambda: periods.authorise(dates, counts, "2026-03-05T10:00:01", third))
+    step("consumption", lambda: periods.consume(first, "2026-03-05T11:30:00"))
+    step("second use", lambda: periods.authorise(dates, counts, "2026-03-05T11:40:00", first))
+    steps = spark.createDataFrame([(i, *x) for i, x in enumerate(said)], "place int, subject string, outcome string")
+    states = periods.requests().select(F.lit(100).alias("place"), F.concat(F.lit("request "), F.col("request_id").cast("string")).alias("subject"), F.concat_ws(" ", "state", F.when(F.col("consumed_at").isNotNull(), "used")).alias("outcome"))
+    return steps.unionByName(states)
+
+
 def _signoffs(spark):
     return spark.sql("SELECT explode(array(date'2026-03-03', date'2026-03-05', date'2026-04-01')) AS business_date")
 
@@ -405,7 +451,7 @@ def ingest_rejects(spark, d):
         .when(n % 200 == 150, F.concat(F.lit("16"), F.rpad(F.lit(""), 16, " "), F.substring("value", 19, 99)))
         .otherwise(F.col("value"))
     )
-    _, rejects, _ = ingest.fixed_width(lines.withColumn("value", broken))
+    _, rejects = ingest.fixed_width(lines.withColumn("value", broken))
     return rejects.select("line_no", "reason")
 
 
@@ -428,8 +474,13 @@ def pipeline_run(spark, d):
     writers.write_batch(feeds.core(spark, d), f"{root}/core")
     writers.write_events(feeds.processor(spark, d), f"{root}/events")
     day = pipeline.Day(spark, f"{root}/core", f"{root}/events", f"{root}/mart", f"{root}/queue", "2026-03-03", feeds.AS_OF, "2026-03-09 08:00:00")
-    result = pipeline.run_day(day, sla_s=600)
-    return spark.createDataFrame([(i, r.name, r.state) for i, r in enumerate(result.runs.values())], "place int, task string, state string")
+    runs = pipeline.run_day(day).runs
+    shown = {
+        "ingest_core": ("file_rows", "rows"), "ingest_processor": ("file_rows", "rows"), "validate": ("core", "proc"), "reconcile": ("matched_exact", "matched_tolerance", "universe", "breaks"),
+        "load_breaks": ("open",), "verify_controls": ("fact_count", "fact_minor", "agg_count", "agg_minor"),
+    }
+    rows = [(name, run.state, metric, int((run.output or {}).get(metric, -1))) for name, run in runs.items() for metric in shown.get(name, ())]
+    return spark.createDataFrame(rows + [(name, run.state, None, None) for name, run in runs.items() if name not in shown], "task string, state string, metric string, value bigint")
 
 
 QUERIES = {

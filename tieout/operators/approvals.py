@@ -169,7 +169,7 @@ class Periods:
         self._add(row | dict(state=state, checker=checker, note=note) | more)
 
     def approve_backfill(self, request_id: int, checker: str, note: str, at: str, ttl_hours: int | None = None) -> None:
-        expires = datetime.fromisoformat(at) + timedelta(hours=ttl_hours or self.policy.approval_ttl_hours)
+        expires = datetime.fromisoformat(at) + timedelta(hours=self.policy.approval_ttl_hours if ttl_hours is None else ttl_hours)
         self._decided(request_id, "approved", checker, note, expires_at=expires.isoformat())
 
     def reject_backfill(self, request_id: int, checker: str, note: str) -> None:
@@ -199,7 +199,7 @@ def refusal(row: dict, actual_hash: str, at: str) -> str | None:
         return f"it is {row['state']}"
     if row["consumed_at"]:
         return "it was used before"
-    if row["expires_at"] and datetime.fromisoformat(row["expires_at"]) < datetime.fromisoformat(at):
+    if row["expires_at"] and datetime.fromisoformat(row["expires_at"]) <= datetime.fromisoformat(at):
         return "it has expired"
     if row["plan_hash"] != actual_hash:
         return "the plan has changed since"

@@ -37,7 +37,8 @@ def intake_events(items: DataFrame, candidates: DataFrame, at: str, actor: str =
     Several candidates of a key collapse to the one of the least line.
     """
     fields = ["core_amount", "proc_amount", "variance_minor", "business_date"]
-    firsts = candidates.groupBy(*KEY).agg(F.min_by(F.struct(*fields), F.coalesce("line_no", F.lit(0))).alias("c")).select(*KEY, "c.*")
+    detail = F.col("detail") if "detail" in candidates.columns else F.lit(None).cast("string")
+    firsts = candidates.groupBy(*KEY).agg(F.min_by(F.struct(*fields, detail.alias("detail")), F.coalesce("line_no", F.lit(0))).alias("c")).select(*KEY, "c.*")
     known = items.select(*KEY, F.col("status").alias("old"))
     joined = firsts.join(known, KEY, "left").where("old is null or old = 'resolved'")
     return joined.select(
@@ -49,7 +50,7 @@ def intake_events(items: DataFrame, candidates: DataFrame, at: str, actor: str =
         F.lit("open").alias("to_status"),
         F.lit(None).cast("string").alias("code"),
         *fields,
-        F.lit(None).cast("string").alias("note"),
+        F.col("detail").alias("note"),
     )
 
 

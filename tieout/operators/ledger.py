@@ -3,6 +3,8 @@
 There is no update path: state is a fold over events, so a first sighting keeps
 its date, and history is the table itself.  Each batch is chained to the one
 before by a digest over its rows in event order; ``audit`` recomputes the chain.
+The seal, written last, makes a batch count: rows that an append left behind
+without one are not read, and the next append removes them.
 One writer (the driver) appends at a time.
 """
 
@@ -41,12 +43,16 @@ class Ledger:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
     def events(self) -> DataFrame:
         """(event_id, batch, columns, row_hash); empty before the first append."""
         schema = f"event_id bigint, {self.schema}, row_hash string, batch int"
         if not self._exists("events"):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/events")
+        return self.spark.read.schema(schema).parquet(f"{self.root}/events").where(F.col("batch") < len(self.seals()))
 
     def seals(self) -> list:
         if not self._exists("seals"):
@@ -69,13 +75,13 @@ class Ledger:
         number = F.row_number().over(W.partitionBy("_p").orderBy("_m")) + F.col("ahead") + last
         numbered = digest_rows(placed.join(offsets, "_p").withColumn("event_id", number.cast("bigint")), ["event_id", *self.columns])
         target = f"{self.root}/events/batch={batch}"
+        self._delete(target)
         numbered.select("event_id", *self.columns, "row_hash").write.parquet(target)
         written = self.spark.read.parquet(target)
         n = written.count()
         seal = _sealed(written, before)
         self.spark.createDataFrame([(batch, seal, last + n)], "batch int, seal string, last_id bigint").coalesce(1).write.mode("append").json(f"{self.root}/seals")
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(staging)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        self._delete(f"{self.root}/_staging")
         return n
 
     def audit(self) -> int:

@@ -1,8 +1,10 @@
 """The reporting mart: date-partitioned Parquet tables, aggregates that tie to their facts, and snapshots.
 
 A date is replaced by staging its partition beside the table and swapping the
-folder, so a re-run leaves no trace of the run before and other dates are not
-touched; an empty day drops its partition.  File operations go through Hadoop's
+folders: the old one is moved aside, the new one in, and the old one deleted last.
+What a crash leaves aside is moved back when the mart is opened.  A re-run leaves no
+trace of the run before, other dates are not touched, and an empty day drops its
+partition.  File operations go through Hadoop's
 FileSystem, so the mart may be in any store that Spark writes to.
 """
 
@@ -90,6 +92,18 @@ class Mart:
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
+        self._recover()
+
+    def _recover(self) -> None:
+        """Moves back the dates that a crash left aside without their new folder in place; deletes the rest."""
+        aside, fs = self._path(f"{self.root}/_aside")
+        for table in fs.listStatus(aside) if fs.exists(aside) else ():
+            for day in fs.listStatus(table.getPath()):
+                target, _ = self._path(f"{self.root}/{table.getPath().getName()}/{day.getPath().getName()}")
+                if not fs.exists(target):
+                    fs.mkdirs(target.getParent())
+                    fs.rename(day.getPath(), target)
+        fs.delete(aside, True)
 
     def _path(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -112,15 +126,26 @@ class Mart:
         rows.where(F.col("business_date") == F.lit(day).cast("date")).drop("business_date").write.parquet(staging)
         target, fs = self._path(f"{self.root}/{name}/business_date={day}")
         staged, _ = self._path(staging)
+        aside, _ = self._path(f"{self.root}/_aside/{name}/business_date={day}")
+        empty = self.spark.read.parquet(staging).isEmpty()
         fs.mkdirs(target.getParent())
-        fs.delete(target, True)
-        if self.spark.read.parquet(staging).isEmpty():
-            fs.delete(staged, True)
-        elif not fs.rename(staged, target):
-            raise OSError(f"{staging} could not be moved to {target}")
+        fs.mkdirs(aside.getParent())
+        if fs.exists(target) and not fs.rename(target, aside):
+            raise OSError(f"{target.toString()} could not be moved aside")
+        if not empty and not fs.rename(staged, target):
+            self._recover()
+            raise OSError(f"{staging} could not be moved to {target.toString()}")
+        fs.delete(aside, True)
+        fs.delete(staged, True)
         self.spark.catalog.refreshByPath(f"{self.root}/{name}")
         return had
 
+    def load(self, name: str, rows: DataFrame) -> None:
+        """Replaces every date that ``rows`` has, in one job (other dates stay)."""
+        tidy = rows.select([c.split()[0] for c in FACTS[name].split(", ")])
+        tidy.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("business_date").parquet(f"{self.root}/{name}")
+        self.spark.catalog.refreshByPath(f"{self.root}/{name}")
+
     def load_day(self, day: str, records: DataFrame, breaks: DataFrame) -> dict[str, int]:
         """Replaces a date in the fact tables and rebuilds its aggregates; counts of what was replaced."""
         gone = {"fct_source_record": self.replace("fct_source_record", day, records), "fct_break": self.replace("fct_break", day, breaks)}
@@ -133,6 +158,9 @@ class Mart:
     def rows_for(self, name: str, day: str) -> int:
         return self.table(name).where(F.col("business_date") == F.lit(day).cast("date")).count()
 
+    def rows_by_date(self, name: str = "fct_source_record") -> DataFrame:
+        return self.table(name).groupBy("business_date").agg(F.count("*").alias("n_rows"))
+
     def dates(self, name: str = "fct_source_record") -> DataFrame:
         return self.table(name).select("business_date").distinct().orderBy("business_date")
 

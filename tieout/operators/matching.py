@@ -1,14 +1,14 @@
 """Two-sided reconciliation: one shuffle on the reference, then a first-match-wins cascade.
 
 Both sides are tagged, stacked and grouped once, so no join is planned; the
-representative of a side is its first record in file order.  Aggregation buffers
-hold numbers and dates only (a currency is held as the number that its bytes
-spell), so both aggregation steps hash and neither sorts.
+representative of a side is its first record in file order, taken whole.  (Without
+a line number a record comes before those that have one.)
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tieout.functions.calendar import business_days
@@ -17,29 +17,29 @@ from tieout.policy import DEFAULT, Policy
 _FIELDS = ("amount_minor", "business_date", "currency")
 
 
-def _spelled(code: Column) -> Column:
-    """A currency code of at most seven bytes as a number (longer ones by their first seven)."""
-    return F.when(code == "", 0).otherwise(F.conv(F.hex(F.substring(F.encode(code, "UTF-8"), 1, 7)), 16, 10).cast("bigint"))
+def _stacked(core: DataFrame, proc: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Records of both sides with ``is_core``."""
 
+    def side(df: DataFrame, is_core: bool) -> DataFrame:
+        file = F.col("source_file") if "source_file" in df.columns else F.lit("")
+        return df.select(*keys, *_FIELDS, file.alias("source_file"), "line_no", F.lit(is_core).alias("is_core"))
 
-def _code(number: Column) -> Column:
-    return F.when(number == 0, "").otherwise(F.decode(F.unhex(F.hex(number)), "UTF-8"))
+    return side(core, True).unionByName(side(proc, False))
 
 
-def pair(core: DataFrame, proc: DataFrame) -> DataFrame:
+def pair(core: DataFrame, proc: DataFrame, keys: tuple[str, ...] = ("ref",)) -> DataFrame:
     """One row per reference: copies on each side and the fields of each side's first record."""
-    columns = ["ref", "amount_minor", "business_date", _spelled(F.col("currency")).alias("currency"), "line_no"]
-    both = core.select(*columns, F.lit(True).alias("is_core")).unionByName(proc.select(*columns, F.lit(False).alias("is_core")))
 
-    def first(side: str, is_core: Column) -> list[Column]:
-        # min_by over non-null order keys of one side; the other side's rows have a null key and never win.
-        order = F.when(is_core, F.col("line_no"))
-        return [F.min_by(F.when(is_core, F.col(c)), order).alias(f"{side}_{c}") for c in _FIELDS]
+    def first(is_core: Column) -> Column:
+        # The order key of the other side's rows is null, so they never win.
+        return F.min_by(F.struct(*_FIELDS), F.when(is_core, F.struct("source_file", "line_no")))
 
     c, p = F.col("is_core"), ~F.col("is_core")
-    grouped = both.groupBy("ref").agg(F.count_if(c).alias("n_core"), F.count_if(p).alias("n_proc"), *first("core", c), *first("proc", p))
-    named = grouped.withColumnsRenamed({"core_amount_minor": "core_amount", "proc_amount_minor": "proc_amount"})
-    return named.withColumns({c: _code(F.col(c)) for c in ("core_currency", "proc_currency")})
+    grouped = _stacked(core, proc, keys).groupBy(*keys).agg(F.count_if(c).alias("n_core"), F.count_if(p).alias("n_proc"), first(c).alias("c"), first(p).alias("p"))
+    return grouped.select(
+        *keys, "n_core", "n_proc", F.col("c.amount_minor").alias("core_amount"), F.col("c.business_date").alias("core_business_date"), F.col("c.currency").alias("core_currency"),
+        F.col("p.amount_minor").alias("proc_amount"), F.col("p.business_date").alias("proc_business_date"), F.col("p.currency").alias("proc_currency"),
+    )
 
 
 def fee_fits(core: Column, proc: Column, policy: Policy = DEFAULT) -> Column:
@@ -49,7 +49,7 @@ def fee_fits(core: Column, proc: Column, policy: Policy = DEFAULT) -> Column:
     return (core != 0) & ((core > 0) == (proc > 0)) & (taken > 0) & taken.between(policy.fee_min_minor, most)
 
 
-def verdicts(core: DataFrame, proc: DataFrame, as_of: str, policy: Policy = DEFAULT) -> DataFrame:
+def verdicts(core: DataFrame, proc: DataFrame, as_of: str, policy: Policy = DEFAULT, keys: tuple[str, ...] = ("ref",)) -> DataFrame:
     """One row per reference with its verdict, status, amounts, dates, age, and copies that were not looked at."""
     c, p = F.col("core_amount"), F.col("proc_amount")
     gap = business_days(F.col("core_business_date"), F.col("proc_business_date"))
@@ -66,10 +66,10 @@ def verdicts(core: DataFrame, proc: DataFrame, as_of: str, policy: Policy = DEFA
         .otherwise("amount_unknown")
     )
     status = F.when(F.col("verdict") == "exact", "matched").when(F.col("verdict").isin("timing", "amount_fx", "amount_fee"), "matched_flagged").otherwise("open")
-    out = pair(core, proc).withColumn("verdict", verdict).withColumn("status", status)
+    out = pair(core, proc, keys).withColumn("verdict", verdict).withColumn("status", status)
     out = out.withColumn("business_date", F.coalesce("core_business_date", "proc_business_date"))
     return out.select(
-        "ref",
+        *keys,
         "verdict",
         "status",
         "n_core",
@@ -92,11 +92,14 @@ def breaks(core: DataFrame, proc: DataFrame, as_of: str, policy: Policy = DEFAUL
     age = business_days(F.col("business_date"), F.lit(as_of).cast("date")).cast("bigint")
     null = F.lit(None).cast("bigint")
 
-    def one_sided(side: DataFrame, other: DataFrame, is_core: bool) -> DataFrame:
-        amounts = {"core_amount": F.col("amount_minor") if is_core else null, "proc_amount": null if is_core else F.col("amount_minor")}
-        absent = "processor" if is_core else "core"
-        rest = {"break_type": F.lit("missing"), "status": F.lit("open"), "variance_minor": null, "age_days": age, "detail": F.lit(f"no record on the {absent} side")}
-        return side.join(other.select("ref"), "ref", "left_anti").withColumns(amounts | rest).select(*columns)
+    # Records of references that the other side does not have, from one more shuffle of the stacked sides.
+    other = F.when(F.col("is_core"), F.count_if(~F.col("is_core")).over(W.partitionBy("ref"))).otherwise(F.count_if("is_core").over(W.partitionBy("ref")))
+    alone = _stacked(core, proc, ("ref",)).withColumn("other", other).where("other = 0")
+    one_sided = alone.select(
+        "ref", F.lit("missing").alias("break_type"), F.lit("open").alias("status"), F.when(F.col("is_core"), F.col("amount_minor")).alias("core_amount"),
+        F.when(~F.col("is_core"), F.col("amount_minor")).alias("proc_amount"), null.alias("variance_minor"), "business_date", age.alias("age_days"), "line_no",
+        F.when(F.col("is_core"), "no record on the processor side").otherwise("no record on the core side").alias("detail"),
+    )
 
     delta = F.format_string("difference of %d minor units", F.col("variance_minor"))
     detail = (
@@ -107,7 +110,7 @@ def breaks(core: DataFrame, proc: DataFrame, as_of: str, policy: Policy = DEFAUL
     )
     matched = verdicts(core, proc, as_of, policy).where("verdict not in ('exact', 'missing')")
     both = matched.withColumn("detail", detail).withColumn("line_no", null).withColumnRenamed("verdict", "break_type").select(*columns)
-    return both.unionByName(one_sided(core, proc, True)).unionByName(one_sided(proc, core, False))
+    return both.unionByName(one_sided)
 
 
 def match_rate(verdict: DataFrame) -> DataFrame:
@@ -131,13 +134,13 @@ def summary(verdict: DataFrame) -> DataFrame:
 
 
 def sliced(core: DataFrame, proc: DataFrame, days: list[str], as_of: str, policy: Policy = DEFAULT, lookback: int = 0) -> DataFrame:
-    """Verdicts per business date, each side cut by its own date (``lookback``: days the processor side may be off)."""
-    out = None
-    for day in days:
-        d = F.lit(day).cast("date")
-        near = F.col("business_date") == d if not lookback else F.abs(F.datediff("business_date", d)) <= lookback
-        one = verdicts(core.where(F.col("business_date") == d), proc.where(near), as_of, policy).withColumn("run_date", d)
-        if lookback:
-            one = one.where("n_core > 0 or business_date = run_date")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Verdicts per business date, each side cut by its own date (``lookback``: days the processor side may be off).
+
+    The date is part of the grouping key, so all dates are one shuffle; a record of
+    the processor side goes to each date it is near to.
+    """
+    listed = F.array(*(F.lit(day).cast("date") for day in days))
+    near = F.filter(listed, lambda day: F.abs(F.datediff(F.col("business_date"), day)) <= lookback)
+    own = core.where(F.col("business_date").isin(*days)).withColumn("run_date", F.col("business_date"))
+    out = verdicts(own, proc.withColumn("run_date", F.explode(near)), as_of, policy, ("run_date", "ref"))
+    return out.where("n_core > 0 or business_date = run_date") if lookback else out

@@ -96,7 +96,10 @@ _ATTEMPT = """SELECT b.ref, b.break_type, ['timing_confirmed', 'fx_rounding_acce
 _BODIES = {
     "recon_verdicts": "SELECT ref, verdict, status, n_core, n_proc, core_amount, proc_amount, variance_minor, core_currency, proc_currency, business_date, proc_business_date, age_days, ignored_copies FROM v",
     "recon_summary": f"SELECT {_SUMMARY} FROM v GROUP BY verdict, status",
-    "recon_breaks": "SELECT ref, break_type, status, core_amount, proc_amount, variance_minor, business_date, age_days FROM brk",
+    "recon_breaks": """SELECT ref, verdict AS break_type, status, core_amount, proc_amount, variance_minor, business_date, age_days, NULL::BIGINT AS line_no, CASE verdict
+      WHEN 'duplicate' THEN n_core || ' core and ' || n_proc || ' processor copies' WHEN 'timing' THEN 'booked ' || CAST(business_date AS VARCHAR) || ' and ' || CAST(proc_business_date AS VARCHAR)
+      WHEN 'sign' THEN 'opposite signs' ELSE 'difference of ' || variance_minor || ' minor units' END AS detail FROM v WHERE verdict NOT IN ('exact', 'missing')
+      UNION ALL SELECT ref, break_type, status, core_amount, proc_amount, variance_minor, business_date, age_days, line_no, CASE WHEN core_amount IS NULL THEN 'no record on the core side' ELSE 'no record on the processor side' END FROM brk WHERE break_type = 'missing'""",
     "recon_match_rate": """SELECT *, matched_exact + matched_tolerance AS total_matched, (matched_exact + matched_tolerance) * 1000000 // universe AS rate_ppm FROM (SELECT
       CAST(sum(CASE WHEN verdict = 'exact' THEN 1 WHEN verdict = 'duplicate' THEN least(n_core, n_proc) ELSE 0 END) AS BIGINT) AS matched_exact, count(*) FILTER (WHERE status = 'matched_flagged') AS matched_tolerance, count(*) AS universe FROM v)""",
     "recon_tolerance_notes": "SELECT CASE verdict WHEN 'timing' THEN 'date_within_tolerance' WHEN 'amount_fx' THEN 'fx_rounding' ELSE 'fee_schedule' END AS rule, count(*) AS n FROM v WHERE status = 'matched_flagged' GROUP BY 1",
@@ -153,7 +156,22 @@ _BODIES = {
     "queue_resolution_validation": f"""SELECT ref, break_type, code, role, CASE WHEN code = 'made_up' THEN 'unknown code' WHEN NOT known THEN 'unknown break'
       WHEN (CASE role WHEN 'analyst' THEN 1 WHEN 'supervisor' THEN 2 WHEN 'controller' THEN 3 ELSE 0 END) < (CASE code WHEN 'counterparty_error' THEN 2 WHEN 'written_off' THEN 3 ELSE 1 END) THEN 'role too low'
       WHEN abs(COALESCE(v, 0)) > (CASE code WHEN 'fx_rounding_accepted' THEN 1000 WHEN 'written_off' THEN 10000 ELSE 9223372036854775807 END) THEN 'over the limit' END AS reason FROM ({_ATTEMPT})""",
-    "queue_history": "SELECT DISTINCT ref, break_type, 'open' AS status, CAST(2 AS BIGINT) AS n_events FROM brk WHERE break_type = 'sign'",
+    "queue_history": """SELECT CAST(i AS BIGINT) AS event_id, ref, 'sign' AS break_type, ['opened', 'reopened'][i] AS action, [NULL, 'resolved'][i] AS from_status, 'open' AS to_status, 'opposite signs' AS detail
+      FROM (SELECT min(ref) AS ref FROM brk WHERE break_type = 'sign') r, (VALUES (1), (2)) t(i)""",
+    "foureyes_fast_reviews": "SELECT request_id, ref, action AS state, seconds FROM decided WHERE reason IS NULL AND seconds < 10 ORDER BY request_id LIMIT 10",
+    "signoff_lifecycle": """SELECT * FROM (VALUES (0, 'early use', 'it is pending'), (1, 'own approval', 'request 1 needs another person to decide'), (2, 'approval', 'done'), (3, 'rejection', 'done'), (4, 'approval without time', 'done'),
+      (5, 'other plan', 'the plan has changed since'), (6, 'use', 'done'), (7, 'use of expired', 'it has expired'), (8, 'consumption', 'done'), (9, 'second use', 'it was used before'),
+      (100, 'request 1', 'approved used'), (100, 'request 2', 'rejected'), (100, 'request 3', 'approved')) t(place, subject, outcome)""",
+    "backfill_authorisation": "SELECT * FROM (VALUES ('allowed', NULL), ('pending', 'it is pending'), ('used', 'it was used before'), ('expired', 'it has expired'), ('changed', 'the plan has changed since')) t(scenario, reason)",
+    "pipeline_run": f""", dcore AS (SELECT * FROM core WHERE business_date = DATE '2026-03-03'), dproc AS (SELECT * FROM proc WHERE business_date = DATE '2026-03-03'), {_match('dv', 'dcore', 'dproc')},
+      dbrk AS (SELECT ref, verdict AS break_type, status FROM dv WHERE verdict NOT IN ('exact', 'missing') UNION ALL SELECT ref, 'missing', 'open' FROM (SELECT * FROM dcore UNION ALL SELECT * FROM dproc) WHERE ref IN (SELECT ref FROM dv WHERE verdict = 'missing')),
+      told AS (SELECT (SELECT count(*) FROM core) AS nc, (SELECT count(*) FROM proc) AS np, (SELECT count(*) FROM dcore) AS dc, (SELECT count(*) FROM dproc) AS dp,
+        (SELECT CAST(sum(CASE WHEN verdict = 'exact' THEN 1 WHEN verdict = 'duplicate' THEN least(n_core, n_proc) ELSE 0 END) AS BIGINT) FROM dv) AS exact, (SELECT count(*) FROM dv WHERE status = 'matched_flagged') AS flagged,
+        (SELECT count(*) FROM dv) AS universe, (SELECT count(*) FROM dbrk) AS breaks, (SELECT count(*) FROM (SELECT DISTINCT ref, break_type FROM dbrk WHERE status = 'open')) AS opened,
+        (SELECT CAST(sum(amount_minor) AS BIGINT) FROM (SELECT * FROM dcore UNION ALL SELECT * FROM dproc)) AS minor)
+      SELECT task, 'success' AS state, metric, CAST(value AS BIGINT) AS value FROM told, LATERAL (VALUES ('ingest_core', 'file_rows', nc), ('ingest_core', 'rows', dc), ('ingest_processor', 'file_rows', np), ('ingest_processor', 'rows', dp),
+        ('validate', 'core', dc), ('validate', 'proc', dp), ('reconcile', 'matched_exact', exact), ('reconcile', 'matched_tolerance', flagged), ('reconcile', 'universe', universe), ('reconcile', 'breaks', breaks), ('load_breaks', 'open', opened),
+        ('verify_controls', 'fact_count', dc + dp), ('verify_controls', 'fact_minor', minor), ('verify_controls', 'agg_count', dc + dp), ('verify_controls', 'agg_minor', minor), ('load_mart', NULL, NULL), ('build_aggregates', NULL, NULL)) t(task, metric, value)""",
     "foureyes_routing": "SELECT request_id, ref, amount_minor, state FROM routed",
     "foureyes_decisions": "SELECT request_id, action, reason, seconds FROM decided",
     "foureyes_review_speed": "SELECT count(*) AS reviewed, count(*) FILTER (WHERE seconds < 10) AS suspiciously_fast FROM decided WHERE reason IS NULL",

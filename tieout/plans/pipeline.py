@@ -86,10 +86,17 @@ def build(day: Day, sla_s: float = 60.0) -> Dag:
         records, rows = m.fact_records(context["core"], context["proc"]), m.fact_breaks(context["breaks"])
         days = [day.business_date] if day.business_date else sorted({str(r[0]) for df in (records, rows) for r in df.select("business_date").distinct().collect()})
         context["days"] = days
+        if day.business_date is None:
+            mart.load("fct_source_record", records)
+            mart.load("fct_break", rows)
+            return {"dates": len(days)}
         return {d: {"fct_source_record": mart.replace("fct_source_record", d, records), "fct_break": mart.replace("fct_break", d, rows)} for d in days}
 
     def aggregates(context):
         mart = m.Mart(spark, day.mart_root)
+        if day.business_date is None:
+            mart.load("agg_daily_settlement", m.daily_settlement(mart.table("fct_source_record")))
+            return {"dates": len(context["days"])}
         return {d: mart.build_aggregates(d) for d in context["days"]}
 
     def verify(context):

@@ -49,16 +49,21 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return placed.join(offsets, ["f", "b"]).select(F.element_at(F.split("f", "/"), -1).alias("source_file"), (F.col("ahead") + F.col("i")).cast("bigint").alias("line_no"), "value")
 
 
+def bare_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines without their numbers, for totals (no shuffle)."""
+    return spark.read.text(path).select(F.lit("").alias("source_file"), F.lit(None).cast("bigint").alias("line_no"), "value")
+
+
 def _cut(name: str, fields: dict) -> Column:
     start, length = fields[name]
     return F.trim(F.substring("value", start, length))
 
 
-def fixed_width(lines: DataFrame, source: str = "core") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(records, rejects, trailers) of numbered lines."""
+def parsed_width(lines: DataFrame, source: str = "core") -> DataFrame:
+    """Every line but headers and blank ones: record fields, ``reason`` to reject it, and what a trailer declares."""
     code = F.substring("value", 1, 2)
     body = lines.where(F.trim("value") != "").withColumn("code", code).where("code <> '01'")
-    detail = body.where("code <> '99'").select(
+    detail = body.select(
         "source_file",
         "line_no",
         "code",
@@ -69,15 +74,21 @@ def fixed_width(lines: DataFrame, source: str = "core") -> tuple[DataFrame, Data
         _cut("currency", DETAIL).alias("currency"),
         _cut("kind", DETAIL).alias("kind"),
         F.lit(source).alias("source"),
+        _cut("count", TRAILER).try_cast("bigint").alias("count"),
+        _cut("total", TRAILER).try_cast("bigint").alias("total"),
     )
-    reason = F.when(F.col("code") != "16", "unknown record code").when(F.col("ref") == "", "no reference").when(F.col("business_date").isNull(), "bad date").when(F.col("amount_minor").isNull(), "bad amount")
-    checked = detail.withColumn("reason", reason)
-    trailers = body.where("code = '99'").select("source_file", "line_no", _cut("count", TRAILER).try_cast("bigint").alias("count"), _cut("total", TRAILER).try_cast("bigint").alias("total"))
-    return checked.where("reason is null").select(*_COLUMNS), checked.where("reason is not null").select("source_file", "line_no", "reason"), trailers
+    reason = F.when(F.col("code") == "99", "trailer").when(F.col("code") != "16", "unknown record code").when(F.col("ref") == "", "no reference").when(F.col("business_date").isNull(), "bad date").when(F.col("amount_minor").isNull(), "bad amount")
+    return detail.withColumn("reason", reason)
 
 
-def json_events(lines: DataFrame, source: str = "processor") -> tuple[DataFrame, DataFrame]:
-    """(records, rejects) of numbered JSON lines; keys that are missing, null or of another type reject a line."""
+def fixed_width(lines: DataFrame, source: str = "core") -> tuple[DataFrame, DataFrame]:
+    """(records, rejects) of numbered lines."""
+    parsed = parsed_width(lines, source)
+    return parsed.where("reason is null").select(*_COLUMNS), parsed.where("reason <> 'trailer'").select("source_file", "line_no", "reason")
+
+
+def parsed_json(lines: DataFrame, source: str = "processor") -> DataFrame:
+    """Record fields and ``reason`` to reject a JSON line: keys that are missing, null or of another type."""
     v = F.try_parse_json("value")
     text = lambda key: F.try_variant_get(v, f"$.{key}", "string")
     kind = lambda key: F.expr(f"schema_of_variant(try_variant_get(try_parse_json(value), '$.{key}', 'variant'))")
@@ -91,8 +102,20 @@ def json_events(lines: DataFrame, source: str = "processor") -> tuple[DataFrame,
     for k in strings:
         missing = missing | F.col(k).isNull()
     reason = F.when(~F.col("json"), "not JSON").when(missing, "missing field").when(F.col("business_date").isNull(), "bad date").when(F.col("amount_minor").isNull(), "bad amount")
-    checked = parsed.withColumn("reason", reason)
-    return checked.where("reason is null").select(*_COLUMNS), checked.where("reason is not null").select("source_file", "line_no", "reason")
+    return parsed.withColumn("reason", reason)
+
+
+def json_events(lines: DataFrame, source: str = "processor") -> tuple[DataFrame, DataFrame]:
+    """(records, rejects) of numbered JSON lines."""
+    parsed = parsed_json(lines, source)
+    return parsed.where("reason is null").select(*_COLUMNS), parsed.where("reason is not null").select("source_file", "line_no", "reason")
+
+
+def _counted(parsed: DataFrame, *more: Column):
+    """One row: records, the sum of their absolute amounts, and rejects (one pass, no shuffle but of one row a task)."""
+    fine = F.col("reason").isNull()
+    total = F.coalesce(F.sum(F.when(fine, F.abs("amount_minor"))), F.lit(0)).alias("total")
+    return parsed.agg(F.count_if(fine).alias("n"), total, F.count_if(F.col("reason") != "trailer").alias("bad"), *more).first()
 
 
 def control_totals(records: DataFrame) -> DataFrame:
@@ -102,22 +125,21 @@ def control_totals(records: DataFrame) -> DataFrame:
 
 def read_batch(spark: SparkSession, path: str, source: str = "core") -> Ingested:
     """A fixed-width batch; raises before anything is loaded if it is not what its trailer declares."""
-    records, rejects, trailers = fixed_width(numbered_lines(spark, path), source)
-    declared = trailers.limit(2).collect()
-    if len(declared) != 1 or declared[0]["count"] is None or declared[0]["total"] is None:
-        raise ControlTotalMismatch(f"{path} has {len(declared)} readable trailers, not one")
-    row, bad = control_totals(records).first(), rejects.count()
-    out = Ingested(records, rejects, declared[0]["count"], declared[0]["total"], row["n"], row["total"], bad)
+    trailer = F.col("reason") == "trailer"
+    declared = [F.max(F.when(trailer, F.col(c))).alias(f"declared_{c}") for c in ("count", "total")]
+    row = _counted(parsed_width(bare_lines(spark, path), source), F.count_if(trailer).alias("trailers"), *declared)
+    if row["trailers"] != 1 or row["declared_count"] is None or row["declared_total"] is None:
+        raise ControlTotalMismatch(f"{path} has {row['trailers']} trailers, not one that is readable")
+    out = Ingested(*fixed_width(numbered_lines(spark, path), source), row["declared_count"], row["declared_total"], row["n"], row["total"], row["bad"])
     if not out.ok:
-        raise ControlTotalMismatch(f"{path}: {out.parsed_count} of {out.declared_count} records, total {out.parsed_total} of {out.declared_total}, {bad} rejected")
+        raise ControlTotalMismatch(f"{path}: {out.parsed_count} of {out.declared_count} records, total {out.parsed_total} of {out.declared_total}, {out.rejected} rejected")
     return out
 
 
 def read_events(spark: SparkSession, path: str, source: str = "processor") -> Ingested:
     """JSON event lines; what was parsed counts as declared, so only rejects are held against it."""
-    records, rejects = json_events(numbered_lines(spark, path), source)
-    row = control_totals(records).first()
-    return Ingested(records, rejects, row["n"], row["total"], row["n"], row["total"], rejects.count())
+    row = _counted(parsed_json(bare_lines(spark, path), source))
+    return Ingested(*json_events(numbered_lines(spark, path), source), row["n"], row["total"], row["n"], row["total"], row["bad"])
 
 
 def read_transport(spark: SparkSession, path: str) -> DataFrame:
