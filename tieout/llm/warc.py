@@ -115,23 +115,23 @@ def records(captures: DataFrame) -> DataFrame:
 
 def write(captures: DataFrame, path: str, target_bytes: int = TARGET_BYTES) -> None:
     """Archives of about ``target_bytes`` (before compression) below ``path``."""
-    end = CRLF + CRLF
+    end = (CRLF + CRLF).encode()
 
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        archive = lambda held: pa.record_batch([pa.array([end.join(held)], pa.string())], ["value"])
-        held: list[str] = []
+        archive = lambda held: pa.record_batch([pa.array([end.join(held)], pa.binary()).cast(pa.string())], ["value"])
+        held: list[bytes] = []
         size = 0
         for batch in batches:
-            for value in batch.column(0).to_pylist():
-                held.append(value)
-                size += len(value.encode())
+            for value in batch.column(0).cast(pa.binary()):
+                held.append(value.as_buffer().to_pybytes())
+                size += len(held[-1])
                 if size >= target_bytes:
                     yield archive(held)
                     held, size = [], 0
         if held:
             yield archive(held)
 
-    records(captures).mapInArrow(filled, "value string").write.option("lineSep", end).option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
+    records(captures).mapInArrow(filled, "value string").write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
 
 
 _RECORD = "record_type string, record_id string, concurrent_to string, target_uri string, header_digest string, refers_to string, payload_bytes bigint, payload_digest string, fields map<string,string>"
