@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 16 << 20
@@ -42,9 +42,10 @@ def unpack(payload: bytes) -> pa.Table:
     return pa.ipc.open_stream(payload).read_all()
 
 
-def pack(docs: DataFrame, columns: list[str], n: int) -> DataFrame:
-    """Rows ``(block, payload)``: Arrow tables of ``columns``, dealt to ``n`` blocks by id hash."""
-    dealt = docs.select(F.pmod(F.xxhash64(columns[0]), F.lit(n)).cast("int").alias("_block"), *columns)
+def pack(docs: DataFrame, columns: list[str], n: int, block: Column | None = None) -> DataFrame:
+    """Rows ``(block, payload)``: Arrow tables of ``columns``, dealt to ``n`` blocks by id hash (or as ``block`` says)."""
+    block = F.pmod(F.xxhash64(columns[0]), F.lit(n)) if block is None else block
+    dealt = docs.select(block.cast("int").alias("_block"), *columns)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:

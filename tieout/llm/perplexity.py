@@ -52,6 +52,13 @@ def half_of(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.xxhash64(F.lit(5), doc_id), F.lit(2)).cast("string")
 
 
+def block_of(n: int) -> Column:
+    """A block holds documents of one half only, so that it asks one model of a language."""
+    if n < 2:
+        return F.lit(0)
+    return F.pmod(F.xxhash64("doc_id"), F.lit(n // 2)) * 2 + half_of().cast("int")
+
+
 def other_half(model: str) -> str:
     """The model that the documents which ``model`` scores are trained into."""
     return {"0": "1", "1": "0"}[model[0]] + model[1:]
@@ -59,7 +66,7 @@ def other_half(model: str) -> str:
 
 def _model(packed: DataFrame, trusted: DataFrame, n: int) -> DataFrame:
     """(model, rank, key, n, d1, d2, d3): the orders, and the discounts of each under rank -order."""
-    train = trusted.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block"), "doc_id")
+    train = trusted.select(block_of(n).cast("int").alias("block"), "doc_id")
     levels = kneser_ney.tables(kneser_ney.count(packed, train, other_half))
     cuts = kneser_ney.discounts(levels).select("model", (-F.col("rank")).alias("rank"), F.lit(0).cast("bigint").alias("key"), F.lit(0).cast("bigint").alias("n"), "d1", "d2", "d3")
     none = F.lit(None).cast("double")
@@ -191,7 +198,7 @@ def _scored(docs: DataFrame, trusted: DataFrame, fields: str, measured: bool = F
     """A row of ``fields`` for every document, with its loss under the sharded model of the other half."""
     n = runtime.partitions(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.concat(half_of(), F.coalesce(F.col("lang").cast("string"), F.lit(""))).alias("model"), F.col("text").cast("string").alias("text"), *carry)
-    packed = blocks.pack(docs, ["doc_id", "model", "text", *carry], n)
+    packed = blocks.pack(docs, ["doc_id", "model", "text", *carry], n, block_of(n))
     model = sharded(_model(packed, trusted, n), n)
     requests = blocks.per_block(packed, requests_of(n), REQUESTS)
     replies = requests.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(_join, REPLIES)
