@@ -216,10 +216,11 @@ def roundtrip(pages: DataFrame, path: str | None = None) -> DataFrame:
     path = path or archive_folder(spark)
     write(planned(pages), path)
     field = lambda name: F.col("metadata.fields")[name].cast("bigint")
-    told = assemble(read(spark, path)).select(
+    # Used three times below: settled, so that the archives are read once.
+    told = runtime.settled(assemble(read(spark, path)).select(
         field("pageId").alias("page_id"), field("payloadBytes").alias("told_bytes"), "response.record_type", "response.record_id", "response.header_digest",
         "response.refers_to", "response.payload_bytes", "response.payload_digest", F.pmod(F.xxhash64("response.record_id"), F.lit(SALTS)).cast("int").alias("salt"),
-    )
+    ))
     # One response may be referred to by a third of all rows, so it is met in SALTS tasks.
     asked = told.where("refers_to is not null").select(F.col("refers_to").alias("record_id")).distinct()
     origin = told.join(asked, "record_id", "left_semi").select(
