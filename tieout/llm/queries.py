@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tieout.llm import contamination, jaccard, licenses, mixing, perplexity, runtime, substring, suffixes, urls, warc
+from tieout.llm import codes, contamination, exact, jaccard, licenses, mixing, oracles, perplexity, runtime, substring, suffixes, tries, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.encode(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.mark(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
@@ -69,6 +81,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc_roundtrip": op8_warc_roundtrip,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_decontamination": op10_decontamination,
+        "op11_conversation_trie": op11_conversation_trie,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_exact_dedup": op13_exact_dedup,
     }
 
 
@@ -136,4 +151,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_source_mixing": OP6_SQL,
         "op8_warc_roundtrip": OP8_SQL,
         "op9_suffix_dedup": OP9_SQL,
+        "op11_conversation_trie": oracles.OP11_SQL,
+        "op12_vector_codes": oracles.OP12_SQL,
+        "op13_exact_dedup": oracles.OP13_SQL,
     }
