@@ -29,6 +29,7 @@ from tieout.llm import runtime
 FILTER_BYTES = 64 << 20
 BITS_A_KEY = 16
 MAX_PROBES = 4
+HOT = 1000
 _FLUSH = 1 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -175,6 +176,13 @@ def _hash() -> Column:
     return F.xxhash64("sha")
 
 
+def _joined(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows with their groups.  Groups of a HOT-th of the rows, HOT at most, are broadcast, and their rows do not shuffle."""
+    large = F.col("group_size") * HOT >= rows.count()
+    hot = rows.join(F.broadcast(groups.where(large)), "sha", "left")
+    return hot.where("group_size is not null").unionByName(hot.where("group_size is null").drop("group_size", "last").join(groups.where(~large), "sha"))
+
+
 def mark(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """One row per row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -188,8 +196,8 @@ def mark(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", filter_byt
     tested = rows.withColumn("maybe", maybe(_hash()))
     alone = tested.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "sha")
     repeated = runtime.settled(tested.where("maybe").drop("maybe")).withColumn("place", F.monotonically_increasing_id())
-    groups = repeated.groupBy("sha").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "place")).alias("last"))
-    together = repeated.join(groups, "sha").select("doc_id", F.col("last.doc_id").alias("keep_id"), "group_size", (F.col("place") == F.col("last.place")).alias("kept"), "sha")
+    groups = runtime.settled(repeated.groupBy("sha").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "place")).alias("last")))
+    together = _joined(repeated, groups).select("doc_id", F.col("last.doc_id").alias("keep_id"), "group_size", (F.col("place") == F.col("last.place")).alias("kept"), "sha")
     return alone.unionByName(together).withColumn("text_sha256", F.lower(F.hex("sha"))).drop("sha")
 
 
