@@ -169,20 +169,3 @@ def test_a_batch_without_a_seal_does_not_count(spark, tmp_path):
     assert ledger.audit() == 3 and {(r["event_id"], r["ref"]) for r in ledger.events().collect()} == {(1, "a"), (2, "b"), (3, "c")}
 
 
-def test_a_date_survives_a_crash_between_the_renames(spark, sf, tmp_path):
-    from tieout.operators.mart import Mart, fact_records
-
-    root = tmp_path / "mart"
-    facts = fact_records(feeds.core(spark, sf), feeds.processor(spark, sf))
-    store = Mart(spark, f"file:{root}")
-    store.load("fct_source_record", facts)
-    before = {str(r[0]): r[1] for r in store.rows_by_date().collect()}
-    day = "2026-03-03"
-    aside = root / "_aside" / "fct_source_record"
-    aside.mkdir(parents=True)
-    (root / "fct_source_record" / f"business_date={day}").rename(aside / f"business_date={day}")
-    assert Mart(spark, f"file:{root}").rows_for("fct_source_record", day) == before[day]
-    assert store.replace("fct_source_record", day, facts) == before[day]
-    assert {str(r[0]): r[1] for r in store.rows_by_date().collect()} == before and not list(aside.glob("*"))
-    store.replace("fct_source_record", day, facts.limit(0))
-    assert store.rows_for("fct_source_record", day) == 0 and len(store.dates().collect()) == len(before) - 1

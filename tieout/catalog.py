@@ -12,8 +12,10 @@ from tieout.plans import backfill, pipeline
 from tieout.policy import Policy
 from tieout.sources import feeds, ingest, writers
 from tieout.streaming import completeness as live
+from tieout.streaming import silence
 
-CLOSE = feeds.CLOSE
+CLOSE, FIRST_CLOSE = feeds.CLOSE, feeds.FIRST_CLOSE
+EXPECTED = ["p0", "p9"]
 CELL = {"business_date": "2026-03-03", "currency": "EUR"}
 DAYS = [f"2026-03-0{d}" for d in range(2, 7)]
 
@@ -51,13 +53,11 @@ def recon_tolerance_notes(spark, d):
 
 
 def recon_missing_core(spark, d):
-    core, proc = _feeds(spark, d)
-    return proc.join(core.select("ref"), "ref", "left_anti").select("ref", "business_date", "amount_minor", "line_no")
+    return _breaks(spark, d).where("break_type = 'missing' and core_amount is null").select("ref", "business_date", F.col("proc_amount").alias("amount_minor"), "line_no")
 
 
 def recon_missing_proc(spark, d):
-    core, proc = _feeds(spark, d)
-    return core.join(proc.select("ref"), "ref", "left_anti").select("ref", "business_date", "amount_minor", "line_no")
+    return _breaks(spark, d).where("break_type = 'missing' and proc_amount is null").select("ref", "business_date", F.col("core_amount").alias("amount_minor"), "line_no")
 
 
 def _of(verdict):
@@ -213,14 +213,33 @@ def mart_rows_for(spark, d):
 
 
 def mart_replace_date(spark, d):
-    """Loads two dates, one of them twice, empties the other, and reads back what is there."""
+    """Loads two dates, one of them twice, empties the breaks of the other: what is there, and what the last commit of a date replaced."""
+    store = mart.Mart(spark, storage.fresh(spark, "mart"))
+    facts, rows = _facts(spark, d), mart.fact_breaks(_breaks(spark, d))
+    first, other = "2026-03-02", "2026-03-03"
+    store.load_days([first, other], facts, rows)
+    again = store.load_days([first], facts, rows)
+    emptied = store.replace("fct_break", other, rows.limit(0))
+    gone = spark.createDataFrame([(first, *(again[t][first] for t in mart.FACTS)), (other, 0, emptied, 0)], "day string, records_gone bigint, breaks_gone bigint, cells_gone bigint")
+    tables = store.view()
+    f, b = tables.table("fct_source_record"), tables.table("fct_break")
+    there = f.groupBy("business_date").agg(F.count("*").alias("fact_rows"), F.sum("amount_minor").alias("net_minor")).join(b.groupBy("business_date").agg(F.count("*").alias("break_rows")), "business_date", "left").na.fill(0)
+    return there.join(gone.withColumn("business_date", F.col("day").cast("date")).drop("day"), "business_date")
+
+
+def mart_versions(spark, d):
+    """A reader that opened the mart before a date was replaced keeps what it saw, in all three tables."""
     store = mart.Mart(spark, storage.fresh(spark, "mart"))
     facts, rows = _facts(spark, d), mart.fact_breaks(_breaks(spark, d))
-    for day in ("2026-03-02", "2026-03-03", "2026-03-02"):
-        store.load_day(day, facts, rows)
-    store.replace("fct_break", "2026-03-03", rows.limit(0))
-    f, b = store.table("fct_source_record"), store.table("fct_break")
-    return f.groupBy("business_date").agg(F.count("*").alias("fact_rows"), F.sum("amount_minor").alias("net_minor")).join(b.groupBy("business_date").agg(F.count("*").alias("break_rows")), "business_date", "left").na.fill(0)
+    store.load_days(DAYS, facts, rows)
+    opened = store.view()
+    store.load_days(["2026-03-04"], facts.where("source_system = 'core'"), rows.where("status = 'open'"))
+    out = None
+    for name, tables in (("before", opened), ("after", store.view())):
+        counts = [tables.table(t).groupBy("business_date").agg(F.count("*").alias("n")).select(F.lit(name).alias("seen"), F.lit(t).alias("table_name"), "business_date", "n") for t in mart.FACTS]
+        for c in counts:
+            out = c if out is None else out.unionByName(c)
+    return out
 
 
 def completeness_partition_stats(spark, d):
@@ -236,8 +255,8 @@ def completeness_closed_late(spark, d):
 
 
 def completeness_heartbeats(spark, d):
-    state = completeness.heartbeat_state(feeds.stream_events(spark, d), feeds.heartbeats(spark, d), CLOSE)
-    return state.select("partition", "producer_high_water", "received_high_water", "lag", "stale")
+    """With a partition that is expected and never beats."""
+    return completeness.heartbeat_state(feeds.stream_events(spark, d), feeds.heartbeats(spark, d), CLOSE, expected=EXPECTED)
 
 
 def completeness_report(spark, d):
@@ -252,16 +271,40 @@ def completeness_lag_vs_holes(spark, d):
     return completeness.lag_or_hole(feeds.stream_events(spark, d), feeds.heartbeats(spark, d), CLOSE)
 
 
-def completeness_stream(spark, d):
-    """The stream in three files of arrival order through the stateful processor; the same figures as the batch."""
+def _streamed(spark, d):
+    """The stream in three files of arrival order through the stateful processor."""
     root = storage.fresh(spark, "stream")
     events = feeds.stream_events(spark, d)
-    third = events.agg(F.max("arrival")).first()[0]
-    cuts = [-1, 400, 1_000_000_000, third]
+    last = events.agg(F.max("arrival")).first()[0]
+    cuts = [-1, 400, 1_000_000_000, last]
     for i, (low, high) in enumerate(zip(cuts, cuts[1:])):
         events.where((F.col("arrival") > low) & (F.col("arrival") <= high)).coalesce(1).write.mode("append").json(f"{root}/in{i}")
-    states = live.run_available(spark, f"{root}/in*", f"{root}/out", f"{root}/state")
-    return states.drop("gaps")
+    return live.run_available(spark, f"{root}/in*", f"{root}/out", f"{root}/state")
+
+
+def completeness_stream(spark, d):
+    """The same figures as the batch."""
+    return live.figures_of(_streamed(spark, d))
+
+
+def completeness_stream_gaps(spark, d):
+    """The same holes as the batch, finalised by the grace."""
+    return live.gaps_of(_streamed(spark, d), Policy().reorder_grace)
+
+
+def completeness_stream_silence(spark, d):
+    """Two closes of a live stream of beats, with a partition that is expected and never beats."""
+    root = storage.fresh(spark, "silence")
+    beats = feeds.beats(spark, d).withColumn("kind", F.lit("beat"))
+    names = "kind string, partition string, at string, producer_high_water bigint, arrival bigint"
+    clock = lambda at: ("clock", silence.CLOCK, at, None, 0)
+    extra = ([("expected", p, None, None, 0) for p in EXPECTED] + [clock(FIRST_CLOSE)], [clock(CLOSE)])
+    cuts = (F.col("at") <= F.lit(FIRST_CLOSE).cast("timestamp"), F.col("at") > F.lit(FIRST_CLOSE).cast("timestamp"))
+    for i, (rows, cut) in enumerate(zip(extra, cuts)):
+        more = spark.createDataFrame(rows, names).withColumn("at", F.col("at").cast("timestamp"))
+        beats.where(cut).unionByName(more).coalesce(1).write.json(f"{root}/in{i}")
+    changes = silence.run_available(spark, f"{root}/in*", f"{root}/out", f"{root}/state")
+    return silence.state_of(changes, FIRST_CLOSE).withColumn("close", F.lit(FIRST_CLOSE)).unionByName(silence.state_of(changes, CLOSE).withColumn("close", F.lit(CLOSE)))
 
 
 def _queue_events(spark, d):

@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from dataclasses import replace
 from datetime import UTC, datetime
 
 from pyspark.sql import SparkSession
@@ -18,6 +19,7 @@ from tieout.operators import aging, completeness, matching, scoring
 from tieout.operators.approvals import Periods
 from tieout.operators.breakqueue import BreakQueue
 from tieout.plans import backfill, dag, pipeline
+from tieout.plans.landing import Landing
 from tieout.sources import generate, ingest
 
 
@@ -65,12 +67,13 @@ def run(spark, a) -> int:
 
 
 def tick(spark, a) -> int:
-    return backfill.tick(_day(spark, a), f"{a.store}/runs.jsonl", a.date)
+    return backfill.tick(_day(spark, a), f"{a.store}/runs", a.date)
 
 
 def fill(spark, a) -> int:
-    core, proc = ingest.read_batch(spark, f"{a.feeds}/core").records, ingest.read_events(spark, f"{a.feeds}/events").records
-    out = backfill.backfill(_day(spark, a), core, proc, a.first, a.last, f"{a.store}/backfill_state.json", Periods(spark, f"{a.store}/control"), a.request, a.force, a.dry_run)
+    landing = Landing(spark, f"{a.store}/landing")
+    landing.land(f"{a.feeds}/core", f"{a.feeds}/events")
+    out = backfill.backfill(replace(_day(spark, a), landing=landing), a.first, a.last, f"{a.store}/backfill", Periods(spark, f"{a.store}/control"), a.request, a.force, a.dry_run, a.take_over)
     print(json.dumps(out.__dict__, indent=1, default=str))
     return out.exit_code
 
@@ -111,6 +114,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--request", type=int)
     parser.add_argument("--force", action="store_true")
     parser.add_argument("--dry-run", action="store_true")
+    parser.add_argument("--take-over", action="store_true", help="run dates that a dead run has claimed")
     parser.add_argument("--sign-off")
     parser.add_argument("--request-dates", nargs="*")
     parser.add_argument("--counts", default="{}")

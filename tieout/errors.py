@@ -31,3 +31,11 @@ class NotAuthorised(TieoutError):
 
 class LedgerTampered(TieoutError):
     """The event chain does not add up."""
+
+
+class Conflict(TieoutError):
+    """Somebody else has written what this would have replaced."""
+
+
+class Claimed(TieoutError):
+    """Another run works on this date."""

@@ -1,11 +1,14 @@
-"""Stream completeness over a finished stream: holes, repeats, disorder, silence and lag."""
+"""Stream completeness over a finished stream: holes, repeats, disorder, silence and lag.
+
+No window runs over a whole stream partition: see ``scan``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tieout.operators import scan
 from tieout.policy import DEFAULT, Policy
 
 
@@ -16,8 +19,7 @@ def first_arrivals(events: DataFrame) -> DataFrame:
 
 def partition_stats(events: DataFrame) -> DataFrame:
     """Per partition: events, duplicates, out_of_order, first_seq, high."""
-    earlier = W.partitionBy("partition").orderBy("arrival").rowsBetween(W.unboundedPreceding, -1)
-    seen = first_arrivals(events).withColumn("high_before", F.max("seq").over(earlier))
+    seen = scan.max_before(first_arrivals(events), "partition", "arrival", "seq", "high_before")
     return seen.groupBy("partition").agg(
         F.count("*").alias("events"),
         (F.sum("copies") - F.count("*")).alias("duplicates"),
@@ -34,8 +36,7 @@ def gaps(events: DataFrame, policy: Policy = DEFAULT, expected_first_seq: int |
     """
     first = first_arrivals(events)
     stats = first.groupBy("partition").agg(F.min_by("seq", "arrival").alias("first_seq"), F.max("seq").alias("high"))
-    following = W.partitionBy("partition").orderBy("seq")
-    holes = first.withColumn("next", F.lead("seq").over(following)).where("next - seq > 1")
+    holes = scan.next_value(first, "partition", "seq", "next").where("next - seq > 1")
     out = holes.join(stats, "partition").where("seq >= first_seq").select("partition", (F.col("seq") + 1).alias("missing_from"), (F.col("next") - 1).alias("missing_to"), "high")
     if expected_first_seq is not None:
         least = first.groupBy("partition").agg(F.min("seq").alias("least"), F.max("seq").alias("high")).where(F.col("least") > expected_first_seq)
@@ -46,10 +47,9 @@ def gaps(events: DataFrame, policy: Policy = DEFAULT, expected_first_seq: int |
 
 def closed_late(events: DataFrame) -> DataFrame:
     """Numbers that filled a hole after higher ones had arrived, as intervals of consecutive numbers."""
-    earlier = W.partitionBy("partition").orderBy("arrival").rowsBetween(W.unboundedPreceding, -1)
-    late = first_arrivals(events).withColumn("high_before", F.max("seq").over(earlier)).where("seq < high_before")
-    island = F.col("seq") - F.row_number().over(W.partitionBy("partition").orderBy("seq"))
-    return late.withColumn("island", island).groupBy("partition", "island").agg(F.min("seq").alias("from_seq"), F.max("seq").alias("to_seq"), F.count("*").alias("n")).drop("island")
+    late = scan.max_before(first_arrivals(events), "partition", "arrival", "seq", "high_before").where("seq < high_before")
+    placed = scan.numbered(late, "partition", "seq", "n").withColumn("island", F.col("seq") - F.col("n"))
+    return placed.groupBy("partition", "island").agg(F.min("seq").alias("from_seq"), F.max("seq").alias("to_seq"), F.count("*").alias("n")).drop("island")
 
 
 def heartbeat_state(events: DataFrame, beats: DataFrame, now: str, expected: list[str] | None = None, policy: Policy = DEFAULT) -> DataFrame:

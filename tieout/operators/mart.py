@@ -1,21 +1,25 @@
 """The reporting mart: date-partitioned Parquet tables, aggregates that tie to their facts, and snapshots.
 
-A date is replaced by staging its partition beside the table and swapping the
-folders: the old one is moved aside, the new one in, and the old one deleted last.
-What a crash leaves aside is moved back when the mart is opened.  A re-run leaves no
-trace of the run before, other dates are not touched, and an empty day drops its
-partition.  File operations go through Hadoop's
-FileSystem, so the mart may be in any store that Spark writes to.
+Data folders are written once, under names nobody reads yet, and never moved or changed.
+What a table holds is said by a manifest: for each table and business date one folder
+and its number of rows.  A commit writes its folders first and one manifest last, whole
+and under a number that must not be taken, so facts, breaks and aggregates of a date
+change in one step; a commit that dies leaves folders that no manifest names.  Readers
+take one manifest and repair nothing.  Two writers of different dates both succeed, the
+second on top of the first; of two writers of one date the second is refused.
 """
 
 from __future__ import annotations
 
 import uuid
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tieout.errors import Conflict
 from tieout.functions.calendar import tier
+from tieout.sources.files import Files, Versioned
 
 FACTS = {
     "fct_source_record": "ref string, account string, amount_minor bigint, currency string, kind string, source_system string, source_file string, source_line bigint, business_date date",
@@ -87,76 +91,141 @@ def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return joined.withColumn("state", state)
 
 
+def _day(day: str):
+    return F.col("business_date") == F.lit(day).cast("date")
+
+
+class View:
+    """The tables as one manifest has them, whatever is committed later."""
+
+    def __init__(self, mart: Mart, version: int, tables: dict[str, dict[str, dict]]) -> None:
+        self.mart, self.version, self.tables = mart, version, tables
+
+    def table(self, name: str) -> DataFrame:
+        """The table; empty (with its schema) if no date holds rows.  Read errors are raised."""
+        folders = [f"{self.mart.root}/{e['folder']}" for e in self.tables.get(name, {}).values()]
+        if not folders:
+            return self.mart.spark.createDataFrame([], FACTS[name])
+        return self.mart.read(name, folders)
+
+    def rows(self, name: str) -> dict[str, int]:
+        """Rows of each date, from the manifest."""
+        return {day: e["rows"] for day, e in sorted(self.tables.get(name, {}).items())}
+
+    def snapshot_for(self, day: str) -> dict:
+        row = snapshot(self.table("fct_source_record").where(_day(day)), self.table("fct_break").where(_day(day))).first()
+        return row.asDict() if row else {"business_date": day, "source_rows": 0, "source_minor": 0, "breaks": 0, "variance_minor": 0}
+
+
+class Stage:
+    """A commit in the making: its folders are written, and nothing of it is visible before ``publish``."""
+
+    def __init__(self, mart: Mart, days: list[str] | None = None) -> None:
+        """``days`` are replaced whole, also where no row is left; by default the dates that the rows have."""
+        self.mart, self.days, self.base = mart, days, mart.view()
+        self.changes: dict[str, dict[str, dict | None]] = {}
+
+    def put(self, name: str, rows: DataFrame) -> dict[str, int]:
+        """Writes what the dates of a table become; gives the number of rows they had."""
+        batch = uuid.uuid4().hex
+        rows = rows.select([c.split()[0] for c in FACTS[name].split(", ")]).where("business_date is not null")
+        if self.days is not None:
+            rows = rows.where(F.col("business_date").isin([date.fromisoformat(d) for d in self.days]))
+        rows.withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("business_date", "batch").parquet(f"{self.mart.root}/{name}")
+        entries: dict[str, dict | None] = dict.fromkeys(self.days or ())
+        folders = [f"{name}/{d}/batch={batch}" for d in self.mart.files.names(f"{self.mart.root}/{name}") if d.startswith("business_date=") and self.mart.files.exists(f"{self.mart.root}/{name}/{d}/batch={batch}")]
+        if folders:
+            counted = self.mart.read(name, [f"{self.mart.root}/{f}" for f in folders]).groupBy(F.col("business_date").cast("string").alias("d")).count()
+            rows_of = {r["d"]: r["count"] for r in counted.collect()}
+            entries |= {(d := f.split("/")[1].split("=")[1]): {"folder": f, "rows": rows_of[d]} for f in folders}
+        self.changes[name] = entries
+        had = self.base.rows(name)
+        return {d: had.get(d, 0) for d in sorted(entries)}
+
+    def aggregate(self) -> dict[str, int]:
+        """Rebuilds the aggregates of the dates whose records this commit replaces."""
+        written = [f"{self.mart.root}/{e['folder']}" for e in self.changes["fct_source_record"].values() if e]
+        records = self.mart.read("fct_source_record", written) if written else self.mart.spark.createDataFrame([], FACTS["fct_source_record"])
+        out = self.put("agg_daily_settlement", daily_settlement(records))
+        gone = {d: None for d in self.changes["fct_source_record"]}
+        self.changes["agg_daily_settlement"] = gone | self.changes["agg_daily_settlement"]
+        return {d: self.base.rows("agg_daily_settlement").get(d, 0) for d in gone} | out
+
+    def view(self) -> View:
+        """The tables as they will be."""
+        return View(self.mart, self.base.version, self._over(self.base.tables))
+
+    def _over(self, tables: dict) -> dict:
+        out = {name: dict(days) for name, days in tables.items()}
+        for name, entries in self.changes.items():
+            held = out.setdefault(name, {})
+            for day, entry in entries.items():
+                held.pop(day, None)
+                if entry:
+                    held[day] = entry
+        return out
+
+    def publish(self) -> int:
+        """Writes the manifest; the version it made.  Refused if a date was committed by another meanwhile."""
+        if not self.changes:
+            return self.base.version
+        while True:
+            now = self.mart.view()
+            for name, entries in self.changes.items():
+                for day in entries:
+                    if now.tables.get(name, {}).get(day) != self.base.tables.get(name, {}).get(day):
+                        raise Conflict(f"{name} {day} was committed by another writer")
+            try:
+                return self.mart.manifest.swap(now.version, {"tables": self._over(now.tables)})
+            except Conflict:
+                continue  # somebody was first; perhaps with other dates
+
+
 class Mart:
     """The tables below one root folder."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-        self._recover()
-
-    def _recover(self) -> None:
-        """Moves back the dates that a crash left aside without their new folder in place; deletes the rest."""
-        aside, fs = self._path(f"{self.root}/_aside")
-        for table in fs.listStatus(aside) if fs.exists(aside) else ():
-            for day in fs.listStatus(table.getPath()):
-                target, _ = self._path(f"{self.root}/{table.getPath().getName()}/{day.getPath().getName()}")
-                if not fs.exists(target):
-                    fs.mkdirs(target.getParent())
-                    fs.rename(day.getPath(), target)
-        fs.delete(aside, True)
-
-    def _path(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def exists(self, table: str) -> bool:
-        path, fs = self._path(f"{self.root}/{table}")
-        return fs.exists(path) and len(fs.listStatus(path)) > 0
+        self.files, self.manifest = Files(spark), Versioned(spark, f"{self.root}/_manifest")
+
+    def read(self, name: str, folders: list[str]) -> DataFrame:
+        return self.spark.read.schema(f"{FACTS[name]}, batch string").option("basePath", f"{self.root}/{name}").parquet(*folders).drop("batch")
+
+    def view(self, version: int | None = None) -> View:
+        """The newest manifest, or a version that was kept."""
+        version, value = self.manifest.read(version)
+        return View(self, version, value["tables"] if value else {})
+
+    def stage(self, days: list[str] | None = None) -> Stage:
+        return Stage(self, days)
 
     def table(self, name: str) -> DataFrame:
-        """The table; empty (with its schema) before the first load.  Read errors are raised."""
-        if not self.exists(name):
-            return self.spark.createDataFrame([], FACTS[name])
-        return self.spark.read.schema(FACTS[name]).parquet(f"{self.root}/{name}")
+        return self.view().table(name)
 
     def replace(self, name: str, day: str, rows: DataFrame) -> int:
-        """Makes ``rows`` the whole of a business date; gives the number of rows that were there."""
-        had = self.rows_for(name, day)
-        staging = f"{self.root}/_staging/{uuid.uuid4().hex}"
-        rows.where(F.col("business_date") == F.lit(day).cast("date")).drop("business_date").write.parquet(staging)
-        target, fs = self._path(f"{self.root}/{name}/business_date={day}")
-        staged, _ = self._path(staging)
-        aside, _ = self._path(f"{self.root}/_aside/{name}/business_date={day}")
-        empty = self.spark.read.parquet(staging).isEmpty()
-        fs.mkdirs(target.getParent())
-        fs.mkdirs(aside.getParent())
-        if fs.exists(target) and not fs.rename(target, aside):
-            raise OSError(f"{target.toString()} could not be moved aside")
-        if not empty and not fs.rename(staged, target):
-            self._recover()
-            raise OSError(f"{staging} could not be moved to {target.toString()}")
-        fs.delete(aside, True)
-        fs.delete(staged, True)
-        self.spark.catalog.refreshByPath(f"{self.root}/{name}")
+        """Makes ``rows`` the whole of a business date in one table; gives the number of rows that were there."""
+        stage = self.stage([day])
+        had = stage.put(name, rows)
+        stage.publish()
+        return had[day]
+
+    def load(self, name: str, rows: DataFrame, days: list[str] | None = None) -> dict[str, int]:
+        """Replaces every date that ``rows`` has, in one job, or just ``days`` (those without rows are dropped)."""
+        stage = self.stage(days)
+        had = stage.put(name, rows)
+        stage.publish()
         return had
 
-    def load(self, name: str, rows: DataFrame) -> None:
-        """Replaces every date that ``rows`` has, in one job (other dates stay)."""
-        tidy = rows.select([c.split()[0] for c in FACTS[name].split(", ")])
-        tidy.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("business_date").parquet(f"{self.root}/{name}")
-        self.spark.catalog.refreshByPath(f"{self.root}/{name}")
-
-    def load_day(self, day: str, records: DataFrame, breaks: DataFrame) -> dict[str, int]:
-        """Replaces a date in the fact tables and rebuilds its aggregates; counts of what was replaced."""
-        gone = {"fct_source_record": self.replace("fct_source_record", day, records), "fct_break": self.replace("fct_break", day, breaks)}
-        return gone | {"agg_daily_settlement": self.build_aggregates(day)}
-
-    def build_aggregates(self, day: str) -> int:
-        facts = self.table("fct_source_record").where(F.col("business_date") == F.lit(day).cast("date"))
-        return self.replace("agg_daily_settlement", day, daily_settlement(facts))
+    def load_days(self, days: list[str] | None, records: DataFrame, breaks: DataFrame) -> dict[str, dict[str, int]]:
+        """Replaces dates in the fact tables with their aggregates, all at once; what was replaced."""
+        stage = self.stage(days)
+        gone = {"fct_source_record": stage.put("fct_source_record", records), "fct_break": stage.put("fct_break", breaks)}
+        gone["agg_daily_settlement"] = stage.aggregate()
+        stage.publish()
+        return gone
 
     def rows_for(self, name: str, day: str) -> int:
-        return self.table(name).where(F.col("business_date") == F.lit(day).cast("date")).count()
+        return self.view().rows(name).get(day, 0)
 
     def rows_by_date(self, name: str = "fct_source_record") -> DataFrame:
         return self.table(name).groupBy("business_date").agg(F.count("*").alias("n_rows"))
@@ -164,8 +233,20 @@ class Mart:
     def dates(self, name: str = "fct_source_record") -> DataFrame:
         return self.table(name).select("business_date").distinct().orderBy("business_date")
 
-    def snapshot_for(self, day: str) -> dict:
-        """Collected, so that a later load cannot change it."""
-        d = F.col("business_date") == F.lit(day).cast("date")
-        row = snapshot(self.table("fct_source_record").where(d), self.table("fct_break").where(d)).first()
-        return row.asDict() if row else {"business_date": day, "source_rows": 0, "source_minor": 0, "breaks": 0, "variance_minor": 0}
+    def vacuum(self, keep: int = 10, older_than_hours: float = 24) -> int:
+        """Deletes all but the newest manifests, and data folders that none of these names; the number of folders.
+
+        Folders younger than the limit may belong to a commit in the making and stay.
+        """
+        newest = self.manifest.version()
+        named = {e["folder"] for v in range(max(1, newest - keep + 1), newest + 1) for days in self.view(v).tables.values() for e in days.values()}
+        gone = 0
+        for name in FACTS:
+            for day in self.files.names(f"{self.root}/{name}"):
+                for batch in self.files.names(f"{self.root}/{name}/{day}"):
+                    folder = f"{name}/{day}/{batch}"
+                    if batch.startswith("batch=") and folder not in named and self.files.age_ms(f"{self.root}/{folder}") > older_than_hours * 3_600_000:
+                        self.files.delete(f"{self.root}/{folder}")
+                        gone += 1
+        self.manifest.forget(keep)
+        return gone

@@ -27,7 +27,7 @@ def _stacked(core: DataFrame, proc: DataFrame, keys: tuple[str, ...]) -> DataFra
     return side(core, True).unionByName(side(proc, False))
 
 
-def pair(core: DataFrame, proc: DataFrame, keys: tuple[str, ...] = ("ref",)) -> DataFrame:
+def _paired(stacked: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """One row per reference: copies on each side and the fields of each side's first record."""
 
     def first(is_core: Column) -> Column:
@@ -35,7 +35,7 @@ def pair(core: DataFrame, proc: DataFrame, keys: tuple[str, ...] = ("ref",)) ->
         return F.min_by(F.struct(*_FIELDS), F.when(is_core, F.struct("source_file", "line_no")))
 
     c, p = F.col("is_core"), ~F.col("is_core")
-    grouped = _stacked(core, proc, keys).groupBy(*keys).agg(F.count_if(c).alias("n_core"), F.count_if(p).alias("n_proc"), first(c).alias("c"), first(p).alias("p"))
+    grouped = stacked.groupBy(*keys).agg(F.count_if(c).alias("n_core"), F.count_if(p).alias("n_proc"), first(c).alias("c"), first(p).alias("p"))
     return grouped.select(
         *keys, "n_core", "n_proc", F.col("c.amount_minor").alias("core_amount"), F.col("c.business_date").alias("core_business_date"), F.col("c.currency").alias("core_currency"),
         F.col("p.amount_minor").alias("proc_amount"), F.col("p.business_date").alias("proc_business_date"), F.col("p.currency").alias("proc_currency"),
@@ -51,6 +51,10 @@ def fee_fits(core: Column, proc: Column, policy: Policy = DEFAULT) -> Column:
 
 def verdicts(core: DataFrame, proc: DataFrame, as_of: str, policy: Policy = DEFAULT, keys: tuple[str, ...] = ("ref",)) -> DataFrame:
     """One row per reference with its verdict, status, amounts, dates, age, and copies that were not looked at."""
+    return _judged(_paired(_stacked(core, proc, keys), keys), as_of, policy, keys)
+
+
+def _judged(paired: DataFrame, as_of: str, policy: Policy, keys: tuple[str, ...]) -> DataFrame:
     c, p = F.col("core_amount"), F.col("proc_amount")
     gap = business_days(F.col("core_business_date"), F.col("proc_business_date"))
     same_currency = F.col("core_currency") == F.col("proc_currency")
@@ -66,7 +70,7 @@ def verdicts(core: DataFrame, proc: DataFrame, as_of: str, policy: Policy = DEFA
         .otherwise("amount_unknown")
     )
     status = F.when(F.col("verdict") == "exact", "matched").when(F.col("verdict").isin("timing", "amount_fx", "amount_fee"), "matched_flagged").otherwise("open")
-    out = pair(core, proc, keys).withColumn("verdict", verdict).withColumn("status", status)
+    out = paired.withColumn("verdict", verdict).withColumn("status", status)
     out = out.withColumn("business_date", F.coalesce("core_business_date", "proc_business_date"))
     return out.select(
         *keys,
@@ -87,14 +91,19 @@ def verdicts(core: DataFrame, proc: DataFrame, as_of: str, policy: Policy = DEFA
 
 
 def breaks(core: DataFrame, proc: DataFrame, as_of: str, policy: Policy = DEFAULT) -> DataFrame:
-    """One row per break; a one-sided reference gives one per record."""
+    """One row per break; a one-sided reference gives one per record.
+
+    The stacked sides are dealt by reference once; pairs and one-sided records both
+    come from there.
+    """
     columns = ["ref", "break_type", "status", "core_amount", "proc_amount", "variance_minor", "business_date", "age_days", "line_no", "detail"]
     age = business_days(F.col("business_date"), F.lit(as_of).cast("date")).cast("bigint")
     null = F.lit(None).cast("bigint")
 
-    # Records of references that the other side does not have, from one more shuffle of the stacked sides.
+    dealt = _stacked(core, proc, ("ref",)).repartition("ref")
+    # Records of references that the other side does not have.
     other = F.when(F.col("is_core"), F.count_if(~F.col("is_core")).over(W.partitionBy("ref"))).otherwise(F.count_if("is_core").over(W.partitionBy("ref")))
-    alone = _stacked(core, proc, ("ref",)).withColumn("other", other).where("other = 0")
+    alone = dealt.withColumn("other", other).where("other = 0")
     one_sided = alone.select(
         "ref", F.lit("missing").alias("break_type"), F.lit("open").alias("status"), F.when(F.col("is_core"), F.col("amount_minor")).alias("core_amount"),
         F.when(~F.col("is_core"), F.col("amount_minor")).alias("proc_amount"), null.alias("variance_minor"), "business_date", age.alias("age_days"), "line_no",
@@ -108,7 +117,7 @@ def breaks(core: DataFrame, proc: DataFrame, as_of: str, policy: Policy = DEFAUL
         .when(F.col("verdict") == "sign", F.lit("opposite signs"))
         .otherwise(delta)
     )
-    matched = verdicts(core, proc, as_of, policy).where("verdict not in ('exact', 'missing')")
+    matched = _judged(_paired(dealt, ("ref",)), as_of, policy, ("ref",)).where("verdict not in ('exact', 'missing')")
     both = matched.withColumn("detail", detail).withColumn("line_no", null).withColumnRenamed("verdict", "break_type").select(*columns)
     return both.unionByName(one_sided)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tieout.sources.feeds import AS_OF, CLOSE, DELAYED, DROPPED, DUCKDB, SILENT
+from tieout.sources.feeds import AS_OF, CLOSE, DELAYED, DROPPED, DUCKDB, FIRST_CLOSE, SILENT
 
 
 def _biz(a: str, b: str) -> str:
@@ -137,17 +137,27 @@ _BODIES = {
       SELECT business_date, metric, a.value AS before, b.value AS after, CASE WHEN a.value = b.value THEN 'unchanged' ELSE 'moved' END AS state FROM long_a a JOIN long_b b USING (business_date, metric)""",
     "mart_dates": "SELECT DISTINCT business_date FROM fact",
     "mart_rows_for": "SELECT business_date, count(*) AS n_rows FROM fact GROUP BY 1",
-    "mart_replace_date": """SELECT business_date, count(*) AS fact_rows, CAST(sum(amount_minor) AS BIGINT) AS net_minor, CASE WHEN business_date = DATE '2026-03-02' THEN (SELECT count(*) FROM brk WHERE business_date = DATE '2026-03-02') ELSE 0 END AS break_rows
-      FROM fact WHERE business_date IN (DATE '2026-03-02', DATE '2026-03-03') GROUP BY business_date""",
+    "mart_replace_date": """SELECT f.business_date, n AS fact_rows, net_minor, CASE WHEN again THEN b.breaks ELSE 0 END AS break_rows, CASE WHEN again THEN n ELSE 0 END AS records_gone, b.breaks AS breaks_gone, CASE WHEN again THEN c.cells ELSE 0 END AS cells_gone
+      FROM (SELECT business_date, business_date = DATE '2026-03-02' AS again, count(*) AS n, CAST(sum(amount_minor) AS BIGINT) AS net_minor FROM fact WHERE business_date IN (DATE '2026-03-02', DATE '2026-03-03') GROUP BY ALL) f
+      JOIN (SELECT business_date, count(*) AS breaks FROM brk GROUP BY 1) b USING (business_date) JOIN (SELECT business_date, count(*) AS cells FROM cell GROUP BY 1) c USING (business_date)""",
+    "mart_versions": """, day(d) AS (SELECT DATE '2026-03-02' + CAST(i AS INTEGER) FROM range(5) t(i)),
+      before AS (SELECT 'fct_source_record' AS table_name, business_date, count(*) AS n FROM fact GROUP BY ALL UNION ALL SELECT 'fct_break', business_date, count(*) FROM brk GROUP BY ALL UNION ALL SELECT 'agg_daily_settlement', business_date, count(*) FROM cell GROUP BY ALL),
+      mend AS (SELECT 'fct_source_record' AS table_name, count(*) AS n FROM fact WHERE business_date = DATE '2026-03-04' AND source_system = 'core' UNION ALL SELECT 'fct_break', count(*) FROM brk WHERE business_date = DATE '2026-03-04' AND status = 'open'
+        UNION ALL SELECT 'agg_daily_settlement', count(*) FROM cell WHERE business_date = DATE '2026-03-04' AND source_system = 'core')
+      SELECT 'before' AS seen, table_name, business_date, n FROM before WHERE business_date IN (SELECT d FROM day)
+      UNION ALL SELECT 'after', table_name, business_date, n FROM before WHERE business_date IN (SELECT d FROM day) AND business_date <> DATE '2026-03-04' UNION ALL SELECT 'after', table_name, DATE '2026-03-04', n FROM mend WHERE n > 0""",
     "completeness_partition_stats": "SELECT part AS partition, events, duplicates, out_of_order, first_seq, high FROM stats",
     "completeness_gaps": "SELECT part AS partition, missing_from, missing_to, n, status FROM hole",
     "completeness_closed_late": "SELECT partition, min(seq) AS from_seq, max(seq) AS to_seq, count(*) AS n FROM (SELECT part AS partition, seq, seq - row_number() OVER (PARTITION BY part ORDER BY seq) AS island FROM placed WHERE seq < high_before) GROUP BY partition, island",
-    "completeness_heartbeats": "SELECT part AS partition, producer_high_water, received_high_water, lag, stale FROM hb",
+    "completeness_heartbeats": "SELECT h.part AS partition, b.at AS last_seen, h.producer_high_water, h.received_high_water, h.lag, h.stale FROM hb h JOIN beat b USING (part) UNION ALL SELECT 'p9', NULL, NULL, 0, NULL, TRUE",
     "completeness_report": "SELECT *, stale_partitions = 0 AND missing_events = 0 AND lagging_partitions = 0 AS complete FROM rep",
     "completeness_score": f"SELECT missing_events AS dropped_found, missing_events = {DROPPED} AS dropped_ok, out_of_order AS delayed_found, out_of_order >= {DELAYED} AS delayed_ok, (SELECT count(*) > 0 FROM hb WHERE stale AND part = '{SILENT}') AS silent_found FROM rep",
     "completeness_lag_vs_holes": """SELECT part AS partition, lag, missing, CASE WHEN lag = 0 AND missing > 0 THEN 'caught up with holes' WHEN lag > 0 AND missing = 0 THEN 'behind without holes' WHEN lag <> 0 AND missing > 0 THEN 'behind with holes' ELSE 'complete' END AS note
       FROM (SELECT h.part, h.lag, CAST(COALESCE(m.n, 0) AS BIGINT) AS missing FROM hb h LEFT JOIN (SELECT part, sum(n) FILTER (WHERE status = 'missing') AS n FROM hole GROUP BY part) m USING (part))""",
     "completeness_stream": "SELECT part AS partition, events, duplicates, out_of_order, first_seq, high FROM stats",
+    "completeness_stream_gaps": "SELECT part AS partition, missing_from, missing_to, n, status FROM hole",
+    "completeness_stream_silence": f"""SELECT part AS partition, TIMESTAMP '{CLOSE}' - INTERVAL 1 HOUR AS last_seen, producer_high_water // 2 AS producer_high_water, FALSE AS stale, '{FIRST_CLOSE}' AS close FROM beat
+      UNION ALL SELECT part, beat.at, producer_high_water, part = '{SILENT}', '{CLOSE}' FROM beat UNION ALL SELECT 'p9', NULL, NULL, TRUE, c FROM (VALUES ('{FIRST_CLOSE}'), ('{CLOSE}')) t(c)""",
     "queue_intake": """SELECT action, break_type, from_status, 'open' AS to_status, count(*) AS n, CAST(sum(COALESCE(v, 0)) AS BIGINT) AS variance_minor FROM (
       SELECT 'opened' AS action, break_type, NULL AS from_status, variance_minor AS v FROM firsts UNION ALL SELECT 'reopened', break_type, 'resolved', variance_minor FROM firsts WHERE break_type = 'sign') GROUP BY ALL""",
     "queue_open_items": f"SELECT ref, break_type, s.d AS first_seen, s.v AS variance_minor, a AS age_days, {_TIER.format('a')} AS tier, {_ACTION.format('a')} AS tier_action FROM (SELECT *, {_biz('s.d', _LATER)} AS a FROM item)",

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass, field, replace
 from datetime import date, timedelta
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tieout.errors import Claimed, Conflict
 from tieout.operators import mart as m
 from tieout.operators.approvals import Periods, plan_hash
 from tieout.plans.pipeline import Day, run_day
-from tieout.sources.writers import write_json
+from tieout.sources.files import Files, Versioned
 
 
 def days_between(first: str, last: str) -> list[str]:
@@ -34,22 +35,47 @@ def plan(core: DataFrame, proc: DataFrame, days: DataFrame, completed: DataFrame
     return todo.withColumn("state", F.when(F.col("core_rows") + F.col("proc_rows") == 0, "empty").otherwise("due"))
 
 
-@dataclass
 class State:
-    """Finished dates, on disk after every date."""
+    """Finished and claimed dates, in a file that is compared before it is swapped.
+
+    A date is claimed before it runs, so two runs never work on one.  A run that dies
+    leaves its claim; the next run says ``take_over`` to have it.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, run: str) -> None:
+        self.file, self.run = Versioned(spark, folder), run
+
+    def read(self) -> dict:
+        return self.file.read()[1] or {"completed": [], "claims": {}, "runs": []}
+
+    def _change(self, change) -> None:
+        while True:
+            version, value = self.file.read()
+            value = value or {"completed": [], "claims": {}, "runs": []}
+            change(value)
+            try:
+                self.file.swap(version, value)
+                return
+            except Conflict:
+                continue  # somebody was first: look at what is there now
 
-    path: str
-    completed: list[str] = field(default_factory=list)
-    runs: list[dict] = field(default_factory=list)
+    def claim(self, day: str, take_over: bool = False) -> None:
+        def change(value: dict) -> None:
+            holder = value["claims"].get(day, self.run)
+            if holder != self.run and not take_over:
+                raise Claimed(f"{day} is being run by {holder}")
+            value["claims"][day] = self.run
 
-    @classmethod
-    def load(cls, path: str) -> State:
-        if Path(path).exists():
-            return cls(path, **json.loads(Path(path).read_text()))
-        return cls(path)
+        self._change(change)
 
-    def save(self) -> None:
-        write_json({"completed": self.completed, "runs": self.runs}, self.path)
+    def done(self, day: str, ok: bool) -> None:
+        def change(value: dict) -> None:
+            if value["claims"].pop(day, None) != self.run:
+                raise Claimed(f"{day} was taken over")
+            value["completed"] = sorted({*value["completed"], *([day] if ok else [])})
+            value["runs"].append({"date": day, "ok": ok, "run": self.run})
+
+        self._change(change)
 
 
 @dataclass
@@ -64,14 +90,18 @@ class Outcome:
     protected: list[str] = field(default_factory=list)
 
 
-def backfill(template: Day, core: DataFrame, proc: DataFrame, first: str, last: str, state_path: str, periods: Periods, request_id: int | None = None, force: bool = False, dry_run: bool = False) -> Outcome:
-    """Runs the range.  A dry run touches nothing; a failure stops the range and leaves it resumable."""
-    spark = template.spark
-    state = State.load(state_path)
-    todo = [d for d in days_between(first, last) if force or d not in state.completed]
+def backfill(template: Day, first: str, last: str, state_folder: str, periods: Periods, request_id: int | None = None, force: bool = False, dry_run: bool = False, take_over: bool = False) -> Outcome:
+    """Runs the range from landed feeds, oldest date first; ``template.landing`` must hold them.
+
+    Source and mart counts come from seal and manifest, so planning reads no data.  A dry
+    run writes nothing; a failure stops the range and leaves it resumable.
+    """
+    spark, landing = template.spark, template.landing
+    state = State(spark, state_folder, uuid.uuid4().hex)
+    finished = set(state.read()["completed"])
+    todo = [d for d in days_between(first, last) if force or d not in finished]
     mart = m.Mart(spark, template.mart_root)
-    held = {str(r[0]): r[1] for r in mart.table("fct_source_record").groupBy("business_date").count().collect()}
-    counts = {str(r[0]): r[1] + r[2] for r in source_counts(core, proc).collect()}
+    held, counts = mart.view().rows("fct_source_record"), landing.rows()
     out = Outcome(0, fingerprint=plan_hash(todo, {d: held.get(d, 0) for d in todo}), protected=periods.signed_off_within(todo) if todo else [])
     out.empty = [d for d in todo if not counts.get(d) and not held.get(d)]
     if dry_run or not todo:
@@ -80,20 +110,17 @@ def backfill(template: Day, core: DataFrame, proc: DataFrame, first: str, last:
     for day in todo:
         if day in out.empty:
             continue
-        before = mart.snapshot_for(day)
+        state.claim(day, take_over)
+        before = mart.view()
         result = run_day(replace(template, business_date=day))
+        state.done(day, result.exit_code != 1)
         if result.exit_code == 1:
             out.exit_code, out.failed = 1, day
-            state.runs.append({"date": day, "ok": False})
-            state.save()
             return out
         if result.sla_breached:
             out.late.append(day)
-        out.changes += changed(before, mart.snapshot_for(day))
+        out.changes += changed(before.snapshot_for(day), mart.view().snapshot_for(day))
         out.done.append(day)
-        state.completed = sorted({*state.completed, day})
-        state.runs.append({"date": day, "ok": True})
-        state.save()
     if request_id is not None and allowed["protected"]:
         periods.consume(request_id, template.at)
     return out
@@ -106,15 +133,18 @@ def changed(before: dict, after: dict) -> list[dict]:
     return [{"date": str(after["business_date"]), "metric": n, "before": before[n], "after": after[n], "state": "new" if fresh else "unchanged" if before[n] == after[n] else "moved"} for n in names]
 
 
-def tick(template: Day, log_path: str, day: str | None = None) -> int:
-    """One scheduled run: yesterday by the run's clock unless a date is given; appends a line to the log.
+def tick(template: Day, log_folder: str, day: str | None = None) -> int:
+    """One scheduled run: yesterday by the run's clock unless a date is given; its line is a file of its own in the log.
 
     Cron line: ``30 19 * * 1-5 python -m tieout.cli tick --config day.json``
     """
     day = day or str(date.fromisoformat(template.at[:10]) - timedelta(days=1))
     result = run_day(replace(template, business_date=day))
-    line = {"date": day, "exit": result.exit_code, "seconds": round(result.seconds, 2), "tasks": {r.name: r.state for r in result.runs.values()}}
-    Path(log_path).parent.mkdir(parents=True, exist_ok=True)
-    with Path(log_path).open("a") as log:
-        log.write(json.dumps(line) + "\n")
+    line = {"date": day, "at": template.at, "exit": result.exit_code, "seconds": round(result.seconds, 2), "tasks": [{"task": r.name, "state": r.state, "attempts": r.attempts} for r in result.runs.values()]}
+    Files(template.spark).put(f"{log_folder}/{uuid.uuid4().hex}.json", json.dumps(line))
     return result.exit_code
+
+
+def run_log(spark: SparkSession, log_folder: str) -> DataFrame:
+    """The lines of all ticks."""
+    return spark.read.schema("date string, at string, exit int, seconds double, tasks array<struct<task:string,state:string,attempts:int>>").json(log_folder).orderBy("at", "date")

@@ -12,13 +12,14 @@ from tieout.operators import mart as m
 from tieout.operators import matching
 from tieout.operators.breakqueue import BreakQueue
 from tieout.plans.dag import Dag, Task
+from tieout.plans.landing import Landing
 from tieout.policy import DEFAULT, Policy
 from tieout.sources import ingest
 
 
 @dataclass
 class Day:
-    """Where a run reads and writes, and for which date."""
+    """Where a run reads and writes, and for which date; with ``landing``, the files are not read again."""
 
     spark: SparkSession
     core_path: str
@@ -30,6 +31,7 @@ class Day:
     at: str
     policy: Policy = DEFAULT
     lookback: int = 0
+    landing: Landing | None = None
 
 
 def slice_day(records: DataFrame, day: str | None) -> DataFrame:
@@ -52,7 +54,7 @@ def build(day: Day, sla_s: float = 60.0) -> Dag:
 
     def ingested(read, path, context, name):
         try:
-            got = read(spark, path)
+            got = day.landing.day(name, day.business_date) if day.landing else read(spark, path)
         except ControlTotalMismatch as e:
             raise Permanent(str(e)) from e
         except Exception as e:
@@ -60,13 +62,14 @@ def build(day: Day, sla_s: float = 60.0) -> Dag:
                 raise Transient(f"{path} is not there yet") from e
             raise
         context[name], context[f"{name}_file"] = slice_day(got.records, day.business_date).persist(), got
-        return {"file_rows": got.parsed_count, "rows": context[name].count(), "file_ok": got.ok}
+        context["counts"] = context.get("counts", {}) | {name: context[name].count()}
+        return {"file_rows": got.parsed_count, "rows": context["counts"][name], "file_ok": got.ok}
 
     def validate(context):
         bad = [n for n in ("core", "proc") if not context[f"{n}_file"].ok]
         if bad:
             raise Permanent(f"control totals do not tie: {', '.join(bad)}")
-        rows = {n: context[n].count() for n in ("core", "proc")}
+        rows = context["counts"]
         if not all(rows.values()):
             raise Permanent(f"no rows for {day.business_date}: {rows}")
         return rows
@@ -82,29 +85,21 @@ def build(day: Day, sla_s: float = 60.0) -> Dag:
         return {"events": added, "open": queue.items().where("status = 'open'").count()}
 
     def load_mart(context):
+        """Writes the facts of the commit; nobody sees them yet."""
         mart = m.Mart(spark, day.mart_root)
-        records, rows = m.fact_records(context["core"], context["proc"]), m.fact_breaks(context["breaks"])
-        days = [day.business_date] if day.business_date else sorted({str(r[0]) for df in (records, rows) for r in df.select("business_date").distinct().collect()})
-        context["days"] = days
-        if day.business_date is None:
-            mart.load("fct_source_record", records)
-            mart.load("fct_break", rows)
-            return {"dates": len(days)}
-        return {d: {"fct_source_record": mart.replace("fct_source_record", d, records), "fct_break": mart.replace("fct_break", d, rows)} for d in days}
+        context["stage"] = stage = mart.stage(None if day.business_date is None else [day.business_date])
+        return {"fct_source_record": stage.put("fct_source_record", m.fact_records(context["core"], context["proc"])), "fct_break": stage.put("fct_break", m.fact_breaks(context["breaks"]))}
 
     def aggregates(context):
-        mart = m.Mart(spark, day.mart_root)
-        if day.business_date is None:
-            mart.load("agg_daily_settlement", m.daily_settlement(mart.table("fct_source_record")))
-            return {"dates": len(context["days"])}
-        return {d: mart.build_aggregates(d) for d in context["days"]}
+        return context["stage"].aggregate()
 
     def verify(context):
-        mart = m.Mart(spark, day.mart_root)
-        row = m.control_totals(mart.table("fct_source_record"), mart.table("agg_daily_settlement")).first()
+        """Holds facts against aggregates as they will be; only what ties becomes visible, all of it in one step."""
+        tables = context["stage"].view()
+        row = m.control_totals(tables.table("fct_source_record"), tables.table("agg_daily_settlement")).first()
         if not row["ties"]:
             raise Permanent(f"aggregates do not tie to facts: {row.asDict()}")
-        return row.asDict()
+        return row.asDict() | {"version": context["stage"].publish()}
 
     return Dag(
         [

@@ -14,6 +14,7 @@ AS_OF = "2026-03-09"
 DAYS = 5
 PARTITIONS = 4
 CLOSE = "2026-03-06 18:00:00"
+FIRST_CLOSE = "2026-03-06 17:04:00"
 DROPPED, DELAYED, SILENT = 12, 5, "p3"
 
 
@@ -101,6 +102,13 @@ def heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("partition").agg(F.count("*").alias("producer_high_water")).select("partition", at.alias("at"), "producer_high_water", F.substring("partition", 2, 9).cast("bigint").alias("arrival"))
 
 
+def beats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two beats per partition: an hour before the close at half of its events, then those of ``heartbeats``."""
+    last = heartbeats(spark, sf_dir)
+    first = last.select("partition", F.expr(f"timestamp'{CLOSE}' - interval 1 hour").alias("at"), F.floor(F.col("producer_high_water") / 2).cast("bigint").alias("producer_high_water"), "arrival")
+    return first.unionByName(last.withColumn("arrival", F.col("arrival") + PARTITIONS))
+
+
 #: The same feeds as DuckDB CTEs: core, proc, planted, stream_event, beat.
 DUCKDB = f"""
 base AS (SELECT o_orderkey AS k, (o_orderkey * 7919) % 1000 AS b, 'TX' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS ref,

@@ -1,93 +1,122 @@
 """Sequence tracking over a live stream, with state that grows with the holes and not with the events.
 
-Keyed by partition.  A number was seen if it is between the first and the highest
-number and in no hole, or in the set below the first.  Rows of a micro-batch are
-put in arrival order inside the handler, since shuffles keep none.
+Keyed by partition.  The numbers seen are disjoint intervals in ascending order, so
+holes lie between them, numbers below the first arrival need no list of their own, and
+a micro-batch is merged by binary search and one sort, however many holes there are.
+Intervals are a map state, of which a batch writes only what it has changed; so does
+the output: a row of figures, and a row for each hole that has opened, shrunk or gone.
+Rows of a micro-batch are put in arrival order inside the handler, since shuffles keep
+none.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-OUTPUT = "partition string, first_seq bigint, high bigint, events bigint, duplicates bigint, out_of_order bigint, gaps string"
-_STATE = "first_seq bigint, high bigint, events bigint, duplicates bigint, out_of_order bigint, gaps string, below string"
+FIGURES = ("first_seq", "high", "events", "duplicates", "out_of_order")
+#: A row of figures (missing_from null), or a hole: missing_to null once it is gone.
+OUTPUT = "partition string, first_seq bigint, high bigint, events bigint, duplicates bigint, out_of_order bigint, missing_from bigint, missing_to bigint"
+_COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
+_STATE = "first_seq bigint, high bigint, events bigint, duplicates bigint, out_of_order bigint"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class Sequence:
-    """What is known of one partition."""
+    """What is known of one partition: figures, and the intervals of numbers seen."""
 
-    def __init__(self, first=None, high=None, events=0, duplicates=0, out_of_order=0, gaps=None, below=None) -> None:
+    def __init__(self, first=None, high=None, events=0, duplicates=0, out_of_order=0, low=(), top=()) -> None:
         self.first, self.high = first, high
         self.events, self.duplicates, self.out_of_order = events, duplicates, out_of_order
-        self.gaps: dict[int, int] = gaps or {}
-        self.below: set[int] = below or set()
+        self.low, self.top = np.array(low, np.int64), np.array(top, np.int64)
 
-    def observe(self, seq: int) -> None:
+    @property
+    def figures(self) -> tuple:
+        return self.first, self.high, self.events, self.duplicates, self.out_of_order
+
+    @property
+    def intervals(self) -> dict[int, int]:
+        return dict(zip(self.low.tolist(), self.top.tolist()))
+
+    @property
+    def holes(self) -> dict[int, int]:
+        """Holes above the first number: first and last missing number."""
+        if self.first is None:
+            return {}
+        above = self.top[:-1] >= self.first
+        return dict(zip((self.top[:-1] + 1)[above].tolist(), (self.low[1:] - 1)[above].tolist()))
+
+    def seen(self, numbers: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.low, numbers, "right") - 1
+        return (at >= 0) & (numbers <= self.top[at]) if len(self.low) else np.zeros(len(numbers), bool)
+
+    def observe(self, arrivals) -> None:
+        """Takes numbers in arrival order."""
+        numbers = np.asarray(arrivals, np.int64)
+        if not len(numbers):
+            return
         if self.first is None:
-            self.first = self.high = seq
-        elif seq > self.high:
-            if seq > self.high + 1:
-                self.gaps[self.high + 1] = seq - 1
-            self.high = seq
-        elif seq < self.first:
-            if seq in self.below:
-                self.duplicates += 1
-                return
-            self.below.add(seq)
-            self.out_of_order += 1
-        else:
-            low = next((lo for lo, hi in self.gaps.items() if lo <= seq <= hi), None)
-            if low is None:
-                self.duplicates += 1
-                return
-            top = self.gaps.pop(low)
-            if low < seq:
-                self.gaps[low] = seq - 1
-            if seq < top:
-                self.gaps[seq + 1] = top
-            self.out_of_order += 1
-        self.events += 1
+            self.first = self.high = int(numbers[0])
+        once = np.zeros(len(numbers), bool)
+        once[np.unique(numbers, return_index=True)[1]] = True
+        new = once & ~self.seen(numbers)
+        high_before = np.maximum.accumulate(np.concatenate([[self.high], numbers[:-1]]))
+        self.out_of_order += int((new & (numbers < high_before)).sum())
+        self.events += int(new.sum())
+        self.duplicates += int((~new).sum())
+        self.high = max(self.high, int(numbers.max()))
+        low, top = np.concatenate([self.low, numbers[new]]), np.concatenate([self.top, numbers[new]])
+        order = np.argsort(low)
+        low, top = low[order], top[order]
+        starts = np.concatenate([[True], low[1:] > top[:-1] + 1])
+        self.low, self.top = low[starts], top[np.concatenate([starts[1:], [True]])]
+
+
+def _changed(before: dict[int, int], after: dict[int, int]) -> tuple[list[int], dict[int, int]]:
+    """Keys that have gone, and entries that are new or different."""
+    return [k for k in before if k not in after], {k: v for k, v in after.items() if before.get(k) != v}
 
 
 class Tracker(StatefulProcessor):
-    """Folds the arrivals of a partition into its state and gives one row per micro-batch."""
+    """Folds the arrivals of a partition into its state and gives what has changed."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("sequence", _STATE)
+        self.figures = handle.getValueState("figures", _STATE)
+        self.intervals = handle.getMapState("intervals", "low bigint", "top bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            first, high, events, duplicates, late, gaps, below = self.state.get()
-            held = Sequence(first, high, events, duplicates, late, {int(k): v for k, v in json.loads(gaps).items()}, set(json.loads(below)))
-        else:
-            held = Sequence()
+        kept = sorted((k[0], v[0]) for k, v in self.intervals.iterator()) if self.figures.exists() else []
+        held = Sequence(*(self.figures.get() if self.figures.exists() else ()), low=[k for k, _ in kept], top=[v for _, v in kept])
+        intervals, holes = held.intervals, held.holes
         batch = pd.concat(list(rows)).sort_values("arrival", kind="stable")
-        for seq in batch["seq"].tolist():
-            held.observe(int(seq))
-        gaps = json.dumps({str(k): held.gaps[k] for k in sorted(held.gaps)})
-        counts = (held.first, held.high, held.events, held.duplicates, held.out_of_order)
-        self.state.update((*counts, gaps, json.dumps(sorted(held.below))))
-        yield pd.DataFrame([(key[0], *counts, gaps)], columns=[c.split()[0] for c in OUTPUT.split(", ")])
+        held.observe(batch["seq"].to_numpy())
+        gone, new = _changed(intervals, held.intervals)
+        for low in gone:
+            self.intervals.removeKey((low,))
+        for low, top in new.items():
+            self.intervals.updateValue((low,), (top,))
+        self.figures.update(held.figures)
+        closed, opened = _changed(holes, held.holes)
+        out = [(key[0], *held.figures, None, None), *((key[0], *held.figures, k, None) for k in closed), *((key[0], *held.figures, k, v) for k, v in opened.items())]
+        yield pd.DataFrame(out, columns=_COLUMNS).astype({c: "Int64" for c in _COLUMNS[1:]})
 
     def close(self) -> None:
         pass
 
 
 def track(events: DataFrame) -> DataFrame:
-    """The running state of each partition of a stream (partition, seq, arrival), in update mode."""
+    """What changes for each partition of a stream (partition, seq, arrival), in update mode."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     return events.groupBy("partition").transformWithStateInPandas(Tracker(), OUTPUT, "Update", "none")
 
 
 def run_available(spark: SparkSession, source: str, sink: str, checkpoint: str) -> DataFrame:
-    """Consumes the JSON files of a folder, one per trigger, and gives the last state of each partition."""
+    """Consumes the JSON files of a folder, one per trigger; all changes, with the batch they are of."""
     events = spark.readStream.schema("partition string, seq bigint, arrival bigint").option("maxFilesPerTrigger", 1).json(source)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
@@ -96,13 +125,17 @@ def run_available(spark: SparkSession, source: str, sink: str, checkpoint: str)
 
     query = track(events).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    states = spark.read.schema(f"{OUTPUT}, batch int").parquet(sink)
-    return states.groupBy("partition").agg(F.max_by(F.struct(*[c.split()[0] for c in OUTPUT.split(", ")][1:]), "batch").alias("s")).select("partition", "s.*")
+    return spark.read.schema(f"{OUTPUT}, batch int").parquet(sink)
+
+
+def figures_of(changes: DataFrame) -> DataFrame:
+    """The last figures of each partition."""
+    return changes.where("missing_from is null").groupBy("partition").agg(F.max_by(F.struct(*FIGURES), "batch").alias("s")).select("partition", "s.*")
 
 
-def gaps_of(states: DataFrame, reorder_grace: int) -> DataFrame:
-    """The holes of tracked partitions, judged at read time."""
-    pairs = F.explode(F.from_json("gaps", "map<string,bigint>"))
-    rows = states.select("partition", "high", pairs.alias("lo", "missing_to")).withColumn("missing_from", F.col("lo").cast("bigint"))
+def gaps_of(changes: DataFrame, reorder_grace: int) -> DataFrame:
+    """The holes of tracked partitions: missing once the grace has passed them, else open."""
+    last = changes.where("missing_from is not null").groupBy("partition", "missing_from").agg(F.max_by(F.struct("missing_to"), "batch").alias("s")).select("partition", "missing_from", "s.missing_to")
+    rows = last.where("missing_to is not null").join(figures_of(changes).select("partition", "high"), "partition")
     status = F.when(F.col("high") - F.col("missing_to") >= reorder_grace, "missing").otherwise("open")
     return rows.select("partition", "missing_from", "missing_to", (F.col("missing_to") - F.col("missing_from") + 1).alias("n"), status.alias("status"))
