@@ -139,7 +139,7 @@ def test_the_tracker_writes_what_has_changed(spark, tmp_path):
         for i, numbers in enumerate(part):
             (tmp_path / f"in{i}").mkdir(exist_ok=True)
             (tmp_path / f"in{i}" / "f.json").write_text("\n".join(json.dumps({"partition": "p", "seq": s, "arrival": 100 * i + j}) for j, s in enumerate(numbers)))
-        changes = live.run_available(spark, f"{tmp_path}/in*", f"{tmp_path}/out", f"{tmp_path}/state")
+        changes = live.run_available(spark, f"{tmp_path}/in*", f"{tmp_path}/out", f"{tmp_path}/state", 1)
     assert live.figures_of(changes).first()[1:] == (5, 90, 19, 1, 13)
     assert {(r["missing_from"], r["missing_to"], r["status"]) for r in live.gaps_of(changes, 50).collect()} == {(22, 89, "open")}
     assert {(r["missing_from"], r["missing_to"]) for r in changes.where("batch = 1 and missing_from is not null").collect()} == {(7, None), (8, 8), (10, 11), (13, 19)}
@@ -157,7 +157,7 @@ def test_timers_tell_silence_as_the_batch_does(spark, tmp_path):
     for i, rows in enumerate(files):
         (tmp_path / f"in{i}").mkdir()
         (tmp_path / f"in{i}" / "f.json").write_text("\n".join(map(json.dumps, rows)))
-    changes = silence.run_available(spark, f"{tmp_path}/in*", f"{tmp_path}/out", f"{tmp_path}/state").persist()
+    changes = silence.run_available(spark, f"{tmp_path}/in*", f"{tmp_path}/out", f"{tmp_path}/state", 1).persist()
     beats = spark.createDataFrame([(r["partition"], r["at"], r["producer_high_water"], r["arrival"]) for f in files for r in f if r["kind"] == "beat"], "partition string, at string, producer_high_water bigint, arrival bigint").withColumn("at", F.col("at").cast("timestamp"))
     nothing = spark.createDataFrame([], "partition string, seq bigint")
     for now in ("10:00:00", "10:05:00", "10:05:01", "10:06:00", "10:08:00", "10:20:00"):

@@ -272,14 +272,16 @@ def completeness_lag_vs_holes(spark, d):
 
 
 def _streamed(spark, d):
-    """The stream in three files of arrival order through the stateful processor."""
+    """The stream in three deliveries of arrival order, each taken by a run of its own that resumes from the last."""
     root = storage.fresh(spark, "stream")
-    events = feeds.stream_events(spark, d)
+    events = feeds.stream_events(spark, d).persist()
     last = events.agg(F.max("arrival")).first()[0]
     cuts = [-1, 400, 1_000_000_000, last]
     for i, (low, high) in enumerate(zip(cuts, cuts[1:])):
-        events.where((F.col("arrival") > low) & (F.col("arrival") <= high)).coalesce(1).write.mode("append").json(f"{root}/in{i}")
-    return live.run_available(spark, f"{root}/in*", f"{root}/out", f"{root}/state")
+        events.where((F.col("arrival") > low) & (F.col("arrival") <= high)).write.json(f"{root}/in{i}")
+        changes = live.run_available(spark, f"{root}/in*", f"{root}/out", f"{root}/state")
+    events.unpersist()
+    return changes
 
 
 def completeness_stream(spark, d):
@@ -302,8 +304,8 @@ def completeness_stream_silence(spark, d):
     cuts = (F.col("at") <= F.lit(FIRST_CLOSE).cast("timestamp"), F.col("at") > F.lit(FIRST_CLOSE).cast("timestamp"))
     for i, (rows, cut) in enumerate(zip(extra, cuts)):
         more = spark.createDataFrame(rows, names).withColumn("at", F.col("at").cast("timestamp"))
-        beats.where(cut).unionByName(more).coalesce(1).write.json(f"{root}/in{i}")
-    changes = silence.run_available(spark, f"{root}/in*", f"{root}/out", f"{root}/state")
+        beats.where(cut).unionByName(more).write.json(f"{root}/in{i}")
+        changes = silence.run_available(spark, f"{root}/in*", f"{root}/out", f"{root}/state")
     return silence.state_of(changes, FIRST_CLOSE).withColumn("close", F.lit(FIRST_CLOSE)).unionByName(silence.state_of(changes, CLOSE).withColumn("close", F.lit(CLOSE)))
 
 
@@ -501,14 +503,13 @@ def ingest_rejects(spark, d):
 def ingest_truncated_gate(spark, d):
     """A batch whose last details are gone is refused, and why."""
     path = storage.fresh(spark, "cut")
-    rows = writers.batch_lines(feeds.core(spark, d)).where("part <> 1 or ordinal % 100 <> 7")
-    rows.coalesce(1).sortWithinPartitions("part", "ordinal").select("value").write.text(path)
+    writers.write_lines(writers.batch_lines(feeds.core(spark, d)).where("part <> 1 or ordinal % 100 <> 7"), path, "part", "ordinal")
     try:
         ingest.read_batch(spark, path)
-        refused = False
-    except ingest.ControlTotalMismatch:
-        refused = True
-    return spark.createDataFrame([(refused,)], "refused boolean")
+        reason = None
+    except ingest.ControlTotalMismatch as e:
+        reason = str(e).replace(path, "the batch")
+    return spark.createDataFrame([(reason is not None, reason)], "refused boolean, reason string")
 
 
 def pipeline_run(spark, d):

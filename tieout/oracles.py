@@ -193,7 +193,8 @@ _BODIES = {
     "ingest_jsonl_roundtrip": "SELECT ref, business_date, account, amount_minor, currency, kind, source, CAST(row_number() OVER (ORDER BY line_no) AS BIGINT) AS line_no FROM proc",
     "ingest_transport": "SELECT part AS partition, events, duplicates, out_of_order, first_seq, high FROM stats",
     "ingest_rejects": "SELECT line_no, ['unknown record code', 'bad date', 'bad amount', 'no reference'][line_no % 200 // 50 + 1] AS reason FROM core WHERE line_no % 50 = 0",
-    "ingest_truncated_gate": "SELECT TRUE AS refused",
+    "ingest_truncated_gate": """SELECT TRUE AS refused, 'the batch: ' || n || ' of ' || all_n || ' records, total ' || total || ' of ' || all_total || ', 0 rejected' AS reason
+      FROM (SELECT count(*) FILTER (WHERE line_no % 100 <> 7) AS n, count(*) AS all_n, sum(abs(amount_minor)) FILTER (WHERE line_no % 100 <> 7) AS total, sum(abs(amount_minor)) AS all_total FROM core)""",
 } | {f"recon_{short}": f"SELECT {_VERDICT} FROM v WHERE verdict = '{verdict}'" for short, verdict in (("duplicates", "duplicate"), ("sign", "sign"), ("fx", "amount_fx"), ("fee", "amount_fee"), ("timing", "timing"), ("unknown", "amount_unknown"))}
 
 _FIRSTS = ", firsts AS (SELECT ref, break_type, arg_min(struct_pack(v := variance_minor), COALESCE(line_no, 0)).v AS variance_minor FROM brk GROUP BY ref, break_type) "

@@ -53,16 +53,12 @@ class Files:
 
     def put(self, path: str, text: str) -> None:
         """Writes a new file; raises ``Conflict`` if there is one of that name."""
-        target, fs = self.at(path)
-        fs.mkdirs(target.getParent())
-        draft, _ = self.at(f"{target.getParent().toString()}/.{uuid.uuid4().hex}.draft")
-        stream = fs.create(draft, False)
+        target, draft, fs = self._drafted(path, text)
         try:
-            stream.write(bytearray(text.encode()))
-        finally:
-            stream.close()
-        try:
-            self._named(fs, draft, target)
+            if fs.getScheme() == "file":  # a link refuses a taken name, which a local rename does not
+                self.jvm.java.nio.file.Files.createLink(*(self.jvm.java.io.File(p.toUri().getPath()).toPath() for p in (target, draft)))
+            else:
+                self._renamed(fs, draft, target)
         except Exception as e:
             if not fs.exists(target):
                 raise
@@ -70,13 +66,28 @@ class Files:
         finally:
             fs.delete(draft, False)
 
-    def _named(self, fs, draft, target) -> None:
-        if fs.getScheme() == "file":  # a link refuses a taken name, which a local rename does not
-            self.jvm.java.nio.file.Files.createLink(*(self.jvm.java.io.File(p.toUri().getPath()).toPath() for p in (target, draft)))
-            return
-        options = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
-        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.conf)
-        context.rename(draft, target, self.gateway.new_array(options, 0))
+    def replace(self, path: str, text: str) -> None:
+        """Writes a file over another one, if there is one."""
+        target, draft, fs = self._drafted(path, text)
+        self._renamed(fs, draft, target, "OVERWRITE")
+
+    def _drafted(self, path: str, text: str):
+        target, fs = self.at(path)
+        fs.mkdirs(target.getParent())
+        draft, _ = self.at(f"{target.getParent().toString()}/.{uuid.uuid4().hex}.draft")
+        stream = fs.create(draft, False)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        return fs.makeQualified(target), fs.makeQualified(draft), fs
+
+    def _renamed(self, fs, draft, target, *options: str) -> None:
+        kind = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
+        given = self.gateway.new_array(kind, len(options))
+        for i, name in enumerate(options):
+            given[i] = getattr(kind, name)
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.conf).rename(draft, target, given)
 
 
 class Versioned:

@@ -1,9 +1,11 @@
 """Fixed-width batches with control totals, and JSON event lines.
 
-Lines are numbered per file over physical lines.  Spark gives no line numbers,
-so each split numbers its own lines, splits are put in order by their start, and
-the counts of the splits before are added; only one small row per split is
-summed in order.
+A feed is a file or a folder of parts; its lines are numbered over all parts in order
+of their names.  Spark gives no line numbers, but a task reads the lines of a split in
+order.  So a first pass takes totals and the number of lines of each split, which the
+trailer is held against; sums over one row per split say how many lines lie ahead of
+it, and the second pass numbers lines inside the task that reads them.  Lines are never
+shuffled, sorted or written.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tieout.errors import ControlTotalMismatch
+from tieout.sources.files import Files
 
 RECORD = "ref string, business_date date, account string, amount_minor bigint, currency string, kind string, source string, source_file string, line_no bigint"
 _COLUMNS = [c.split()[0] for c in RECORD.split(", ")]
@@ -40,18 +43,38 @@ class Ingested:
         return self.declared_count == self.parsed_count and self.declared_total == self.parsed_total and not self.rejected
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(source_file, line_no, value) of text files, blank lines counted."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"))
-    placed = lines.withColumn("i", F.row_number().over(W.partitionBy("f", "b").orderBy(F.monotonically_increasing_id())))
-    before = W.partitionBy("f").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = lines.groupBy("f", "b").count().select("f", "b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
-    return placed.join(offsets, ["f", "b"]).select(F.element_at(F.split("f", "/"), -1).alias("source_file"), (F.col("ahead") + F.col("i")).cast("bigint").alias("line_no"), "value")
+#: Offsets (some 150 bytes a split) are broadcast up to so many tasks; a task reads some 30 small files at most.
+BROADCAST_PARTITIONS = 20_000
+
+
+def lines_of(spark: SparkSession, path: str) -> DataFrame:
+    """(value, f, b, i): lines with their file, the start of their split, and a number that grows within it."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+
+
+def surveyed(parsed: DataFrame) -> DataFrame:
+    """One row per split: lines and the first one's number, records, their absolute total, rejects, and what trailers declare."""
+    fine, trailer = F.col("reason").isNull(), F.col("reason") == "trailer"
+    return parsed.groupBy("f", "b").agg(
+        F.count("*").alias("lines"), F.min("i").alias("start"), F.count_if(fine).alias("n"), F.sum(F.when(fine, F.abs("amount_minor"))).alias("total"), F.count_if(~F.col("reason").isin("trailer", "skipped")).alias("bad"),
+        F.count_if(trailer).alias("trailers"), F.max(F.when(trailer, F.col("count"))).alias("declared_count"), F.max(F.when(trailer, F.col("declared"))).alias("declared_total"),
+    )
 
 
-def bare_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines without their numbers, for totals (no shuffle)."""
-    return spark.read.text(path).select(F.lit("").alias("source_file"), F.lit(None).cast("bigint").alias("line_no"), "value")
+def numbered(lines: DataFrame, splits: DataFrame) -> DataFrame:
+    """Adds source_file and line_no to lines; ``splits`` has f, b, lines and start of each split."""
+    before = W.orderBy(F.length("f"), "f", "b").rowsBetween(W.unboundedPreceding, -1)
+    offsets = splits.select("f", "b", "start", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("ahead"))
+    few = lines.rdd.getNumPartitions() <= BROADCAST_PARTITIONS
+    joined = lines.join(F.broadcast(offsets) if few else offsets, ["f", "b"])
+    number = F.col("ahead") + F.col("i") - F.col("start") + 1
+    return joined.withColumn("source_file", F.element_at(F.split("f", "/"), -1)).withColumn("line_no", number.cast("bigint")).drop("f", "b", "i", "start", "ahead")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, source_file, line_no) of text files, blank lines counted."""
+    lines = lines_of(spark, path)
+    return numbered(lines, lines.groupBy("f", "b").agg(F.count("*").alias("lines"), F.min("i").alias("start")))
 
 
 def _cut(name: str, fields: dict) -> Column:
@@ -60,13 +83,13 @@ def _cut(name: str, fields: dict) -> Column:
 
 
 def parsed_width(lines: DataFrame, source: str = "core") -> DataFrame:
-    """Every line but headers and blank ones: record fields, ``reason`` to reject it, and what a trailer declares."""
+    """Every line: record fields, ``reason`` not to take it (``skipped``: blank or a header), and what a trailer declares."""
+    rest = [c for c in lines.columns if c != "value"]
     code = F.substring("value", 1, 2)
-    body = lines.where(F.trim("value") != "").withColumn("code", code).where("code <> '01'")
-    detail = body.select(
-        "source_file",
-        "line_no",
-        "code",
+    detail = lines.select(
+        *rest,
+        code.alias("code"),
+        (F.trim("value") == "").alias("blank"),
         _cut("ref", DETAIL).alias("ref"),
         F.try_to_date(_cut("business_date", DETAIL), "yyyyMMdd").alias("business_date"),
         _cut("account", DETAIL).alias("account"),
@@ -75,16 +98,20 @@ def parsed_width(lines: DataFrame, source: str = "core") -> DataFrame:
         _cut("kind", DETAIL).alias("kind"),
         F.lit(source).alias("source"),
         _cut("count", TRAILER).try_cast("bigint").alias("count"),
-        _cut("total", TRAILER).try_cast("bigint").alias("total"),
+        _cut("total", TRAILER).try_cast("bigint").alias("declared"),
     )
-    reason = F.when(F.col("code") == "99", "trailer").when(F.col("code") != "16", "unknown record code").when(F.col("ref") == "", "no reference").when(F.col("business_date").isNull(), "bad date").when(F.col("amount_minor").isNull(), "bad amount")
+    reason = F.when(F.col("blank") | (F.col("code") == "01"), "skipped").when(F.col("code") == "99", "trailer").when(F.col("code") != "16", "unknown record code").when(F.col("ref") == "", "no reference").when(F.col("business_date").isNull(), "bad date").when(F.col("amount_minor").isNull(), "bad amount")
     return detail.withColumn("reason", reason)
 
 
 def fixed_width(lines: DataFrame, source: str = "core") -> tuple[DataFrame, DataFrame]:
     """(records, rejects) of numbered lines."""
     parsed = parsed_width(lines, source)
-    return parsed.where("reason is null").select(*_COLUMNS), parsed.where("reason <> 'trailer'").select("source_file", "line_no", "reason")
+    return _taken(parsed)
+
+
+def _taken(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return parsed.where("reason is null").select(*_COLUMNS), parsed.where("reason not in ('trailer', 'skipped')").select("source_file", "line_no", "reason")
 
 
 def parsed_json(lines: DataFrame, source: str = "processor") -> DataFrame:
@@ -93,29 +120,29 @@ def parsed_json(lines: DataFrame, source: str = "processor") -> DataFrame:
     text = lambda key: F.try_variant_get(v, f"$.{key}", "string")
     kind = lambda key: F.expr(f"schema_of_variant(try_variant_get(try_parse_json(value), '$.{key}', 'variant'))")
     strings = ("ref", "account", "currency", "kind")
-    parsed = lines.where(F.trim("value") != "").select(
-        "source_file", "line_no", v.isNotNull().alias("json"), *(F.when(kind(k) == "STRING", text(k)).alias(k) for k in strings),
+    rest = [c for c in lines.columns if c != "value"]
+    parsed = lines.select(
+        *rest, (F.trim("value") == "").alias("blank"), v.isNotNull().alias("json"), *(F.when(kind(k) == "STRING", text(k)).alias(k) for k in strings),
         F.try_to_date(F.when(kind("business_date") == "STRING", text("business_date")), "yyyy-MM-dd").alias("business_date"),
         F.when(kind("amount_minor") == "BIGINT", F.try_variant_get(v, "$.amount_minor", "bigint")).alias("amount_minor"), F.lit(source).alias("source"),
+        F.lit(None).cast("bigint").alias("count"), F.lit(None).cast("bigint").alias("declared"),
     )
     missing = F.lit(False)
     for k in strings:
         missing = missing | F.col(k).isNull()
-    reason = F.when(~F.col("json"), "not JSON").when(missing, "missing field").when(F.col("business_date").isNull(), "bad date").when(F.col("amount_minor").isNull(), "bad amount")
+    reason = F.when(F.col("blank"), "skipped").when(~F.col("json"), "not JSON").when(missing, "missing field").when(F.col("business_date").isNull(), "bad date").when(F.col("amount_minor").isNull(), "bad amount")
     return parsed.withColumn("reason", reason)
 
 
 def json_events(lines: DataFrame, source: str = "processor") -> tuple[DataFrame, DataFrame]:
     """(records, rejects) of numbered JSON lines."""
-    parsed = parsed_json(lines, source)
-    return parsed.where("reason is null").select(*_COLUMNS), parsed.where("reason is not null").select("source_file", "line_no", "reason")
+    return _taken(parsed_json(lines, source))
 
 
-def _counted(parsed: DataFrame, *more: Column):
-    """One row: records, the sum of their absolute amounts, and rejects (one pass, no shuffle but of one row a task)."""
-    fine = F.col("reason").isNull()
-    total = F.coalesce(F.sum(F.when(fine, F.abs("amount_minor"))), F.lit(0)).alias("total")
-    return parsed.agg(F.count_if(fine).alias("n"), total, F.count_if(F.col("reason") != "trailer").alias("bad"), *more).first()
+def _totals(splits: DataFrame):
+    """One row over all splits."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "total", "bad", "trailers")]
+    return splits.agg(*sums, F.max("declared_count").alias("declared_count"), F.max("declared_total").alias("declared_total")).first()
 
 
 def control_totals(records: DataFrame) -> DataFrame:
@@ -125,12 +152,12 @@ def control_totals(records: DataFrame) -> DataFrame:
 
 def read_batch(spark: SparkSession, path: str, source: str = "core") -> Ingested:
     """A fixed-width batch; raises before anything is loaded if it is not what its trailer declares."""
-    trailer = F.col("reason") == "trailer"
-    declared = [F.max(F.when(trailer, F.col(c))).alias(f"declared_{c}") for c in ("count", "total")]
-    row = _counted(parsed_width(bare_lines(spark, path), source), F.count_if(trailer).alias("trailers"), *declared)
+    lines = lines_of(spark, path)
+    splits = surveyed(parsed_width(lines, source)).persist()
+    row = _totals(splits)
     if row["trailers"] != 1 or row["declared_count"] is None or row["declared_total"] is None:
         raise ControlTotalMismatch(f"{path} has {row['trailers']} trailers, not one that is readable")
-    out = Ingested(*fixed_width(numbered_lines(spark, path), source), row["declared_count"], row["declared_total"], row["n"], row["total"], row["bad"])
+    out = Ingested(*fixed_width(numbered(lines, splits), source), row["declared_count"], row["declared_total"], row["n"], row["total"], row["bad"])
     if not out.ok:
         raise ControlTotalMismatch(f"{path}: {out.parsed_count} of {out.declared_count} records, total {out.parsed_total} of {out.declared_total}, {out.rejected} rejected")
     return out
@@ -138,8 +165,10 @@ def read_batch(spark: SparkSession, path: str, source: str = "core") -> Ingested
 
 def read_events(spark: SparkSession, path: str, source: str = "processor") -> Ingested:
     """JSON event lines; what was parsed counts as declared, so only rejects are held against it."""
-    row = _counted(parsed_json(bare_lines(spark, path), source))
-    return Ingested(*json_events(numbered_lines(spark, path), source), row["n"], row["total"], row["n"], row["total"], row["bad"])
+    lines = lines_of(spark, path)
+    splits = surveyed(parsed_json(lines, source)).persist()
+    row = _totals(splits)
+    return Ingested(*json_events(numbered(lines, splits), source), row["n"], row["total"], row["n"], row["total"], row["bad"])
 
 
 def read_transport(spark: SparkSession, path: str) -> DataFrame:
@@ -157,5 +186,6 @@ def read_heartbeats(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_truth(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON object or array of planted truth."""
-    return spark.read.option("multiLine", True).schema(schema).json(path)
+    """A JSON object or array of planted truth in one file, or its rows as lines in the parts of a folder."""
+    p, fs = Files(spark).at(path)
+    return spark.read.option("multiLine", fs.getFileStatus(p).isFile()).schema(schema).json(path)

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tieout.sources.files import Files
 from tieout.sources.ingest import control_totals
 
 
 def batch_lines(records: DataFrame) -> DataFrame:
-    """(ordinal, value): header, details in line order, trailer."""
+    """(part, ordinal, value): header, details by line number, trailer."""
     spark = records.sparkSession
     detail = F.concat(
         F.lit("16"), F.rpad("ref", 16, " "), F.date_format("business_date", "yyyyMMdd"), F.rpad("account", 6, " "), F.rpad("currency", 3, " "),
@@ -23,22 +23,23 @@ def batch_lines(records: DataFrame) -> DataFrame:
     return head.unionByName(records.select(F.lit(1).alias("part"), F.col("line_no").alias("ordinal"), detail.alias("value"))).unionByName(totals)
 
 
+def write_lines(lines: DataFrame, path: str, *order: str) -> None:
+    """Parts in a folder, one a range of the order; their names are in that order too, as readers take them."""
+    lines.orderBy(*order).select("value").write.mode("overwrite").text(path)
+
+
 def write_batch(records: DataFrame, path: str) -> None:
-    """One ordered file (a control file is one file by nature)."""
-    batch_lines(records).coalesce(1).sortWithinPartitions("part", "ordinal").select("value").write.mode("overwrite").text(path)
+    """A batch in parts: the header leads the first, the trailer ends the last."""
+    write_lines(batch_lines(records), path, "part", "ordinal")
 
 
 def write_events(records: DataFrame, path: str, order: str = "line_no") -> None:
-    """Event lines in arrival order."""
+    """Event lines in arrival order, in parts."""
     names = [c for c in records.columns if c not in ("source", "source_file", "line_no", "arrival")]
     lines = records.withColumn("business_date", F.date_format("business_date", "yyyy-MM-dd")) if "business_date" in records.columns else records
-    lines.coalesce(1).sortWithinPartitions(order).select(F.to_json(F.struct(*names)).alias("value")).write.mode("overwrite").text(path)
+    write_lines(lines.select(order, F.to_json(F.struct(*names)).alias("value")), path, order)
 
 
-def write_json(value, path: str) -> None:
-    """Truth and control files on the driver, replaced in one step."""
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    temporary = target.with_suffix(".tmp")
-    temporary.write_text(json.dumps(value, indent=1, default=str))
-    temporary.replace(target)
+def write_json(spark: SparkSession, value, path: str) -> None:
+    """A small control or truth file in any store, replaced in one step."""
+    Files(spark).replace(path, json.dumps(value, indent=1, default=str))

@@ -115,9 +115,13 @@ def track(events: DataFrame) -> DataFrame:
     return events.groupBy("partition").transformWithStateInPandas(Tracker(), OUTPUT, "Update", "none")
 
 
-def run_available(spark: SparkSession, source: str, sink: str, checkpoint: str) -> DataFrame:
-    """Consumes the JSON files of a folder, one per trigger; all changes, with the batch they are of."""
-    events = spark.readStream.schema("partition string, seq bigint, arrival bigint").option("maxFilesPerTrigger", 1).json(source)
+def run_available(spark: SparkSession, source: str, sink: str, checkpoint: str, files_a_batch: int | None = None) -> DataFrame:
+    """Consumes the JSON files that a folder has got since the last call, at once or a few per micro-batch; all changes so far, with their batch.
+
+    Arrival order holds within a micro-batch whatever its files; earlier batches must hold earlier arrivals.
+    """
+    reader = spark.readStream.schema("partition string, seq bigint, arrival bigint")
+    events = (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).json(source)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         # A batch that is run again replaces its own folder.

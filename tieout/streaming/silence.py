@@ -82,9 +82,10 @@ def watch(beats: DataFrame, policy: Policy = DEFAULT, lateness: str = "0 seconds
     return timed.groupBy("partition").transformWithStateInPandas(Silence(policy.max_silence_seconds * 1000), OUTPUT, "Update", "EventTime")
 
 
-def run_available(spark: SparkSession, source: str, sink: str, checkpoint: str, policy: Policy = DEFAULT) -> DataFrame:
-    """Consumes the JSON files of a folder, one per trigger, in order of their times; all changes."""
-    beats = spark.readStream.schema(INPUT).option("maxFilesPerTrigger", 1).json(source)
+def run_available(spark: SparkSession, source: str, sink: str, checkpoint: str, files_a_batch: int | None = None, policy: Policy = DEFAULT) -> DataFrame:
+    """Consumes the JSON files that a folder has got since the last call, at once or a few per micro-batch; all changes so far."""
+    reader = spark.readStream.schema(INPUT)
+    beats = (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).json(source)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
