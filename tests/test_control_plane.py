@@ -44,14 +44,65 @@ def test_materiality_limit(spark, tmp_path):
         q.resolve("A", "amount_unknown", "written_off", "cy", "controller", "2026-03-05 09:00:00")
 
 
-def test_ledger_shows_tampering(spark, tmp_path):
+def rewritten(spark, folder, change):
+    """Changes the rows of a batch in place, as somebody with access to its files could."""
+    rows = spark.read.parquet(folder)
+    held = [change(r.asDict()) for r in rows.collect()]
+    spark.createDataFrame([tuple(r.values()) for r in held if r], rows.schema).write.mode("overwrite").parquet(folder)
+
+
+def test_ledger_shows_tampering_and_takes_nothing_more(spark, tmp_path):
     q = BreakQueue(spark, f"file:{tmp_path}/q")
-    q.intake(found(spark, ("A", "sign", 1, "2026-03-02"), ("B", "sign", 2, "2026-03-02")), "2026-03-03 08:00:00")
-    part = f"{tmp_path}/q/events/batch=0"
-    rows = spark.read.parquet(part).withColumn("actor", F.lit("mallory")).collect()
-    spark.createDataFrame(rows, spark.read.parquet(part).schema).write.mode("overwrite").parquet(part)
-    with pytest.raises(LedgerTampered):
+    q.intake(found(spark, *((chr(65 + i), "sign", i, "2026-03-02") for i in range(6))), "2026-03-03 08:00:00")
+    q.intake(found(spark, ("Z", "sign", 1, "2026-03-02")), "2026-03-04 08:00:00")
+    assert q.ledger.audit() == 7
+    folder = next((tmp_path / "q" / "events" / "batch=0").iterdir())
+    rewritten(spark, f"file:{folder}", lambda r: r | {"actor": "mallory"} if r["ref"] == "C" else None if r["ref"] == "E" else r)
+    with pytest.raises(LedgerTampered, match="event 3 of batch 0 was changed; event 5 of batch 0 was gone"):
         q.ledger.audit()
+    with pytest.raises(LedgerTampered, match="the files of batch 0"):
+        q.intake(found(spark, ("Y", "sign", 1, "2026-03-02")), "2026-03-05 08:00:00")
+    assert q.ledger.version() == 2
+
+
+def test_a_forged_head_is_found_though_its_own_digests_fit(spark, tmp_path, monkeypatch):
+    from tieout.operators import ledger as led
+
+    monkeypatch.setattr(led, "FANOUT", 4)  # three levels
+    rows = spark.range(40).select(F.col("id").cast("string").alias("ref"), F.col("id").alias("n"))
+    ledger = led.Ledger(spark, f"file:{tmp_path}/l", "ref string, n bigint")
+    assert ledger.append(rows, ["n"]) == 40 and ledger.audit() == 40
+    folder = next((tmp_path / "l" / "events" / "batch=0").iterdir())
+    forged = spark.read.parquet(f"file:{folder}").withColumn("n", F.when(F.col("event_id") == 18, 99).otherwise(F.col("n"))).drop("row_hash")
+    held = led.digest_rows(forged, ["event_id", "ref", "n"]).collect()
+    spark.createDataFrame(held, "event_id bigint, ref string, n bigint, row_hash string").write.mode("overwrite").parquet(f"file:{folder}")
+    monkeypatch.setattr(led.Ledger, "_looks", lambda self, folder: ledger.batches()[0]["files"])  # and the files look as before
+    with pytest.raises(LedgerTampered, match="event 18 of batch 0 was changed"):
+        ledger.append(rows.limit(1), ["n"])
+    assert [tuple(r) for r in ledger.changes().collect()] == [(0, 18, "changed")]
+    tree = next((tmp_path / "l" / "tree" / "batch=0").iterdir())
+    digests = {r["event_id"]: r["row_hash"] for r in held}
+    rewritten(spark, f"file:{tree}", lambda r: r | {"digest": digests[r["node"] + 1]} if r["level"] == 0 else r)
+    with pytest.raises(LedgerTampered, match="event 18|the tree of batch 0"):
+        ledger.audit()
+
+
+def test_two_writers_of_a_ledger_get_two_numbers(spark, tmp_path, monkeypatch):
+    """Both read the same requests; the second append is refused, asked again, and takes the next number."""
+    from tieout.operators.ledger import Ledger
+
+    periods, rival = (Periods(spark, f"file:{tmp_path}/p") for _ in range(2))
+    append, beaten = Ledger.append, []
+
+    def late(self, *args, **more):
+        if not beaten:
+            beaten.append(None)
+            beaten.append(rival.request_backfill(["2026-03-02"], "bob", "late", "2026-03-05T09:00:00"))
+        return append(self, *args, **more)
+
+    monkeypatch.setattr(Ledger, "append", late)
+    assert (periods.request_backfill(["2026-03-02"], "cy", "later", "2026-03-05T09:00:00"), beaten[1]) == (2, 1)
+    assert {r["request_id"]: r["requested_by"] for r in periods.requests().collect()} == {1: "bob", 2: "cy"}
 
 
 def test_four_eyes(spark, tmp_path):
@@ -163,7 +214,7 @@ def test_a_batch_without_a_seal_does_not_count(spark, tmp_path):
     ledger = Ledger(spark, root, "ref string, n bigint")
     rows = lambda *r: spark.createDataFrame(list(r), "ref string, n bigint")
     assert ledger.append(rows(("a", 1), ("b", 2)), ["ref"]) == 2
-    spark.createDataFrame([(3, "half", 9, "x")], "event_id bigint, ref string, n bigint, row_hash string").write.parquet(f"{root}/events/batch=1")
+    spark.createDataFrame([(3, "half", 9, "x")], "event_id bigint, ref string, n bigint, row_hash string").write.parquet(f"{root}/events/batch=1/draft=half")
     assert ledger.audit() == 2 and {r["ref"] for r in ledger.events().collect()} == {"a", "b"}
     assert Ledger(spark, root, "ref string, n bigint").append(rows(("c", 3)), ["ref"]) == 1
     assert ledger.audit() == 3 and {(r["event_id"], r["ref"]) for r in ledger.events().collect()} == {(1, "a"), (2, "b"), (3, "c")}

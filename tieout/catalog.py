@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tieout import storage
 from tieout.functions.calendar import age_bucket, business_days, tier
 from tieout.operators import aging, approvals, breakqueue, completeness, lineage, mart, matching, scoring
-from tieout.plans import backfill, pipeline
+from tieout.plans import backfill, landing, pipeline
 from tieout.policy import Policy
 from tieout.sources import feeds, ingest, writers
 from tieout.streaming import completeness as live
@@ -357,6 +357,19 @@ def queue_history(spark, d):
     return breakqueue.history(events, ref, "sign").select("event_id", "ref", "break_type", "action", "from_status", "to_status", F.col("note").alias("detail"))
 
 
+def queue_ledger_audit(spark, d):
+    """One event of the queue's ledger rewritten in place and one removed: what the audit names."""
+    root = storage.fresh(spark, "ledger")
+    queue = breakqueue.BreakQueue(spark, root)
+    queue.intake(_breaks(spark, d), "2026-03-09 08:00:00")
+    [batch] = queue.ledger.batches()
+    held = queue.ledger.events()
+    place = F.col("event_id") % 100
+    held.where(place != 7).withColumn("variance_minor", F.when(place == 3, F.lit(0)).otherwise(F.col("variance_minor"))).withColumn("actor", F.when(place == 3, "mallory").otherwise(F.col("actor"))).drop("batch").write.parquet(f"{root}/forged")
+    spark.read.parquet(f"{root}/forged").write.mode("overwrite").parquet(f"{root}/events/batch={batch['batch']}/draft={batch['draft']}")
+    return queue.ledger.changes().join(held.sparkSession.read.parquet(f"{root}/tree").where("level = 0").select((F.col("node") + 1).alias("event_id")), "event_id").select("event_id", "change")
+
+
 def _requests(spark, d):
     base = _breaks(spark, d).where("variance_minor is not null").groupBy("ref").agg(F.min("variance_minor").alias("amount_minor"))
     n = F.substring("ref", 3, 9).cast("bigint")
@@ -383,6 +396,11 @@ def foureyes_decisions(spark, d):
     return approvals.decide(_requests(spark, d), _decisions(spark, d)).select("request_id", "action", "reason", F.col("seconds").cast("bigint").alias("seconds"))
 
 
+def foureyes_oldest_pending(spark, d):
+    """The twenty requests that wait longest for a checker."""
+    return approvals.pending(_requests(spark, d)).limit(20).select("request_id", "ref", "amount_minor", "maker", "made_at")
+
+
 def foureyes_review_speed(spark, d):
     fine = approvals.decide(_requests(spark, d), _decisions(spark, d)).where("reason is null").select("request_id", F.col("action").alias("decided"))
     reviews = _requests(spark, d).drop("state").join(fine, "request_id").join(_decisions(spark, d).select("request_id", "checked_at"), "request_id").withColumnRenamed("decided", "state")
@@ -397,10 +415,14 @@ def foureyes_fast_reviews(spark, d):
 
 
 def signoff_lifecycle(spark, d):
-    """Sign-off, request, approval, use and rejection over their ledgers: the state of each request and what each step said."""
+    """Sign-off, request, approval, use and rejection over their ledgers: what each step said, and the state and plan of each request.
+
+    The closed date is the feed's second; the plan is over its first two and what the facts hold of them.
+    """
+    held = {str(r[0]): r[1] for r in _facts(spark, d).groupBy("business_date").count().collect()}
+    counts = {day: held[day] for day in sorted(held)[:2]}
     periods = approvals.Periods(spark, storage.fresh(spark, "periods"))
-    periods.sign_off("2026-03-03", "ann", "2026-03-04T09:00:00")
-    counts = {"2026-03-02": 2, "2026-03-03": 3}
+    periods.sign_off(max(counts), "ann", "2026-03-04T09:00:00")
     dates = sorted(counts)
     first = periods.request_backfill(dates, "bob", "late file", "2026-03-05T09:00:00", counts)
     second = periods.request_backfill(dates, "bob", "second try", "2026-03-05T09:05:00", counts)
@@ -419,18 +441,20 @@ def signoff_lifecycle(spark, d):
     step("approval", lambda: periods.approve_backfill(first, "ann", "fine", "2026-03-05T10:00:00"))
     step("rejection", lambda: periods.reject_backfill(second, "ann", "not needed"))
     step("approval without time", lambda: periods.approve_backfill(third, "ann", "fine", "2026-03-05T10:00:00", ttl_hours=0))
-    step("other plan", lambda: periods.authorise(dates, counts | {"2026-03-02": 1}, "2026-03-05T11:00:00", first))
+    step("other plan", lambda: periods.authorise(dates, counts | {min(counts): 0}, "2026-03-05T11:00:00", first))
     step("use", lambda: periods.authorise(dates, counts, "2026-03-05T11:00:00", first))
     step("use of expired", lambda: periods.authorise(dates, counts, "2026-03-05T10:00:01", third))
     step("consumption", lambda: periods.consume(first, "2026-03-05T11:30:00"))
     step("second use", lambda: periods.authorise(dates, counts, "2026-03-05T11:40:00", first))
-    steps = spark.createDataFrame([(i, *x) for i, x in enumerate(said)], "place int, subject string, outcome string")
-    states = periods.requests().select(F.lit(100).alias("place"), F.concat(F.lit("request "), F.col("request_id").cast("string")).alias("subject"), F.concat_ws(" ", "state", F.when(F.col("consumed_at").isNotNull(), "used")).alias("outcome"))
+    steps = spark.createDataFrame([(i, *x, None) for i, x in enumerate(said)], "place int, subject string, outcome string, plan string")
+    states = periods.requests().select(F.lit(100).alias("place"), F.concat(F.lit("request "), F.col("request_id").cast("string")).alias("subject"), F.concat_ws(" ", "state", F.when(F.col("consumed_at").isNotNull(), "used")).alias("outcome"), F.col("plan_hash").alias("plan"))
     return steps.unionByName(states)
 
 
-def _signoffs(spark):
-    return spark.sql("SELECT explode(array(date'2026-03-03', date'2026-03-05', date'2026-04-01')) AS business_date")
+def _signoffs(spark, d):
+    """Dates with an even number of refunds on the core side count as closed."""
+    refunds = F.count_if(F.col("kind") == "refund")
+    return feeds.core(spark, d).groupBy("business_date").agg(refunds.alias("n")).where("n % 2 = 0").select("business_date")
 
 
 def _range(spark):
@@ -438,7 +462,9 @@ def _range(spark):
 
 
 def signoff_protected_dates(spark, d):
-    return approvals.protected(_range(spark), _signoffs(spark))
+    """Closed ones among the dates of the facts, next to how many rows they would change."""
+    dates = _facts(spark, d).groupBy("business_date").agg(F.count("*").alias("n_rows"))
+    return approvals.protected(dates, _signoffs(spark, d))
 
 
 def backfill_plan(spark, d):
@@ -458,8 +484,28 @@ def backfill_authorisation(spark, d):
         "allowed": (good, right), "pending": (good | {"state": "pending"}, right), "used": (good | {"consumed_at": now}, right),
         "expired": (good | {"expires_at": "2026-03-09T11:00:00"}, right), "changed": (good, approvals.plan_hash(list(counts), counts | {"2026-03-02": 0})),
     }
-    rows = [(name, approvals.refusal(row, actual, now)) for name, (row, actual) in cases.items()]
-    return spark.createDataFrame(rows, "scenario string, reason string")
+    rows = [(name, approvals.refusal(row, actual, now), row["plan_hash"], actual) for name, (row, actual) in cases.items()]
+    return spark.createDataFrame(rows, "scenario string, reason string, approved_plan string, actual_plan string")
+
+
+def backfill_run(spark, d):
+    """A date run from a first delivery, then a range from a second one: empty, rerun and new dates, figure by figure."""
+    root = storage.fresh(spark, "backfill")
+    core, proc = _feeds(spark, d)
+    late = F.call_function("div", F.col("line_no"), F.lit(2)) % 97 == 0
+    for name, events in (("first", proc.where(~late)), ("second", proc)):
+        writers.write_batch(core, f"{root}/{name}/core")
+        writers.write_events(events, f"{root}/{name}/events")
+    landed = landing.Landing(spark, f"{root}/landing")
+    day = pipeline.Day(spark, "", "", f"{root}/mart", f"{root}/queue", None, feeds.AS_OF, "2026-03-09 08:00:00", landing=landed)
+    periods = approvals.Periods(spark, f"{root}/control")
+    run = lambda first, last, **more: backfill.backfill(day, first, last, f"{root}/state", periods, **more)
+    landed.land(f"{root}/first/core", f"{root}/first/events")
+    run("2026-03-02", "2026-03-02")
+    landed.land(f"{root}/second/core", f"{root}/second/events")
+    out = run("2026-03-01", "2026-03-03", force=True)
+    rows = [(c["date"], c["metric"], c["before"], c["after"], c["state"]) for c in out.changes] + [(day, None, None, None, "empty") for day in out.empty]
+    return spark.createDataFrame(rows, "day string, metric string, before bigint, after bigint, state string")
 
 
 def _written_batch(spark, d):
@@ -512,6 +558,30 @@ def ingest_truncated_gate(spark, d):
     return spark.createDataFrame([(reason is not None, reason)], "refused boolean, reason string")
 
 
+def ingest_heartbeats(spark, d):
+    """Beats and what the stream should hold, through their control files."""
+    root = storage.fresh(spark, "beats")
+    beats = feeds.heartbeats(spark, d).orderBy("arrival").collect()
+    writers.write_json(spark, [{"partition": b["partition"], "at": b["at"].isoformat(), "producer_high_water": b["producer_high_water"]} for b in beats], f"{root}/beats.json")
+    return ingest.read_heartbeats(spark, f"{root}/beats.json")
+
+
+def ingest_truth(spark, d):
+    """Planted faults through their truth files."""
+    path = storage.fresh(spark, "truth")
+    feeds.planted(spark, d).write.json(path)
+    return ingest.read_truth(spark, path, "ref string, break_type string")
+
+
+def pipeline_broken_feed(spark, d):
+    """A batch cut short and an events file that never comes: one refusal, two retries, and what waits for them."""
+    root = storage.fresh(spark, "broken")
+    writers.write_lines(writers.batch_lines(feeds.core(spark, d)).where("part <> 1 or ordinal % 100 <> 7"), f"{root}/core", "part", "ordinal")
+    day = pipeline.Day(spark, f"{root}/core", f"{root}/events", f"{root}/mart", f"{root}/queue", "2026-03-03", feeds.AS_OF, "2026-03-09 08:00:00")
+    runs = pipeline.run_day(day).runs
+    return spark.createDataFrame([(n, r.state, r.attempts, r.error.replace(root, "")) for n, r in runs.items()], "task string, state string, attempts int, error string")
+
+
 def pipeline_run(spark, d):
     """The eight tasks over the written feeds of one date."""
     root = storage.fresh(spark, "pipeline")

@@ -9,7 +9,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tieout.errors import NotAuthorised, ReviewError
+from tieout.errors import Conflict, NotAuthorised, ReviewError
 from tieout.functions.names import person, person_of, seconds_between
 from tieout.operators.ledger import Ledger, current
 from tieout.policy import DEFAULT, Policy
@@ -54,6 +54,27 @@ def fast_reviews(reviews: DataFrame, policy: Policy = DEFAULT, limit: int = 10)
 _REVIEW = "request_id bigint, ref string, amount_minor bigint, reason_code string, maker string, made_at string, state string, checker string, checked_at string, note string"
 
 
+def pending(requests: DataFrame) -> DataFrame:
+    """Requests that wait for a checker, the longest waiting first."""
+    return requests.where("state = 'pending'").orderBy("made_at", "request_id")
+
+
+def _next(requests: DataFrame) -> int:
+    return (requests.agg(F.max("request_id")).first()[0] or 0) + 1
+
+
+def _added(ledger: Ledger, requests, schema: str, next_row) -> dict:
+    """Appends what ``next_row`` makes of the requests; if another writer was first, it is asked again."""
+    while True:
+        version = ledger.version()
+        row = next_row(requests(version))
+        try:
+            ledger.append(ledger.spark.createDataFrame([tuple(row[c] for c in ledger.columns)], schema), ["request_id"], expected=version)
+            return row
+        except Conflict:
+            continue
+
+
 class Reviews:
     """Maker-checker requests over a ledger of their versions."""
 
@@ -61,28 +82,32 @@ class Reviews:
         self.spark, self.policy = spark, policy
         self.ledger = Ledger(spark, root, _REVIEW)
 
-    def requests(self) -> DataFrame:
-        return current(self.ledger.events(), ["request_id"], [c for c in self.ledger.columns if c != "request_id"])
-
-    def _add(self, row: dict) -> None:
-        self.ledger.append(self.spark.createDataFrame([tuple(row[c] for c in self.ledger.columns)], _REVIEW), ["request_id"])
+    def requests(self, version: int | None = None) -> DataFrame:
+        return current(self.ledger.events(version), ["request_id"], [c for c in self.ledger.columns if c != "request_id"])
 
     def propose(self, ref: str, amount_minor: int, reason_code: str, maker: str, at: str) -> tuple[int, str]:
         if not person_of(maker):
             raise ReviewError("a request needs a maker")
-        number = (self.requests().agg(F.max("request_id")).first()[0] or 0) + 1
         state = "pending" if abs(amount_minor) >= self.policy.review_threshold_minor else "auto"
-        self._add(dict(request_id=number, ref=ref, amount_minor=amount_minor, reason_code=reason_code, maker=maker, made_at=at, state=state, checker=None, checked_at=None, note=None))
-        return number, state
+
+        def next_row(requests: DataFrame) -> dict:
+            return dict(request_id=_next(requests), ref=ref, amount_minor=amount_minor, reason_code=reason_code, maker=maker, made_at=at, state=state, checker=None, checked_at=None, note=None)
+
+        return _added(self.ledger, self.requests, _REVIEW, next_row)["request_id"], state
 
     def _decide(self, request_id: int, action: str, checker: str, note: str, at: str) -> float | None:
         wanted = self.spark.createDataFrame([(request_id, action, checker, note, at)], "request_id bigint, action string, checker string, note string, checked_at string")
-        row = decide(self.requests(), wanted).first()
-        if row["reason"]:
-            raise ReviewError(f"request {request_id}: {row['reason']}")
-        old = self.requests().where(F.col("request_id") == request_id).first().asDict()
-        self._add(old | dict(state=action, checker=checker, checked_at=at, note=note))
-        return row["seconds"]
+        took = []
+
+        def next_row(requests: DataFrame) -> dict:
+            row = decide(requests, wanted).first()
+            if row["reason"]:
+                raise ReviewError(f"request {request_id}: {row['reason']}")
+            took[:] = [row["seconds"]]
+            return requests.where(F.col("request_id") == request_id).first().asDict() | dict(state=action, checker=checker, checked_at=at, note=note)
+
+        _added(self.ledger, self.requests, _REVIEW, next_row)
+        return took[0]
 
     def approve(self, request_id: int, checker: str, note: str, at: str) -> float | None:
         return self._decide(request_id, "approved", checker, note, at)
@@ -91,7 +116,7 @@ class Reviews:
         return self._decide(request_id, "rejected", checker, note, at)
 
     def pending(self) -> DataFrame:
-        return self.requests().where("state = 'pending'").orderBy("made_at", "request_id")
+        return pending(self.requests())
 
 
 # ---- sign-off and backfill approval
@@ -136,37 +161,39 @@ class Periods:
         frame = self.spark.createDataFrame([(d,) for d in dates], "d string").select(F.col("d").cast("date").alias("business_date"))
         return sorted(str(r[0]) for r in protected(frame, self.signoffs()).collect())
 
-    def requests(self) -> DataFrame:
-        return current(self.asked.events(), ["request_id"], [c for c in self.asked.columns if c != "request_id"])
+    def requests(self, version: int | None = None) -> DataFrame:
+        return current(self.asked.events(version), ["request_id"], [c for c in self.asked.columns if c != "request_id"])
 
     def pending(self) -> DataFrame:
         return self.requests().where("state = 'pending'").orderBy("request_id")
 
-    def _get(self, request_id: int) -> dict:
-        row = self.requests().where(F.col("request_id") == request_id).first()
+    def _get(self, request_id: int, requests: DataFrame | None = None) -> dict:
+        row = (self.requests() if requests is None else requests).where(F.col("request_id") == request_id).first()
         if row is None:
             raise NotAuthorised(f"there is no request {request_id}")
         return row.asDict()
 
-    def _add(self, row: dict) -> None:
-        self.asked.append(self.spark.createDataFrame([tuple(row[c] for c in self.asked.columns)], _BACKFILL), ["request_id"])
+    def _add(self, next_row) -> dict:
+        return _added(self.asked, self.requests, _BACKFILL, next_row)
 
     def request_backfill(self, dates: list[str], by: str, reason: str, at: str, row_counts: dict[str, int] | None = None) -> int:
         if not person_of(by) or not person_of(reason):
             raise ReviewError("a backfill request needs a person and a reason")
-        number = (self.requests().agg(F.max("request_id")).first()[0] or 0) + 1
-        self._add(dict(request_id=number, requested_by=by, at=at, reason=reason, dates=sorted(dates), plan_hash=plan_hash(dates, row_counts), state="pending", checker=None, note=None, expires_at=None, consumed_at=None))
-        return number
+        new = dict(requested_by=by, at=at, reason=reason, dates=sorted(dates), plan_hash=plan_hash(dates, row_counts), state="pending", checker=None, note=None, expires_at=None, consumed_at=None)
+        return self._add(lambda requests: new | {"request_id": _next(requests)})["request_id"]
 
     def _decided(self, request_id: int, state: str, checker: str, note: str, **more) -> None:
-        row = self._get(request_id)
-        if row["state"] != "pending":
-            raise NotAuthorised(f"request {request_id} is {row['state']}")
-        if not person_of(checker) or person_of(checker) == person_of(row["requested_by"]):
-            raise NotAuthorised(f"request {request_id} needs another person to decide")
-        if not person_of(note):
-            raise NotAuthorised(f"the decision on request {request_id} needs a note")
-        self._add(row | dict(state=state, checker=checker, note=note) | more)
+        def next_row(requests: DataFrame) -> dict:
+            row = self._get(request_id, requests)
+            if row["state"] != "pending":
+                raise NotAuthorised(f"request {request_id} is {row['state']}")
+            if not person_of(checker) or person_of(checker) == person_of(row["requested_by"]):
+                raise NotAuthorised(f"request {request_id} needs another person to decide")
+            if not person_of(note):
+                raise NotAuthorised(f"the decision on request {request_id} needs a note")
+            return row | dict(state=state, checker=checker, note=note) | more
+
+        self._add(next_row)
 
     def approve_backfill(self, request_id: int, checker: str, note: str, at: str, ttl_hours: int | None = None) -> None:
         expires = datetime.fromisoformat(at) + timedelta(hours=self.policy.approval_ttl_hours if ttl_hours is None else ttl_hours)
@@ -190,7 +217,7 @@ class Periods:
 
     def consume(self, request_id: int, at: str) -> None:
         """An approval is for one run; called once that run has succeeded."""
-        self._add(self._get(request_id) | dict(consumed_at=at))
+        self._add(lambda requests: self._get(request_id, requests) | dict(consumed_at=at))
 
 
 def refusal(row: dict, actual_hash: str, at: str) -> str | None:

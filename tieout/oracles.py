@@ -169,10 +169,35 @@ _BODIES = {
     "queue_history": """SELECT CAST(i AS BIGINT) AS event_id, ref, 'sign' AS break_type, ['opened', 'reopened'][i] AS action, [NULL, 'resolved'][i] AS from_status, 'open' AS to_status, 'opposite signs' AS detail
       FROM (SELECT min(ref) AS ref FROM brk WHERE break_type = 'sign') r, (VALUES (1), (2)) t(i)""",
     "foureyes_fast_reviews": "SELECT request_id, ref, action AS state, seconds FROM decided WHERE reason IS NULL AND seconds < 10 ORDER BY request_id LIMIT 10",
-    "signoff_lifecycle": """SELECT * FROM (VALUES (0, 'early use', 'it is pending'), (1, 'own approval', 'request 1 needs another person to decide'), (2, 'approval', 'done'), (3, 'rejection', 'done'), (4, 'approval without time', 'done'),
+    "signoff_lifecycle": """, per_day AS (SELECT business_date, count(*) AS n FROM fact GROUP BY 1 ORDER BY 1 LIMIT 2),
+      plan AS (SELECT substr(sha256('{"counts": {' || string_agg('"' || business_date || '": ' || n, ', ' ORDER BY business_date) || '}, "dates": [' || string_agg('"' || business_date || '"', ', ' ORDER BY business_date) || ']}'), 1, 16) AS plan FROM per_day)
+      SELECT place, subject, outcome, CASE WHEN place = 100 THEN plan END AS plan FROM (VALUES (0, 'early use', 'it is pending'), (1, 'own approval', 'request 1 needs another person to decide'), (2, 'approval', 'done'), (3, 'rejection', 'done'), (4, 'approval without time', 'done'),
       (5, 'other plan', 'the plan has changed since'), (6, 'use', 'done'), (7, 'use of expired', 'it has expired'), (8, 'consumption', 'done'), (9, 'second use', 'it was used before'),
-      (100, 'request 1', 'approved used'), (100, 'request 2', 'rejected'), (100, 'request 3', 'approved')) t(place, subject, outcome)""",
-    "backfill_authorisation": "SELECT * FROM (VALUES ('allowed', NULL), ('pending', 'it is pending'), ('used', 'it was used before'), ('expired', 'it has expired'), ('changed', 'the plan has changed since')) t(scenario, reason)",
+      (100, 'request 1', 'approved used'), (100, 'request 2', 'rejected'), (100, 'request 3', 'approved')) t(place, subject, outcome), plan""",
+    "backfill_authorisation": """, per_day AS (SELECT CAST(business_date AS VARCHAR) AS d, count(*) AS n FROM fact WHERE business_date <= DATE '2026-03-04' GROUP BY 1),
+      plan AS (SELECT substr(sha256('{"counts": {' || string_agg('"' || d || '": ' || n, ', ' ORDER BY d) || '}, "dates": [' || string_agg('"' || d || '"', ', ' ORDER BY d) || ']}'), 1, 16) AS good,
+        substr(sha256('{"counts": {' || string_agg('"' || d || '": ' || CASE WHEN d = '2026-03-02' THEN 0 ELSE n END, ', ' ORDER BY d) || '}, "dates": [' || string_agg('"' || d || '"', ', ' ORDER BY d) || ']}'), 1, 16) AS other FROM per_day)
+      SELECT scenario, reason, good AS approved_plan, CASE WHEN scenario = 'changed' THEN other ELSE good END AS actual_plan
+      FROM (VALUES ('allowed', NULL), ('pending', 'it is pending'), ('used', 'it was used before'), ('expired', 'it has expired'), ('changed', 'the plan has changed since')) t(scenario, reason), plan""",
+    "backfill_run": f""", d2core AS (SELECT *, business_date AS run_date FROM core WHERE business_date <= DATE '2026-03-03'), d2proc AS (SELECT *, business_date AS run_date FROM proc WHERE business_date <= DATE '2026-03-03'),
+      d1core AS (SELECT * FROM d2core WHERE business_date = DATE '2026-03-02'), d1proc AS (SELECT * FROM d2proc WHERE business_date = DATE '2026-03-02' AND line_no // 2 % 97 <> 0),
+      {_match('m1', 'd1core', 'd1proc', keys='run_date, ref')}, {_match('m2', 'd2core', 'd2proc', keys='run_date, ref')},
+      figs AS (SELECT r.run_date, r.run, source_rows, source_minor, breaks, variance_minor FROM
+        (SELECT run_date, 1 AS run, count(*) AS source_rows, CAST(sum(amount_minor) AS BIGINT) AS source_minor FROM (SELECT * FROM d1core UNION ALL SELECT * FROM d1proc) GROUP BY run_date
+          UNION ALL SELECT run_date, 2, count(*), CAST(sum(amount_minor) AS BIGINT) FROM (SELECT * FROM d2core UNION ALL SELECT * FROM d2proc) GROUP BY run_date) r
+        JOIN (SELECT run_date, run, CAST(sum(CASE verdict WHEN 'exact' THEN 0 WHEN 'missing' THEN n_core + n_proc ELSE 1 END) AS BIGINT) AS breaks, CAST(COALESCE(sum(variance_minor) FILTER (WHERE verdict NOT IN ('exact', 'missing')), 0) AS BIGINT) AS variance_minor
+          FROM (SELECT *, 1 AS run FROM m1 UNION ALL SELECT *, 2 FROM m2) GROUP BY ALL) b ON r.run_date = b.run_date AND r.run = b.run),
+      long AS (UNPIVOT figs ON source_rows, source_minor, breaks, variance_minor INTO NAME metric VALUE value)
+      SELECT CAST(a.run_date AS VARCHAR) AS day, a.metric, COALESCE(b.value, 0) AS before, a.value AS after, CASE WHEN b.value IS NULL THEN 'new' WHEN a.value = b.value THEN 'unchanged' ELSE 'moved' END AS state
+      FROM (SELECT * FROM long WHERE run = 2) a LEFT JOIN (SELECT * FROM long WHERE run = 1) b ON a.run_date = b.run_date AND a.metric = b.metric UNION ALL SELECT '2026-03-01', NULL, NULL, NULL, 'empty'""",
+    "queue_ledger_audit": "SELECT n AS event_id, CASE WHEN n % 100 = 3 THEN 'changed' ELSE 'gone' END AS change FROM (SELECT row_number() OVER (ORDER BY ref, break_type) AS n FROM item) WHERE n % 100 IN (3, 7)",
+    "foureyes_oldest_pending": "SELECT request_id, ref, amount_minor, ['ann', 'bob', '  ', 'Cy'][request_id % 4 + 1] AS maker, TIMESTAMP '2026-03-09 09:00:00' + to_seconds(request_id % 3600) AS made_at FROM routed WHERE state = 'pending' ORDER BY request_id % 3600, request_id LIMIT 20",
+    "pipeline_broken_feed": """, cut AS (SELECT count(*) FILTER (WHERE line_no % 100 <> 7) AS n, count(*) AS all_n, sum(abs(amount_minor)) FILTER (WHERE line_no % 100 <> 7) AS total, sum(abs(amount_minor)) AS all_total FROM core)
+      SELECT 'ingest_core' AS task, 'failed' AS state, 1 AS attempts, '/core: ' || n || ' of ' || all_n || ' records, total ' || total || ' of ' || all_total || ', 0 rejected' AS error FROM cut
+      UNION ALL SELECT * FROM (VALUES ('ingest_processor', 'failed', 3, '/events is not there yet'), ('validate', 'skipped', 0, 'waits for ingest_core, ingest_processor'), ('reconcile', 'skipped', 0, 'waits for validate'), ('load_breaks', 'skipped', 0, 'waits for reconcile'),
+        ('load_mart', 'skipped', 0, 'waits for reconcile'), ('build_aggregates', 'skipped', 0, 'waits for load_mart'), ('verify_controls', 'skipped', 0, 'waits for build_aggregates')) t""",
+    "ingest_heartbeats": "SELECT part AS partition, beat.at, producer_high_water, CAST(substr(part, 2) AS BIGINT) AS arrival FROM beat",
+    "ingest_truth": "SELECT ref, break_type FROM planted",
     "pipeline_run": f""", dcore AS (SELECT * FROM core WHERE business_date = DATE '2026-03-03'), dproc AS (SELECT * FROM proc WHERE business_date = DATE '2026-03-03'), {_match('dv', 'dcore', 'dproc')},
       dbrk AS (SELECT ref, verdict AS break_type, status FROM dv WHERE verdict NOT IN ('exact', 'missing') UNION ALL SELECT ref, 'missing', 'open' FROM (SELECT * FROM dcore UNION ALL SELECT * FROM dproc) WHERE ref IN (SELECT ref FROM dv WHERE verdict = 'missing')),
       told AS (SELECT (SELECT count(*) FROM core) AS nc, (SELECT count(*) FROM proc) AS np, (SELECT count(*) FROM dcore) AS dc, (SELECT count(*) FROM dproc) AS dp,
@@ -185,7 +210,7 @@ _BODIES = {
     "foureyes_routing": "SELECT request_id, ref, amount_minor, state FROM routed",
     "foureyes_decisions": "SELECT request_id, action, reason, seconds FROM decided",
     "foureyes_review_speed": "SELECT count(*) AS reviewed, count(*) FILTER (WHERE seconds < 10) AS suspiciously_fast FROM decided WHERE reason IS NULL",
-    "signoff_protected_dates": "SELECT d AS business_date FROM (VALUES (DATE '2026-03-03'), (DATE '2026-03-05')) t(d)",
+    "signoff_protected_dates": "SELECT business_date, count(*) AS n_rows FROM fact WHERE business_date IN (SELECT business_date FROM core GROUP BY 1 HAVING count(*) FILTER (WHERE kind = 'refund') % 2 = 0) GROUP BY 1",
     "backfill_plan": """SELECT d.day AS business_date, COALESCE(c.core_rows, 0) AS core_rows, COALESCE(c.proc_rows, 0) AS proc_rows, CASE WHEN d.day <= DATE '2026-03-04' THEN COALESCE(c.core_rows + c.proc_rows, 0) ELSE 0 END AS mart_rows,
       CASE WHEN COALESCE(c.core_rows + c.proc_rows, 0) = 0 THEN 'empty' ELSE 'due' END AS state FROM (SELECT DATE '2026-03-01' + CAST(i AS INTEGER) AS day FROM range(8) t(i)) d
       LEFT JOIN (SELECT business_date, count(*) FILTER (WHERE source_system = 'core') AS core_rows, count(*) FILTER (WHERE source_system = 'processor') AS proc_rows FROM fact GROUP BY 1) c ON c.business_date = d.day WHERE d.day <> DATE '2026-03-02'""",
