@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tieout.llm import contamination, licenses, mixing, queries, warc
+from tieout.llm.words import mix
 
 
 @pytest.fixture(scope="module")
@@ -149,6 +150,49 @@ def test_whole_result_against_brute_force_at_the_largest_number_of_edits(spark):
     assert short <= got
 
 
+def test_each_class_of_items_reaches_its_recall(spark):
+    """Few long items among many short ones, with substitutions only and at the ends as well."""
+    rnd = random.Random(21)
+    words = [f"v{i}" for i in range(3000)]
+    items = [rnd.choices(words, k=9) for _ in range(950)] + [rnd.choices(words, k=15) for _ in range(50)]
+    docs, want = [], {}
+    for i in range(600):
+        j = rnd.randrange(950) if i % 2 else 950 + rnd.randrange(50)
+        own, k = list(items[j]), len(items[j]) // 5
+        for n, at in enumerate(rnd.sample(range(len(own)), k)):
+            own[at] = f"new{n}"
+        docs.append((i, " ".join(rnd.choices(words, k=rnd.randint(0, 40)) + own + rnd.choices(words, k=rnd.randint(0, 40)))))
+        want[i] = j
+    benchmark = spark.createDataFrame([(j, " ".join(w)) for j, w in enumerate(items)], "item_id bigint, text string")
+    got = {r["doc_id"]: set(r["item_ids"]) for r in contamination.find(spark.createDataFrame(docs, "doc_id bigint, text string"), benchmark).collect()}
+    for long in (False, True):
+        mine = [i for i in want if (want[i] >= 950) == long]
+        assert sum(want[i] in got[i] for i in mine) >= 0.97 * len(mine)
+
+
+@pytest.mark.parametrize(("n", "k"), [(8, 1), (9, 1), (10, 2), (12, 2), (15, 3), (16, 3), (25, 5)])
+def test_measured_repetitions_hold_on_fresh_items(n, k):
+    """Repetitions measured on some items are enough for others that were not seen."""
+    random_ = np.random.default_rng(n)
+    digest = mix(np.arange(1, 5001, dtype=np.uint64))
+    repeats = contamination.repeats_for([random_.integers(0, 2000, n) for _ in range(50)], [k] * 50, digest, 0.99)
+    own, other = [], []
+    for i in range(1000):
+        w = random_.integers(2000, 4000, n)
+        changed = w.copy()
+        changed[random_.choice(n, k, replace=False)] = 4000 + np.arange(k)
+        own.append(w)
+        other.append(np.concatenate([random_.integers(4100, 5000, 16), changed, random_.integers(4100, 5000, 16)]))
+    met = np.zeros(1000, bool)
+    for r in range(repeats):
+        met |= contamination._found_in(own, other, digest, r)
+    assert met.mean() >= 0.98
+
+
+def test_confidence_of_a_measured_recall():
+    assert contamination._misses(1000, 0.99) == 4 and contamination._misses(100, 0.99) == -1 and contamination._misses(299, 0.99) == 0
+
+
 def test_very_long_items_are_found(spark):
     rnd = random.Random(3)
     item = [f"x{rnd.randrange(4000)}" for _ in range(8300)]

@@ -4,18 +4,20 @@ A document is contaminated by an item if some stretch of its words is within
 ``floor(tolerance * words)`` word edits of the item (words in lower case, without
 punctuation).
 
-1. Windows.  An item of up to 15 words is searched for by windows of its size; a
-   longer one is cut into ``words // 8`` pieces of 8 to 15 words, of which one at
-   least keeps to its share of the edits, and is searched for by windows of that
-   size.  Every word of every document begins a window.
+1. Windows.  An item is searched for by ``ceil(words / 8)`` pieces that begin evenly
+   spread over it, the last 8 words before its end; edits that spoil one piece leave
+   another.  Every word of every document begins a window.
 2. Embedding.  A window walks through ``STEPS`` steps: at each it stays or goes on to
    the next word by a random bit of repetition, step and word, so that windows
    within a small edit distance agree in most steps.
 3. Bit sampling.  A repetition has its own walk, and hashes ``SAMPLES`` sampled steps.
    The hashes of the pieces make one table for each repetition, which every
    window probes; equal hashes make the item and the place a candidate.
-   Repetitions are added until items with the largest allowed number of random
-   edits are met with the target recall (measured on the items themselves).
+   Items of each length have as many repetitions as their own class needs: they are
+   added until items of that length, among other words and with the largest allowed
+   number of random edits or of substitutions, are met with the target recall at 95 %
+   confidence (measured on ``TRIES`` fresh copies of each kind).  A class that
+   ``REPEATS`` repetitions do not bring there has them all.
 4. Verification.  Of the candidates that hold enough of the item's words, the exact
    edit distance of the item to the best stretch around the place.  Words are
    compared by their number in the items' vocabulary, not by a hash.
@@ -54,6 +56,7 @@ MIN_WORDS = 8
 STEPS = 2 * MIN_WORDS
 SAMPLES = 3
 REPEATS = 256
+TRIES = 1000
 _FILTER_BITS = 20
 
 
@@ -96,8 +99,8 @@ def embedded(digest: np.ndarray, number: np.ndarray, repeat: int) -> np.ndarray:
 
 def pieces_of(n: int) -> list[int]:
     """Where the pieces of an item of n words begin."""
-    m = max(1, n // MIN_WORDS)
-    return [i * n // m for i in range(m)]
+    m = -(-n // MIN_WORDS)
+    return [i * (n - MIN_WORDS) // (m - 1) for i in range(m)] if m > 1 else [0]
 
 
 @dataclass
@@ -126,23 +129,57 @@ def _edited(words: np.ndarray, k: int, random: np.random.Generator, fresh: int)
     return np.array(out, np.int64)
 
 
+def _misses(tries: int, target: float) -> int:
+    """Most misses of so many tries that leave a recall below the target unlikely (5 %); -1 if none do."""
+    rare, chance, most = 0.0, (target) ** tries, -1
+    while rare + chance <= 0.05:
+        rare, most = rare + chance, most + 1
+        chance *= (tries - most) / (most + 1) * (1 - target) / target
+    return most
+
+
+def _found_in(own: list[np.ndarray], other: list[np.ndarray], digest: np.ndarray, repeat: int) -> np.ndarray:
+    """Which items share a piece's hash with some window of their own text."""
+    gap = np.full(STEPS, len(digest), np.int64)
+    mine = embedded(digest, np.concatenate([x for w in own for x in (w, gap)]), repeat)
+    theirs = embedded(digest, np.concatenate(other), repeat)
+    begin = np.cumsum([0, *(len(w) + STEPS for w in own)])[:-1]
+    named = lambda value, row: mix(value ^ mix(row.astype(np.uint64) + np.uint64(1)))
+    held = np.unique(named(theirs, np.repeat(np.arange(len(other)), [len(w) for w in other])))
+    row = np.repeat(np.arange(len(own)), [len(pieces_of(len(w))) for w in own])
+    at = np.concatenate([b + np.array(pieces_of(len(w))) for b, w in zip(begin, own)])
+    out = np.zeros(len(own), bool)
+    out[row[np.isin(named(mine[at], row), held)]] = True
+    return out
+
+
+def length_class(n: int) -> int:
+    """Items of one class need about as many repetitions: each length to 31, then by powers of two."""
+    return n if n < 32 else 32 + n.bit_length()
+
+
 def repeats_for(words: list[np.ndarray], edits: list[int], digest: np.ndarray, target: float) -> int:
-    """Fewest repetitions that meet the target on items with as many random edits as are allowed."""
+    """Fewest repetitions that meet the target on items of one class, for random edits and for substitutions alone."""
     random = np.random.default_rng(3)
-    chosen = random.choice(len(words), size=min(200, len(words)), replace=False)
-    tries = [(words[i], _edited(words[i], edits[i], random, len(digest))) for i in np.repeat(chosen, -(-200 // len(chosen)))]
-    more = np.concatenate([digest, mix(np.arange(1, max(edits) + 2, dtype=np.uint64))])
-    open_ = list(range(len(tries)))
+    fresh = len(digest)
+    more = np.concatenate([digest, mix(np.arange(1, max(edits) + 2 * STEPS + 2, dtype=np.uint64))])
+    own, other = [], []
+    for kind in (0, 1):
+        for i in random.integers(0, len(words), TRIES):
+            if kind:
+                changed = words[i].copy()
+                changed[random.choice(len(changed), edits[i], replace=False)] = fresh + np.arange(edits[i])
+            else:
+                changed = _edited(words[i], edits[i], random, fresh)
+            around = fresh + max(edits) + 1 + random.permutation(2 * STEPS)
+            own.append(words[i])
+            other.append(np.concatenate([around[:STEPS], changed, around[STEPS:]]))
+    open_, allowed = np.arange(2 * TRIES), _misses(TRIES, target)
     for repeat in range(REPEATS):
-        still = []
-        for i in open_:
-            own, other = (embedded(more, x, repeat) for x in tries[i])
-            if not np.isin(own[pieces_of(len(own))], other).any():
-                still.append(i)
-        open_ = still
-        if len(open_) <= (1 - target) * len(tries):
+        open_ = open_[~_found_in([own[i] for i in open_], [other[i] for i in open_], more, repeat)]
+        if max((open_ < TRIES).sum(), (open_ >= TRIES).sum()) <= allowed:
             return repeat + 1
-    raise ValueError(f"{REPEATS} repetitions do not reach a recall of {target}")
+    return REPEATS
 
 
 def build(rows: pa.Table, tolerance: float, target: float) -> Model | None:
@@ -167,9 +204,15 @@ def build(rows: pa.Table, tolerance: float, target: float) -> Model | None:
         return None
     tables = []
     long = [i for i, w in enumerate(words) if len(w) >= MIN_WORDS]
-    for repeat in range(repeats_for([words[i] for i in long], [edits[i] for i in long], digest, target) if long else 0):
+    classes: dict[int, list[int]] = {}
+    for i in long:
+        classes.setdefault(length_class(len(words[i])), []).append(i)
+    needed = {c: repeats_for([words[i] for i in held], [edits[i] for i in held], digest, target) for c, held in classes.items()}
+    for repeat in range(max(needed.values(), default=0)):
         hashes, items, offsets = [], [], []
         for i in long:
+            if needed[length_class(len(words[i]))] <= repeat:
+                continue
             at = pieces_of(len(words[i]))
             hashes.append(embedded(digest, words[i], repeat)[at])
             items.append(np.full(len(at), i))
