@@ -85,3 +85,44 @@ def test_mixture(spark, stages):
     con.register("mix_docs", mix_docs)
     want = con.sql(f"WITH {mixing.MIX_SQL} SELECT doc_id, copies FROM mixed WHERE copies > 0").fetchall()
     assert sorted((r["doc_id"], r["copies"], r["copy"]) for r in after) == sorted((d, n, c + 1) for d, n in want for c in range(n))
+
+
+def test_run_is_the_stages_one_after_the_other(spark, sf, stages):
+    """What run() returns is the last stage's result, which with those before is held against brute force above."""
+    rows = sorted((tuple(r[c] for c in sorted(r)) for r in stages[-1][1]), key=str)
+    assert sorted((tuple(r[c] for c in sorted(r.asDict())) for r in corpus_pipeline.run(spark, sf).collect()), key=str) == rows
+
+
+def test_rows_with_one_id_and_with_one_half_of_a_digest_keep_their_own_verdict(spark, sf, monkeypatch):
+    """Every other row has no id, and all share the first number of their digests."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")))
+    want = sorted(r["text"] for r in corpus_pipeline.quality(spark, docs, sf).collect())
+    keyed = corpus_pipeline._keyed
+    monkeypatch.setattr(corpus_pipeline, "_keyed", lambda d: keyed(d).withColumn("row", F.lit(1).cast("bigint")))
+    got = sorted(r["text"] for r in corpus_pipeline.quality(spark, docs, sf).collect())
+    assert got == want and 0 < len(got) < docs.count()
+
+
+def test_stages_bear_awkward_rows_and_empty_tables(spark, sf, awkward, clashing):
+    for df in (awkward, clashing, awkward.limit(0), awkward.where("doc_id is null")):
+        docs = df
+        for name, stage in corpus_pipeline.STAGES:
+            before, docs = docs, spark.createDataFrame((out := stage(spark, docs, sf)).collect(), out.schema)
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert docs.columns == corpus_pipeline.COLUMNS and docs.count() <= before.count()
+        assert not docs.where("text is null or text = ''").count()
+
+
+def test_rows_without_ids_fill_all_blocks(spark):
+    from pyspark.sql import functions as F
+
+    from tieout.llm import blocks
+
+    docs = spark.range(2000).select(F.lit(None).cast("bigint").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("a").alias("source"))
+    dealt = [r["count"] for r in blocks.pack(docs, ["doc_id", "text"], 8).select("block").distinct().groupBy("block").count().collect()]
+    assert len(dealt) == 8
+    assert docs.select(perplexity.block_of(8, "text").alias("b")).distinct().count() == 8
+    buckets = docs.withColumn("size", mixing.size_of()).withColumn("number", mixing.number_of()).select(mixing.bucket_of().alias("b")).distinct().count()
+    assert buckets == mixing.BUCKETS

@@ -1,8 +1,8 @@
-"""Blocks: documents dealt by id hash, packed once, and asked about in sorted key batches.
+"""Blocks: documents dealt by hash, packed once, and asked about in sorted key batches.
 
 Three operators share one shape of job:
 
-1. ``pack`` deals documents to ``n`` blocks by a hash of their id and moves each
+1. ``pack`` deals documents to ``n`` blocks by a hash of id and text and moves each
    text once, compressed, to its block.
 2. A block sends every shard one row: its distinct keys for that shard, sorted
    and delta coded (so a hot key crosses the network once per block, not once
@@ -43,8 +43,11 @@ def unpack(payload: bytes) -> pa.Table:
 
 
 def pack(docs: DataFrame, columns: list[str], n: int, block: Column | None = None) -> DataFrame:
-    """Rows ``(block, payload)``: Arrow tables of ``columns``, dealt to ``n`` blocks by id hash (or as ``block`` says)."""
-    block = F.pmod(F.xxhash64(columns[0]), F.lit(n)) if block is None else block
+    """Rows ``(block, payload)``: Arrow tables of ``columns``, dealt to ``n`` blocks by a hash of them all (or as ``block`` says).
+
+    So rows without an id, or with one id, are dealt by their texts; only equal rows meet.
+    """
+    block = F.pmod(F.xxhash64(*columns), F.lit(n)) if block is None else block
     dealt = docs.select(block.cast("int").alias("_block"), *columns)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

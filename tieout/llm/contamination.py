@@ -299,10 +299,9 @@ def matches(table: pa.Table, model: Model) -> dict[int, set[int]]:
     return out
 
 
-_FOUND = "doc_id bigint, text string, hits bigint, item_ids array<bigint>"
-
-
 def _finder(model):
+    """Adds a block's finds to ``hits`` and ``item_ids``; every other column passes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = pickle.loads(model.value)
         for batch in batches:
@@ -310,14 +309,14 @@ def _finder(model):
                 found = matches(table, items) if items else {}
                 hits = [n + len(found.get(i, ())) for i, n in enumerate(table["hits"].to_pylist())]
                 ids = [sorted({*old, *(items.ids[j] for j in found.get(i, ()))} - {None}) for i, old in enumerate(table["item_ids"].to_pylist())]
-                columns = [table["doc_id"].combine_chunks(), table["text"].combine_chunks(), pa.array(hits, pa.int64()), pa.array(ids, pa.list_(pa.int64()))]
-                yield pa.record_batch(columns, ["doc_id", "text", "hits", "item_ids"])
+                held = {c: table[c].combine_chunks() for c in table.column_names} | {"hits": pa.array(hits, pa.int64()), "item_ids": pa.array(ids, pa.list_(pa.int64()))}
+                yield pa.record_batch(list(held.values()), list(held))
 
     return run
 
 
-def find(docs: DataFrame, benchmark: DataFrame, tolerance: float = 0.2, target: float = 0.99) -> DataFrame:
-    """doc_id, contaminated, n_items and item_ids for every row of ``docs``."""
+def find(docs: DataFrame, benchmark: DataFrame, tolerance: float = 0.2, target: float = 0.99, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, contaminated, n_items and item_ids for every row of ``docs``, and the columns ``carry`` of the row."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
     total, size = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     passes = max(1, -(-total // ITEMS), -(-(size or 0) // ITEM_BYTES))
@@ -327,7 +326,9 @@ def find(docs: DataFrame, benchmark: DataFrame, tolerance: float = 0.2, target:
         return pa.table({"p": pa.array([key[0].as_py()], pa.int64()), "model": pa.array([pickle.dumps(build(rows, tolerance, target))], pa.binary())})
 
     models = items.withColumn("p", F.pmod(F.xxhash64("text"), F.lit(passes)).cast("bigint")).groupBy("p").applyInArrow(built, "p bigint, model binary")
-    found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("bigint").alias("hits"), F.array().cast("array<bigint>").alias("item_ids"))
+    own = [F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("bigint").alias("hits"), F.array().cast("array<bigint>").alias("item_ids")]
+    found = docs.select(*own, *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)))
     for row in models.orderBy("p").toLocalIterator():
-        found = found.mapInArrow(_finder(docs.sparkSession.sparkContext.broadcast(bytes(row["model"]))), _FOUND)
-    return found.select("doc_id", (F.col("hits") > 0).alias("contaminated"), F.col("hits").alias("n_items"), "item_ids")
+        found = found.mapInArrow(_finder(docs.sparkSession.sparkContext.broadcast(bytes(row["model"]))), found.schema)
+    carried = [F.col(f"_c{i}").alias(c) for i, c in enumerate(carry) if c not in ("doc_id", "contaminated", "n_items", "item_ids")]
+    return found.select("doc_id", (F.col("hits") > 0).alias("contaminated"), F.col("hits").alias("n_items"), "item_ids", *carried)

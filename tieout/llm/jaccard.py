@@ -361,7 +361,7 @@ def join(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, trees: int =
     members = clusters.join(tiles, "cluster").select(
         F.pmod(F.xxhash64("least"), F.lit(n)).cast("int").alias("block"), "text", "least", "cluster", "copies", *key, "tiles", F.pmod(F.xxhash64(F.lit(9), "text"), F.col("tiles")).cast("int").alias("tile")
     )
-    sets = blocks.answer(blocks.pack(docs, ["doc_id", "text"], n), members, _sets(shingle), _SETS)
+    sets = blocks.answer(blocks.pack(docs.where("doc_id is not null"), ["doc_id", "text"], n, F.pmod(F.xxhash64("doc_id"), F.lit(n))), members, _sets(shingle), _SETS)
     links = runtime.settled(sets.groupBy("cluster", "a", "b").applyInArrow(_verify(threshold, shingle), _LINKS))
     # Texts of one id are one node: each is chained to the first of them.
     named = sketch.where("doc_id is not null").join(texts.select(*key, "text"), key).select("doc_id", "text")

@@ -35,14 +35,19 @@ def size_of(text="text"):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
 
-def bucket_of(doc_id: str = "doc_id", size: str = "size", buckets: int = BUCKETS):
+def bucket_of(number: str = "number", size: str = "size", buckets: int = BUCKETS):
     """Size class and hash bucket in one number, by plain integer arithmetic (the same in any SQL engine)."""
     bits = f"length(bin({size}))"
     size_class = F.expr(f"CASE WHEN {size} < 8 THEN {size} ELSE {bits} * 8 + (shiftright({size}, {bits} - 4) & 7) END")
-    hashed = F.pmod(F.pmod(F.coalesce(F.col(doc_id), F.lit(0)), F.lit(2147483647)) * 48271, F.lit(2147483647)) % buckets
+    hashed = F.pmod(F.pmod(F.col(number), F.lit(2147483647)) * 48271, F.lit(2147483647)) % buckets
     return (size_class * buckets + hashed).cast("bigint")
 
 
+def number_of():
+    """The id, or a number of the text for rows without one, so that these fill all buckets."""
+    return F.coalesce(F.col("doc_id").cast("bigint"), F.conv(F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, 8), 16, 10).cast("bigint"))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """(source, source_size, n_docs, target, offset) from (source, source_size, n_docs), one row per source.
 
@@ -65,11 +70,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, carry: tuple[str, ...] = (), buckets: int = BUCKETS) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken (and carried columns) for every document."""
+    """doc_id, source, size, source_size, target, copies, taken (and carried columns) for every document.
+
+    Rows that tie on size and id are numbered in any order.
+    """
     own = ("doc_id", "source", "size", "source_size", "target", "copies", "taken")
     carry = tuple(c for c in carry if c not in own)
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of().alias("size"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)))
-    sized = sized.withColumn("_bucket", bucket_of(buckets=buckets))
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of().alias("size"), number_of().alias("_number"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)))
+    sized = sized.withColumn("_bucket", bucket_of("_number", buckets=buckets))
     per_bucket = sized.groupBy("source", "_bucket").agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
     sources = targets(per_bucket.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("rows").alias("n_docs")), weights, cap)
     earlier = W.partitionBy("source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -93,9 +101,10 @@ def emitted(mixed: DataFrame) -> DataFrame:
 
 #: DuckDB SQL over a relation named ``mix_docs`` (doc_id, text, source).
 MIX_SQL = f"""
-counted AS (SELECT doc_id, source, CAST(COALESCE(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM mix_docs),
+counted AS (SELECT doc_id, source, CAST(COALESCE(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
+  COALESCE(doc_id, CAST('0x' || substr(md5(COALESCE(text, '')), 1, 8) AS BIGINT)) AS number FROM mix_docs),
 sized AS (SELECT *, CASE WHEN size < 8 THEN size ELSE length(bin(size)) * 8 + ((size >> (length(bin(size)) - 4)) & 7) END * {BUCKETS}
-  + (((COALESCE(doc_id, 0) % 2147483647 + 2147483647) % 2147483647) * 48271) % 2147483647 % {BUCKETS} AS b FROM counted),
+  + (((number % 2147483647 + 2147483647) % 2147483647) * 48271) % 2147483647 % {BUCKETS} AS b FROM counted),
 sources AS (SELECT source, CAST(SUM(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM sized GROUP BY source),
 weighed AS (SELECT *, CASE place % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM sources),
 levels AS (SELECT *, source_size / weight AS ratio,

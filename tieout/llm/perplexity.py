@@ -10,7 +10,8 @@ the two lowest orders (at most 65,792 rows a model) are copied to each.
 ``rules``: the same models, in the same shards, beside the base rules on words,
 symbols, lines and repeated windows.
 
-Each language has two models.  Documents are halved by a hash of their id; a half
+Each language has two models.  Documents are halved by a hash of their id (of the
+text, without one); a half
 is scored by the model of the trusted documents of the other half.  So no text is
 scored by a model that has seen it, and the quantiles of a language rest on the
 perplexities of all its trusted documents.  The perplexity is per byte.
@@ -48,15 +49,20 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return agreed.where("q = 1 and t = 0").select("doc_id")
 
 
-def half_of(doc_id: str = "doc_id") -> Column:
-    return F.pmod(F.xxhash64(F.lit(5), doc_id), F.lit(2)).cast("string")
+def _dealt_by(text: str | None) -> Column:
+    """What a document is dealt by: its id, or a hash of its text if it has none (then no label can mean it)."""
+    return F.col("doc_id") if text is None else F.coalesce("doc_id", F.xxhash64(text))
 
 
-def block_of(n: int) -> Column:
+def half_of(text: str | None = None) -> Column:
+    return F.pmod(F.xxhash64(F.lit(5), _dealt_by(text)), F.lit(2)).cast("string")
+
+
+def block_of(n: int, text: str | None = None) -> Column:
     """A block holds documents of one half only, so that it asks one model of a language."""
     if n < 2:
         return F.lit(0)
-    return F.pmod(F.xxhash64("doc_id"), F.lit(n // 2)) * 2 + half_of().cast("int")
+    return F.pmod(F.xxhash64(_dealt_by(text)), F.lit(n // 2)) * 2 + half_of(text).cast("int")
 
 
 def other_half(model: str) -> str:
@@ -197,8 +203,8 @@ def _sum_up(fields: str, n: int, measured: bool = False, carry: tuple[str, ...]
 def _scored(docs: DataFrame, trusted: DataFrame, fields: str, measured: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """A row of ``fields`` for every document, with its loss under the sharded model of the other half."""
     n = runtime.partitions(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.concat(half_of(), F.coalesce(F.col("lang").cast("string"), F.lit(""))).alias("model"), F.col("text").cast("string").alias("text"), *carry)
-    packed = blocks.pack(docs, ["doc_id", "model", "text", *carry], n, block_of(n))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.concat(half_of("text"), F.coalesce(F.col("lang").cast("string"), F.lit(""))).alias("model"), F.col("text").cast("string").alias("text"), *carry)
+    packed = blocks.pack(docs, ["doc_id", "model", "text", *carry], n, block_of(n, "text"))
     model = sharded(_model(packed, trusted, n), n)
     requests = blocks.per_block(packed, requests_of(n), REQUESTS)
     replies = requests.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(_join, REPLIES)
