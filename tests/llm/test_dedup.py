@@ -287,3 +287,73 @@ def test_kept_digest_is_of_the_joined_words(spark):
     df = docs_of(spark, ["a  b\tc"])
     row = substring.remove_repeats(df).select(F.sha2("text", 256).alias("d")).first()
     assert row["d"] == hashlib.sha256(b"a b c").hexdigest()
+
+
+def brute_kept(texts, length):
+    """Kept bytes of each text: every string told apart by itself."""
+    count = {}
+    for t in texts:
+        for i in range(len(t) - length + 1):
+            s = t[i : i + length]
+            count[s] = count.get(s, 0) + 1
+    out = []
+    for t in texts:
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - length + 1):
+            if count[t[i : i + length]] > 1:
+                gone[i : i + length] = True
+        out.append(bytes(np.frombuffer(t, np.uint8)[~gone]))
+    return out
+
+
+def raw_docs(spark, texts):
+    """Texts of any bytes, valid UTF-8 or not."""
+    df = spark.createDataFrame(list(enumerate(map(bytearray, texts))), "doc_id bigint, raw binary")
+    return df.select("doc_id", F.col("raw").cast("string").alias("text"))
+
+
+def test_strings_at_range_bounds_are_not_told_apart_by_a_polynomial(spark):
+    """A Thue-Morse string and its complement, whose polynomial hashes modulo 2**64 are equal."""
+    morse = bytes(b"\x03\xa4"[bin(i).count("1") % 2] for i in range(128))
+    texts = [morse + bytes(range(100, 172)), morse.translate(bytes.maketrans(b"\x03\xa4", b"\xa4\x03")) + bytes(range(100, 172))]
+    rows = suffixes.remove_repeated_bytes(raw_docs(spark, texts)).collect()
+    assert {r["doc_id"]: bytes(r["kept"]) for r in rows} == dict(enumerate(texts))
+
+
+@pytest.mark.parametrize("every", [False, True])
+def test_bytes_equal_brute_force_with_bounds_on_every_seed(spark, monkeypatch, every):
+    if every:  # then all strings go by digest
+        def bounds(docs, length, seed, n):
+            found = set()
+            for r in docs.collect():
+                s = suffixes.Suffixes(pa.chunked_array([pa.array([r["text"]], pa.string())]), length, seed)
+                found |= {k for k, _ in s.keys(np.arange(len(s.at)))[1]}
+            return sorted(found)
+
+        monkeypatch.setattr(suffixes, "_bounds", bounds)
+    texts = [t.encode() for t in some_texts(40, 40)]
+    got = {r["doc_id"]: bytes(r["kept"]) for r in suffixes.remove_repeated_bytes(raw_docs(spark, texts), 40, 12).collect()}
+    assert got == dict(enumerate(brute_kept(texts, 40)))
+
+
+def test_periodic_stretches_equal_brute_force(spark):
+    """Units of 1 to 12 bytes, stretches that end in the middle of a unit, at a text's ends, and that meet each other."""
+    rnd = random.Random(5)
+    noise = lambda n: bytes(rnd.randrange(97, 123) for _ in range(n))
+    texts = []
+    for k in (1, 2, 3, 5, 7, 8, 9, 12):
+        unit = noise(k)
+        for n in (39, 40, 41, 200, 500, 1300):
+            texts.append(noise(rnd.choice([0, 3, 60])) + (unit * n)[:n] + noise(rnd.choice([0, 3, 60])))
+    texts += [b"-" * 900 + b"=" * 900, b"-" * 40, b"ab" * 600 + b"a" * 600, b"\x00" * 700, b"\x00" * 39, noise(100) + b"=" * 41 + noise(5)]
+    got = {r["doc_id"]: bytes(r["kept"]) for r in suffixes.remove_repeated_bytes(raw_docs(spark, texts), 40, 12).collect()}
+    want = dict(enumerate(brute_kept(texts, 40)))
+    assert [i for i in want if got[i] != want[i]] == []
+
+
+def test_a_long_line_of_dashes_is_sampled_at_its_ends():
+    for text in ("-" * 3_000_000, "- " * 1_500_000, "=-=_" * 750_000):
+        s = suffixes.Suffixes(pa.chunked_array([pa.array([text])]), 200, 24)
+        assert len(s.at) < 2_000 and s.sure
+    plain = suffixes.Suffixes(pa.chunked_array([pa.array([" ".join(f"word{i}" for i in range(20_000))])]), 200, 24)
+    assert not plain.sure

@@ -22,8 +22,12 @@ in each of its copies and the sample loses none.
 4. Bits for the owned strings go back to the blocks, which cut the bytes.
 
 Suffixes that share their seed with a range bound may lie on both sides of it.
-Their owned strings are told apart by hashes (64 bits, and the shard by 32 others)
-over shards instead, so a seed with a third of all rows is spread over the cluster.
+Their owned strings are told apart by 128-bit XXH3 digests over shards instead, so a
+seed with a third of all rows is spread over the cluster.
+
+In a stretch that repeats a unit of up to ``PERIODS`` bytes every string but those at
+its ends starts again a unit later: it is marked as it stands, and only suffixes near
+the ends are sampled, so a long line of dashes costs no more than a short one.
 
 Defined results: a null text counts as empty; texts shorter than ``length`` keep
 every byte; repeated rows are copies of each other; a null ``doc_id`` takes part
@@ -37,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +52,8 @@ from tieout.llm.words import mix, raw_bytes, segment_any
 SAMPLE_DOCS = 64
 SAMPLE_KEYS = 200_000
 GROUPED = 4096
+PERIODS = 8
+_CELL = 128
 _SEEDS = "shard int, block int, n int, keys binary, several binary"
 _MARKS = "block int, stage int, shard int, marks binary"
 _RUNS = "stage int, target int, block int, n int, data binary"
@@ -82,6 +89,7 @@ class Suffixes:
         long = np.flatnonzero(ends - self.starts >= length)
         self.at = np.zeros(0, np.int64)
         self.hash = np.zeros(0, np.uint64)
+        self.sure: list[tuple[int, int]] = []  # begins of strings that a periodic stretch is known to repeat
         if not len(long):
             return
         edge = np.zeros(len(data) + 1, np.int8)
@@ -99,11 +107,30 @@ class Suffixes:
         value[~valid] = _MAX
         least = _sliding(np.concatenate([value, np.full(span - 1, _MAX, np.uint64)]), span, True)
         top = _sliding(np.concatenate([np.zeros(span - 1, np.uint64), least]), span, False)
-        self.at = np.flatnonzero(valid & (value == top))
+        chosen = valid & (value == top)
+        for a, b in self._periodic():
+            self.sure.append((a, b - length + 1))
+            chosen[a + length + 4 * PERIODS : max(a, b - length - 4 * PERIODS)] = False
+        self.at = np.flatnonzero(chosen)
         self.hash = value[self.at]
         # Half of each hash is enough here: an equal half at worst adds strings to compare.
         self.least = (least >> _32).astype(np.uint32)
 
+    def _periodic(self) -> list[tuple[int, int]]:
+        """Long stretches (begin, end) of one document that repeat a unit of 1 to PERIODS bytes."""
+        out: list[tuple[int, int]] = []
+        for k in range(1, PERIODS + 1):
+            same = self.data[:-k] == self.data[k:]
+            for back in range(k + 1):  # no stretch reaches over the end of a document
+                at = self.ends - back
+                same[at[(at >= 0) & (at < len(same))]] = False
+            cells = same[: len(same) // _CELL * _CELL].reshape(-1, _CELL).all(axis=1)
+            edges = np.flatnonzero(np.diff(np.concatenate([[False], cells, [False]]).astype(np.int8)))
+            for a, b in zip((edges[::2] * _CELL).tolist(), (edges[1::2] * _CELL).tolist()):
+                if b - a >= 3 * self.length and not any(x <= a and b <= y for x, y in out):
+                    out.append((a, b))
+        return out
+
     def owned(self, chosen: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of the chosen suffixes: start, and the range of left parts (lo..hi) of the strings they own."""
         at, value = self.at[chosen], (self.hash[chosen] >> _32).astype(np.uint32)
@@ -235,6 +262,22 @@ def _window_hashes(keys: list[tuple[bytes, int]], length: int) -> tuple[np.ndarr
     return index, left, out[0], out[1]
 
 
+def _digests(keys: list[tuple[bytes, int]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every owned string of the keys: key index, left part, and its 128-bit XXH3 digest in two halves.
+
+    The left part goes with the string, since only strings that their seed cuts alike can be equal.
+    """
+    index, left, digests = [], [], []
+    for i, (key, right) in enumerate(keys):
+        text, high, n = key[right:][::-1] + key[:right], len(key) - right, len(key) - length + 1
+        index.append(np.full(n, i, np.int32))
+        left.append(np.arange(high, high - n, -1, dtype=np.int16))
+        digests.extend(xxhash.xxh3_128_digest(text[o : o + length], seed=high - o) for o in range(n))
+    halves = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
+    join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
+    return join(index, np.int32), join(left, np.int16), halves[:, 0].copy(), halves[:, 1].copy()
+
+
 def _in_slices(keys: list[tuple[bytes, int]], length: int, size: int = 2048):
     """_window_hashes of many keys, a slice at a time."""
     parts = [_window_hashes(keys[i : i + size], length) for i in range(0, len(keys), size)]
@@ -284,9 +327,9 @@ def _bits(blob: bytes, n: int) -> np.ndarray:
 def _twice(keys: list[np.ndarray], several: list[np.ndarray]) -> list[np.ndarray]:
     """For distinct keys of each block: which of them occur twice over all blocks."""
     every = np.concatenate(keys)
-    order = np.argsort(every)
-    ordered = every[order]
-    start = np.flatnonzero(np.concatenate([np.ones(min(1, len(every)), bool), ordered[1:] != ordered[:-1]]))
+    order = np.argsort(every) if every.ndim == 1 else np.lexsort((every[:, 1], every[:, 0]))
+    ordered = every[order].reshape(len(every), -1)
+    start = np.flatnonzero(np.concatenate([np.ones(min(1, len(every)), bool), (ordered[1:] != ordered[:-1]).any(axis=1)]))
     times = np.diff(start, append=len(every))
     mark = np.empty(len(every), bool)
     mark[order] = np.repeat((times > 1) | np.logical_or.reduceat(np.concatenate(several)[order], start), times)
@@ -322,7 +365,7 @@ class _Entries:
                 mark[edges[s] : edges[s + 1]] = _bits(marks[s], edges[s + 1] - edges[s])
         chosen = np.empty(len(key), bool)
         chosen[order] = np.repeat(mark, np.diff(start, append=len(key)))
-        where: dict[tuple[bytes, int], list[tuple[int, int]]] = {}
+        where: dict[tuple[bytes, int], list[tuple[int, int]]] = {}  # piece and start of each copy
         done = 0
         for i, (_, s) in enumerate(self.pieces):
             at, keys = s.keys(np.flatnonzero(chosen[done : done + len(s.at)]))
@@ -338,9 +381,26 @@ class _Entries:
         self.part = np.fromiter((bisect_right(bounds, k[0]) for k in self.plain), np.int64, len(self.plain))
 
     def zone_keys(self, length: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the owned strings of zone keys: key index, left part, shard and hash."""
-        index, left, one, two = _in_slices(self.zone, length)
-        return index, left, (((two >> _32) * np.uint64(n)) >> _32).astype(np.int64), one
+        """Of the owned strings of zone keys: key index, left part, shard, and digest (two columns)."""
+        index, left, one, two = _digests(self.zone, length)
+        return index, left, (((two >> _32) * np.uint64(n)) >> _32).astype(np.int64), np.column_stack([one, two])
+
+
+def _ordered(shard: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by shard and digest, and where a new digest begins in it."""
+    order = np.lexsort((digest[:, 1], digest[:, 0], shard))
+    held, own = digest[order], shard[order]
+    return order, np.flatnonzero(np.concatenate([[True], (held[1:] != held[:-1]).any(axis=1) | (np.diff(own) != 0)]))
+
+
+def _packed_digests(digest: np.ndarray) -> bytes:
+    first = blocks.encode_sorted(np.ascontiguousarray(digest[:, 0]))
+    return len(first).to_bytes(4, "little") + first + blocks.encode(np.ascontiguousarray(digest[:, 1]))
+
+
+def _unpacked_digests(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    return np.column_stack([blocks.decode_sorted(data[4 : 4 + n], np.uint64), blocks.decode(data[4 + n :], np.uint64)])
 
 
 def _runs(length: int, seed: int, n: int, bounds):
@@ -354,16 +414,15 @@ def _runs(length: int, seed: int, n: int, bounds):
         index, _, shard, value = entries.zone_keys(length, n)
         if len(value):
             many = np.fromiter((len(entries.where[k]) > 1 for k in entries.zone), bool, len(entries.zone))[index]
-            order = np.lexsort((value, shard))
+            order, start = _ordered(shard, value)
             value, shard, many = value[order], shard[order], many[order]
-            start = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (np.diff(shard) != 0)]))
             several = (np.diff(start, append=len(value)) > 1) | np.logical_or.reduceat(many, start)
             value, shard = value[start], shard[start]
             ids, edges = blocks.by_shard(shard, n)
             for s in ids:
                 cut = slice(edges[s], edges[s + 1])
                 bits = np.packbits(several[cut]).tobytes()
-                rows.append((1, int(s), block, int(cut.stop - cut.start), bits + blocks.encode_sorted(value[cut])))
+                rows.append((1, int(s), block, int(cut.stop - cut.start), bits + _packed_digests(value[cut])))
         kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["stage", "target", "block", "n", "data"])
 
@@ -450,7 +509,7 @@ def _verdicts(length: int, seed: int):
             blobs = [zstandard.compress(np.packbits(m, axis=1).tobytes(), 3) for m in _merged(length, seed, rows)]
         else:
             sizes = [(r["n"] + 7) // 8 for r in rows]
-            keys = [blocks.decode_sorted(r["data"][s:], np.uint64) for r, s in zip(rows, sizes)]
+            keys = [_unpacked_digests(r["data"][s:]) for r, s in zip(rows, sizes)]
             blobs = [np.packbits(m).tobytes() for m in _twice(keys, [_bits(r["data"][:s], r["n"]) for r, s in zip(rows, sizes)])]
         return _reply([(r["block"], stage + 1, target, blob) for r, blob in zip(rows, blobs)])
 
@@ -478,9 +537,7 @@ def _cut(length: int, seed: int, n: int, bounds):
                     found(entries.plain[lo + i], np.flatnonzero(np.unpackbits(bits[i], count=span)))
         index, left, shard, value = entries.zone_keys(length, n)
         if len(value):
-            order = np.lexsort((value, shard))
-            new = np.concatenate([[True], (value[order][1:] != value[order][:-1]) | (np.diff(shard[order]) != 0)])
-            start = np.flatnonzero(new)
+            order, start = _ordered(shard, value)
             _, edges = blocks.by_shard(shard[order][start], n)
             mark = np.zeros(len(start), bool)
             for r in replies:
@@ -497,6 +554,8 @@ def _cut(length: int, seed: int, n: int, bounds):
             flag = np.zeros(len(s.data) + 1, bool)
             if begin:
                 flag[np.concatenate(begin)] = True
+            for a, b in s.sure:
+                flag[a:b] = True
             covered = segment_any(flag, length)
             total = np.concatenate([[0], np.cumsum(covered)])
             edge = np.concatenate([[0], np.cumsum(np.diff(covered.astype(np.int8), prepend=0) == 1)])
@@ -528,7 +587,7 @@ def _bounds(docs: DataFrame, length: int, seed: int, n: int) -> list[bytes]:
         for batch in batches:
             s = Suffixes(pa.chunked_array([batch.column(0)]), length, seed)
             _, found = s.keys(np.arange(len(s.at)))
-            yield pa.record_batch([pa.array([k for k, _ in found], pa.binary())], ["key"])
+            yield pa.record_batch([pa.array(sorted({k for k, _ in found}), pa.binary())], ["key"])
 
     sampled = docs.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(every)) == 0).select("text").mapInArrow(keys, "key binary")
     rows = sampled.orderBy(F.xxhash64("key"), "key").limit(min(SAMPLE_KEYS, 40 * n)).collect()
