@@ -15,7 +15,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tieout.errors import TieoutError
-from tieout.operators import aging, completeness, matching, scoring
+from tieout.operators import aging, completeness, mart, matching, scoring
 from tieout.operators.approvals import Periods
 from tieout.operators.breakqueue import BreakQueue
 from tieout.plans import backfill, dag, pipeline
@@ -63,6 +63,8 @@ def workflow(spark, a) -> int:
 def run(spark, a) -> int:
     result = pipeline.run_day(_day(spark, a))
     print(dag.render(result))
+    if result.tasks_ok and getattr(a, "date", None):
+        print(mart.render(mart.Mart(spark, f"{a.store}/mart").view(), a.date))
     return result.exit_code
 
 
@@ -74,7 +76,7 @@ def fill(spark, a) -> int:
     landing = Landing(spark, f"{a.store}/landing")
     landing.land(f"{a.feeds}/core", f"{a.feeds}/events")
     out = backfill.backfill(replace(_day(spark, a), landing=landing), a.first, a.last, f"{a.store}/backfill", Periods(spark, f"{a.store}/control"), a.request, a.force, a.dry_run, a.take_over)
-    print(json.dumps(out.__dict__, indent=1, default=str))
+    print(backfill.render(out))
     return out.exit_code
 
 

@@ -74,6 +74,16 @@ def control_totals(records: DataFrame, cells: DataFrame) -> DataFrame:
     return facts.join(sums, F.lit(True)).withColumn("ties", (F.col("fact_count") == F.col("agg_count")) & (F.col("fact_minor") == F.col("agg_minor")))
 
 
+def render(view: View, day: str, limit: int = 6) -> str:
+    """The first cells of a date, and the first records of the first one, as text."""
+    cells = monthly_report(view.table("agg_daily_settlement").where(_day(day))).limit(limit).collect()
+    lines = [f"{c['currency']} {c['source_system']:<10} {c['record_count']:>8} {c['net_minor'] / 100:>16,.2f}" for c in cells]
+    for c in cells[:1]:
+        records = drill_down(view.table("fct_source_record"), day, c["currency"], c["source_system"]).limit(limit).collect()
+        lines += [f"  {r['source_file']}:{r['source_line']} {r['ref']} {r['amount_minor'] / 100:,.2f}" for r in records]
+    return "\n".join(lines)
+
+
 def snapshot(records: DataFrame, breaks: DataFrame) -> DataFrame:
     """Per business date: source rows and amount, breaks and variance (nulls as 0)."""
     r = records.groupBy("business_date").agg(F.count("*").alias("source_rows"), F.sum("amount_minor").alias("source_minor"))

@@ -133,6 +133,19 @@ def changed(before: dict, after: dict) -> list[dict]:
     return [{"date": str(after["business_date"]), "metric": n, "before": before[n], "after": after[n], "state": "new" if fresh else "unchanged" if before[n] == after[n] else "moved"} for n in names]
 
 
+def render(out: Outcome, limit: int = 6) -> str:
+    """The outcome as text: what moved or is new in full, the first dates that did not change."""
+    lines = [f"exit {out.exit_code}, plan {out.fingerprint}: {len(out.done)} done, {len(out.empty)} empty" + (f", failed on {out.failed}" if out.failed else "")]
+    lines += [f"  {c['date']} {c['metric']}: {c['before']} -> {c['after']} ({c['state']})" for c in out.changes if c["state"] != "unchanged"]
+    moved = {c["date"] for c in out.changes if c["state"] != "unchanged"}
+    same = [d for d in out.done if d not in moved]
+    if same:
+        lines.append(f"  unchanged: {', '.join(same[:limit])}" + (f" and {len(same) - limit} more" if len(same) > limit else ""))
+    if out.protected:
+        lines.append(f"  closed: {', '.join(out.protected[:limit])}")
+    return "\n".join(lines)
+
+
 def tick(template: Day, log_folder: str, day: str | None = None) -> int:
     """One scheduled run: yesterday by the run's clock unless a date is given; its line is a file of its own in the log.
 
