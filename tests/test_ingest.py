@@ -84,6 +84,19 @@ def test_totals_and_offsets_are_one_pass(spark, tmp_path):
     assert [(r["source_file"], r["line_no"], r["reason"]) for r in rejects.collect()] == [("b", 6, "unknown record code")]
 
 
+def test_files_that_are_split_otherwise_are_refused(spark, tmp_path, small_splits):
+    """The second pass must not number lines by the counts of other splits."""
+    (tmp_path / "f").write_text("".join(f"line {i}\n" for i in range(3000)))
+    df = ingest.numbered_lines(spark, f"file:{tmp_path}")
+    lines = ingest.lines_of(spark, f"file:{tmp_path}")
+    splits = lines.groupBy("f", "b").agg(F.count("*").alias("lines"), F.min("i").alias("start")).persist()
+    assert splits.count() > 5 and df.agg(F.max("line_no")).first()[0] == 3000
+    assert spark.conf.get(ingest.MIN_PARTITIONS)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    with pytest.raises(Exception, match="split otherwise"):
+        ingest.numbered(lines, splits).collect()
+
+
 def test_an_empty_feed(spark, tmp_path):
     (tmp_path / "f").write_text("")
     assert ingest.numbered_lines(spark, f"file:{tmp_path}").count() == 0

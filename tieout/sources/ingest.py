@@ -47,8 +47,18 @@ class Ingested:
 BROADCAST_PARTITIONS = 20_000
 
 
+#: Left alone, the size of splits follows the executors that are there when a pass is planned.
+MIN_PARTITIONS = "spark.sql.files.minPartitionNum"
+
+
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
-    """(value, f, b, i): lines with their file, the start of their split, and a number that grows within it."""
+    """(value, f, b, i): lines with their file, the start of their split, and a number that grows within it.
+
+    Both passes must cut files alike, so the session's least number of partitions is
+    fixed if it is not; ``numbered`` raises if they were cut otherwise all the same.
+    """
+    if spark.conf.get(MIN_PARTITIONS, None) is None:
+        spark.conf.set(MIN_PARTITIONS, spark.sparkContext.defaultParallelism)
     return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
 
 
@@ -64,11 +74,12 @@ def surveyed(parsed: DataFrame) -> DataFrame:
 def numbered(lines: DataFrame, splits: DataFrame) -> DataFrame:
     """Adds source_file and line_no to lines; ``splits`` has f, b, lines and start of each split."""
     before = W.orderBy(F.length("f"), "f", "b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = splits.select("f", "b", "start", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("ahead"))
+    offsets = splits.select("f", "b", "start", "lines", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("ahead"))
     few = lines.rdd.getNumPartitions() <= BROADCAST_PARTITIONS
-    joined = lines.join(F.broadcast(offsets) if few else offsets, ["f", "b"])
-    number = F.col("ahead") + F.col("i") - F.col("start") + 1
-    return joined.withColumn("source_file", F.element_at(F.split("f", "/"), -1)).withColumn("line_no", number.cast("bigint")).drop("f", "b", "i", "start", "ahead")
+    joined = lines.join(F.broadcast(offsets) if few else offsets, ["f", "b"], "left")
+    place = F.col("i") - F.col("start")
+    number = F.when((place >= 0) & (place < F.col("lines")), F.col("ahead") + place + 1).otherwise(F.raise_error(F.lit("files were split otherwise than when their lines were counted")))
+    return joined.withColumn("source_file", F.element_at(F.split("f", "/"), -1)).withColumn("line_no", number.cast("bigint")).drop("f", "b", "i", "start", "lines", "ahead")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
