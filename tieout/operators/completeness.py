@@ -17,9 +17,14 @@ def first_arrivals(events: DataFrame) -> DataFrame:
     return events.groupBy("partition", "seq").agg(F.min("arrival").alias("arrival"), F.count("*").alias("copies"))
 
 
+def _high_before(events: DataFrame) -> DataFrame:
+    """First arrivals with the highest number that came before; repeats come later than what they repeat."""
+    return scan.max_before(first_arrivals(events), "partition", "arrival", "seq", "high_before", over=events)
+
+
 def partition_stats(events: DataFrame) -> DataFrame:
     """Per partition: events, duplicates, out_of_order, first_seq, high."""
-    seen = scan.max_before(first_arrivals(events), "partition", "arrival", "seq", "high_before")
+    seen = _high_before(events)
     return seen.groupBy("partition").agg(
         F.count("*").alias("events"),
         (F.sum("copies") - F.count("*")).alias("duplicates"),
@@ -36,7 +41,7 @@ def gaps(events: DataFrame, policy: Policy = DEFAULT, expected_first_seq: int |
     """
     first = first_arrivals(events)
     stats = first.groupBy("partition").agg(F.min_by("seq", "arrival").alias("first_seq"), F.max("seq").alias("high"))
-    holes = scan.next_value(first, "partition", "seq", "next").where("next - seq > 1")
+    holes = scan.next_value(first, "partition", "seq", "next", over=events).where("next - seq > 1")
     out = holes.join(stats, "partition").where("seq >= first_seq").select("partition", (F.col("seq") + 1).alias("missing_from"), (F.col("next") - 1).alias("missing_to"), "high")
     if expected_first_seq is not None:
         least = first.groupBy("partition").agg(F.min("seq").alias("least"), F.max("seq").alias("high")).where(F.col("least") > expected_first_seq)
@@ -47,7 +52,7 @@ def gaps(events: DataFrame, policy: Policy = DEFAULT, expected_first_seq: int |
 
 def closed_late(events: DataFrame) -> DataFrame:
     """Numbers that filled a hole after higher ones had arrived, as intervals of consecutive numbers."""
-    late = scan.max_before(first_arrivals(events), "partition", "arrival", "seq", "high_before").where("seq < high_before")
+    late = _high_before(events).where("seq < high_before")
     placed = scan.numbered(late, "partition", "seq", "n").withColumn("island", F.col("seq") - F.col("n"))
     return placed.groupBy("partition", "island").agg(F.min("seq").alias("from_seq"), F.max("seq").alias("to_seq"), F.count("*").alias("n")).drop("island")
 

@@ -27,21 +27,24 @@ def _stacked(core: DataFrame, proc: DataFrame, keys: tuple[str, ...]) -> DataFra
     return side(core, True).unionByName(side(proc, False))
 
 
-def _paired(stacked: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """One row per reference: copies on each side and the fields of each side's first record."""
+def _first(side: Column) -> Column:
+    """The first record of a side; the order key of the other side's rows is null, so they never win."""
+    return F.min_by(F.struct(*_FIELDS), F.when(side, F.struct("source_file", "line_no")))
 
-    def first(is_core: Column) -> Column:
-        # The order key of the other side's rows is null, so they never win.
-        return F.min_by(F.struct(*_FIELDS), F.when(is_core, F.struct("source_file", "line_no")))
 
-    c, p = F.col("is_core"), ~F.col("is_core")
-    grouped = stacked.groupBy(*keys).agg(F.count_if(c).alias("n_core"), F.count_if(p).alias("n_proc"), first(c).alias("c"), first(p).alias("p"))
+def _sides(grouped: DataFrame, *keys: str) -> DataFrame:
     return grouped.select(
         *keys, "n_core", "n_proc", F.col("c.amount_minor").alias("core_amount"), F.col("c.business_date").alias("core_business_date"), F.col("c.currency").alias("core_currency"),
         F.col("p.amount_minor").alias("proc_amount"), F.col("p.business_date").alias("proc_business_date"), F.col("p.currency").alias("proc_currency"),
     )
 
 
+def _paired(stacked: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """One row per reference: copies on each side and the fields of each side's first record."""
+    c, p = F.col("is_core"), ~F.col("is_core")
+    return _sides(stacked.groupBy(*keys).agg(F.count_if(c).alias("n_core"), F.count_if(p).alias("n_proc"), _first(c).alias("c"), _first(p).alias("p")), *keys)
+
+
 def fee_fits(core: Column, proc: Column, policy: Policy = DEFAULT) -> Column:
     """The processor took a fee that the schedule allows."""
     taken = F.abs(core) - F.abs(proc)
@@ -93,33 +96,30 @@ def _judged(paired: DataFrame, as_of: str, policy: Policy, keys: tuple[str, ...]
 def breaks(core: DataFrame, proc: DataFrame, as_of: str, policy: Policy = DEFAULT) -> DataFrame:
     """One row per break; a one-sided reference gives one per record.
 
-    The stacked sides are dealt by reference once; pairs and one-sided records both
-    come from there.
+    The stacked sides are dealt and sorted by reference once: a window sets the pair beside
+    each of its records, and of a pair with both sides one record goes on.
     """
-    columns = ["ref", "break_type", "status", "core_amount", "proc_amount", "variance_minor", "business_date", "age_days", "line_no", "detail"]
-    age = business_days(F.col("business_date"), F.lit(as_of).cast("date")).cast("bigint")
-    null = F.lit(None).cast("bigint")
-
-    dealt = _stacked(core, proc, ("ref",)).repartition("ref")
-    # Records of references that the other side does not have.
-    other = F.when(F.col("is_core"), F.count_if(~F.col("is_core")).over(W.partitionBy("ref"))).otherwise(F.count_if("is_core").over(W.partitionBy("ref")))
-    alone = dealt.withColumn("other", other).where("other = 0")
-    one_sided = alone.select(
-        "ref", F.lit("missing").alias("break_type"), F.lit("open").alias("status"), F.when(F.col("is_core"), F.col("amount_minor")).alias("core_amount"),
-        F.when(~F.col("is_core"), F.col("amount_minor")).alias("proc_amount"), null.alias("variance_minor"), "business_date", age.alias("age_days"), "line_no",
-        F.when(F.col("is_core"), "no record on the processor side").otherwise("no record on the core side").alias("detail"),
-    )
-
-    delta = F.format_string("difference of %d minor units", F.col("variance_minor"))
+    of = W.partitionBy("ref")
+    c, p = F.col("is_core"), ~F.col("is_core")
+    beside = {"n_core": F.count_if(c).over(of), "n_proc": F.count_if(p).over(of), "c": _first(c).over(of), "p": _first(p).over(of), "place": F.row_number().over(of.orderBy("source_file", "line_no"))}
+    rows = _stacked(core, proc, ("ref",)).withColumns(beside).where("place = 1 or n_core = 0 or n_proc = 0")
+    own = {"amount_minor": "own_amount", "business_date": "own_date", "line_no": "own_line"}
+    judged = _judged(_sides(rows.withColumnsRenamed(own), "ref", "is_core", *own.values()), as_of, policy, ("ref", "is_core", *own.values())).where("verdict <> 'exact'")
+    alone = F.col("verdict") == "missing"
+    day = F.when(alone, F.col("own_date")).otherwise(F.col("business_date"))
     detail = (
-        F.when(F.col("verdict") == "duplicate", F.format_string("%d core and %d processor copies", "n_core", "n_proc"))
+        F.when(alone & F.col("is_core"), "no record on the processor side")
+        .when(alone, "no record on the core side")
+        .when(F.col("verdict") == "duplicate", F.format_string("%d core and %d processor copies", "n_core", "n_proc"))
         .when(F.col("verdict") == "timing", F.format_string("booked %s and %s", F.col("business_date").cast("string"), F.col("proc_business_date").cast("string")))
         .when(F.col("verdict") == "sign", F.lit("opposite signs"))
-        .otherwise(delta)
+        .otherwise(F.format_string("difference of %d minor units", F.col("variance_minor")))
     )
-    matched = _judged(_paired(dealt, ("ref",)), as_of, policy, ("ref",)).where("verdict not in ('exact', 'missing')")
-    both = matched.withColumn("detail", detail).withColumn("line_no", null).withColumnRenamed("verdict", "break_type").select(*columns)
-    return both.unionByName(one_sided)
+    return judged.select(
+        "ref", F.col("verdict").alias("break_type"), "status", F.when(alone, F.when(F.col("is_core"), F.col("own_amount"))).otherwise(F.col("core_amount")).alias("core_amount"),
+        F.when(alone, F.when(~F.col("is_core"), F.col("own_amount"))).otherwise(F.col("proc_amount")).alias("proc_amount"), F.when(~alone, F.col("variance_minor")).alias("variance_minor"), day.alias("business_date"),
+        business_days(day, F.lit(as_of).cast("date")).cast("bigint").alias("age_days"), F.when(alone, F.col("own_line")).alias("line_no"), detail.alias("detail"),
+    )
 
 
 def match_rate(verdict: DataFrame) -> DataFrame:

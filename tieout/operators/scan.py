@@ -24,19 +24,26 @@ def _carried(df: DataFrame, key: str, per_span: Column, over: Column) -> DataFra
     return df.groupBy(key, "_span").agg(per_span.alias("_own")).withColumn("_carry", over).select(key, "_span", "_carry")
 
 
-def max_before(df: DataFrame, key: str, order: str, value: str, name: str, span: int = SPAN) -> DataFrame:
-    """Adds the largest value of the rows before in order (null for the first)."""
+def max_before(df: DataFrame, key: str, order: str, value: str, name: str, span: int = SPAN, over: DataFrame | None = None) -> DataFrame:
+    """Adds the largest value of the rows before in order (null for the first).
+
+    ``over`` may hold more rows than ``df``, as long as these change no maximum; the rows
+    per span are then counted from there, and ``df`` is needed once.
+    """
     cut = _spanned(df, order, span)
     spans = W.partitionBy(key).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
-    heads = _carried(cut, key, F.max(value), F.max("_own").over(spans))
+    heads = _carried(cut if over is None else _spanned(over, order, span), key, F.max(value), F.max("_own").over(spans))
     inside = W.partitionBy(key, "_span").orderBy(order, value).rowsBetween(W.unboundedPreceding, -1)
     return cut.join(heads, [key, "_span"]).withColumn(name, F.greatest("_carry", F.max(value).over(inside))).drop("_span", "_carry")
 
 
-def next_value(df: DataFrame, key: str, order: str, name: str, span: int = SPAN) -> DataFrame:
-    """Adds the order number of the following row (null for the last): a carry from the other side."""
+def next_value(df: DataFrame, key: str, order: str, name: str, span: int = SPAN, over: DataFrame | None = None) -> DataFrame:
+    """Adds the order number of the following row (null for the last): a carry from the other side.
+
+    ``over`` may repeat the numbers of ``df``.
+    """
     cut = _spanned(df, order, span)
-    heads = _carried(cut, key, F.min(order), F.lead("_own").over(W.partitionBy(key).orderBy("_span")))
+    heads = _carried(cut if over is None else _spanned(over, order, span), key, F.min(order), F.lead("_own").over(W.partitionBy(key).orderBy("_span")))
     inside = W.partitionBy(key, "_span").orderBy(order)
     return cut.join(heads, [key, "_span"]).withColumn(name, F.coalesce(F.lead(order).over(inside), "_carry")).drop("_span", "_carry")
 
