@@ -39,10 +39,10 @@ def _sides(grouped: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def _paired(stacked: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+def pair(core: DataFrame, proc: DataFrame, keys: tuple[str, ...] = ("ref",)) -> DataFrame:
     """One row per reference: copies on each side and the fields of each side's first record."""
     c, p = F.col("is_core"), ~F.col("is_core")
-    return _sides(stacked.groupBy(*keys).agg(F.count_if(c).alias("n_core"), F.count_if(p).alias("n_proc"), _first(c).alias("c"), _first(p).alias("p")), *keys)
+    return _sides(_stacked(core, proc, keys).groupBy(*keys).agg(F.count_if(c).alias("n_core"), F.count_if(p).alias("n_proc"), _first(c).alias("c"), _first(p).alias("p")), *keys)
 
 
 def fee_fits(core: Column, proc: Column, policy: Policy = DEFAULT) -> Column:
@@ -54,7 +54,7 @@ def fee_fits(core: Column, proc: Column, policy: Policy = DEFAULT) -> Column:
 
 def verdicts(core: DataFrame, proc: DataFrame, as_of: str, policy: Policy = DEFAULT, keys: tuple[str, ...] = ("ref",)) -> DataFrame:
     """One row per reference with its verdict, status, amounts, dates, age, and copies that were not looked at."""
-    return _judged(_paired(_stacked(core, proc, keys), keys), as_of, policy, keys)
+    return _judged(pair(core, proc, keys), as_of, policy, keys)
 
 
 def _judged(paired: DataFrame, as_of: str, policy: Policy, keys: tuple[str, ...]) -> DataFrame:
