@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tieout.llm import blocks, kneser_ney, perplexity, urls
 
@@ -71,7 +72,7 @@ def test_model_equals_dictionaries(spark):
     train, held = [prose(rnd, 30).encode() for _ in range(20)], [prose(rnd, 10).encode(), b"unseen \xc3\xa9 bytes", b""]
     docs = spark.createDataFrame([(i, t.decode(), "en") for i, t in enumerate(train)], "doc_id bigint, text string, model string")
     every = docs.selectExpr("cast(pmod(xxhash64(doc_id), 3) as int) as block", "doc_id")
-    levels = kneser_ney.tables(kneser_ney.count(blocks.pack(docs, ["doc_id", "model", "text"], 3), every))
+    levels = kneser_ney.tables(kneser_ney.count(blocks.pack(docs, ["doc_id", "model", "text"], 3, F.pmod(F.xxhash64("doc_id"), F.lit(3))), every))
     cuts = kneser_ney.discounts(levels).selectExpr("model", "-rank as rank", "0L as key", "0L as n", "d1", "d2", "d3")
     rows = levels.selectExpr("model", "rank", "key", "n", "cast(null as double) as d1", "cast(null as double) as d2", "cast(null as double) as d3").unionByName(cuts).toArrow()
     model, plain = kneser_ney.models(rows)["en"], Plain(train, kneser_ney.ORDER)
