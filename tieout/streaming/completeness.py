@@ -11,14 +11,19 @@ none.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+# The processor goes to the workers whole, which need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 FIGURES = ("first_seq", "high", "events", "duplicates", "out_of_order")
 #: A row of figures (missing_from null), or a hole: missing_to null once it is gone.
 OUTPUT = "partition string, first_seq bigint, high bigint, events bigint, duplicates bigint, out_of_order bigint, missing_from bigint, missing_to bigint"

@@ -8,9 +8,11 @@ out is one row per change: a beat, or a timer that went off.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -18,6 +20,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from tieout.policy import DEFAULT, Policy
 from tieout.streaming.completeness import ROCKS
 
+# The processor goes to the workers whole, which need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 INPUT = "kind string, partition string, at timestamp, producer_high_water bigint, arrival bigint"
 #: ``since`` is when the row began to hold: the beat, or the moment the silence was too long (null: it was never heard).
 OUTPUT = "partition string, last_seen timestamp, producer_high_water bigint, stale boolean, since timestamp"
