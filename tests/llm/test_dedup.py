@@ -248,6 +248,50 @@ def test_runs_of_sorted_labels_chain_over_partition_bounds(spark):
         assert {i: got.get(i, i) for i in labels} == root
 
 
+def test_flagged_runs_need_a_row_with_flag_0(spark):
+    rnd = random.Random(9)
+    # Few tokens, so that runs go over several partitions; some have no flag 0 at all.
+    rows = [(0, bytearray([0, t, t > 3 or i % 7 and rnd.random() < 0.9]), i) for i in range(300) for t in {0, rnd.randrange(12)}]
+    frame = spark.createDataFrame(rows, "tree int, label binary, text bigint")
+    for cut in (frame, frame.where("text % 30 = 1"), frame.where("text < 0")):
+        got = {r["node"]: r["root"] for r in components.components(jaccard.chained(cut, 2, flagged=True)).collect()}
+        kept = [(bytes(r["label"]), r["text"]) for r in cut.collect()]
+        root = {i: i for _, i in kept}
+        for token in {label[:2] for label, _ in kept}:
+            run = {i for label, i in kept if label[:2] == token}
+            if any(label == token + b"\0" for label, _ in kept):
+                roots = {root[i] for i in run}
+                root = {i: min(roots) if r in roots else r for i, r in root.items()}
+        assert {i: got.get(i, i) for i in root} == root
+
+
+def test_prefixes_of_linked_sets_meet():
+    rnd = random.Random(11)
+    for _ in range(3000):
+        a = set(rnd.sample(range(60), rnd.randint(1, 40)))
+        b = {*rnd.sample(sorted(a), rnd.randint(1, len(a))), *rnd.sample(range(60, 70), rnd.randint(0, 6))}
+        small, large = sorted((a, b), key=len)
+        if len(a & b) / len(a | b) >= 0.8:
+            index, probe = jaccard.prefix_sizes(len(small), 0.8)[0], jaccard.prefix_sizes(len(large), 0.8)[1]
+            assert set(sorted(small)[:index]) & set(sorted(large)[:probe])
+
+
+def test_texts_of_one_template_are_not_compared_all_with_all(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE", 16)
+    rnd = random.Random(5)
+    words = [f"v{i}" for i in range(5000)]
+    site = rnd.choices(words, k=150)
+    texts = [" ".join(site + rnd.choices(words, k=35)) for _ in range(240)]  # similarity 0.65
+    texts += [" ".join([*t.split()[:-2], "x", str(i)]) for i, t in enumerate(texts[:20])]
+    verified = []
+    similar = jaccard._with_tiles
+    monkeypatch.setattr(jaccard, "_with_tiles", lambda df: verified.append(similar(df)) or verified[-1])
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.join(docs_of(spark, texts)).collect()}
+    assert got == brute_links(texts)
+    before, after = (df.groupBy("cluster").count().agg({"count": "max"}).first()[0] for df in verified)
+    assert before > 200 and 2 <= after < 8  # one cluster of candidates, then the links and few that share a word more than the template
+
+
 def morse(a, b, n=1024):
     """A word of two letters in Thue-Morse order, on which polynomial hashes modulo powers of two collide."""
     return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))

@@ -17,7 +17,14 @@ least text of a class has its least id.
    Texts whose labels share a prefix of that length are candidates.
 3. Clusters.  Runs of the trie are chained into clusters (connected components
    over one edge per text and tree, never over pairs).
-4. Verification.  A text moves to its cluster once per tile.  Clusters are cut into
+4. Refinement.  A cluster of more than one tile may hang together by candidates that
+   are no links, such as pages with one template.  Its texts are cut to prefixes: the
+   n-grams of a text in an order that is fixed for the cluster, rare ones first (as
+   counted in about ``SAMPLE`` of its texts; any order is right, a better one only
+   saves work).  Of two texts at the threshold the smaller one's index prefix and the
+   larger one's probe prefix share an n-gram, so texts chained by such n-grams make
+   up the clusters that go on, and no link is lost.
+5. Verification.  A text moves to its cluster once per tile.  Clusters are cut into
    tiles of about ``TILE`` texts and ``TILE_GRAMS`` n-grams and each pair of tiles is
    one task, so a group with a third of all texts is spread over the cluster.  A
    tile pair compares the words of equal n-gram hashes, takes exact Jaccard
@@ -36,6 +43,7 @@ and share a class; repeated rows count as copies.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -55,6 +63,9 @@ TARGET_RECALL = 0.999
 PROBES = 4000
 TILE = 1024
 TILE_GRAMS = 500_000
+#: About so many texts, and n-grams, of a large cluster are looked at to order its n-grams.
+SAMPLE = 256
+SAMPLE_GRAMS = 250_000
 _SKETCH = "doc_id bigint, h1 bigint, h2 bigint, size int, labels array<binary>"
 
 
@@ -196,15 +207,21 @@ def _measured(docs: DataFrame, n_texts: int, shingle: int, threshold: float, tre
 _RUNS = "u bigint, v bigint, part int, tree int, label binary, text bigint"
 
 
-def _chained(prefix: int):
-    """Edges of each text to the first of its run; and the first and the last row of a partition of the sorted labels."""
-    width = 2 * prefix
+def _chained(width: int, flagged: bool):
+    """Edges of each text to the first of its run; and the first and the last row of a partition of the sorted labels.
+
+    A run has equal first ``width`` bytes.  With ``flagged`` the next byte is a flag, and
+    a run counts if it begins with flag 0.  The first run of a partition may have begun
+    before it: where its own first flag is not 0, its edges carry the label they depend
+    on, and end rows carry the first flag of their run within the partition.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in _RUNS.split(", ")]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
         first = last = None
-        held = None  # tree, prefix and first text of the run that is open
+        held = None  # tree, prefix, first text and first flag of the run that is open
+        opening = True  # the open run is the partition's first
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -215,34 +232,149 @@ def _chained(prefix: int):
             new = np.ones(len(text), bool)
             new[1:] = (tree[1:] != tree[:-1]) | (rows[1:, :width] != rows[:-1, :width]).any(axis=1)
             going_on = held is not None and held[0] == tree[0] and held[1] == rows[0, :width].tobytes()
+            opening &= held is None or going_on
             run = np.maximum.accumulate(np.where(new, np.arange(len(text)), 0))
             head = text[run]
+            flag = rows[run, width] if flagged else np.zeros(len(text), np.uint8)
             if going_on:
                 head = np.where(run == 0, held[2], head)
-            edge = text != head
-            held = int(tree[-1]), rows[-1, :width].tobytes(), int(head[-1])
-            ends = [(int(part[i]), int(tree[i]), rows[i].tobytes(), int(text[i])) for i in (0, -1)]
-            first, last = first or ends[0], ends[1]
-            yield pa.record_batch([pa.array(text[edge], pa.int64()), pa.array(head[edge], pa.int64()), *(pa.nulls(int(edge.sum()), k) for k in kinds[2:])], names)
+                flag = np.where(run == 0, held[3], flag)
+            unsure = (run == 0) & (flag != 0) & opening
+            edge = (text != head) & ((flag == 0) | unsure)
+            opening &= not new[1:].any()
+            held = int(tree[-1]), rows[-1, :width].tobytes(), int(head[-1]), int(flag[-1])
+            tail = held[1] + bytes([held[3]]) if flagged else rows[-1].tobytes()
+            first = first or (int(part[0]), int(tree[0]), rows[0].tobytes(), int(text[0]))
+            last = int(part[-1]), int(tree[-1]), tail, int(text[-1])
+            begun = rows[0, :width].tobytes()
+            depends = pa.array([begun if u else None for u in unsure[edge]], pa.binary())
+            yield pa.record_batch([pa.array(text[edge], pa.int64()), pa.array(head[edge], pa.int64()), pa.nulls(len(depends), kinds[2]), pa.nulls(len(depends), kinds[3]), depends, pa.nulls(len(depends), kinds[5])], names)
         bounds = [first, last] if first else []
         yield pa.record_batch([pa.nulls(len(bounds), kinds[0]), pa.nulls(len(bounds), kinds[1]), *(pa.array([e[i] for e in bounds], k) for i, k in enumerate(kinds[2:]))], names)
 
     return run
 
 
-def edges_of(texts: DataFrame, prefix: int) -> DataFrame:
-    """(u, v): texts whose labels share a prefix of that length in some tree, chained along the sorted labels of ``texts`` (text, labels)."""
-    n = runtime.partitions(texts.sparkSession)
-    labelled = texts.select("text", F.posexplode("labels").alias("tree", "label"))
+def chained(labelled: DataFrame, width: int, flagged: bool = False) -> DataFrame:
+    """(u, v): texts of ``labelled`` (tree, label, text) with equal first ``width`` bytes in a tree, chained along the sorted labels.
+
+    With ``flagged`` only where one of them has 0 in the byte that follows.
+    """
+    n = runtime.partitions(labelled.sparkSession)
     ordered = labelled.repartitionByRange(n, "tree", "label", "text").sortWithinPartitions("tree", "label", "text")
-    runs = runtime.settled(ordered.select(F.spark_partition_id().alias("part"), "tree", "label", "text").mapInArrow(_chained(prefix), _RUNS))
+    runs = runtime.settled(ordered.select(F.spark_partition_id().alias("part"), "tree", "label", "text").mapInArrow(_chained(width, flagged), _RUNS))
     # Runs that go over partition bounds: two rows a partition are looked at in order.
     ends = runs.where("text is not null")
     order = W.orderBy("tree", "label", "text")
+    head = lambda c: F.substring(c, 1, width)
     before = ends.select("tree", "label", "text", F.lag(F.struct("tree", "label", "text")).over(order).alias("b"))
-    head = lambda c: F.substring(c, 1, 2 * prefix)
-    over = before.where((F.col("b.tree") == F.col("tree")) & (head(F.col("b.label")) == head(F.col("label")))).select(F.col("text").alias("u"), F.col("b.text").alias("v"))
-    return runs.where("u is not null").select("u", "v").unionByName(over)
+    over = before.where((F.col("b.tree") == F.col("tree")) & (head(F.col("b.label")) == head(F.col("label")))).select(F.col("text").alias("u"), F.col("b.text").alias("v"), head(F.col("label")).alias("label"))
+    within = runs.where("u is not null")
+    if not flagged:
+        return within.select("u", "v").unionByName(over.drop("label"))
+    counts = ends.where(F.substring("label", width + 1, 1) == F.lit(b"\0")).select(head(F.col("label")).alias("label")).distinct()
+    unsure = within.where("label is not null").select("u", "v", "label").unionByName(over)
+    return within.where("label is null").select("u", "v").unionByName(unsure.join(F.broadcast(counts), "label", "left_semi").select("u", "v"))
+
+
+def edges_of(texts: DataFrame, prefix: int) -> DataFrame:
+    """(u, v): ``texts`` (text, labels) whose labels share a prefix of that length in some tree, chained."""
+    return chained(texts.select("text", F.posexplode("labels").alias("tree", "label")), 2 * prefix)
+
+
+def _asked(payloads: list[bytes], replies: pa.Table, shingle: int) -> Iterator[tuple[dict, np.ndarray, np.ndarray, str]]:
+    """Each row of ``replies`` with the n-gram hashes of its text, their other halves, and the text."""
+    wanted = {(r["h1"], r["h2"], r["size"]): r for r in replies.to_pylist()}
+    ids = {r["least"] for r in wanted.values()}
+    for table in blocks.documents(payloads) if wanted else ():
+        chosen = table.filter(pa.array([i in ids for i in table["doc_id"].to_pylist()]))
+        if not chosen.num_rows:
+            continue
+        value, twin, first = shingles(chosen["text"], shingle)
+        keys = set_keys(value, twin, first).view(np.int64).tolist()
+        for (h1, h2), a, b, text in zip(keys, first.tolist(), first[1:].tolist(), chosen["text"].to_pylist()):
+            r = wanted.pop((h1, h2, b - a), None)
+            if r is not None:  # else a repeated row, or another text under the same id
+                yield r, value[a:b], twin[a:b], text
+
+
+_SAMPLED = "cluster bigint, grams binary"
+_COMMON = "cluster bigint, grams binary, times binary"
+_PREFIXES = "tree int, label binary, text bigint"
+
+
+def _sampled(shingle: int):
+    """The n-gram hashes of sampled texts."""
+
+    def run(block: int, payloads: list[bytes], replies: pa.Table) -> pa.Table:
+        rows = [(r["cluster"], value.tobytes()) for r, value, _, _ in _asked(payloads, replies, shingle)]
+        return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["cluster", "grams"])
+
+    return run
+
+
+def _common(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """The n-grams that a cluster's sample has more than once, and how often."""
+    grams, times = np.unique(np.frombuffer(b"".join(table["grams"].to_pylist()), np.uint64), return_counts=True)
+    often = times > 1
+    out = [blocks.encode_sorted(grams[often]), blocks.encode(times[often].astype(np.uint32))] if often.any() else [None, None]
+    return pa.table([pa.array([key[0].as_py()], pa.int64()), *(pa.array([o], pa.binary()) for o in out)], ["cluster", "grams", "times"])
+
+
+def prefix_sizes(size: int, threshold: float) -> tuple[int, int]:
+    """How many of a text's n-grams are in its index prefix and in its probe prefix."""
+    beyond = lambda share: size - math.ceil(share * size - 1e-6) + 1
+    return beyond(2 * threshold / (1 + threshold)), beyond(threshold)
+
+
+def _prefixes(shingle: int, threshold: float):
+    """A row for each n-gram of each text's probe prefix: its hash within the cluster, and flag 0 if in the index prefix."""
+
+    def run(block: int, payloads: list[bytes], replies: pa.Table) -> pa.Table:
+        lists = replies.filter(replies["grams"].is_valid())
+        common = {r["cluster"]: (blocks.decode_sorted(r["grams"], np.uint64), blocks.decode(r["times"], np.uint32)) for r in lists.to_pylist()}
+        texts, labels = [], []
+        for r, value, twin, _ in _asked(payloads, replies.filter(replies["text"].is_valid()), shingle):
+            count = np.zeros(len(value), np.uint32)
+            if r["cluster"] in common:
+                grams, times = common[r["cluster"]]
+                at = np.minimum(np.searchsorted(grams, value), len(grams) - 1)
+                count = np.where(grams[at] == value, times[at], 0)
+            index, probe = prefix_sizes(len(value), threshold)
+            rare = value[np.lexsort((twin, value, count))[:probe]]
+            label = np.zeros((len(rare), 9), np.uint8)
+            with np.errstate(over="ignore"):
+                label[:, :8] = mix(rare ^ mix(np.array([r["cluster"]], np.uint64))).astype(">u8").view(np.uint8).reshape(-1, 8)
+            label[index:, 8] = 1
+            texts.append(np.full(len(rare), r["text"], np.int64))
+            labels.append(label)
+        text = np.concatenate(texts) if texts else np.zeros(0, np.int64)
+        raw = np.concatenate(labels).tobytes() if labels else b""
+        offsets = pa.py_buffer(np.arange(len(text) + 1, dtype=np.int32) * np.int32(9))
+        label = pa.Array.from_buffers(pa.binary(), len(text), [None, offsets, pa.py_buffer(raw)])
+        return pa.table([pa.array(np.zeros(len(text), np.int32)), label, pa.array(text)], ["tree", "label", "text"])
+
+    return run
+
+
+def _with_tiles(clusters: DataFrame) -> DataFrame:
+    """Adds ``tiles`` to the rows of each cluster; large clusters are met in SALTS tasks."""
+    tiles = F.ceil(F.greatest(F.count("*") / TILE, F.sum("size") / TILE_GRAMS)).cast("int")
+    every = F.ceil(F.greatest(F.count("*") / SAMPLE, F.sum("size") / SAMPLE_GRAMS)).cast("bigint")
+    large = clusters.groupBy("cluster").agg(tiles.alias("tiles"), every.alias("every")).where("tiles > 1")
+    large = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = clusters.withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int"))
+    return salted.join(large, ["cluster", "salt"], "left").drop("salt").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+
+
+def refined(packed: DataFrame, large: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """(text, cluster): smaller clusters that hold every link within the clusters of ``large``; texts that cannot link are left out."""
+    sample = large.where(F.pmod(F.xxhash64(F.lit(5), "text"), F.col("every")) == 0)
+    common = blocks.answer(packed, sample, _sampled(shingle), _SAMPLED).groupBy("cluster").applyInArrow(_common, _COMMON).where("grams is not null")
+    lists = large.select("cluster", "block").distinct().join(common, "cluster")
+    asked = large.drop("every", "tiles").unionByName(lists, allowMissingColumns=True)
+    prefixes = runtime.settled(blocks.answer(packed, asked, _prefixes(shingle, threshold), _PREFIXES))
+    return components(chained(prefixes, 8, flagged=True)).withColumnsRenamed({"node": "text", "root": "cluster"})
 
 
 _SETS = "cluster bigint, a int, b int, side int, text bigint, copies bigint, words string"
@@ -252,22 +384,11 @@ def _sets(shingle: int):
     """Rows with the text for each tile pair of its cluster."""
 
     def run(block: int, payloads: list[bytes], replies: pa.Table) -> pa.Table:
-        wanted = {(r["h1"], r["h2"], r["size"]): r for r in replies.to_pylist()}
-        ids = {r["least"] for r in wanted.values()}
         out = []
-        for table in blocks.documents(payloads) if wanted else ():
-            chosen = table.filter(pa.array([i in ids for i in table["doc_id"].to_pylist()]))
-            if not chosen.num_rows:
-                continue
-            value, twin, first = shingles(chosen["text"], shingle)
-            keys = set_keys(value, twin, first).view(np.int64).tolist()
-            for (h1, h2), size, text in zip(keys, np.diff(first).tolist(), chosen["text"].to_pylist()):
-                r = wanted.pop((h1, h2, size), None)
-                if r is None:
-                    continue  # a repeated row, or another text under the same id
-                for other in range(r["tiles"]):
-                    a, b = sorted((r["tile"], other))
-                    out.append((r["cluster"], a, b, int(r["tile"] != a), r["text"], r["copies"], text))
+        for r, _, _, text in _asked(payloads, replies, shingle):
+            for other in range(r["tiles"]):
+                a, b = sorted((r["tile"], other))
+                out.append((r["cluster"], a, b, int(r["tile"] != a), r["text"], r["copies"], text))
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
         return pa.table([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["cluster", "a", "b", "side", "text", "copies", "words"])
 
@@ -356,12 +477,16 @@ def join(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, trees: int =
     grouped = sketch.where("size > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min_by("labels", "doc_id").alias("labels"))
     texts = runtime.settled(grouped.orderBy("least", *key).withColumn("text", F.monotonically_increasing_id()))
     prefix = _measured(docs, texts.count(), shingle, threshold, trees, depth, target)
-    clusters = components(edges_of(texts, prefix)).withColumnsRenamed({"node": "text", "root": "cluster"}).join(texts.drop("labels"), "text")
-    tiles = clusters.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("size") / TILE_GRAMS)).cast("int").alias("tiles"))
-    members = clusters.join(tiles, "cluster").select(
-        F.pmod(F.xxhash64("least"), F.lit(n)).cast("int").alias("block"), "text", "least", "cluster", "copies", *key, "tiles", F.pmod(F.xxhash64(F.lit(9), "text"), F.col("tiles")).cast("int").alias("tile")
-    )
-    sets = blocks.answer(blocks.pack(docs.where("doc_id is not null"), ["doc_id", "text"], n, F.pmod(F.xxhash64("doc_id"), F.lit(n))), members, _sets(shingle), _SETS)
+    bare = texts.select("text", "least", "copies", *key, F.pmod(F.xxhash64("least"), F.lit(n)).cast("int").alias("block"))
+    packed = blocks.pack(docs.where("doc_id is not null"), ["doc_id", "text"], n, F.pmod(F.xxhash64("doc_id"), F.lit(n)))
+    clusters = components(edges_of(texts, prefix)).withColumnsRenamed({"node": "text", "root": "cluster"}).join(bare, "text")
+    clusters = runtime.settled(_with_tiles(clusters))
+    large = clusters.where("tiles > 1")
+    if not large.isEmpty():
+        parts = refined(packed, large, shingle, threshold).join(bare, "text")
+        clusters = _with_tiles(clusters.where("tiles = 1").drop("tiles", "every").unionByName(parts))
+    members = clusters.withColumn("tile", F.pmod(F.xxhash64(F.lit(9), "text"), F.col("tiles")).cast("int")).drop("every")
+    sets = blocks.answer(packed, members, _sets(shingle), _SETS)
     links = runtime.settled(sets.groupBy("cluster", "a", "b").applyInArrow(_verify(threshold, shingle), _LINKS))
     # Texts of one id are one node: each is chained to the first of them.
     named = sketch.where("doc_id is not null").join(texts.select(*key, "text"), key).select("doc_id", "text")
