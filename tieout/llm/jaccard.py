@@ -18,7 +18,8 @@ least text of a class has its least id.
 3. Clusters.  Runs of the trie are chained into clusters (connected components
    over one edge per text and tree, never over pairs).
 4. Refinement.  A cluster of more than one tile may hang together by candidates that
-   are no links, such as pages with one template.  Its texts are cut to prefixes: the
+   are no links, such as pages with one template.  Unless half of the pairs in a sample
+   are links (then little work could be saved), its texts are cut to prefixes: the
    n-grams of a text in an order that is fixed for the cluster, rare ones first (as
    counted in about ``SAMPLE`` of its texts; any order is right, a better one only
    saves work).  Of two texts at the threshold the smaller one's index prefix and the
@@ -66,6 +67,8 @@ TILE_GRAMS = 500_000
 #: About so many texts, and n-grams, of a large cluster are looked at to order its n-grams.
 SAMPLE = 256
 SAMPLE_GRAMS = 250_000
+#: A cluster is compared as it is if at least this share of its sample's pairs are links.
+DENSE = 0.5
 _SKETCH = "doc_id bigint, h1 bigint, h2 bigint, size int, labels array<binary>"
 
 
@@ -299,7 +302,7 @@ def _asked(payloads: list[bytes], replies: pa.Table, shingle: int) -> Iterator[t
 
 
 _SAMPLED = "cluster bigint, grams binary"
-_COMMON = "cluster bigint, grams binary, times binary"
+_COMMON = "cluster bigint, grams binary, times binary, share double"
 _PREFIXES = "tree int, label binary, text bigint"
 
 
@@ -313,12 +316,19 @@ def _sampled(shingle: int):
     return run
 
 
-def _common(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """The n-grams that a cluster's sample has more than once, and how often."""
-    grams, times = np.unique(np.frombuffer(b"".join(table["grams"].to_pylist()), np.uint64), return_counts=True)
-    often = times > 1
-    out = [blocks.encode_sorted(grams[often]), blocks.encode(times[often].astype(np.uint32))] if often.any() else [None, None]
-    return pa.table([pa.array([key[0].as_py()], pa.int64()), *(pa.array([o], pa.binary()) for o in out)], ["cluster", "grams", "times"])
+def _common(threshold: float):
+    """The n-grams that a cluster's sample has more than once, how often, and the share of its pairs that are links."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(g, np.uint64) for g in table["grams"].to_pylist()]
+        grams, times = np.unique(np.concatenate(sets), return_counts=True)
+        often = times > 1
+        pairs = len(sets) * (len(sets) - 1)
+        share = float(similar(sets, threshold).sum() / pairs) if pairs else 0.0
+        out = [blocks.encode_sorted(grams[often]), blocks.encode(times[often].astype(np.uint32))] if often.any() else [None, None]
+        return pa.table([pa.array([key[0].as_py()], pa.int64()), *(pa.array([o], pa.binary()) for o in out), pa.array([share])], ["cluster", "grams", "times", "share"])
+
+    return run
 
 
 def prefix_sizes(size: int, threshold: float) -> tuple[int, int]:
@@ -367,14 +377,29 @@ def _with_tiles(clusters: DataFrame) -> DataFrame:
     return salted.join(large, ["cluster", "salt"], "left").drop("salt").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
 
 
-def refined(packed: DataFrame, large: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """(text, cluster): smaller clusters that hold every link within the clusters of ``large``; texts that cannot link are left out."""
+def refined(packed: DataFrame, clusters: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """(text, cluster) of smaller clusters that hold every link within ``clusters``.
+
+    Clusters of one tile, and those in whose sample at least DENSE of the pairs are
+    links, stay as they are; of the others, texts that cannot link are left out.
+    """
+    large = clusters.where("tiles > 1")
+    if large.isEmpty():
+        return clusters.select("text", "cluster")
     sample = large.where(F.pmod(F.xxhash64(F.lit(5), "text"), F.col("every")) == 0)
-    common = blocks.answer(packed, sample, _sampled(shingle), _SAMPLED).groupBy("cluster").applyInArrow(_common, _COMMON).where("grams is not null")
-    lists = large.select("cluster", "block").distinct().join(common, "cluster")
-    asked = large.drop("every", "tiles").unionByName(lists, allowMissingColumns=True)
+    common = runtime.settled(blocks.answer(packed, sample, _sampled(shingle), _SAMPLED).groupBy("cluster").applyInArrow(_common(threshold), _COMMON))
+    dense = common.where(F.col("share") >= DENSE).select("cluster", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = clusters.withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int"))
+    cut = salted.where("tiles > 1").join(dense, ["cluster", "salt"], "left_anti").drop("salt")
+    if cut.isEmpty():
+        return clusters.select("text", "cluster")
+    cut = runtime.settled(cut)
+    lists = cut.select("cluster", "block").distinct().join(common.where("grams is not null").drop("share"), "cluster")
+    asked = cut.drop("every", "tiles").unionByName(lists, allowMissingColumns=True)
     prefixes = runtime.settled(blocks.answer(packed, asked, _prefixes(shingle, threshold), _PREFIXES))
-    return components(chained(prefixes, 8, flagged=True)).withColumnsRenamed({"node": "text", "root": "cluster"})
+    parts = components(chained(prefixes, 8, flagged=True)).select(F.col("node").alias("text"), F.col("root").alias("cluster"))
+    whole = salted.where("tiles > 1").join(dense, ["cluster", "salt"], "left_semi").unionByName(salted.where("tiles = 1"))
+    return parts.unionByName(whole.select("text", "cluster"))
 
 
 _SETS = "cluster bigint, a int, b int, side int, text bigint, copies bigint, words string"
@@ -481,10 +506,8 @@ def join(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, trees: int =
     packed = blocks.pack(docs.where("doc_id is not null"), ["doc_id", "text"], n, F.pmod(F.xxhash64("doc_id"), F.lit(n)))
     clusters = components(edges_of(texts, prefix)).withColumnsRenamed({"node": "text", "root": "cluster"}).join(bare, "text")
     clusters = runtime.settled(_with_tiles(clusters))
-    large = clusters.where("tiles > 1")
-    if not large.isEmpty():
-        parts = refined(packed, large, shingle, threshold).join(bare, "text")
-        clusters = _with_tiles(clusters.where("tiles = 1").drop("tiles", "every").unionByName(parts))
+    parts = refined(packed, clusters, shingle, threshold)
+    clusters = _with_tiles(parts.join(bare, "text"))
     members = clusters.withColumn("tile", F.pmod(F.xxhash64(F.lit(9), "text"), F.col("tiles")).cast("int")).drop("every")
     sets = blocks.answer(packed, members, _sets(shingle), _SETS)
     links = runtime.settled(sets.groupBy("cluster", "a", "b").applyInArrow(_verify(threshold, shingle), _LINKS))
