@@ -191,11 +191,11 @@ def near_copies(seed, groups=12, size=8):
     return out + ["", "a", "a", "a b c d", out[0]]
 
 
-@pytest.mark.parametrize("tile", [1024, 3])
-def test_join_equals_brute_force(spark, monkeypatch, tile):
+@pytest.mark.parametrize("tile, refine", [(1024, False), (3, False), (3, True)])
+def test_join_equals_brute_force(spark, monkeypatch, tile, refine):
     monkeypatch.setattr(jaccard, "TILE", tile)
     texts = near_copies(tile)
-    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.join(docs_of(spark, texts)).collect()}
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.join(docs_of(spark, texts), refine=refine).collect()}
     assert got == brute_links(texts)
 
 
@@ -286,7 +286,7 @@ def test_texts_of_one_template_are_not_compared_all_with_all(spark, monkeypatch)
     verified = []
     similar = jaccard._with_tiles
     monkeypatch.setattr(jaccard, "_with_tiles", lambda df: verified.append(similar(df)) or verified[-1])
-    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.join(docs_of(spark, texts)).collect()}
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.join(docs_of(spark, texts), refine=True).collect()}
     assert got == brute_links(texts)
     before, after = (df.groupBy("cluster").count().agg({"count": "max"}).first()[0] for df in verified)
     assert before > 200 and 2 <= after < 8  # one cluster of candidates, then the links and few that share a word more than the template

@@ -17,7 +17,7 @@ least text of a class has its least id.
    Texts whose labels share a prefix of that length are candidates.
 3. Clusters.  Runs of the trie are chained into clusters (connected components
    over one edge per text and tree, never over pairs).
-4. Refinement.  A cluster of more than one tile may hang together by candidates that
+4. Refinement (with ``refine``).  A cluster of more than one tile may hang together by candidates that
    are no links, such as pages with one template.  Unless half of the pairs in a sample
    are links (then little work could be saved), its texts are cut to prefixes: the
    n-grams of a text in an order that is fixed for the cluster, rare ones first (as
@@ -493,8 +493,8 @@ def _verify(threshold: float, shingle: int):
     return run
 
 
-def join(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, trees: int = TREES, depth: int = DEPTH, target: float = TARGET_RECALL) -> DataFrame:
-    """doc_id, class_id, n_links, n_text_links for every row of ``docs``."""
+def join(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, trees: int = TREES, depth: int = DEPTH, target: float = TARGET_RECALL, refine: bool = False) -> DataFrame:
+    """doc_id, class_id, n_links, n_text_links for every row of ``docs``; ``refine`` saves work on templated texts and changes no row."""
     n = runtime.partitions(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = runtime.settled(docs.mapInArrow(_sketch(shingle, trees, depth), _SKETCH))
@@ -505,10 +505,13 @@ def join(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, trees: int =
     bare = texts.select("text", "least", "copies", *key, F.pmod(F.xxhash64("least"), F.lit(n)).cast("int").alias("block"))
     packed = blocks.pack(docs.where("doc_id is not null"), ["doc_id", "text"], n, F.pmod(F.xxhash64("doc_id"), F.lit(n)))
     clusters = components(edges_of(texts, prefix)).withColumnsRenamed({"node": "text", "root": "cluster"}).join(bare, "text")
-    clusters = runtime.settled(_with_tiles(clusters))
-    parts = refined(packed, clusters, shingle, threshold)
-    clusters = _with_tiles(parts.join(bare, "text"))
-    members = clusters.withColumn("tile", F.pmod(F.xxhash64(F.lit(9), "text"), F.col("tiles")).cast("int")).drop("every")
+    if refine:
+        clusters = runtime.settled(_with_tiles(clusters))
+        clusters = _with_tiles(refined(packed, clusters, shingle, threshold).join(bare, "text"))
+    else:
+        tiles = clusters.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("size") / TILE_GRAMS)).cast("int").alias("tiles"))
+        clusters = clusters.join(tiles, "cluster")
+    members = clusters.select("block", "text", "least", "cluster", "copies", *key, "tiles", F.pmod(F.xxhash64(F.lit(9), "text"), F.col("tiles")).cast("int").alias("tile"))
     sets = blocks.answer(packed, members, _sets(shingle), _SETS)
     links = runtime.settled(sets.groupBy("cluster", "a", "b").applyInArrow(_verify(threshold, shingle), _LINKS))
     # Texts of one id are one node: each is chained to the first of them.
