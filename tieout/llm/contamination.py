@@ -16,8 +16,9 @@ punctuation).
    Items of each length have as many repetitions as their own class needs: they are
    added until items of that length, among other words and with the largest allowed
    number of random edits or of substitutions, are met with the target recall at 95 %
-   confidence (measured on ``TRIES`` fresh copies of each kind).  A class that
-   ``REPEATS`` repetitions do not bring there has them all.
+   confidence (measured on a fresh copy of each kind of every item, or on ``TRIES``
+   of each kind if the class has fewer items).  A class that ``REPEATS`` repetitions
+   do not bring there has them all.
 4. Verification.  Of the candidates that hold enough of the item's words, the exact
    edit distance of the item to the best stretch around the place.  Words are
    compared by their number in the items' vocabulary, not by a hash.
@@ -163,9 +164,10 @@ def repeats_for(words: list[np.ndarray], edits: list[int], digest: np.ndarray, t
     random = np.random.default_rng(3)
     fresh = len(digest)
     more = np.concatenate([digest, mix(np.arange(1, max(edits) + 2 * STEPS + 2, dtype=np.uint64))])
+    every = np.arange(max(TRIES, len(words))) % len(words)
     own, other = [], []
     for kind in (0, 1):
-        for i in random.integers(0, len(words), TRIES):
+        for i in every:
             if kind:
                 changed = words[i].copy()
                 changed[random.choice(len(changed), edits[i], replace=False)] = fresh + np.arange(edits[i])
@@ -173,11 +175,12 @@ def repeats_for(words: list[np.ndarray], edits: list[int], digest: np.ndarray, t
                 changed = _edited(words[i], edits[i], random, fresh)
             around = fresh + max(edits) + 1 + random.permutation(2 * STEPS)
             own.append(words[i])
-            other.append(np.concatenate([around[:STEPS], changed, around[STEPS:]]))
-    open_, allowed = np.arange(2 * TRIES), _misses(TRIES, target)
+            other.append(np.concatenate([around[:STEPS], changed, around[STEPS:]]).astype(np.int32))
+    open_, allowed = np.arange(2 * len(every)), _misses(len(every), target)
     for repeat in range(REPEATS):
-        open_ = open_[~_found_in([own[i] for i in open_], [other[i] for i in open_], more, repeat)]
-        if max((open_ < TRIES).sum(), (open_ >= TRIES).sum()) <= allowed:
+        cuts = np.split(open_, range(2 * TRIES, len(open_), 2 * TRIES))
+        open_ = np.concatenate([cut[~_found_in([own[i] for i in cut], [other[i] for i in cut], more, repeat)] for cut in cuts])
+        if max((open_ < len(every)).sum(), (open_ >= len(every)).sum()) <= allowed:
             return repeat + 1
     return REPEATS
 

@@ -10,8 +10,9 @@ least text of a class has its least id.
    sorted by tree and label in one range shuffle, which cuts a hot label like any
    other run: neighbours in that order are neighbours in the tree's prefix trie,
    and the prefix they share is read off the two labels.
-2. Prefixes.  How long a prefix must match is measured on the table's own texts:
-   each probed text gets partners at the least similarity that counts, and matched
+2. Prefixes.  How long a prefix must match is measured on all of the table's own
+   texts: each gets partners at the least similarity that counts (one, or as many as
+   make ``PROBES`` in a small table), in the pass that takes its labels, and matched
    prefixes are shortened one level at a time from ``depth`` on until the probes
    meet in some tree with the target recall (one miss is added to those counted).
    Texts whose labels share a prefix of that length are candidates.
@@ -50,6 +51,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -69,7 +71,7 @@ SAMPLE = 256
 SAMPLE_GRAMS = 250_000
 #: A cluster is compared as it is if at least this share of its sample's pairs are links.
 DENSE = 0.5
-_SKETCH = "doc_id bigint, h1 bigint, h2 bigint, size int, labels array<binary>"
+_SKETCH = "doc_id bigint, h1 bigint, h2 bigint, size int, labels array<binary>, met array<int>"
 
 
 def ngrams(words: Words, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -132,7 +134,30 @@ class Signer:
         return (mix(least) >> np.uint64(48)).astype(">u2").reshape(-1, self.trees, self.depth)
 
 
-def _sketch(shingle: int, trees: int, depth: int):
+def met_prefixes(signer: Signer, least: np.ndarray, labels: np.ndarray, size: np.ndarray, seed: np.ndarray, threshold: float, partners: int) -> np.ndarray:
+    """Of each set and partner the longest prefix that they share in some tree; -1 for sets too small for a partner.
+
+    A partner is the set and as many new n-grams as leave the similarity at the
+    threshold or just above; the set's seed says which.
+    """
+    more = (size / threshold - size + 1e-9).astype(np.int64)
+    some = np.flatnonzero(more)
+    out = np.full((len(size), partners), -1, np.int32)
+    if not len(some):
+        return out
+    more = more[some]
+    begin = np.cumsum(more) - more
+    step = (np.arange(more.sum()) - np.repeat(begin, more)).astype(np.uint64)
+    for p in range(partners):
+        base = mix(mix(seed[some]) ^ mix(np.full(1, p + 1, np.uint64)))
+        with np.errstate(over="ignore"):
+            new = mix(np.repeat(base, more) + step)
+        equal = np.logical_and.accumulate(labels[some] == signer.labels(np.minimum(least[some], signer.least(new, begin))), axis=2)
+        out[some, p] = equal.any(axis=1).sum(axis=1)
+    return out
+
+
+def _sketch(shingle: int, threshold: float, partners: int, trees: int, depth: int):
     signer = Signer(trees, depth)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +166,13 @@ def _sketch(shingle: int, trees: int, depth: int):
                 value, twin, first = shingles(table["text"], shingle)
                 size = np.diff(first)
                 keys = set_keys(value, twin, first)
-                labels = signer.labels(signer.least(value, first[np.flatnonzero(size)])) if len(value) else np.zeros((0, trees, depth), ">u2")
+                some = np.flatnonzero(size)
+                least = signer.least(value, first[some]) if len(value) else np.zeros((0, trees * depth), np.uint64)
+                labels = signer.labels(least)
+                # Copies of a text get partners of their own.
+                ids = pc.fill_null(table["doc_id"], 0).to_numpy().astype(np.int64).view(np.uint64)
+                met = np.full((table.num_rows, partners), -1, np.int32)
+                met[some] = met_prefixes(signer, least, labels, size[some], keys[some, 0] ^ mix(ids[some]), threshold, partners)
                 raw = pa.Array.from_buffers(pa.binary(), len(labels) * trees, [None, pa.py_buffer(np.arange(len(labels) * trees + 1, dtype=np.int32) * np.int32(2 * depth)), pa.py_buffer(labels.tobytes())])
                 offsets = np.concatenate([[0], np.cumsum(np.where(size > 0, trees, 0))])
                 yield pa.record_batch(
@@ -151,32 +182,20 @@ def _sketch(shingle: int, trees: int, depth: int):
                         pa.array(keys[:, 1].view(np.int64)),
                         pa.array(size.astype(np.int32)),
                         pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), raw),
+                        pa.ListArray.from_arrays(pa.array(np.arange(table.num_rows + 1) * partners, pa.int32()), pa.array(met.ravel())),
                     ],
-                    ["doc_id", "h1", "h2", "size", "labels"],
+                    ["doc_id", "h1", "h2", "size", "labels", "met"],
                 )
 
     return run
 
 
 def probed(sets: list[np.ndarray], threshold: float, partners: int, trees: int, depth: int, seed: int = 0) -> np.ndarray:
-    """By length 1..depth: how many (set, partner) pairs share a prefix of that length in some tree; and all pairs.
-
-    A partner is the set and as many new n-grams as leave the similarity at the
-    threshold or just above; sets that are too small for one are passed over.
-    """
-    signer, random = Signer(trees, depth), np.random.default_rng(seed)
-    out = np.zeros(depth + 1, np.int64)
-    for own in sets:
-        more = int(len(own) / threshold - len(own) + 1e-9)
-        if not more:
-            continue
-        least = signer.least(own, np.zeros(1, np.int64))
-        new = random.integers(0, 1 << 63, partners * more, dtype=np.uint64) * np.uint64(2) + random.integers(0, 2, partners * more, dtype=np.uint64)
-        other = np.minimum(least, signer.least(new, np.arange(partners) * more))
-        equal = np.logical_and.accumulate(signer.labels(least) == signer.labels(other), axis=2)
-        out[:depth] += equal.any(axis=1).sum(axis=0)
-        out[depth] += partners
-    return out
+    """By length 1..depth: how many (set, partner) pairs share a prefix of that length in some tree; and all pairs."""
+    signer, size = Signer(trees, depth), np.array([len(s) for s in sets])
+    least = signer.least(np.concatenate(sets), np.cumsum(size) - size)
+    met = met_prefixes(signer, least, signer.labels(least), size, np.arange(len(sets), dtype=np.uint64) + np.uint64(seed), threshold, partners)
+    return np.array([*((met >= level).sum() for level in range(1, depth + 1)), (met >= 0).sum()])
 
 
 def prefix_length(met: list[int], pairs: int, target: float = TARGET_RECALL) -> int:
@@ -187,24 +206,12 @@ def prefix_length(met: list[int], pairs: int, target: float = TARGET_RECALL) ->
     return depth
 
 
-def _measured(docs: DataFrame, n_texts: int, shingle: int, threshold: float, trees: int, depth: int, target: float) -> int:
-    """Prefix length from at least PROBES (text, partner) pairs of the table; only their counts reach the driver."""
-    every = max(1, n_texts // 500)
-    partners = -(-PROBES // max(1, min(n_texts, 500)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for table in blocks.pieces(pa.Table.from_batches([batch])):
-                value, _, first = shingles(table["text"], shingle)
-                sets = [value[a:b] for a, b in zip(first, first[1:]) if b > a]
-                yield pa.record_batch([pa.array([probed(sets, threshold, partners, trees, depth).tolist()], pa.list_(pa.int64()))], ["met"])
-
-    chosen = docs.where(F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(every)) == 0)
-    sums = [F.sum(F.col("met")[i]).alias(f"m{i}") for i in range(depth + 1)]
-    row = chosen.select("text").mapInArrow(run, "met array<bigint>").agg(*sums).first()
-    met = [x or 0 for x in row]
+def _measured(sketch: DataFrame, depth: int, target: float) -> int:
+    """Prefix length from the probes of all documents; only their counts by length reach the driver."""
+    rows = sketch.select(F.explode("met").alias("met")).where("met >= 0").groupBy("met").count().collect()
+    met = [sum(r["count"] for r in rows if r["met"] >= level) for level in range(depth + 1)]
     # Without one pair to probe (no text of four n-grams) only the shortest prefix is safe.
-    return prefix_length(met[:depth], met[depth], target) if met[depth] else 1
+    return prefix_length(met[1:], met[0], target) if met[0] else 1
 
 
 _RUNS = "u bigint, v bigint, part int, tree int, label binary, text bigint"
@@ -497,11 +504,12 @@ def join(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, trees: int =
     """doc_id, class_id, n_links, n_text_links for every row of ``docs``; ``refine`` saves work on templated texts and changes no row."""
     n = runtime.partitions(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = runtime.settled(docs.mapInArrow(_sketch(shingle, trees, depth), _SKETCH))
+    partners = -(-PROBES // max(1, min(docs.count(), PROBES)))
+    sketch = runtime.settled(docs.mapInArrow(_sketch(shingle, threshold, partners, trees, depth), _SKETCH))
     key = ["h1", "h2", "size"]
     grouped = sketch.where("size > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min_by("labels", "doc_id").alias("labels"))
     texts = runtime.settled(grouped.orderBy("least", *key).withColumn("text", F.monotonically_increasing_id()))
-    prefix = _measured(docs, texts.count(), shingle, threshold, trees, depth, target)
+    prefix = _measured(sketch, depth, target)
     bare = texts.select("text", "least", "copies", *key, F.pmod(F.xxhash64("least"), F.lit(n)).cast("int").alias("block"))
     packed = blocks.pack(docs.where("doc_id is not null"), ["doc_id", "text"], n, F.pmod(F.xxhash64("doc_id"), F.lit(n)))
     clusters = components(edges_of(texts, prefix)).withColumnsRenamed({"node": "text", "root": "cluster"}).join(bare, "text")

@@ -133,12 +133,11 @@ def _candidates(window: int, n: int, salt: int, payloads: list[bytes], replies:
     """Calls emit(words, ids, places) with the windows that hold a marked key."""
     a = (window + 1) // 2
     marks = {r["shard"]: r["marks"] for r in replies.to_pylist()}
-    parts = []
-    for table in blocks.documents(payloads):
-        ids, known = _ids(table)
-        words = words_of(table["text"], key=salt)
-        parts.append((ids, known, words, *_short_keys(words, known, a, n)))
-    key = np.concatenate([p[4] for p in parts]) if parts else np.zeros(0, np.uint64)
+    keys = [np.zeros(0, np.uint64)]
+    for table in blocks.documents(payloads):  # words are taken again below: those of a whole block are several times its text
+        keys.append(_short_keys(words_of(table["text"], key=salt), _ids(table)[1], a, n)[1])
+    key = np.concatenate(keys)
+    del keys
     order = np.argsort(key)
     ordered = key[order]
     start = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), ordered[1:] != ordered[:-1]]))
@@ -149,8 +148,12 @@ def _candidates(window: int, n: int, salt: int, payloads: list[bytes], replies:
             mark[edges[s] : edges[s + 1]] = _bits(marks[s], edges[s + 1] - edges[s])
     marked = np.empty(len(key), bool)
     marked[order] = np.repeat(mark, np.diff(start, append=len(key)))
+    del key, order, ordered
     done = 0
-    for ids, known, words, at, _ in parts:
+    for table in blocks.documents(payloads):
+        ids, known = _ids(table)
+        words = words_of(table["text"], key=salt)
+        at, _ = _short_keys(words, known, a, n)
         hit = np.zeros(len(words.doc), bool)
         hit[at] = marked[done : done + len(at)]
         done += len(at)
