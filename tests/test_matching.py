@@ -79,6 +79,16 @@ def test_one_shuffle_and_no_join(spark, sf):
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
 
 
+def test_breaks_fill_all_shuffle_partitions_and_sort_once(spark, sf):
+    from tieout.sources import feeds
+
+    found = matching.breaks(feeds.core(spark, sf), feeds.processor(spark, sf), MONDAY)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+    assert found.rdd.getNumPartitions() == 4
+    assert found.select(F.spark_partition_id().alias("task")).distinct().count() == 4
+
+
 @pytest.mark.parametrize("holidays", [None, ["2026-03-10", "2026-03-14"]])
 def test_business_days_equal_a_day_loop(spark, holidays):
     days = [dt.date(2026, 2, 25) + dt.timedelta(days=i) for i in range(24)]
