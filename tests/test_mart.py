@@ -144,3 +144,11 @@ def test_files_of_another_store_are_put_once_too(spark, tmp_path):
     with pytest.raises(Conflict):
         files.put("viewfs://box/at/x.txt", "2")
     assert (tmp_path / "x.txt").read_text() == "1"
+
+
+def test_breaks_of_many_tasks_are_few_files(spark, tmp_path):
+    store = Mart(spark, str(tmp_path))
+    rows = breaks(spark, *[DAY, OTHER] * 40).repartition(16)
+    assert store.load("fct_break", rows) == {DAY: 0, OTHER: 0}
+    assert seen(store.view())["fct_break"] == {DAY: 40, OTHER: 40}
+    assert len(list(tmp_path.glob("fct_break/business_date=*/batch=*/*.parquet"))) == 2

@@ -141,6 +141,8 @@ class Stage:
         rows = rows.select([c.split()[0] for c in FACTS[name].split(", ")]).where("business_date is not null")
         if self.days is not None:
             rows = rows.where(F.col("business_date").isin([date.fromisoformat(d) for d in self.days]))
+        if name == "fct_break":
+            rows = rows.hint("rebalance", "business_date")  # else each of its many small tasks would write a file a date
         rows.withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("business_date", "batch").parquet(f"{self.mart.root}/{name}")
         entries: dict[str, dict | None] = dict.fromkeys(self.days or ())
         folders = [f"{name}/{d}/batch={batch}" for d in self.mart.files.names(f"{self.mart.root}/{name}") if d.startswith("business_date=") and self.mart.files.exists(f"{self.mart.root}/{name}/{d}/batch={batch}")]
