@@ -117,6 +117,22 @@ def test_one_partition_keeps_many_tasks_busy(spark):
     assert len(tasks) == 4 and max(r["count"] for r in tasks) < 4000
 
 
+def test_a_partition_of_the_derived_stream_is_numbered_by_many_tasks(spark, tmp_path):
+    from tieout.sources import feeds
+
+    # Ids far apart lie in spans of their own; one row has no id and is the first.
+    ids = [None, *(i * scan.SPAN // 3 for i in range(60))]
+    spark.createDataFrame([(i, 4 * (n % 2)) for n, i in enumerate(ids)], "event_id bigint, user_id bigint").write.parquet(f"{tmp_path}/events.parquet")
+    events = feeds.stream_events(spark, str(tmp_path))
+    assert [(r["seq"], r["arrival"]) for r in events.orderBy("seq").collect()] == list(enumerate(ids, 1))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = events.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(tasks) > 1
+
+
 def test_many_holes_and_late_numbers_take_seconds():
     held = live.Sequence()
     began = time.perf_counter()

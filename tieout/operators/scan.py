@@ -16,7 +16,8 @@ SPAN = 1 << 20
 
 
 def _spanned(df: DataFrame, order: str, span: int) -> DataFrame:
-    return df.withColumn("_span", F.floor(F.col(order) / span))
+    """Rows without an order number come first, as windows have them."""
+    return df.withColumn("_span", F.coalesce(F.floor(F.col(order) / span), F.lit(-(1 << 62))))
 
 
 def _carried(df: DataFrame, key: str, per_span: Column, over: Column) -> DataFrame:

@@ -6,9 +6,10 @@ The faults go by bucket ``(orderkey * 7919) mod 1000``, so any engine derives th
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tieout.operators import scan
+
 FIRST_DAY = "2026-03-02"
 AS_OF = "2026-03-09"
 DAYS = 5
@@ -85,8 +86,9 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delivered events (partition, seq, arrival): with a hole in p1, late events in p2, and repeats in p0."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.concat(F.lit("p"), F.pmod("user_id", F.lit(PARTITIONS)).cast("string")).alias("partition"))
-    stamped = e.withColumn("seq", F.row_number().over(W.partitionBy("partition").orderBy("event_id")).cast("bigint"))
-    sized = stamped.join(stamped.groupBy("partition").agg(F.max("seq").alias("n")), "partition")
+    stamped = scan.numbered(e, "partition", "event_id", "seq").withColumn("seq", F.col("seq").cast("bigint"))
+    # One row a partition.
+    sized = stamped.join(F.broadcast(e.groupBy("partition").agg(F.count("*").alias("n"))), "partition")
     third = F.floor(F.col("n") / 3)
     hole = (F.col("partition") == "p1") & (F.col("seq") >= third) & (F.col("seq") < third + DROPPED)
     late = (F.col("partition") == "p2") & (F.col("seq") > F.col("n") - 25) & (F.col("seq") <= F.col("n") - 25 + DELAYED)
