@@ -120,3 +120,11 @@ def test_the_first_copy_is_one_record_in_file_order(spark):
         assert (row["n_core"], row["core_amount"], str(row["core_business_date"]), row["core_currency"]) == (3, 3, TUESDAY, "GBP")
         row = matching.pair(part.where("line_no is not null"), core.limit(0)).first()
         assert (row["core_amount"], str(row["core_business_date"]), row["core_currency"]) == (1, MONDAY, "USD")
+
+
+def test_the_queue_pairs_the_feeds_once_for_each_use(spark, sf):
+    """The first intake, the second one, and what is known in between."""
+    from tieout import catalog
+
+    plan = catalog.queue_intake(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 3

@@ -314,8 +314,7 @@ def _queue_events(spark, d):
     nothing = spark.createDataFrame([], "ref string, break_type string, status string")
     found = _breaks(spark, d)
     first = breakqueue.intake_events(nothing, found, "2026-03-09 08:00:00")
-    resolved = first.where("break_type = 'sign'").select("ref", "break_type", F.lit("resolved").alias("status"))
-    state = first.where("break_type <> 'sign'").select("ref", "break_type", F.lit("open").alias("status")).unionByName(resolved)
+    state = first.select("ref", "break_type", F.when(F.col("break_type") == "sign", "resolved").otherwise("open").alias("status"))
     second = breakqueue.intake_events(state, found, "2026-03-10 08:00:00")
     return first.unionByName(second)
 
