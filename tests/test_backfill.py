@@ -77,6 +77,23 @@ def test_feeds_are_landed_once_and_dates_read_their_folder(spark, paths, tmp_pat
     assert landing.land(paths["core"], paths["events"]) == seal
 
 
+def test_a_landing_parses_each_line_once(spark, paths, tmp_path, monkeypatch):
+    (tmp_path / "e").mkdir()
+    good = '{"ref":"R%d","business_date":"2026-03-02","account":"A","amount_minor":-7,"currency":"USD","kind":"refund"}'
+    (tmp_path / "e" / "p.jsonl").write_text("\n".join([good % 1, "", "{not json", good % 2]) + "\n")
+    monkeypatch.setattr(ingest, "surveyed", lambda *a: pytest.fail("parsed for its totals alone"))
+    landing = Landing(spark, f"file:{tmp_path}/l")
+    seal = landing.land(paths["core"], f"file:{tmp_path}/e")
+    assert seal["days"]["proc"] == {"2026-03-02": {"rows": 2, "total": 14}}
+    assert seal["sides"]["proc"] == {"declared_count": 2, "declared_total": 14, "rejected": 1}
+    assert sorted(r["line_no"] for r in landing.day("proc", "2026-03-02").records.collect()) == [1, 4]
+    passed = ingest.pass_events(spark, f"file:{tmp_path}/e")
+    assert passed.records.count() == 2
+    passed.lines += 1
+    with pytest.raises(ControlTotalMismatch):
+        passed.ingested()
+
+
 def test_a_landing_without_a_seal_does_not_count(spark, paths, tmp_path):
     landing = Landing(spark, f"file:{tmp_path}/l")
     (tmp_path / "cut").mkdir()

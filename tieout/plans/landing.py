@@ -1,6 +1,6 @@
 """Feeds landed once by business date, sealed by their control totals; runs of single dates read their own folder.
 
-Both files are parsed in one pass each, written in folders of (source, business date)
+Both files are parsed once, while they are written in folders of (source, business date),
 and counted from there.  The seal names what the files were (path, length and time of
 each part), what they declared, and the count and total of every date; it is written
 last and only if the dates add up to what the files declare, so a landing that dies
@@ -44,10 +44,11 @@ class Landing:
         prints = {"core": self._fingerprint(core_path), "proc": self._fingerprint(events_path)}
         if sealed and sealed["prints"] == prints:
             return sealed
-        got = {"core": ingest.read_batch(self.spark, core_path), "proc": ingest.read_events(self.spark, events_path)}
+        passed = {"core": ingest.pass_batch(self.spark, core_path), "proc": ingest.pass_events(self.spark, events_path)}
         batch = uuid.uuid4().hex
-        both = got["core"].records.withColumn("side", F.lit("core")).unionByName(got["proc"].records.withColumn("side", F.lit("proc")))
+        both = passed["core"].records.withColumn("side", F.lit("core")).unionByName(passed["proc"].records.withColumn("side", F.lit("proc")))
         both.write.partitionBy("side", "business_date").parquet(f"{self.root}/{batch}")
+        got = {side: p.ingested() for side, p in passed.items()}
         days: dict[str, dict[str, dict[str, int]]] = {"core": {}, "proc": {}}
         for r in self._read(batch).groupBy("side", F.col("business_date").cast("string").alias("d")).agg(F.count("*").alias("n"), F.sum(F.abs("amount_minor")).alias("total")).collect():
             days[r["side"]][r["d"]] = {"rows": r["n"], "total": r["total"]}
