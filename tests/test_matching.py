@@ -89,6 +89,19 @@ def test_breaks_fill_all_shuffle_partitions_and_sort_once(spark, sf):
     assert found.select(F.spark_partition_id().alias("task")).distinct().count() == 4
 
 
+@pytest.mark.parametrize("records", [None, 2_984])
+def test_tasks_grow_in_number_with_the_records_whatever_the_session_says(spark, sf, monkeypatch, records):
+    from tieout.sources import feeds
+
+    core, proc = feeds.core(spark, sf), feeds.processor(spark, sf)
+    found = matching.breaks(core, proc, MONDAY)
+    assert found.rdd.getNumPartitions() == 4 and core.count() + proc.count() == 2_984
+    monkeypatch.setattr(matching, "TASK_RECORDS", 300)
+    dealt = matching.breaks(core, proc, MONDAY, records=records)
+    assert dealt.rdd.getNumPartitions() == 10 and dealt.select(F.spark_partition_id().alias("task")).distinct().count() == 10
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, found.collect()))
+
+
 @pytest.mark.parametrize("holidays", [None, ["2026-03-10", "2026-03-14"]])
 def test_business_days_equal_a_day_loop(spark, holidays):
     days = [dt.date(2026, 2, 25) + dt.timedelta(days=i) for i in range(24)]

@@ -75,7 +75,7 @@ def build(day: Day, sla_s: float = 60.0) -> Dag:
         return rows
 
     def reconcile(context):
-        context["breaks"] = matching.breaks(context["core"], context["proc"], day.as_of, day.policy).persist()
+        context["breaks"] = matching.breaks(context["core"], context["proc"], day.as_of, day.policy, sum(context["counts"].values())).persist()
         rate = matching.match_rate(matching.verdicts(context["core"], context["proc"], day.as_of, day.policy)).first().asDict()
         return rate | {"breaks": context["breaks"].count()}
 
