@@ -102,6 +102,18 @@ def test_tasks_grow_in_number_with_the_records_whatever_the_session_says(spark,
     assert sorted(map(str, dealt.collect())) == sorted(map(str, found.collect()))
 
 
+@pytest.mark.parametrize("name", ["aging_tiers", "queue_open_items"])
+def test_queries_on_breaks_run_in_as_many_tasks(spark, sf, monkeypatch, name):
+    from tieout import catalog
+
+    rows = sorted(map(str, catalog.QUERIES[name](spark, sf).collect()))
+    monkeypatch.setattr(matching, "TASK_RECORDS", 300)
+    found = catalog.QUERIES[name](spark, sf)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 10), REPARTITION_BY_NUM") == 1
+    assert sorted(map(str, found.collect())) == rows
+
+
 @pytest.mark.parametrize("holidays", [None, ["2026-03-10", "2026-03-14"]])
 def test_business_days_equal_a_day_loop(spark, holidays):
     days = [dt.date(2026, 2, 25) + dt.timedelta(days=i) for i in range(24)]
